@@ -46,7 +46,7 @@ def nan_to_null(c) -> Column:
 def to_number(c) -> Column:
     """``pd.to_numeric(errors='coerce')``: text that is not a number becomes null,
     NaN becomes null."""
-    return nan_to_null(F.try_cast(_c(c).cast("string"), "double"))
+    return nan_to_null(_c(c).cast("string").try_cast("double"))
 
 
 def round_nearest(x, intv: float = 0.5, direction: str = "down") -> Column:
