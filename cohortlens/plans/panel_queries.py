@@ -327,3 +327,128 @@ def half_year_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.operators.periods import days_by_period, half_years
     h = half_years(_stays(spark, sf_dir), "o_orderdate", "l_shipdate", ["o_custkey"])
     return days_by_period(h, "o_custkey")
+
+
+# ----------------------------------------------------------- J1-J4 ---------
+
+@query("left_join_fill", """
+WITH d AS (
+  SELECT o_custkey AS cust, CAST(year(l_shipdate) AS BIGINT) AS year, count(*) AS num_docs
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS BIGINT) AS score_year,
+       coalesce(d.year, 0) AS year, coalesce(d.num_docs, 0) AS num_docs
+FROM orders LEFT JOIN d ON o_custkey = d.cust AND CAST(year(o_orderdate) AS BIGINT) = d.year
+""")
+def left_join_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + J5 + P5: orders left-joined on (customer, year) = (customer, ship
+    year) to per-customer yearly line counts; misses filled with 0."""
+    from cohortlens.operators.joins import merge
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    o = read_table(spark, sf_dir, "orders")
+    docs = (li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey)
+              .groupBy("o_custkey", F.year("l_shipdate").cast("long").alias("year"))
+              .agg(F.count(F.lit(1)).alias("num_docs")))
+    left = o.select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("long").alias("score_year"))
+    out = merge(left, docs, "left", left_on=["o_custkey", "score_year"], right_on=["o_custkey", "year"], fill=0)
+    return out.select("o_orderkey", "o_custkey", "score_year", "year", "num_docs")
+
+
+@query("right_join_composite", """
+WITH n AS (SELECT l_orderkey AS orderkey, CAST(year(l_shipdate) AS BIGINT) AS score_year,
+                  sum(l_quantity) AS qty, count(*) AS lines
+           FROM lineitem GROUP BY 1, 2)
+SELECT o.o_orderkey AS orderkey, CAST(year(o.o_orderdate) AS BIGINT) AS score_year, n.qty, n.lines, o.o_totalprice
+FROM n RIGHT JOIN orders o ON n.orderkey = o.o_orderkey AND n.score_year = CAST(year(o.o_orderdate) AS BIGINT)
+""")
+def right_join_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order yearly line aggregates right-joined to every order on the
+    composite key (order, year)."""
+    from cohortlens.operators.joins import merge
+    n = (read_table(spark, sf_dir, "lineitem")
+         .groupBy(F.col("l_orderkey").alias("orderkey"), F.year("l_shipdate").cast("long").alias("score_year"))
+         .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("lines")))
+    h = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("orderkey"), F.year("o_orderdate").cast("long").alias("score_year"), "o_totalprice")
+    return merge(n, h, "right", on=["orderkey", "score_year"]).select(
+        "orderkey", "score_year", "qty", "lines", "o_totalprice")
+
+
+@query("population_inner", """
+SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey
+""")
+def population_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population inner-joined with its orders."""
+    from cohortlens.operators.joins import merge
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    return merge(c, o, "inner", on=["c_custkey"])
+
+
+STATUS_LEVELS = ["F", "O", "P"]
+
+
+@query("population_unknown", """
+WITH p AS (
+  SELECT o_custkey, """ + ", ".join(
+    f"max(CASE WHEN o_orderstatus = '{s}' THEN o_orderdate END) AS d_{s}" for s in STATUS_LEVELS) + """
+  FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey),
+f AS (
+  SELECT c_custkey, """ + ", ".join(
+    f"CASE WHEN d_{s} IS NOT NULL THEN 1 ELSE 0 END AS diag_{s}" for s in STATUS_LEVELS) + """
+  FROM customer LEFT JOIN p ON c_custkey = o_custkey)
+SELECT *, 1 - least(1, """ + " + ".join(f"diag_{s}" for s in STATUS_LEVELS) + """) AS diag_unknown FROM f
+""")
+def population_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 + A7: customers left-joined to their pivoted 'diagnoses' (urgent
+    orders by status, latest date, then 0/1); ``diag_unknown`` marks those
+    without any."""
+    from cohortlens.operators.describe import max_pivot_flags
+    from cohortlens.operators.joins import merge
+    o = read_table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    flags = max_pivot_flags(o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_orderstatus",
+                            "o_orderdate", STATUS_LEVELS)
+    flags = flags.select("c_custkey", *[F.col(s).alias(f"diag_{s}") for s in STATUS_LEVELS])
+    c = read_table(spark, sf_dir, "customer").select("c_custkey")
+    out = merge(c, flags, "left", on=["c_custkey"], fill=0)
+    return out.withColumn("diag_unknown", F.lit(1) - F.least(F.lit(1), sum(F.col(f"diag_{s}") for s in STATUS_LEVELS)))
+
+
+# ----------------------------------------------------------- P27, P28, A11 -
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query("dummies", "SELECT c_custkey, c_mktsegment, " + ", ".join(
+    f"CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END AS c_mktsegment_{s}" for s in SEGMENTS) + " FROM customer")
+def dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One 0/1 column per segment (levels discovered in one job), source kept."""
+    from cohortlens.operators.panel import dummyfy
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return dummyfy(c, ["c_mktsegment"], drop=False)
+
+
+@query("dummies_reference", "SELECT c_custkey, " + ", ".join(
+    f"CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END AS c_mktsegment_{s}" for s in SEGMENTS[1:]) + " FROM customer")
+def dummies_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Treatment coding, first sorted level left out, source dropped."""
+    from cohortlens.operators.panel import dummyfy
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return dummyfy(c, ["c_mktsegment"], drop=True, drop_first=True)
+
+
+@query("dummies_modal", """
+WITH m AS (SELECT c_mktsegment AS lvl FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT c_custkey, c_mktsegment, (SELECT lvl FROM m) AS modal_level,
+       CASE WHEN c_mktsegment = (SELECT lvl FROM m) THEN 1 ELSE 0 END AS is_modal
+FROM customer
+""")
+def dummies_modal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P27 ``force_bool`` + A11: a single flag for the modal segment (smallest
+    on ties); the generated column is ``c_mktsegment_<mode>``, reported here as
+    (modal_level, is_modal)."""
+    from cohortlens.operators.panel import dummyfy_modal
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    out = dummyfy_modal(c, ["c_mktsegment"])
+    name = out.columns[-1]
+    return out.select("c_custkey", "c_mktsegment", F.lit(name[len("c_mktsegment_"):]).alias("modal_level"),
+                      F.col(name).alias("is_modal"))
