@@ -88,29 +88,53 @@ def tfidf_tokens(c) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(TFIDF_PATTERN), 0)
 
 
-def keyword_weights(tokens, keywords: Sequence[str], context: int = 10, fixed: bool = False,
-                    first_occurrence_only: bool = False) -> Column:
-    """Weight per token by distance ``d`` to the nearest token that
-    contains a keyword: 1 at ``d = 0``; decreasing ``1 - (d - 1)/context``
-    (so 1 next to the keyword, 0 from ``d = context + 1``); ``fixed``: 1 while
-    ``d <= context``. ``first_occurrence_only`` reproduces the reference's
-    lookup, where every repeat of a keyword token maps to its first position.
-    """
-    t = _c(tokens)
+def keyword_hits(tokens, keywords: Sequence[str]) -> Column:
+    """Per token: does it contain any keyword (substring test)?"""
     kws = F.array(*[F.lit(k) for k in keywords])
-    idx = F.sequence(F.lit(0), F.size(t) - 1)
-    hits = F.filter(idx, lambda i: F.exists(kws, lambda k: F.element_at(t, i + 1).contains(k)))
-    if first_occurrence_only:
-        hits = F.array_distinct(F.transform(hits, lambda i: F.array_position(t, F.element_at(t, i + 1)) - 1))
+    return F.transform(_c(tokens), lambda t: F.exists(kws, lambda k: t.contains(k)))
+
+
+def weights_from_hits(flags, context: int = 10, fixed: bool = False) -> Column:
+    """T13 weights from a per-token hit-flag array (see ``with_keyword_weights``).
 
-    def weight(d: Column) -> Column:
+    Every weight depends only on the ``context`` tokens either side, so each
+    position looks at its own window of flags (``slice`` + ``array_position``):
+    O(tokens x context) per text, whole texts, no shuffle. ``flags`` must be a
+    column reference, not an expression, or it would be re-evaluated per
+    position.
+    """
+    flags = _c(flags)
+    n = F.size(flags)
+    c = int(context)
+
+    def weight_at(j: Column) -> Column:  # j is 1-based
+        lo = F.greatest(F.lit(1), j - c)
+        left = F.reverse(F.slice(flags, lo, j - lo + 1))              # positions j, j-1, ..., j-c
+        dl = F.array_position(left, F.lit(True)) - 1                  # -1 when absent
+        right = F.slice(flags, j, F.least(F.lit(c + 1), n - j + 1))   # positions j, ..., j+c
+        dr = F.array_position(right, F.lit(True)) - 1
+        d = F.array_min(F.filter(F.array(dl, dr), lambda x: x >= 0))   # null when no hit in reach
         if fixed:
-            return F.when(d <= context, F.lit(1.0)).otherwise(F.lit(0.0))
-        return F.when(d == 0, F.lit(1.0)).otherwise(
-            F.greatest(F.lit(0.0), F.lit(1.0) - (d - 1).cast("double") / F.lit(float(context))))
+            return F.coalesce((d <= c).cast("double"), F.lit(0.0))
+        # 1 at d = 0 (the bare formula would give 1 + 1/c there), 0 beyond reach
+        return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0),
+                                                         F.lit(1.0) - (d - 1).cast("double") / F.lit(float(c)))),
+                          F.lit(0.0))
+
+    return F.when(n == 0, F.array().cast("array<double>")).otherwise(
+        F.transform(F.sequence(F.lit(1), n), weight_at))
+
 
-    return F.when(F.size(t) == 0, F.array().cast("array<double>")).otherwise(
-        F.transform(idx, lambda j: F.aggregate(hits, F.lit(0.0), lambda acc, i: F.greatest(acc, weight(F.abs(j - i))))))
+def with_keyword_weights(df, tokens_col: str, keywords: Sequence[str], context: int = 10, fixed: bool = False,
+                         out: str = "weights"):
+    """Weight per token by distance ``d`` to the nearest token that
+    contains a keyword: 1 at ``d = 0``; decreasing ``1 - (d - 1)/context``
+    (1 next to the keyword, 0 from ``d = context + 1``); ``fixed``: 1 while
+    ``d <= context``. Each repeat of a keyword token counts at its own
+    position (the original mapped every repeat to the first one; that
+    departure is deliberate)."""
+    d = df.withColumn("_kw_hits", keyword_hits(F.col(tokens_col), keywords))
+    return d.withColumn(out, weights_from_hits(F.col("_kw_hits"), context, fixed)).drop("_kw_hits")
 
 
 def bert_frame(tokens, max_len: int = 511) -> Column:

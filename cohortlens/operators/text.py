@@ -24,7 +24,6 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from cohortlens.functions.text import PAD_ID, UNK_ID, split_words, tfidf_tokens
-from cohortlens.session import ensure_checkpoint_dir
 
 # Names of the two reserved vocabulary rows (fixed values).
 PAD, UNK = "<PAD>", "<UNK>"
@@ -82,30 +81,41 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame, ou
     """T7 re-aimed: replace each token by its lemma from a ``(form, lemma)``
     table; unknown forms are kept."""
     long = tokens_long(df, id_col, tokens_col)
-    j = long.join(lemmas, long.token == lemmas.form, "left") \
-            .select(id_col, "pos", F.coalesce(F.col("lemma"), F.col("token")).alias("_t"))
+    lem = lemmas.select(F.col("form").alias("token"), "lemma")
+    j = join_small(long, lem, "token", "left") \
+        .select(id_col, "pos", F.coalesce(F.col("lemma"), F.col("token")).alias("_t"))
     return regroup_tokens(j, id_col, "_t", out, base=df.select(id_col))
 
 
 # ------------------------------------------------------------- ranking -----
 
-def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id") -> DataFrame:
-    """Position of each distinct value of ``col`` in sorted order, from
-    ``start``, computed without a single-partition window: range-partition and
-    sort, freeze that with a reliable checkpoint (so the sample-based range
-    bounds cannot differ between uses), count rows per partition, and add each
-    partition's offset (a table with one row per partition) to the local row
-    number."""
-    ensure_checkpoint_dir(df.sparkSession)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    s = (df.select(col).distinct().repartitionByRange(n, col).sortWithinPartitions(col)
-           .withColumn("_pid", F.spark_partition_id()).checkpoint())
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", (F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(col))
-    # offsets: one row per partition, a proven bound
-    return s.join(F.broadcast(offs), "_pid").select(col, (F.col("_off") + local - 1 + start).cast("long").alias(name))
+def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id", prefix_len: int = 2) -> DataFrame:
+    """Position of each distinct value of ``col`` in sorted (binary) order,
+    from ``start``, without a single-partition window.
+
+    Values are grouped by their first ``prefix_len`` characters; byte order of
+    UTF-8 strings is monotone under truncation, so sorting buckets by prefix and
+    values inside a bucket gives the global order. Bucket sizes (one row per
+    prefix, a bounded table) give each bucket's offset; the rank inside a
+    bucket is a window over that bucket only. Deterministic on recomputation.
+    """
+    d = df.select(F.col(col)).filter(F.col(col).isNotNull()).distinct() \
+          .withColumn("_b", F.substring(F.col(col), 1, prefix_len))
+    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy(col))
+    return d.join(offs, "_b").select(col, (F.col("_off") + local - 1 + start).cast("long").alias(name))
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: int = 64,
+               max_bytes: int = 256 << 20) -> DataFrame:
+    """Join, broadcasting ``small`` only after checking its size: its row
+    count times ``row_bytes`` must stay under ``max_bytes``; otherwise a
+    shuffle join (adaptive execution still splits skewed keys)."""
+    n = small.count()
+    side = F.broadcast(small) if n * row_bytes <= max_bytes else small
+    return big.join(side, on, how)
 
 
 # ------------------------------------------------------------- T10, T11 ----
@@ -125,8 +135,8 @@ def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, wor
     plus the mask of ones and the length. No padding here: pad at the scoring
     edge, per batch."""
     long = tokens_long(df, id_col, tokens_col)
-    j = long.join(vocab.select(F.col(word).alias("token"), "id"), "token", "left") \
-            .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("_id"))
+    j = join_small(long, vocab.select(F.col(word).alias("token"), "id"), "token", "left") \
+        .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("_id"))
     g = regroup_tokens(j, id_col, "_id", "ids", base=df.select(id_col))
     return g.select(id_col, "ids", F.transform("ids", lambda x: F.lit(1)).alias("mask"),
                     F.size("ids").alias("length"))
@@ -144,13 +154,17 @@ def sentence_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataF
                      word: str = "word", vec: str = "vec", weights_col: str | None = None) -> DataFrame:
     """Mean of the vectors of known tokens (``weights_col`` given: the
     weighted **sum**, not divided, as in the reference); no known token gives
-    zeros. Per-document sums use ``Summarizer`` (a proper aggregate with
-    map-side partial sums), not a collected list."""
-    long = tokens_long(df, id_col, tokens_col)
+    zeros. Tokens and weights explode together (no join to pair them); the
+    vector table is broadcast after a size check; per-document sums use
+    ``Summarizer`` (a proper aggregate with map-side partial sums)."""
     if weights_col is not None:
-        w = df.select(id_col, F.posexplode(weights_col).alias("pos", "_w"))
-        long = long.join(w, [id_col, "pos"])
-    j = long.join(vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec")), "token")
+        long = df.select(id_col, F.explode(F.arrays_zip(F.col(tokens_col).alias("token"),
+                                                        F.col(weights_col).alias("w"))).alias("_z")) \
+                 .select(id_col, F.col("_z.token").alias("token"), F.col("_z.w").alias("_w"))
+    else:
+        long = df.select(id_col, F.explode(F.col(tokens_col)).alias("token"))
+    vecs = vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec"))
+    j = join_small(long, vecs, "token", row_bytes=32 + 8 * dim)
     if weights_col is not None:
         v = array_to_vector(F.transform("_vec", lambda x: x.cast("double") * F.col("_w")))
         agg = Summarizer.sum(v)
@@ -168,7 +182,8 @@ def sentence_vectors_concat(df: DataFrame, id_col: str, tokens_col: str, vectors
     """T14 with ``do_avg=False``: vectors side by side by token position, zeros
     for unknown tokens, padded with zeros to ``width`` tokens."""
     long = tokens_long(df, id_col, tokens_col)
-    j = long.join(vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec")), "token", "left")
+    j = join_small(long, vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec")), "token", "left",
+                   row_bytes=32 + 8 * dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     j = j.select(id_col, "pos", F.coalesce(F.transform("_vec", lambda x: x.cast("double")), zeros).alias("_vec"))
     g = regroup_tokens(j, id_col, "_vec", "_vecs", base=df.select(id_col))

@@ -205,25 +205,6 @@ def oov_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHT_KEYWORDS = ["the"]
 
 
-def keyword_weights_long(d: DataFrame, id_col: str, tokens_col: str, keywords, context: int = 10) -> DataFrame:
-    """T13 at whole-text scale: per token, distance to the nearest keyword
-    token from two running windows (last hit before, next hit after), O(n log
-    n) per text instead of tokens x hits."""
-    from pyspark.sql import Window
-    long = T.tokens_long(d, id_col, tokens_col)
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | F.col("token").contains(k)
-    long = long.withColumn("_hit", F.when(hit, F.col("pos")))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    long = long.withColumn("_prev", F.max("_hit").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-               .withColumn("_next", F.min("_hit").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    dist = F.least(F.col("pos") - F.col("_prev"), F.col("_next") - F.col("pos"))
-    weight = F.when(dist.isNull(), F.lit(0.0)).when(dist == 0, F.lit(1.0)).otherwise(
-        F.greatest(F.lit(0.0), F.lit(1.0) - (dist - 1).cast("double") / F.lit(float(context))))
-    return long.select(id_col, "pos", "token", weight.alias("weight"))
-
-
 @query("keyword_weights", f"""
 WITH t AS (SELECT doc_id, {CLEAN_SQL} AS tokens FROM documents),
 u AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM t),
@@ -239,11 +220,10 @@ SELECT t.doc_id, list_transform(coalesce(g.weights, []), lambda x: round(x, 6))
 FROM t LEFT JOIN g ON t.doc_id = g.doc_id
 """)
 def keyword_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance weights to tokens containing 'the', context 10, whole texts."""
+    """Distance weights to tokens containing 'the', context 10, whole
+    texts (oracle: running windows over exploded tokens in SQL)."""
     d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
-    long = keyword_weights_long(d, "doc_id", "tokens", WEIGHT_KEYWORDS)
-    out = T.regroup_tokens(long, "doc_id", "weight", "weights", base=d.select("doc_id"))
-    return out.select("doc_id", round_arr("weights"))
+    return TX.with_keyword_weights(d, "tokens", WEIGHT_KEYWORDS, 10).select("doc_id", round_arr("weights"))
 
 
 @query("keyword_weights_short", f"""
@@ -262,8 +242,7 @@ def keyword_weights_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffle): weights of the 31-word window around the first 'the'."""
     d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS)).filter(F.col("pos") >= 0)
     w = d.select("doc_id", TX.center_text("text", F.col("pos"), 15).alias("win"))
-    return w.select("doc_id", TX.keyword_weights("win", WEIGHT_KEYWORDS, 10).alias("weights")) \
-            .select("doc_id", round_arr("weights"))
+    return TX.with_keyword_weights(w, "win", WEIGHT_KEYWORDS, 10).select("doc_id", round_arr("weights"))
 
 
 # ------------------------------------------------------------- T14 ---------
@@ -305,9 +284,7 @@ def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_vectors_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14 weighted form: sum of keyword-distance-weighted vectors."""
     d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
-    long = keyword_weights_long(d, "doc_id", "tokens", WEIGHT_KEYWORDS)
-    wd = T.regroup_tokens(long, "doc_id", "weight", "weights", base=d.select("doc_id"))
-    d = d.join(wd, "doc_id")
+    d = TX.with_keyword_weights(d, "tokens", WEIGHT_KEYWORDS, 10)
     out = T.sentence_vectors(d, "doc_id", "tokens", word_vectors(spark, sf_dir), EMB_DIM, weights_col="weights")
     return out.select("doc_id", round_arr("embedding"))
 

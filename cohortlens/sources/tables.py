@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,9 +16,31 @@ TEST_TABLES = ("region nation customer supplier part orders lineitem events docu
                "embeddings pages benchmark labels conversations").split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One named table of a study folder (``{dir}/{name}.parquet``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Tables whose rows carry whole texts: per-row work on them is CPU-heavy.
+TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """One named table of a study folder (``{dir}/{name}.parquet``).
+
+    ``spread`` (default: on for text tables) spreads a scan that yields fewer
+    partitions than the cluster has cores (one large row group) so that
+    regex and array work runs on every core. At scale a scan already has
+    thousands of partitions and nothing is added.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread is None:
+        spread = name in TEXT_TABLES
+    return spread_scan(df) if spread else df
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the default parallelism (decided at planning time, no job)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def read_study(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict[str, DataFrame]:
@@ -71,22 +93,11 @@ def write_stats_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def row_slice(df: DataFrame, order_by: Sequence[str | Column], start: int, stop: int) -> DataFrame:
-    """Rows ``start <= position < stop`` in the order of ``order_by``.
-
-    The position comes from a global ``row_number``; to keep this distributed we
-    rank within range partitions: ``orderBy`` range-partitions and sorts, then a
-    per-partition count gives each partition its offset.
-    """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ordered = df.orderBy(*keys)
-    with_pid = ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_mid", F.monotonically_increasing_id())
-    counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    local = Window.partitionBy("_pid").orderBy("_mid")
-    ranked = (with_pid.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-              .withColumn("_pos", F.col("_off") + F.row_number().over(local) - 1))
-    return ranked.filter((F.col("_pos") >= start) & (F.col("_pos") < stop)).drop(
-        "_pid", "_mid", "_off", "_pos")
+def row_slice(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
+    """Rows at positions ``start <= pos < stop`` in the order of the unique
+    numeric ``key`` (never a bare ``limit``). The position is a distributed
+    running count (value buckets + per-bucket windows), not a single-partition
+    ``row_number``."""
+    from cohortlens.operators.ranks import running_sums
+    r = running_sums(df.withColumn("_one", F.lit(1)), key, ["_one"])
+    return r.filter((F.col("_one_cum") > start) & (F.col("_one_cum") <= stop)).drop("_one", "_one_cum")
