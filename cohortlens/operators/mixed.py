@@ -64,7 +64,7 @@ def _partial_fn(Ls: list[np.ndarray], k: int, zidx: list[int]):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            packed = np.stack([np.asarray(v, dtype=float) for v in pdf["g"]])
+            packed = np.stack([np.asarray(v, dtype=float) for v in pdf["_gram"]])
             W = np.zeros((len(pdf), k, k))
             W[:, iu[0], iu[1]] = packed
             W[:, iu[1], iu[0]] = packed
@@ -87,8 +87,8 @@ def _partial_fn(Ls: list[np.ndarray], k: int, zidx: list[int]):
 class _Reml:
     def __init__(self, stats: DataFrame, k: int, p: int, zidx: list[int], structure: str):
         self.stats, self.k, self.p, self.zidx, self.structure = stats, k, p, zidx, structure
-        tot = stats.agg(F.sum("n").alias("n"),
-                        *[F.sum(F.col("g")[i]).alias(f"s{i}") for i in range(k * (k + 1) // 2)]).first()
+        tot = stats.agg(F.sum("_n").alias("n"),
+                        *[F.sum(F.col("_gram")[i]).alias(f"s{i}") for i in range(k * (k + 1) // 2)]).first()
         self.N = int(tot["n"])
         self.Wsum = unpack([tot[f"s{i}"] for i in range(k * (k + 1) // 2)], k)
         self.jobs = 0
@@ -96,7 +96,7 @@ class _Reml:
     def evaluate(self, thetas: Sequence[np.ndarray]) -> list[tuple[float, dict]]:
         q = len(self.zidx)
         Ls = [_L(np.asarray(t), q, self.structure) for t in thetas]
-        part = self.stats.select("g").mapInPandas(_partial_fn(Ls, self.k, self.zidx),
+        part = self.stats.select("_gram").mapInPandas(_partial_fn(Ls, self.k, self.zidx),
                                                  "cand int, idx int, val double")
         sums = part.groupBy("cand", "idx").agg(F.sum("val").alias("val")).collect()
         self.jobs += 1

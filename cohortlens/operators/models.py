@@ -85,7 +85,7 @@ def formula_design(df: DataFrame, target: str, covariates: Sequence[str] | None,
 
 def gram(df: DataFrame, xcols: Sequence[str], y: str, by: Sequence[str] = (), intercept: bool = True
          ) -> DataFrame:
-    """Per group: ``n`` and the packed upper triangle of the Gram matrix of
+    """Per group: ``_n`` and the packed upper triangle (``_gram``) of the Gram matrix of
     ``[const?, x..., y]`` as an array. Rows with a null in any column are
     dropped (and counted out)."""
     cols = ([F.lit(1.0)] if intercept else []) + [F.col(c).cast("double") for c in xcols] + [F.col(y).cast("double")]
@@ -95,7 +95,7 @@ def gram(df: DataFrame, xcols: Sequence[str], y: str, by: Sequence[str] = (), in
     d = df.filter(keep)
     k = len(cols)
     sums = [F.sum(cols[i] * cols[j]) for i in range(k) for j in range(i, k)]
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array(*sums).alias("_gram"))
 
 
 def unpack(g: Sequence[float], k: int) -> np.ndarray:
@@ -186,17 +186,17 @@ def ols(df: DataFrame, target: str, covariates: Sequence[str], intercept: bool =
     coefs, stats = [], []
     for r in rows:
         seg = None if by is None else (None if r[by] is None else str(r[by]))
-        G = unpack(r["g"], k)
+        G = unpack(r["_gram"], k)
         for mname, mcols in models.items():
             idx = ([0] if intercept else []) + [names.index(c) for c in mcols]
             terms = [names[i] for i in idx]
             try:
-                fit = ols_from_gram(G, int(r["n"]), terms, idx, yi, intercept)
-                coefs += _coef_rows(mname, seg, fit, None, int(r["n"]))
+                fit = ols_from_gram(G, int(r["_n"]), terms, idx, yi, intercept)
+                coefs += _coef_rows(mname, seg, fit, None, int(r["_n"]))
                 stats.append((mname, seg, fit.n, float(len(idx) - (1 if intercept else 0)), fit.df_resid,
                               fit.r2, fit.adj_r2, fit.f_stat, fit.loglik, fit.aic, fit.bic, fit.scale))
             except (np.linalg.LinAlgError, ValueError, ZeroDivisionError) as e:
-                coefs += _coef_rows(mname, seg, None, f"{type(e).__name__}: {e}", int(r["n"]))
+                coefs += _coef_rows(mname, seg, None, f"{type(e).__name__}: {e}", int(r["_n"]))
     spark = df.sparkSession
     return spark.createDataFrame(coefs, COEF_SCHEMA), spark.createDataFrame(stats, STATS_SCHEMA)
 

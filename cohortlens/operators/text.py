@@ -135,8 +135,8 @@ def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, wor
     plus the mask of ones and the length. No padding here: pad at the scoring
     edge, per batch."""
     long = tokens_long(df, id_col, tokens_col)
-    j = join_small(long, vocab.select(F.col(word).alias("token"), "id"), "token", "left") \
-        .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("_id"))
+    j = join_small(long, vocab.select(F.col(word).alias("token"), F.col("id").alias("_vid")), "token", "left") \
+        .select(id_col, "pos", F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("_id"))
     g = regroup_tokens(j, id_col, "_id", "ids", base=df.select(id_col))
     return g.select(id_col, "ids", F.transform("ids", lambda x: F.lit(1)).alias("mask"),
                     F.size("ids").alias("length"))

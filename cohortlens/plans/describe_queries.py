@@ -25,11 +25,12 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation")
     return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
              .select("c_custkey", "c_mktsegment", "n_regionkey", "o_orderstatus", "o_orderpriority",
-                     "o_totalprice", "o_orderkey"))
+                     "o_totalprice", "o_orderkey", (F.col("o_totalprice") / 1000).alias("price_k")))
 
 
 POP_SQL = """WITH pop AS (
-  SELECT c_custkey, c_mktsegment, n_regionkey, o_orderstatus, o_orderpriority, o_totalprice, o_orderkey
+  SELECT c_custkey, c_mktsegment, n_regionkey, o_orderstatus, o_orderpriority, o_totalprice, o_orderkey,
+         o_totalprice / 1000 AS price_k
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 """
 
@@ -118,15 +119,15 @@ def distinct_pivot_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("group_description", POP_SQL + """,
 long AS (
-  SELECT c_custkey, o_totalprice, c_mktsegment, 'n_regionkey' AS variable, CAST(n_regionkey AS VARCHAR) AS level FROM pop
-  UNION ALL SELECT c_custkey, o_totalprice, c_mktsegment, 'o_orderstatus', o_orderstatus FROM pop
-  UNION ALL SELECT c_custkey, o_totalprice, c_mktsegment, 'o_orderpriority', o_orderpriority FROM pop),
+  SELECT c_custkey, price_k, c_mktsegment, 'n_regionkey' AS variable, CAST(n_regionkey AS VARCHAR) AS level FROM pop
+  UNION ALL SELECT c_custkey, price_k, c_mktsegment, 'o_orderstatus', o_orderstatus FROM pop
+  UNION ALL SELECT c_custkey, price_k, c_mktsegment, 'o_orderpriority', o_orderpriority FROM pop),
 g AS (
   SELECT variable,
          CASE WHEN grouping(level) = 1 THEN 'All' ELSE level END AS level,
          CASE WHEN grouping(c_mktsegment) = 1 THEN 'All' ELSE c_mktsegment END AS "group",
          count(DISTINCT c_custkey) AS N, count(c_custkey) AS obs,
-         avg(o_totalprice) AS M, stddev_samp(o_totalprice) AS SD
+         avg(price_k) AS M, stddev_samp(price_k) AS SD
   FROM long
   GROUP BY GROUPING SETS ((variable, level, c_mktsegment), (variable, level), (variable, c_mktsegment), (variable)))
 SELECT variable, level, "group", N, obs, round(M, 4) AS M, round(SD, 4) AS SD,
@@ -134,9 +135,9 @@ SELECT variable, level, "group", N, obs, round(M, 4) AS M, round(SD, 4) AS SD,
 FROM g
 """)
 def group_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N, %, obs, mean, SD of order value per level x segment with margins,
-    for three level columns in one grouped job."""
-    out = D.data_stats(population(spark, sf_dir), "c_custkey", "o_totalprice", "c_mktsegment",
+    """N, %, obs, mean, SD of order value (in thousands) per level x
+    segment with margins, for three level columns in one grouped job."""
+    out = D.data_stats(population(spark, sf_dir), "c_custkey", "price_k", "c_mktsegment",
                        ["n_regionkey", "o_orderstatus", "o_orderpriority"])
     return out.select("variable", "level", "group", "N", "obs", F.round("M", 4).alias("M"),
                       F.round("SD", 4).alias("SD"), r6("pct"))

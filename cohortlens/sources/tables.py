@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 TEST_TABLES = ("region nation customer supplier part orders lineitem events documents "
                "embeddings pages benchmark labels conversations").split()
@@ -50,9 +50,14 @@ def read_study(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict[s
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
              header_line: int = 0) -> DataFrame:
-    """CSV scan. ``header_line=1`` means the names are on the second line
-    and the first line is junk: Spark takes the first line as header, so we read
-    without a header and drop the junk line and the name line by their values.
+    """CSV scan with names on line ``header_line`` (0-based).
+
+    ``header_line=0`` is Spark's own header handling. With ``header_line > 0``
+    the lines above the name line are junk: every column is read as text,
+    the name line of each file is found by its values, and each file keeps
+    only the lines after it (row positions from ``monotonically_increasing_id``,
+    which follows file order inside a split; one small row per file decides
+    the cut). Then the columns are cast to ``schema``.
     """
     if header_line == 0:
         r = spark.read.option("header", True)
@@ -60,16 +65,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
         return r.csv(path)
     if schema is None:
         raise ValueError("header_line > 0 needs an explicit schema")
-    raw = spark.read.option("header", False).schema(schema).option("mode", "PERMISSIVE").csv(path)
     names = [f.name for f in schema.fields]
-    first = names[0]
-    # the name line repeats the column names; the junk line(s) before it fail the
-    # typed parse (null in every column) or carry the names: drop both kinds
-    is_name_line = F.col(first).cast("string") == F.lit(first)
-    all_null = F.lit(True)
+    text_schema = StructType([StructField(n, StringType()) for n in names])
+    raw = (spark.read.option("header", False).schema(text_schema).csv(path)
+                .withColumn("_f", F.col("_metadata.file_path")).withColumn("_i", F.monotonically_increasing_id()))
+    is_names = F.lit(True)
     for n in names:
-        all_null = all_null & F.col(n).isNull()
-    return raw.filter(~F.coalesce(is_name_line, F.lit(False)) & ~all_null)
+        is_names = is_names & (F.col(n) == F.lit(n))
+    cut = raw.filter(is_names).groupBy("_f").agg(F.min("_i").alias("_h"))
+    # one row per input file: a bounded table
+    body = raw.join(F.broadcast(cut), "_f").filter(F.col("_i") > F.col("_h"))
+    return body.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def select_roles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
