@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import predict_batch_udf
@@ -55,7 +56,8 @@ def train_classifier(df: DataFrame, id_col: str, label: str, classifier: Estimat
     clf = classifier.copy({classifier.getParam("featuresCol"): feat, classifier.getParam("labelCol"): label})
     model = clf.fit(train_v)
     pred = model.transform(train_v).unionByName(model.transform(test_v), allowMissingColumns=True)
-    pred = pred.select(id_col, label, F.col("prediction").cast("long").alias("prediction"), "dataset")
+    pred = pred.select(id_col, label, F.col("prediction").cast("long").alias("prediction"), "dataset") \
+               .persist(StorageLevel.MEMORY_AND_DISK)
     rep = M.class_report(pred, label, "prediction", by=["dataset"])
     stats = M.perf_metrics(pred.filter(F.col("dataset") == "test"), label, "prediction")
     return TrainResult(model, pred, rep, stats, vocab)
@@ -79,9 +81,11 @@ def classifier_kfold(df: DataFrame, id_col: str, label: str, fold_col: str, n_fo
             train_v, test_v, feat = train, test, features_col
         clf = classifier.copy({classifier.getParam("featuresCol"): feat, classifier.getParam("labelCol"): label})
         model = clf.fit(train_v)
+        # predictions are small (id, label, prediction); keep them so the final
+        # report does not refit features and rescore every fold
         p = model.transform(train_v).unionByName(model.transform(test_v), allowMissingColumns=True) \
                  .select(id_col, label, F.col("prediction").cast("long").alias("prediction"), "dataset") \
-                 .withColumn("fold", F.lit(k + 1))
+                 .withColumn("fold", F.lit(k + 1)).persist(StorageLevel.MEMORY_AND_DISK)
         f1 = M.perf_metrics(p.filter(F.col("dataset") == "test"), label, "prediction").first()["f1"]
         if f1 is not None and f1 >= best[0]:
             best = (f1, model, k + 1)
@@ -104,10 +108,12 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
 
 
 def svm_balanced(features_col: str = "features", label: str = "label", weight: str = "weight",
-                 max_iter: int = 100, reg: float = 0.0) -> Estimator:
-    """One-vs-rest linear SVMs with balanced class weights."""
+                 max_iter: int = 100, reg: float = 0.0, parallelism: int = 4) -> Estimator:
+    """One-vs-rest linear SVMs with balanced class weights; the per-class
+    fits are submitted ``parallelism`` at a time (each is a distributed job)."""
     svc = LinearSVC(maxIter=max_iter, regParam=reg, weightCol=weight)
-    return OneVsRest(classifier=svc, featuresCol=features_col, labelCol=label, weightCol=weight)
+    return OneVsRest(classifier=svc, featuresCol=features_col, labelCol=label, weightCol=weight,
+                     parallelism=parallelism)
 
 
 def top_features(importances, terms: Sequence[str], spark, k: int = 10) -> DataFrame:

@@ -48,3 +48,19 @@ def merge(left: DataFrame, right: DataFrame, how: str, on: Sequence[str] | None
     if fill is not None:
         out = out.fillna(fill)
     return out
+
+
+def not_equal_keep_null(c, value) -> "Column":
+    """Pandas ``!=`` keeps missing values (``NaN != x`` is true); SQL
+    ``<>`` drops them. This keeps them: ``NOT (c <=> value)``."""
+    col = F.col(c) if isinstance(c, str) else c
+    return ~col.eqNullSafe(F.lit(value))
+
+
+def stack(frames) -> DataFrame:
+    """Stack result tables by column name; missing columns are null."""
+    frames = list(frames)
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -113,6 +114,7 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", row_byt
     """Join, broadcasting ``small`` only after checking its size: its row
     count times ``row_bytes`` must stay under ``max_bytes``; otherwise a
     shuffle join (adaptive execution still splits skewed keys)."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)   # counted once, reused by the join
     n = small.count()
     side = F.broadcast(small) if n * row_bytes <= max_bytes else small
     return big.join(side, on, how)
@@ -264,3 +266,49 @@ def tfidf_vectors(model: TfidfModel, df: DataFrame, tokens_col: str, out: str =
 
 def tfidf_prepare(df: DataFrame, text_col: str, out: str = "tfidf_tokens") -> DataFrame:
     return df.withColumn(out, tfidf_tokens(tfidf_text(F.col(text_col))))
+
+
+# ------------------------------------------------------------- S4, S5, T9 --
+
+def read_word_vectors(spark, path: str, word: str = "word", vec: str = "vec") -> DataFrame:
+    """A word-vector table ``(word, vec ARRAY<FLOAT>)`` stored as Parquet."""
+    return spark.read.parquet(path).select(F.col(word).alias("word"), F.col(vec).alias("vec"))
+
+
+def tokenize_df(df: DataFrame, text_col: str, tokenization_type: str = "clean", out: str = "tokens",
+                lemmas: DataFrame | None = None, id_col: str | None = None) -> DataFrame:
+    """Tokeniser dispatch by mode name ('clean', 'wos', 'low_wos', 'lem').
+    'lem' needs a ``(form, lemma)`` table and an id column. Byte-level BPE
+    ('bpe') is not provided (see README)."""
+    from cohortlens.functions.text import tokenize
+    if "bpe" in tokenization_type:
+        raise NotImplementedError("byte-level BPE tokenisation is not provided; see README")
+    d = df.withColumn(out, tokenize(F.col(text_col), tokenization_type))
+    if "lem" in tokenization_type:
+        if lemmas is None or id_col is None:
+            raise ValueError("'lem' needs a lemma table and an id column")
+        lem = lemmatize(d, id_col, out, lemmas, out="_lem")
+        d = d.drop(out).join(lem.withColumnRenamed("_lem", out), id_col)
+    return d
+
+
+def load_and_clean(df: DataFrame, text_col: str, label_col: str | None = None, strip: bool = False,
+                   max_len: int | None = None, clean_labels: bool = False, binary: bool = False,
+                   pos_col: str | None = None, context: int = 15) -> DataFrame:
+    """Trim (T1), keyword-centred window from a character offset (T2),
+    first ``max_len`` words (T3), label coding (L1). With both ``pos_col`` and
+    ``max_len`` the window is cut to ``max_len`` words (the original raised)."""
+    from cohortlens.functions.text import center_text, first_tokens, strip_text
+    from cohortlens.operators.labels import label_codes
+    d = df
+    if strip:
+        d = d.withColumn(text_col, strip_text(F.col(text_col)))
+    if pos_col is not None:
+        d = d.withColumn(text_col, center_text(F.col(text_col), F.col(pos_col), context))
+        if max_len is not None:
+            d = d.withColumn(text_col, F.slice(F.col(text_col), 1, max_len))
+    elif max_len is not None:
+        d = d.withColumn(text_col, first_tokens(F.col(text_col), max_len))
+    if clean_labels and label_col is not None:
+        d = label_codes(d, label_col, out="_code", binary=binary).drop(label_col).withColumnRenamed("_code", label_col)
+    return d

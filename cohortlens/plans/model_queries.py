@@ -6,6 +6,7 @@ discount, tax), ``events`` the panel for the mixed model, ``documents`` +
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -256,15 +257,16 @@ def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 + C2: TF-IDF (fitted on train) + logistic regression; class reports
     of train and test."""
-    res = C.train_classifier(labelled_docs(spark, sf_dir), "doc_id", "label", LogisticRegression(maxIter=50),
-                             tokens_col="tfidf_tokens")
+    d = labelled_docs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    res = C.train_classifier(d, "doc_id", "label", LogisticRegression(maxIter=50), tokens_col="tfidf_tokens")
     return res.stats_classes
 
 
 @query("classify_folds")
 def classify_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 + E2: 5 stratified folds, TF-IDF refitted per fold, per-fold reports."""
-    d = L.stratified_folds(labelled_docs(spark, sf_dir), "doc_id", "label", 5, 42).cache()
+    d = L.stratified_folds(labelled_docs(spark, sf_dir), "doc_id", "label", 5, 42).persist(
+        StorageLevel.MEMORY_AND_DISK)
     res = C.classifier_kfold(d, "doc_id", "label", "fold", 5, LogisticRegression(maxIter=30),
                              tokens_col="tfidf_tokens")
     return res.stats_classes
@@ -280,7 +282,7 @@ def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-vs-rest linear SVM with balanced class weights on the 64-d
     embeddings (10 classes); class reports of train and test."""
-    d = C.balanced_weights(embedding_features(spark, sf_dir), "label")
+    d = C.balanced_weights(embedding_features(spark, sf_dir), "label").persist(StorageLevel.MEMORY_AND_DISK)
     res = C.train_classifier(d, "vec_id", "label", C.svm_balanced(max_iter=50), features_col="features")
     return res.stats_classes
 
@@ -288,8 +290,9 @@ def svm_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("feature_top10")
 def feature_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most important TF-IDF terms of a random forest."""
-    res = C.train_classifier(labelled_docs(spark, sf_dir), "doc_id", "label",
-                             RandomForestClassifier(numTrees=20, seed=7), tokens_col="tfidf_tokens")
+    d = labelled_docs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    res = C.train_classifier(d, "doc_id", "label", RandomForestClassifier(numTrees=20, seed=7),
+                             tokens_col="tfidf_tokens")
     return C.top_features(res.model.featureImportances, res.vocab.terms(), spark, 10)
 
 

@@ -534,3 +534,25 @@ def bert_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[CLS] tokens [SEP], cut at 511, attention mask of ones."""
     t = docs(spark, sf_dir).select("doc_id", TX.bert_frame(TX.tokenize("text", "wos"), 511).alias("tokens"))
     return t.select("doc_id", "tokens", F.transform("tokens", lambda x: F.lit(1)).alias("mask"))
+
+
+# ------------------------------------------------------------- S5 ----------
+
+@query("load_and_clean", f"""
+WITH d AS (SELECT doc_id, text, lang, {KW_POS} AS pos FROM documents WHERE {KW_POS} >= 0),
+s AS (SELECT doc_id, lang, pos, {split_sql("substring(text, 1, pos)")} AS l,
+             {split_sql("substring(text, pos + 1)")} AS r FROM d),
+c AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code
+      FROM (SELECT DISTINCT lang FROM s WHERE lang IS NOT NULL))
+SELECT doc_id, pos, list_slice(list_concat(list_slice(l, greatest(1, len(l) - 10 + 1), len(l)), list_slice(r, 1, 11)),
+                               1, 12) AS text,
+       coalesce(c.code, -1) AS lang
+FROM s LEFT JOIN c USING (lang)
+""")
+def load_and_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10-word windows around the first 'the' (T2), cut to 12 words (T3),
+    language labels coded by sorted order (L1)."""
+    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS)).filter(F.col("pos") >= 0) \
+        .select("doc_id", "text", "lang", "pos")
+    out = T.load_and_clean(d, "text", "lang", strip=False, max_len=12, clean_labels=True, pos_col="pos", context=10)
+    return out.select("doc_id", "pos", "text", "lang")

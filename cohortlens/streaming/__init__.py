@@ -1,0 +1,9 @@
+"""Streaming.
+
+The reference has no stream, watermark, window, trigger or state, so there
+is no streaming operator here. The column expressions in
+``cohortlens.functions`` (text cleaning, tokenising, keyword weights, flags,
+buckets, categories) are stateless built-in expressions and apply unchanged to
+a ``readStream`` DataFrame; that is a property of Spark, not a feature of this
+package.
+"""

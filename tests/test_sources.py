@@ -63,3 +63,23 @@ def test_model_save_load(spark):
     C.save_model(m, os.path.join(d, "m"))
     back = C.load_model(os.path.join(d, "m"))
     assert C.run_saved(back, df, ["x"]).count() == 20
+
+
+def test_not_equal_keep_null_and_stack(spark):
+    from cohortlens.operators.joins import not_equal_keep_null, stack
+    df = spark.createDataFrame([("a",), ("unknown",), (None,)], "v string")
+    assert [r.v for r in df.filter(not_equal_keep_null("v", "unknown")).collect()] == ["a", None]
+    a = spark.createDataFrame([(1,)], "x int")
+    b = spark.createDataFrame([(2, "k")], "x int, y string")
+    assert sorted((r.x, r.y) for r in stack([a, b]).collect()) == [(1, None), (2, "k")]
+
+
+def test_load_and_clean_and_dispatch(spark):
+    from cohortlens.operators import text as T
+    df = spark.createDataFrame([(1, "  one two three four ", 0, "b"), (2, "x y", 2, "a")],
+                               "id int, t string, pos int, lab string")
+    out = {r.id: r for r in T.load_and_clean(df, "t", "lab", strip=True, max_len=2, clean_labels=True).collect()}
+    assert out[1].t == ["one", "two"] and out[1].lab == 1 and out[2].lab == 0
+    lem = spark.createDataFrame([("two", "2")], "form string, lemma string")
+    d = T.tokenize_df(df, "t", "lem", lemmas=lem, id_col="id")
+    assert {r.id: r.tokens for r in d.collect()}[1] == ["one", "2", "three", "four"]
