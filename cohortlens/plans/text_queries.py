@@ -280,7 +280,24 @@ def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", round_arr("embedding"))
 
 
-@query("sentence_vectors_weighted")
+@query("sentence_vectors_weighted", f"""WITH {WV_SQL},
+t AS (SELECT doc_id, {CLEAN_SQL} AS tokens FROM documents),
+u AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM t),
+h AS (SELECT *, CASE WHEN contains(token, 'the') THEN pos END AS hit FROM u),
+w AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prv,
+              min(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt
+      FROM h),
+ww AS (SELECT doc_id, token, CASE WHEN least(pos - prv, nxt - pos) IS NULL THEN 0.0
+                                  WHEN least(pos - prv, nxt - pos) = 0 THEN 1.0
+                                  ELSE greatest(0.0, 1.0 - CAST(least(pos - prv, nxt - pos) - 1 AS DOUBLE) / 10.0)
+                             END AS wt FROM w),
+j AS (SELECT doc_id, wt, vec FROM ww JOIN wv ON ww.token = wv.word),
+x AS (SELECT doc_id, wt, unnest(range(64)) AS k, unnest(vec) AS v FROM j),
+g AS (SELECT doc_id, list(round(a, 6) ORDER BY k) AS emb
+      FROM (SELECT doc_id, k, sum(wt * CAST(v AS DOUBLE)) AS a FROM x GROUP BY doc_id, k) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(g.emb, list_transform(range(64), lambda i: 0.0)) AS embedding
+FROM t LEFT JOIN g ON t.doc_id = g.doc_id
+""")
 def sentence_vectors_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14 weighted form: sum of keyword-distance-weighted vectors."""
     d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
@@ -289,7 +306,21 @@ def sentence_vectors_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", round_arr("embedding"))
 
 
-@query("sentence_vectors_concat")
+@query("sentence_vectors_concat", f"""WITH {WV_SQL},
+d AS (SELECT doc_id, text, {KW_POS} AS pos FROM documents WHERE {KW_POS} >= 0),
+s AS (SELECT doc_id, {split_sql("substring(text, 1, pos)")} AS l, {split_sql("substring(text, pos + 1)")} AS r FROM d),
+w AS (SELECT doc_id, list_transform(list_concat(list_slice(l, greatest(1, len(l) - 15 + 1), len(l)), list_slice(r, 1, 16)),
+                                    lambda x: lower(x)) AS win FROM s),
+u AS (SELECT doc_id, unnest(win) AS token, unnest(range(len(win))) AS pos FROM w),
+j AS (SELECT u.doc_id, u.pos, coalesce(CAST(wv.vec AS DOUBLE[]), list_transform(range(64), lambda i: 0.0)) AS v
+      FROM u LEFT JOIN wv ON u.token = wv.word),
+g AS (SELECT doc_id, flatten(list(v ORDER BY pos)) AS flat FROM j GROUP BY doc_id),
+m AS (SELECT max(len(win)) AS width FROM w)
+SELECT w.doc_id, list_concat(coalesce(g.flat, []),
+         list_transform(range(greatest(0, (SELECT width FROM m) * 64 - len(coalesce(g.flat, [])))), lambda i: 0.0))
+         AS embedding
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+""")
 def sentence_vectors_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14 ``do_avg=False``: vectors of the keyword window side by side, zero
     for unknown words, padded to the longest window."""
