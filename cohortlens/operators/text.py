@@ -88,6 +88,21 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame, ou
     return regroup_tokens(j, id_col, "_t", out, base=df.select(id_col))
 
 
+@pandas_udf(StringType())
+def _porter(words: pd.Series) -> pd.Series:
+    from cohortlens.functions.stem import stem
+    return words.map(lambda w: None if w is None else stem(w))
+
+
+def stem_tokens(df: DataFrame, id_col: str, tokens_col: str, out: str = "stems") -> DataFrame:
+    """T6 re-aimed: Porter stems of lower-case tokens. Only the distinct
+    vocabulary goes through the stemmer (one Arrow batch per partition of
+    distinct words); the ``(form, stem)`` table is joined back like lemmas."""
+    forms = df.select(F.explode(F.col(tokens_col)).alias("form")).distinct()
+    table = forms.select("form", _porter(F.col("form")).alias("lemma"))
+    return lemmatize(df, id_col, tokens_col, table, out=out)
+
+
 # ------------------------------------------------------------- ranking -----
 
 def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id", prefix_len: int = 2) -> DataFrame:

@@ -145,6 +145,13 @@ def tokens_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.lemmatize(d, "doc_id", "tokens", lemmas)
 
 
+@query("tokens_stem")
+def tokens_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Porter stems of the clean tokens (stemmer applied to distinct words)."""
+    d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
+    return T.stem_tokens(d, "doc_id", "tokens")
+
+
 @query("token_lines", f"SELECT doc_id, array_to_string({CLEAN_SQL}, chr(9)) AS line FROM documents")
 def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tab-joined token line per document (the sink writes these)."""

@@ -137,3 +137,35 @@ def test_lemmatize(spark):
 def test_bert_frame(spark):
     out = col(spark, [(["a", "b", "c"],)], "t array<string>", TX.bert_frame(F.col("t"), 4))
     assert out == [["[CLS]", "a", "b", "c"]]
+
+
+PORTER_CASES = {
+    "caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed",
+    "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
+    "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan",
+    "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi",
+    "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "valenci": "valenc",
+    "hesitanci": "hesit", "digitizer": "digit", "radicalli": "radic", "differentli": "differ", "vileli": "vile",
+    "analogousli": "analog", "vietnamization": "vietnam", "predication": "predic", "operator": "oper",
+    "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "callousness": "callous",
+    "formaliti": "formal", "sensitiviti": "sensit", "sensibiliti": "sensibl", "triplicate": "triplic",
+    "formative": "form", "formalize": "formal", "electriciti": "electr", "electrical": "electr", "hopeful": "hope",
+    "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin",
+    "gyroscopic": "gyroscop", "adjustable": "adjust", "defensible": "defens", "irritant": "irrit",
+    "replacement": "replac", "adjustment": "adjust", "dependent": "depend", "adoption": "adopt",
+    "homologou": "homolog", "communism": "commun", "activate": "activ", "angulariti": "angular",
+    "homologous": "homolog", "effective": "effect", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate",
+    "cease": "ceas", "controll": "control", "roll": "roll", "generalizations": "gener", "oscillators": "oscil",
+}
+
+
+def test_porter_published_examples():
+    from cohortlens.functions.stem import stem
+    bad = {w: (stem(w), s) for w, s in PORTER_CASES.items() if stem(w) != s}
+    assert not bad
+
+
+def test_stem_tokens(spark):
+    df = spark.createDataFrame([(1, ["running", "cats", "running"]), (2, [])], "id int, tokens array<string>")
+    out = {r.id: r.stems for r in T.stem_tokens(df, "id", "tokens").collect()}
+    assert out == {1: ["run", "cat", "run"], 2: []}
