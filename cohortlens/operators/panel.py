@@ -83,31 +83,53 @@ def subject_window(panel: Panel, ordered: bool = True):
     return w.orderBy(*panel.order_cols()) if ordered else w
 
 
-def with_running_number(df: DataFrame, group: str, order: Sequence[str | Column], name: str = "counter") -> DataFrame:
-    """1-based running number per subject in the given order (add a unique
-    column to ``order`` to make ties deterministic)."""
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*keys)).cast("long"))
+def with_running_number(df: DataFrame, group: str, order: Sequence[str], name: str = "counter") -> DataFrame:
+    """1-based running number per subject in the order of ``order`` (its
+    first column sets the order; the rest break ties, so make them unique).
+
+    Skew-safe: a distributed running count (``ranks.running_sums``) instead of
+    a window per subject, so a subject with a third of all rows is split over
+    many value buckets rather than sorted in one task."""
+    from cohortlens.operators.ranks import running_sums
+    order = list(order)
+    r = running_sums(df.withColumn("_one", F.lit(1)), order[0], ["_one"], by=[group], tiebreak=order[1:])
+    return r.withColumn(name, F.col("_one_cum").cast("long")).drop("_one", "_one_cum")
+
+
+def subject_aggregate(df: DataFrame, group: str, aggs: Sequence[Column], how: str = "left") -> DataFrame:
+    """Per-subject aggregates joined back to every row. The aggregate reduces
+    map-side (a hot subject costs one partial row per task) and the per-subject
+    table is broadcast when its measured size allows (``join_small``), so the
+    rows themselves are never shuffled by subject."""
+    from cohortlens.operators.joins import join_small
+    per = df.groupBy(group).agg(*aggs)
+    return join_small(df, per, group, how, row_bytes=16 + 16 * len(aggs))
 
 
 def with_group_size(df: DataFrame, group: str, name: str = "size") -> DataFrame:
-    """Rows per subject on every row."""
-    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(group)))
+    """Rows per subject on every row (aggregate + join back)."""
+    return subject_aggregate(df, group, [F.count(F.lit(1)).alias(name)])
 
 
 def keep_min_obs(df: DataFrame, group: str, min_obs: int = 3) -> DataFrame:
-    """Keep subjects with at least ``min_obs`` rows (window form: no join)."""
-    return (with_group_size(df, group, "_n").filter(F.col("_n") >= min_obs).drop("_n"))
+    """Keep subjects with at least ``min_obs`` rows: counts per subject
+    (partial aggregation), then a semi join."""
+    from cohortlens.operators.joins import join_small
+    per = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_obs).select(group)
+    return join_small(df, per, group, "left_semi", row_bytes=16)
 
 
 def with_baseline(df: DataFrame, group: str, order: Sequence[str | Column], cols: Sequence[str],
                   suffix: str = "_baseline") -> DataFrame:
     """Value of the subject's first row (in ``order``) on every row,
-    as ``<c>_baseline``. The first row's value is taken even when null."""
+    as ``<c>_baseline``. The first row's value is taken even when null.
+    ``min_by`` over the order key is an ordinary aggregate (partial map-side),
+    joined back per subject."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    w = (Window.partitionBy(group).orderBy(*keys)
-         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.select("*", *[F.first(F.col(c), ignorenulls=False).over(w).alias(c + suffix) for c in cols])
+    okey = F.struct(*keys) if len(keys) > 1 else keys[0]
+    agg = F.min_by(F.struct(*[F.col(c).alias(c + suffix) for c in cols]), okey).alias("_first")
+    out = subject_aggregate(df, group, [agg])
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"_first.{c}{suffix}") for c in cols])
 
 
 def join_baseline_rows(df: DataFrame, group: str, baseline_filter: Column, cols: Sequence[str],

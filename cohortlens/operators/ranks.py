@@ -18,20 +18,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def order_value(df: DataFrame, col: str):
+    """A numeric stand-in for ordering: timestamps and dates as epoch
+    microseconds / days, numbers as doubles."""
+    t = dict(df.dtypes)[col]
+    if t.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if t == "date":
+        return F.unix_date(F.col(col)).cast("double")
+    return F.col(col).cast("double")
+
+
 def value_buckets(df: DataFrame, order_col: str, n_buckets: int) -> list[float]:
     """Approximate quantile cut points of ``order_col`` (sorted, distinct)."""
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("q")).first()
+    row = df.agg(F.percentile_approx(order_value(df, order_col), probs, 10000).alias("q")).first()
     q = row["q"] or []
     return sorted(set(float(x) for x in q if x is not None))
 
 
 def running_sums(df: DataFrame, order_col: str, cols: Sequence[str], by: Sequence[str] = (),
-                 n_buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
-    """Add ``<c>_cum``: sum of ``c`` over rows with ``order_col`` <= this row's
-    (ties in ``order_col`` must already be aggregated to one row), per ``by``."""
+                 n_buckets: int | None = None, suffix: str = "_cum", tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Add ``<c>_cum``: sum of ``c`` over rows up to this one in the order of
+    ``(order_col, *tiebreak)``, per ``by``. Without a tie-break, rows tied on
+    ``order_col`` must already be aggregated to one row. Tied values always
+    share a bucket (the bucket is a function of ``order_col``), so the order
+    inside a bucket is the global order."""
     by = list(by)
     spark = df.sparkSession
     if n_buckets is None:
@@ -39,7 +53,8 @@ def running_sums(df: DataFrame, order_col: str, cols: Sequence[str], by: Sequenc
     cuts = value_buckets(df, order_col, n_buckets)
     if cuts:
         arr = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.size(F.filter(arr, lambda b: b < F.col(order_col).cast("double")))
+        ov = order_value(df, order_col)
+        bucket = F.size(F.filter(arr, lambda b: b < ov))
     else:
         bucket = F.lit(0)
     b = df.withColumn("_bk", bucket)
@@ -49,7 +64,7 @@ def running_sums(df: DataFrame, order_col: str, cols: Sequence[str], by: Sequenc
     # offsets table: one row per (group, bucket): bounded by buckets x groups
     offsets = totals.select(*by, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                                           for c in cols])
-    wi = (Window.partitionBy(*by, "_bk").orderBy(order_col)
+    wi = (Window.partitionBy(*by, "_bk").orderBy(order_col, *tiebreak)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     j = b.join(offsets, on=[*by, "_bk"], how="left")
     return j.select(*[F.col(c) for c in b.columns if c != "_bk"],

@@ -25,6 +25,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from cohortlens.functions.text import PAD_ID, UNK_ID, split_words, tfidf_tokens
+from cohortlens.operators.joins import join_small
 
 # Names of the two reserved vocabulary rows (fixed values).
 PAD, UNK = "<PAD>", "<UNK>"
@@ -124,17 +125,6 @@ def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id", pref
     return d.join(offs, "_b").select(col, (F.col("_off") + local - 1 + start).cast("long").alias(name))
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: int = 64,
-               max_bytes: int = 256 << 20) -> DataFrame:
-    """Join, broadcasting ``small`` only after checking its size: its row
-    count times ``row_bytes`` must stay under ``max_bytes``; otherwise a
-    shuffle join (adaptive execution still splits skewed keys)."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)   # counted once, reused by the join
-    n = small.count()
-    side = F.broadcast(small) if n * row_bytes <= max_bytes else small
-    return big.join(side, on, how)
-
-
 # ------------------------------------------------------------- T10, T11 ----
 
 def vocabulary(tokens: DataFrame, id_col: str, tokens_col: str, word: str = "word") -> DataFrame:

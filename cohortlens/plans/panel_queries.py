@@ -22,9 +22,11 @@ US_PER_DAY = 86_400_000_000.0
 
 def events_with_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events plus ``day``: days since the subject's first event (fractional)."""
+    from cohortlens.operators.panel import subject_aggregate
     ev = read_table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return ev.withColumn("day", (us - F.min(us).over(Window.partitionBy("user_id"))) / F.lit(US_PER_DAY))
+    ev = subject_aggregate(ev, "user_id", [F.min(us).alias("_first_us")])
+    return ev.withColumn("day", (us - F.col("_first_us")) / F.lit(US_PER_DAY)).drop("_first_us")
 
 
 def r6(c: str) -> F.Column:
@@ -111,9 +113,9 @@ def baseline_filter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject with several first-day rows gets its rows multiplied, as the
     reference's join does."""
     from cohortlens.operators.panel import join_baseline_rows
-    ev = read_table(spark, sf_dir, "events")
-    d = ev.withColumn("day_index", F.datediff(F.to_date("ts"),
-                                              F.to_date(F.min("ts").over(Window.partitionBy("user_id")))) + 1)
+    from cohortlens.operators.panel import subject_aggregate
+    ev = subject_aggregate(read_table(spark, sf_dir, "events"), "user_id", [F.min("ts").alias("_first_ts")])
+    d = ev.withColumn("day_index", F.datediff(F.to_date("ts"), F.to_date("_first_ts")) + 1)
     out = join_baseline_rows(d.select("event_id", "user_id", "value", "event_type", "day_index"), "user_id",
                              F.col("day_index") == 1, ["value", "event_type"])
     return out.select("event_id", "user_id", "value", "day_index", "value_baseline", "event_type_baseline")
