@@ -301,3 +301,25 @@ def data_stats(df: DataFrame, key: str, value: str, group_col: str, subgroup_col
                  "N", "obs", "M", "SD")
     denom = F.sum("N").over(Window.partitionBy("variable", "group")) / 2
     return g.withColumn("pct", F.col("N") / denom * 100)
+
+
+# Column-name parts of the wide description (fixed values of the layout).
+WIDE_PARTS = (("N", "(1. N)"), ("pct", "(1. %)"), ("obs", "(2. obs)"), ("M", "(3. M)"), ("SD", "(4. SD)"))
+
+
+def data_stats_wide(tidy: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """A8 in the original wide layout: one row per (variable, level) and, per
+    group (and ``All``), the columns ``<g>(1. N)``, ``<g>(1. %)``,
+    ``<g>(2. obs)``, ``<g>(3. M)``, ``<g>(4. SD)``, sorted by name; N, % and
+    obs are zero-filled, M and SD are not. Names are built, not string-replaced,
+    so a capital N in a group name stays. Pivots the small tidy table."""
+    gs = [*groups, ALL]
+    aggs = []
+    for g in gs:
+        for col, suffix in WIDE_PARTS:
+            v = F.first(F.when(F.col("group") == g, F.col(col)), ignorenulls=True)
+            if col in ("N", "pct", "obs"):
+                v = F.coalesce(v, F.lit(0))
+            aggs.append((f"{g}{suffix}", v))
+    aggs.sort(key=lambda t: t[0])
+    return tidy.groupBy("variable", "level").agg(*[e.alias(n) for n, e in aggs])

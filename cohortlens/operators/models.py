@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.distributions import norm_ppf, norm_sf, t_ppf, t_sf2
+from cohortlens.functions.distributions import chi2_sf, f_sf, norm_ppf, norm_sf, t_ppf, t_sf2
 from cohortlens.operators.panel import levels, text_columns
 
 CONST = "const"
@@ -40,6 +40,7 @@ STATS_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("df_model", T.DoubleType()),
     T.StructField("df_resid", T.DoubleType()), T.StructField("r2", T.DoubleType()),
     T.StructField("adj_r2", T.DoubleType()), T.StructField("f_stat", T.DoubleType()),
+    T.StructField("f_pvalue", T.DoubleType()),
     T.StructField("loglik", T.DoubleType()), T.StructField("aic", T.DoubleType()),
     T.StructField("bic", T.DoubleType()), T.StructField("scale", T.DoubleType())])
 
@@ -120,6 +121,7 @@ class OlsFit:
     r2: float
     adj_r2: float
     f_stat: float
+    f_pvalue: float
     loglik: float
     aic: float
     bic: float
@@ -155,7 +157,8 @@ def ols_from_gram(G: np.ndarray, n: int, terms: Sequence[str], idx: Sequence[int
     adj = 1 - (1 - r2) * (n - (1 if has_const else 0)) / dfr if dfr > 0 else float("nan")
     f = ((tss - rss) / dfm) / s2 if dfm > 0 and s2 > 0 else float("nan")
     ll = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1) if rss > 0 else float("nan")
-    return OlsFit(list(terms), beta, se, t, pv, ci, n, float(dfr), r2, adj, f, ll,
+    fp = f_sf(f, dfm, dfr) if dfm > 0 and dfr > 0 and not math.isnan(f) else float("nan")
+    return OlsFit(list(terms), beta, se, t, pv, ci, n, float(dfr), r2, adj, f, fp, ll,
                   -2 * ll + 2 * p, -2 * ll + p * math.log(n), s2)
 
 
@@ -194,7 +197,7 @@ def ols(df: DataFrame, target: str, covariates: Sequence[str], intercept: bool =
                 fit = ols_from_gram(G, int(r["_n"]), terms, idx, yi, intercept)
                 coefs += _coef_rows(mname, seg, fit, None, int(r["_n"]))
                 stats.append((mname, seg, fit.n, float(len(idx) - (1 if intercept else 0)), fit.df_resid,
-                              fit.r2, fit.adj_r2, fit.f_stat, fit.loglik, fit.aic, fit.bic, fit.scale))
+                              fit.r2, fit.adj_r2, fit.f_stat, fit.f_pvalue, fit.loglik, fit.aic, fit.bic, fit.scale))
             except (np.linalg.LinAlgError, ValueError, ZeroDivisionError) as e:
                 coefs += _coef_rows(mname, seg, None, f"{type(e).__name__}: {e}", int(r["_n"]))
     spark = df.sparkSession
@@ -241,10 +244,14 @@ def glm(df: DataFrame, target: str, covariates: Sequence[str], family: str, link
     if not z_pvalues:
         coefs = coefs.drop("p").join(spark.createDataFrame(list(zip(names, [float(x) for x in s.pValues])),
                                                            "term string, p double"), "term")
+    df_model = float(len(covariates))
+    llr = float(s.nullDeviance) - float(s.deviance)
+    llr_p = chi2_sf(llr, df_model) if family == "binomial" else float("nan")
     stats = spark.createDataFrame([(int(s.numInstances), float(s.aic), float(s.deviance), float(s.nullDeviance),
-                                    float(s.dispersion), int(s.numIterations), float(s.degreesOfFreedom))],
+                                    float(s.dispersion), int(s.numIterations), float(s.degreesOfFreedom),
+                                    df_model, llr, llr_p)],
                                   "n long, aic double, deviance double, null_deviance double, dispersion double, "
-                                  "iterations long, df_resid double")
+                                  "iterations long, df_resid double, df_model double, llr double, llr_pvalue double")
     return coefs, stats
 
 

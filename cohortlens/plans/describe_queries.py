@@ -297,3 +297,28 @@ def chi_square_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H5 with p-values and stars."""
     return D.chi_square(banded_events(spark, sf_dir), "user_id", "event_type", TEST_GROUPS,
                         ["hour_band", "value_band"])
+
+
+def _wide_sql() -> str:
+    tidy = registry_sql("group_description")
+    parts = []
+    for g in sorted([*SEGMENTS, "All"]):
+        for col, suffix in D.WIDE_PARTS:
+            v = f"max(CASE WHEN \"group\" = '{g}' THEN {col} END)"
+            if col in ("N", "pct", "obs"):
+                v = f"coalesce({v}, 0)"
+            parts.append((f"{g}{suffix}", v))
+    parts.sort(key=lambda t: t[0])
+    cols = ", ".join(f'{v} AS "{n}"' for n, v in parts)
+    return f"WITH t AS ({tidy}) SELECT variable, level, {cols} FROM t GROUP BY variable, level"
+
+
+def registry_sql(name: str) -> str:
+    from cohortlens.plans import registry
+    return registry._ORACLES[name]
+
+
+@query("group_description_wide", _wide_sql())
+def group_description_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 in the original wide layout (per segment and All: N, %, obs, M, SD)."""
+    return D.data_stats_wide(group_description(spark, sf_dir), SEGMENTS)

@@ -116,3 +116,18 @@ def test_pivots(spark):
 def test_top_groups_and_counts(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",), (None,), (None,), (None,)], "g string")
     assert [(r.g, r.n, r.rank) for r in D.top_groups(df, "g").collect()] == [("b", 2, 1), ("c", 2, 2)]
+
+
+def test_data_stats_wide(spark):
+    rows = [(1, 1.0, "g1", "x"), (1, 2.0, "g1", "x"), (2, 4.0, "g2", "x"), (3, 7.0, "g2", "y")]
+    df = spark.createDataFrame(rows, "k int, v double, g string, lv string")
+    wide = D.data_stats_wide(D.data_stats(df, "k", "v", "g", ["lv"]), ["g1", "g2"])
+    cols = wide.columns
+    assert cols[:2] == ["variable", "level"] and cols[2:] == sorted(cols[2:])
+    r = {x.level: x for x in wide.collect()}
+    assert r["y"]["g1(1. N)"] == 0 and r["y"]["g1(3. M)"] is None and r["x"]["All(2. obs)"] == 3
+
+
+def test_f_sf():
+    assert abs(Dist.f_sf(4.964603, 1, 10) - 0.05) < 1e-6
+    assert abs(Dist.f_sf(3.098391, 3, 20) - 0.05) < 1e-6
