@@ -76,21 +76,23 @@ def cohens_d(df: DataFrame, value: str, group_col: str, groups: Sequence[str] |
     """H1: ``(m1 - m2) / sqrt((s1^2 + s2^2) / 2)`` with sample SDs, groups = the
     two largest unless given. One row: group1, group2, n1, n2, m1, m2, d."""
     m = _moments(_with_names(_tag_two(df, value, group_col, groups), group_col), [])
-    d = (F.col("m1") - F.col("m2")) / F.sqrt((F.col("v1") + F.col("v2")) / 2)
+    d = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt((F.col("v1") + F.col("v2")) / 2))
     return m.select("group1", "group2", "n1", "n2", "m1", "m2", d.alias("d"))
 
 
 def _welch(m: DataFrame, equal_var: bool) -> DataFrame:
     n1, n2, v1, v2 = (F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("v1"), F.col("v2"))
+    # empty or one-row groups give null statistics, not a division error
+    div = F.try_divide
     if equal_var:
         dof = n1 + n2 - 2
-        sp = ((n1 - 1) * v1 + (n2 - 1) * v2) / dof
-        se = F.sqrt(sp * (1 / n1 + 1 / n2))
+        sp = div((n1 - 1) * v1 + (n2 - 1) * v2, dof)
+        se = F.sqrt(sp * (div(F.lit(1.0), n1) + div(F.lit(1.0), n2)))
     else:
-        a, b = v1 / n1, v2 / n2
+        a, b = div(v1, n1), div(v2, n2)
         se = F.sqrt(a + b)
-        dof = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))
-    return m.withColumn("t", (F.col("m1") - F.col("m2")) / se).withColumn("dof", dof)
+        dof = div((a + b) * (a + b), div(a * a, n1 - 1) + div(b * b, n2 - 1))
+    return m.withColumn("t", div(F.col("m1") - F.col("m2"), se)).withColumn("dof", dof)
 
 
 def welch_t(df: DataFrame, value: str, group_col: str, groups: Sequence[str] | None = None,
@@ -134,18 +136,18 @@ def _u_finish(u: DataFrame, alternative: str, with_p: bool, use_continuity: bool
     n1, n2 = F.col("na"), F.col("nb")
     n = n1 + n2
     mu = n1 * n2 / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     u2 = n1 * n2 - F.col("u1")
     if alternative == "two-sided":
         stat = F.col("u1")
-        z = (F.greatest(F.col("u1"), u2) - mu - (0.5 if use_continuity else 0.0)) / sigma
+        z = F.try_divide(F.greatest(F.col("u1"), u2) - mu - (0.5 if use_continuity else 0.0), sigma)
         out = u.withColumn("u", stat)
         if with_p:
             out = out.withColumn("p_u", F.least(F.lit(1.0), normal_pvalue(z)))
     elif alternative == "legacy":
         # old default: the smaller U with a one-sided p
         small = F.least(F.col("u1"), u2)
-        z = (mu - small - (0.5 if use_continuity else 0.0)) / sigma
+        z = F.try_divide(mu - small - (0.5 if use_continuity else 0.0), sigma)
         out = u.withColumn("u", small)
         if with_p:
             out = out.withColumn("p_u", normal_pvalue(z) / 2)
@@ -232,11 +234,12 @@ def chi_square(df: DataFrame, key: str, group_col: str, groups: Sequence[str], s
     t = t.withColumn("dof", dof.cast("long"))
     cell_terms = []
     for g in groups:
-        e = F.col("_r") * F.col(f"_c_{g}") / F.col("_T")
+        e = F.try_divide(F.col("_r") * F.col(f"_c_{g}"), F.col("_T"))
         o = F.col(g).cast("double")
         dev = F.abs(o - e)
         dev = F.when(F.col("dof") == 1, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
-        cell_terms.append(dev * dev / e)
+        # a zero expected count (a group with no rows) gives a null statistic
+        cell_terms.append(F.try_divide(dev * dev, e))
     t = t.withColumn("_cell", sum(cell_terms[1:], cell_terms[0]))
     t = t.withColumn("chi2", F.sum("_cell").over(wv))
     out = t.select("variable", "level", *groups, "chi2", "dof")

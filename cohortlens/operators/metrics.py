@@ -114,9 +114,9 @@ def regression_results(df: DataFrame, y_true: str, y_pred: str, digits: int = 4)
                F.avg(e * e).alias("mse"), F.avg(F.pow(F.log1p(y) - F.log1p(p), 2)).alias("msle"),
                F.median(F.abs(e)).alias("medae"))
     r = lambda c: F.round(c, digits)
-    return a.select(r(1 - F.col("ve") / F.col("vy")).alias("explained_variance"),
+    return a.select(r(1 - F.try_divide(F.col("ve"), F.col("vy"))).alias("explained_variance"),
                     r(F.col("msle")).alias("mean_squared_log_error"),
-                    r(1 - F.col("mse") / F.col("vy")).alias("r2"),
+                    r(1 - F.try_divide(F.col("mse"), F.col("vy"))).alias("r2"),
                     r(F.col("mae")).alias("mean_abs_err"), r(F.col("mse")).alias("mean_sq_err"),
                     r(F.sqrt("mse")).alias("root_mse"), F.col("medae").alias("median_abs_err"))
 

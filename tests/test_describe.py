@@ -131,3 +131,12 @@ def test_data_stats_wide(spark):
 def test_f_sf():
     assert abs(Dist.f_sf(4.964603, 1, 10) - 0.05) < 1e-6
     assert abs(Dist.f_sf(3.098391, 3, 20) - 0.05) < 1e-6
+
+
+def test_degenerate_groups_give_nulls_not_errors(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "g string, v double")
+    r = D.welch_t(df, "v", "g", with_p=False).first()
+    assert r.n2 == 1 and r.t is None
+    c = D.chi_square(spark.createDataFrame([(1, "a", "x")], "k int, g string, lv string"), "k", "g", ["a", "b"],
+                     ["lv"], with_p=False).first()
+    assert c.chi2 is None

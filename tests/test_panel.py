@@ -63,3 +63,15 @@ def test_join_baseline_rows_multiplies(spark):
     df = spark.createDataFrame([(1, 1, 10.0), (1, 1, 11.0), (1, 2, 12.0)], "sid int, t int, v double")
     out = P.join_baseline_rows(df, "sid", F.col("t") == 1, ["v"])
     assert out.count() == 6
+
+
+def test_hot_subject_running_number_and_baseline(spark):
+    # one subject with most rows, tied time stamps broken by id
+    rows = [(1, i // 3, float(i), i) for i in range(600)] + [(2, 5, 1.0, 1000), (2, 1, 2.0, 1001)]
+    df = spark.createDataFrame(rows, "sid int, t int, v double, id int")
+    out = P.with_running_number(df, "sid", ["t", "id"])
+    got = {r.id: r.counter for r in out.collect()}
+    assert [got[i] for i in range(600)] == list(range(1, 601)) and got[1001] == 1 and got[1000] == 2
+    b = {r.id: r.v_baseline for r in P.with_baseline(df, "sid", ["t", "id"], ["v"]).collect()}
+    assert b[599] == 0.0 and b[1000] == 2.0
+    assert P.with_group_size(df, "sid").filter("sid = 1").first()["size"] == 600
