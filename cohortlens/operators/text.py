@@ -229,11 +229,21 @@ class TfidfModel:
 
 def tfidf_fit(df: DataFrame, tokens_col: str, max_features: int | None = 1000) -> TfidfModel:
     """T16 fit: keep the ``max_features`` terms of highest corpus frequency
-    (ties: term order), ``idf = ln((1 + n) / (1 + df)) + 1`` (smooth). The
-    vocabulary is a top-k, so its size is bounded by ``max_features``."""
-    docs = df.select(F.monotonically_increasing_id().alias("_d"), F.col(tokens_col).alias("_t"))
-    terms = docs.select("_d", F.explode("_t").alias("term"))
-    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("_d").alias("df"))
+    (ties: term order), ``idf = ln((1 + n) / (1 + df)) + 1`` (smooth).
+
+    Term frequency and document frequency come from one aggregate: every token
+    contributes ``(term, 1, 0)`` and every distinct token of a text
+    ``(term, 0, 1)`` (``array_distinct`` per row), so document frequency needs
+    no ``(term, document)`` distinct shuffle. The vocabulary is a top-k, so its
+    size is bounded by ``max_features``."""
+    t = F.col(tokens_col)
+    # one explode per row (the token column is computed once): occurrences
+    # tagged (1, 0), distinct terms of the row tagged (0, 1)
+    tagged = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
+                      F.transform(F.array_distinct(t),
+                                  lambda x: F.struct(x.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
+    e = df.select(F.explode(tagged).alias("_e")).select("_e.term", "_e.o", "_e.d")
+    stats = e.groupBy("term").agg(F.sum("o").alias("tf"), F.sum("d").alias("df"))
     if max_features is not None:
         stats = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
     n = df.count()
@@ -248,12 +258,19 @@ def tfidf_fit(df: DataFrame, tokens_col: str, max_features: int | None = 1000) -
 
 
 def tfidf_long(model: TfidfModel, df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """T16 transform in long form: ``(id, term, tfidf)`` for terms present,
-    raw counts x idf, L2-normalised per document."""
+    """T16 transform in long form ``(id, term, tfidf)`` for the terms present.
+
+    With a bounded vocabulary the weights are read off the per-row sparse
+    vectors of ``tfidf_vectors`` (counts, idf and L2 norm all computed inside
+    the row), exploded to (index, value) and named through the broadcast
+    vocabulary: no shuffle. An unbounded vocabulary falls back to counting
+    (document, term) pairs with a shuffle."""
+    if model.bounded:
+        v = tfidf_vectors(model, df.select(id_col, tokens_col), tokens_col, out="_f")
+        e = v.select(id_col, F.posexplode(vector_to_array("_f")).alias("index", "tfidf")).filter(F.col("tfidf") != 0)
+        return e.join(F.broadcast(model.vocab.select("index", "term")), "index").select(id_col, "term", "tfidf")
     terms = df.select(id_col, F.explode(tokens_col).alias("term"))
-    vocab = F.broadcast(model.vocab) if model.bounded else model.vocab
-    counts = terms.join(vocab, "term").groupBy(id_col, "term", "idf").agg(
-        F.count(F.lit(1)).alias("tf"))
+    counts = terms.join(model.vocab, "term").groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     w = counts.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))

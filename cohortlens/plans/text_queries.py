@@ -7,6 +7,7 @@ sorted document vocabulary takes ``embeddings`` row ``vec_id = k``;
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -353,7 +354,8 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF over the 1000 most frequent terms (ASCII-folded), smooth
     idf, L2-normalised; long form (doc, term, weight)."""
-    d = T.tfidf_prepare(docs(spark, sf_dir), "text")
+    # fit then transform on the same texts: fold accents once
+    d = T.tfidf_prepare(docs(spark, sf_dir), "text").persist(StorageLevel.MEMORY_AND_DISK)
     model = T.tfidf_fit(d, "tfidf_tokens", 1000)
     out = T.tfidf_long(model, d, "doc_id", "tfidf_tokens")
     return out.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
