@@ -268,3 +268,38 @@ def choose_family(df: DataFrame, target: str) -> str:
     mx = df.agg(F.max(target).alias("m")).first()["m"]
     return "ols" if mx is not None and mx > 1 else "logit"
 
+
+
+def flag_segments(df: DataFrame, flags: Sequence[str], name: str = "segment") -> DataFrame:
+    """R9 input: one row per (row, flag set to 1), segment = the flag name. A
+    subject in several segments appears in each (an ``explode``, no join)."""
+    arr = F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in flags])
+    return df.withColumn(name, F.explode(F.filter(arr, lambda x: x.isNotNull())))
+
+
+def fit_segments(df: DataFrame, segment: str, target: str, covariates: Sequence[str],
+                 models: dict[str, Sequence[str]], intercept: bool = True) -> DataFrame:
+    """R9 regression form: per segment, the nested ``models``; OLS if
+    ``max(target) > 1`` else logit (the original rule). OLS fits for every
+    segment and model come from one Gram pass; a logit is fitted per segment
+    (IRLS is iterative). Each segment gets its size in ``n``; a failed fit is an
+    ``error`` row, not an exception."""
+    family = choose_family(df, target)
+    if family == "ols":
+        coefs, _ = ols(df, target, covariates, intercept=intercept, by=segment, models=models)
+        return coefs
+    spark = df.sparkSession
+    segs = [r[0] for r in df.select(segment).distinct().collect()]  # segment names: a bounded list
+    rows = []
+    for sname in segs:
+        part = df.filter(F.col(segment) == sname)
+        for mname, mcols in models.items():
+            try:
+                c, st = glm(part, target, mcols, "binomial", "logit", intercept=intercept, odds_ratio=True)
+                n = st.first()["n"]
+                rows += [(mname, str(sname), r.term, r.estimate, r.se, r.statistic, r.p, r.ci_low, r.ci_high, int(n),
+                          None) for r in c.collect()]
+            except Exception as e:  # noqa: BLE001 - the original skipped failed segments; we report them
+                rows.append((mname, str(sname), None, None, None, None, None, None, None, None,
+                             f"{type(e).__name__}: {str(e)[:200]}"))
+    return spark.createDataFrame(rows, COEF_SCHEMA)

@@ -129,6 +129,27 @@ def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.significant(coefs)
 
 
+@query("segment_ladder")
+def segment_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 + R10: per return-flag / line-status segment, three nested models
+    (OLS since the target exceeds 1), all from one Gram pass."""
+    li = lineitem(spark, sf_dir).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")) \
+        .withColumn("open", (F.col("l_linestatus") == "O").cast("int"))
+    seg = R.flag_segments(li, ["returned", "open"])
+    ladder = {"m1": ["l_quantity"], "m2": ["l_quantity", "l_discount"], "m3": COVS}
+    return R.fit_segments(seg, "segment", "l_extendedprice", COVS, ladder)
+
+
+@query("segment_logit")
+def segment_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 with a 0/1 target: a logit per segment (max(target) <= 1)."""
+    li = lineitem(spark, sf_dir).withColumn("returned", (F.col("l_returnflag") == "R").cast("double")) \
+        .withColumn("open", (F.col("l_linestatus") == "O").cast("int")) \
+        .withColumn("urgent_part", (F.col("l_linenumber") == 1).cast("int"))
+    seg = R.flag_segments(li, ["open", "urgent_part"])
+    return R.fit_segments(seg, "segment", "returned", ["l_quantity", "l_discount"], {"m1": ["l_quantity", "l_discount"]})
+
+
 # ------------------------------------------------------------- R2, R3 ------
 
 @query("logit_odds")
@@ -237,6 +258,21 @@ def mixed_model_uncorrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.coefs
 
 
+@query("mixed_model_segments")
+def mixed_model_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 trajectory form: one mixed model per segment of users, a segment
+    being the users with a high-value (> 250) event of a type (users may be in
+    several segments)."""
+    from cohortlens.operators.mixed import fit_mixed_segments
+    from cohortlens.operators.panel import subject_aggregate
+    d = _mixed_input(spark, sf_dir)
+    flags = [F.max(((F.col("event_type") == t) & (F.col("value") > 250)).cast("int")).alias(f"has_{t}")
+             for t in ("purchase", "error")]
+    d = subject_aggregate(d, "user_id", flags)
+    seg = R.flag_segments(d, ["has_purchase", "has_error"])
+    return fit_mixed_segments(seg, "segment", "user_id", "value", ["hour"], "day")
+
+
 @query("mixed_model_intercept")
 def mixed_model_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R7 with a random intercept only."""

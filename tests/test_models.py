@@ -107,3 +107,25 @@ def test_fit_mixed_recovers_fixed_effects(spark):
     assert all(v[0] >= f0 - 1e-6 for v in reml.evaluate(pts))
     d = MX.fit_mixed(df, "g", "y", ["x"], "t", structure="diagonal")
     assert "Group x t Cov" not in {x.term for x in d.coefs.collect()}
+
+
+def test_fit_segments_ols_and_logit(spark):
+    df, x1, x2, y, seg = _data(spark, n=300)
+    d = df.withColumn("fa", (F.col("seg") == "a").cast("int")).withColumn("fb", F.lit(1))
+    s = R.flag_segments(d, ["fa", "fb"])
+    assert s.filter(F.col("segment") == "fb").count() == 300
+    out = R.fit_segments(s, "segment", "y", ["x1", "x2"], {"m1": ["x1"], "m2": ["x1", "x2"]})
+    assert {(r.segment, r.model) for r in out.collect()} == {("fa", "m1"), ("fa", "m2"), ("fb", "m1"), ("fb", "m2")}
+    lg = s.withColumn("hi", (F.col("y") > 1.0).cast("double"))
+    out2 = R.fit_segments(lg, "segment", "hi", ["x1"], {"m1": ["x1"]}).collect()
+    assert {r.segment for r in out2} == {"fa", "fb"} and all(r.error is None for r in out2)
+
+
+def test_fit_mixed_segments_reports_failures(spark):
+    rows = _panel(spark, groups=30)
+    df = spark.createDataFrame([(g, t, x, y, "s1" if g % 2 else "s2") for g, t, x, y in rows] +
+                               [(999, 0.0, 0.0, 1.0, "tiny")], "g long, t double, x double, y double, seg string")
+    out = MX.fit_mixed_segments(df, "seg", "g", "y", ["x"], "t")
+    res = out.collect()
+    assert {r.segment for r in res if r.error is None} == {"s1", "s2"}
+    assert any(r.segment == "tiny" and r.error for r in res)
