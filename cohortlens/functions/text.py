@@ -97,23 +97,24 @@ def keyword_hits(tokens, keywords: Sequence[str]) -> Column:
 def weights_from_hits(flags, context: int = 10, fixed: bool = False) -> Column:
     """T13 weights from a per-token hit-flag array (see ``with_keyword_weights``).
 
-    Every weight depends only on the ``context`` tokens either side, so each
-    position looks at its own window of flags (``slice`` + ``array_position``):
-    O(tokens x context) per text, whole texts, no shuffle. ``flags`` must be a
-    column reference, not an expression, or it would be re-evaluated per
-    position.
+    Every weight depends only on the ``context`` tokens either side. The flag
+    array is padded and sliced into ``2 * context + 1`` shifted copies, zipped
+    so that element ``j`` holds the flags at ``j - context .. j + context``;
+    the per-position lambda reads only its own element. Cost O(tokens x
+    context) per text, whole texts, no shuffle, and no outer reference inside
+    the lambda that the optimizer could inline into a per-element recomputation.
     """
     flags = _c(flags)
-    n = F.size(flags)
     c = int(context)
-
-    def weight_at(j: Column) -> Column:  # j is 1-based
-        lo = F.greatest(F.lit(1), j - c)
-        left = F.reverse(F.slice(flags, lo, j - lo + 1))              # positions j, j-1, ..., j-c
-        dl = F.array_position(left, F.lit(True)) - 1                  # -1 when absent
-        right = F.slice(flags, j, F.least(F.lit(c + 1), n - j + 1))   # positions j, ..., j+c
-        dr = F.array_position(right, F.lit(True)) - 1
-        d = F.array_min(F.filter(F.array(dl, dr), lambda x: x >= 0))   # null when no hit in reach
+    n = F.size(flags)
+    pad = F.array_repeat(F.lit(False), c)
+    padded = F.concat(pad, flags, pad)
+    shifts = [F.slice(padded, k + 1, n).alias(f"s{k}") for k in range(2 * c + 1)]
+    zipped = F.arrays_zip(*shifts)
+
+    def weight_at(x: Column) -> Column:
+        ds = F.array(*[F.when(x[f"s{k}"], F.lit(abs(k - c))) for k in range(2 * c + 1)])
+        d = F.array_min(F.filter(ds, lambda y: y.isNotNull()))      # null when no hit in reach
         if fixed:
             return F.coalesce((d <= c).cast("double"), F.lit(0.0))
         # 1 at d = 0 (the bare formula would give 1 + 1/c there), 0 beyond reach
@@ -121,8 +122,7 @@ def weights_from_hits(flags, context: int = 10, fixed: bool = False) -> Column:
                                                          F.lit(1.0) - (d - 1).cast("double") / F.lit(float(c)))),
                           F.lit(0.0))
 
-    return F.when(n == 0, F.array().cast("array<double>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), weight_at))
+    return F.when(n == 0, F.array().cast("array<double>")).otherwise(F.transform(zipped, weight_at))
 
 
 def with_keyword_weights(df, tokens_col: str, keywords: Sequence[str], context: int = 10, fixed: bool = False,

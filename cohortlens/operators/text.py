@@ -65,7 +65,10 @@ def keyword_snippets(docs: DataFrame, text_col: str, keywords: Sequence[str], id
 
 def tokens_long(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """(id, pos, token) rows; empty arrays give no rows."""
-    return df.select(F.col(id_col), F.posexplode(F.col(tokens_col)).alias("pos", "token"))
+    # *_outer: a plain explode makes the optimizer add ``size(tokens) > 0`` and
+    # push it below the projections, computing the token array twice
+    return df.select(F.col(id_col), F.posexplode_outer(F.col(tokens_col)).alias("pos", "token")) \
+             .filter(F.col("pos").isNotNull())
 
 
 def regroup_tokens(long: DataFrame, id_col: str, value_col: str, out: str, base: DataFrame | None = None) -> DataFrame:
@@ -99,7 +102,7 @@ def stem_tokens(df: DataFrame, id_col: str, tokens_col: str, out: str = "stems")
     """T6 re-aimed: Porter stems of lower-case tokens. Only the distinct
     vocabulary goes through the stemmer (one Arrow batch per partition of
     distinct words); the ``(form, stem)`` table is joined back like lemmas."""
-    forms = df.select(F.explode(F.col(tokens_col)).alias("form")).distinct()
+    forms = df.select(F.explode_outer(F.col(tokens_col)).alias("form")).filter(F.col("form").isNotNull()).distinct()
     table = forms.select("form", _porter(F.col("form")).alias("lemma"))
     return lemmatize(df, id_col, tokens_col, table, out=out)
 
@@ -130,7 +133,7 @@ def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id", pref
 def vocabulary(tokens: DataFrame, id_col: str, tokens_col: str, word: str = "word") -> DataFrame:
     """T10 (ids): sorted distinct tokens numbered from 2, after ``<PAD>`` = 0
     and ``<UNK>`` = 1."""
-    words = tokens.select(F.explode(F.col(tokens_col)).alias(word))
+    words = tokens.select(F.explode_outer(F.col(tokens_col)).alias(word)).filter(F.col(word).isNotNull())
     ids = sorted_index(words, word, start=2)
     spark = tokens.sparkSession
     fixed = spark.createDataFrame([(PAD, PAD_ID), (UNK, UNK_ID)], f"{word} string, id long")
@@ -151,7 +154,7 @@ def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, wor
 
 def oov_words(df: DataFrame, tokens_col: str, vocab: DataFrame, word: str = "word") -> DataFrame:
     """Distinct tokens not in the vocabulary."""
-    t = df.select(F.explode(F.col(tokens_col)).alias(word)).distinct()
+    t = df.select(F.explode_outer(F.col(tokens_col)).alias(word)).filter(F.col(word).isNotNull()).distinct()
     return t.join(vocab.select(word), word, "left_anti")
 
 
@@ -165,11 +168,12 @@ def sentence_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataF
     vector table is broadcast after a size check; per-document sums use
     ``Summarizer`` (a proper aggregate with map-side partial sums)."""
     if weights_col is not None:
-        long = df.select(id_col, F.explode(F.arrays_zip(F.col(tokens_col).alias("token"),
-                                                        F.col(weights_col).alias("w"))).alias("_z")) \
+        long = df.select(id_col, F.explode_outer(F.arrays_zip(F.col(tokens_col).alias("token"),
+                                                              F.col(weights_col).alias("w"))).alias("_z")) \
+                 .filter(F.col("_z").isNotNull()) \
                  .select(id_col, F.col("_z.token").alias("token"), F.col("_z.w").alias("_w"))
     else:
-        long = df.select(id_col, F.explode(F.col(tokens_col)).alias("token"))
+        long = df.select(id_col, F.explode_outer(F.col(tokens_col)).alias("token")).filter(F.col("token").isNotNull())
     vecs = vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec"))
     j = join_small(long, vecs, "token", row_bytes=32 + 8 * dim)
     if weights_col is not None:
@@ -242,7 +246,7 @@ def tfidf_fit(df: DataFrame, tokens_col: str, max_features: int | None = 1000) -
     tagged = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
                       F.transform(F.array_distinct(t),
                                   lambda x: F.struct(x.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
-    e = df.select(F.explode(tagged).alias("_e")).select("_e.term", "_e.o", "_e.d")
+    e = df.select(F.explode_outer(tagged).alias("_e")).filter(F.col("_e").isNotNull()).select("_e.term", "_e.o", "_e.d")
     stats = e.groupBy("term").agg(F.sum("o").alias("tf"), F.sum("d").alias("df"))
     if max_features is not None:
         stats = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
@@ -267,9 +271,10 @@ def tfidf_long(model: TfidfModel, df: DataFrame, id_col: str, tokens_col: str) -
     (document, term) pairs with a shuffle."""
     if model.bounded:
         v = tfidf_vectors(model, df.select(id_col, tokens_col), tokens_col, out="_f")
-        e = v.select(id_col, F.posexplode(vector_to_array("_f")).alias("index", "tfidf")).filter(F.col("tfidf") != 0)
+        e = v.select(id_col, F.posexplode_outer(vector_to_array("_f")).alias("index", "tfidf")) \
+             .filter(F.col("tfidf") != 0)
         return e.join(F.broadcast(model.vocab.select("index", "term")), "index").select(id_col, "term", "tfidf")
-    terms = df.select(id_col, F.explode(tokens_col).alias("term"))
+    terms = df.select(id_col, F.explode_outer(tokens_col).alias("term")).filter(F.col("term").isNotNull())
     counts = terms.join(model.vocab, "term").groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     w = counts.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))

@@ -140,7 +140,7 @@ def tokens_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived from the corpus vocabulary (plural 's' forms of more than 3
     letters map to the stem)."""
     d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
-    forms = d.select(F.explode("tokens").alias("form")).distinct() \
+    forms = d.select(F.explode_outer("tokens").alias("form")).filter(F.col("form").isNotNull()).distinct() \
              .filter(F.col("form").endswith("s") & (F.length("form") > 3))
     lemmas = forms.select("form", F.expr("substring(form, 1, length(form) - 1)").alias("lemma"))
     return T.lemmatize(d, "doc_id", "tokens", lemmas)
@@ -258,7 +258,7 @@ def keyword_weights_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, vec): the k-th word of the sorted vocabulary takes embedding k."""
     d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
-    words = d.select(F.explode("tokens").alias("word"))
+    words = d.select(F.explode_outer("tokens").alias("word")).filter(F.col("word").isNotNull())
     idx = T.sorted_index(words, "word", start=0, name="vec_id")
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return idx.join(emb, "vec_id").select("word", "vec")
