@@ -30,12 +30,16 @@ def per_class(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> D
     union of labels and predictions."""
     by = list(by)
     conf = confusion(df, label, pred, by)
-    a = conf.select(*by, F.col("label").alias("class"), F.col("n").alias("support"),
-                    F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"),
-                    F.lit(0).cast("long").alias("predicted"))
-    b = conf.select(*by, F.col("pred").alias("class"), F.lit(0).cast("long").alias("support"),
-                    F.lit(0).cast("long").alias("tp"), F.col("n").alias("predicted"))
-    s = a.unionByName(b).groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")])
+    zero = F.lit(0).cast("long")
+    # each confusion cell counts once for its true class and once for its
+    # predicted class: one explode of two tagged structs, one aggregate
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"),
+                 F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(zero).alias("tp"),
+                 zero.alias("predicted")),
+        F.struct(F.col("pred").alias("class"), zero.alias("support"), zero.alias("tp"), F.col("n").alias("predicted")))
+    e = conf.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*")
+    s = e.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")])
     p = _div(F.col("tp"), F.col("predicted"))
     r = _div(F.col("tp"), F.col("support"))
     s = s.withColumn("precision", p).withColumn("recall", r)
@@ -45,25 +49,34 @@ def per_class(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> D
 def class_report(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """M2: per class precision, recall, f1-score, support, then the
     ``accuracy`` row (accuracy repeated in all four columns, as the original
-    table shows it), ``macro avg`` and ``weighted avg``."""
+    table shows it), ``macro avg`` and ``weighted avg``.
+
+    One pass over the per-class table: ``GROUPING SETS ((by, class), (by))``
+    gives the class rows and the group totals together, and each group row is
+    exploded into its three summary rows (no union of re-computed branches)."""
     by = list(by)
     pc = per_class(df, label, pred, by)
-    rows = pc.select(*by, "class", "precision", "recall", F.col("f1").alias("f1_score"),
-                     F.col("support").cast("double").alias("support"))
-    tot = pc.groupBy(*by).agg(
-        (F.sum("tp") / F.sum("support")).alias("acc"),
+    g = pc.groupingSets([[*by, "class"], by], *by, "class").agg(
+        F.sum("tp").alias("tp"), F.sum("support").alias("sup"), F.sum("predicted").alias("prd"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("support").cast("double").alias("n"))
-    acc = tot.select(*by, F.lit(ACCURACY).alias("class"), *[F.col("acc").alias(c) for c in
-                                                              ("precision", "recall", "f1_score", "support")])
-    mac = tot.select(*by, F.lit(MACRO).alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                     F.col("mf").alias("f1_score"), F.col("n").alias("support"))
-    wei = tot.select(*by, F.lit(WEIGHTED).alias("class"), F.col("wp").alias("precision"),
-                     F.col("wr").alias("recall"), F.col("wf").alias("f1_score"), F.col("n").alias("support"))
-    return rows.unionByName(acc).unionByName(mac).unionByName(wei)
+        F.sum(F.col("precision") * F.col("support")).alias("wp"),
+        F.sum(F.col("recall") * F.col("support")).alias("wr"),
+        F.sum(F.col("f1") * F.col("support")).alias("wf"),
+        F.grouping("class").alias("_gc"))
+    n = F.col("sup").cast("double")
+    p, r = _div(F.col("tp"), F.col("prd")), _div(F.col("tp"), F.col("sup"))
+    f1 = _div(2 * p * r, p + r)
+
+    def row(name, pr, rc, f, su):
+        return F.struct(name.alias("class"), pr.cast("double").alias("precision"), rc.cast("double").alias("recall"),
+                        f.cast("double").alias("f1_score"), su.cast("double").alias("support"))
+
+    acc = F.col("tp") / n
+    summary = F.array(row(F.lit(ACCURACY), acc, acc, acc, acc),
+                      row(F.lit(MACRO), F.col("mp"), F.col("mr"), F.col("mf"), n),
+                      row(F.lit(WEIGHTED), F.col("wp") / n, F.col("wr") / n, F.col("wf") / n, n))
+    rows = F.when(F.col("_gc") == 0, F.array(row(F.col("class"), p, r, f1, n))).otherwise(summary)
+    return g.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
 
 
 def perf_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
