@@ -13,7 +13,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions import text as TX
 from cohortlens.operators import classify as C
 from cohortlens.operators import labels as L
 from cohortlens.operators import metrics as M
@@ -373,4 +372,3 @@ def _finish_rounded_report_sql() -> None:
 
 
 _finish_rounded_report_sql()
-__all__ = ["TX"]
