@@ -61,11 +61,14 @@ def running_sums(df: DataFrame, order_col: str, cols: Sequence[str], by: Sequenc
     totals = b.groupBy(*by, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wo = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1) if by else \
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # offsets table: one row per (group, bucket): bounded by buckets x groups
     offsets = totals.select(*by, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                                           for c in cols])
     wi = (Window.partitionBy(*by, "_bk").orderBy(order_col, *tiebreak)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = b.join(offsets, on=[*by, "_bk"], how="left")
+    # offsets: one row per (group, bucket); broadcast when its counted size
+    # allows (always, without groups), else a shuffle join on (group, bucket),
+    # which spreads a hot group over its buckets
+    from cohortlens.operators.joins import join_small
+    j = join_small(b, offsets, [*by, "_bk"], "left", row_bytes=24 + 8 * len(cols) + 16 * len(by))
     return j.select(*[F.col(c) for c in b.columns if c != "_bk"],
                     *[(F.col(f"_o_{c}") + F.sum(c).over(wi)).alias(c + suffix) for c in cols])
