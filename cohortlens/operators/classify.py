@@ -65,13 +65,17 @@ def train_classifier(df: DataFrame, id_col: str, label: str, classifier: Estimat
 
 def classifier_kfold(df: DataFrame, id_col: str, label: str, fold_col: str, n_folds: int, classifier: Estimator,
                      tokens_col: str | None = None, features_col: str | None = None,
-                     max_features: int = 1000) -> TrainResult:
+                     max_features: int = 1000, parallelism: int = 1) -> TrainResult:
     """C4: for each fold, TF-IDF refitted on the other folds and a fresh model;
     stats per fold, dataset and class; the kept model is the best test F1
-    (the later fold on ties). ``df`` should be cached by the caller."""
-    preds = []
-    best = (-1.0, None, None)
-    for k in range(n_folds):
+    (the later fold on ties). ``df`` should be cached by the caller.
+
+    Folds are independent: with ``parallelism > 1`` they are submitted from a
+    small thread pool, so the cluster runs several folds' jobs at once (each
+    fold is still a distributed fit)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(k: int):
         train = df.filter(F.col(fold_col) != k).withColumn("dataset", F.lit("train"))
         test = df.filter(F.col(fold_col) == k).withColumn("dataset", F.lit("test"))
         if tokens_col is not None:
@@ -87,12 +91,21 @@ def classifier_kfold(df: DataFrame, id_col: str, label: str, fold_col: str, n_fo
                  .select(id_col, label, F.col("prediction").cast("long").alias("prediction"), "dataset") \
                  .withColumn("fold", F.lit(k + 1)).persist(StorageLevel.MEMORY_AND_DISK)
         f1 = M.perf_metrics(p.filter(F.col("dataset") == "test"), label, "prediction").first()["f1"]
+        return k, f1, model, p
+
+    if parallelism > 1:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            results = list(pool.map(run, range(n_folds)))
+    else:
+        results = [run(k) for k in range(n_folds)]
+    results.sort(key=lambda r: r[0])
+    best = (-1.0, None)
+    for _, f1, model, _ in results:
         if f1 is not None and f1 >= best[0]:
-            best = (f1, model, k + 1)
-        preds.append(p)
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
+            best = (f1, model)
+    allp = results[0][3]
+    for r in results[1:]:
+        allp = allp.unionByName(r[3])
     rep = M.class_report(allp, label, "prediction", by=["fold", "dataset"])
     stats = M.perf_metrics(allp.filter(F.col("dataset") == "test"), label, "prediction", by=["fold"])
     return TrainResult(best[1], allp, rep, stats)

@@ -303,3 +303,51 @@ def fit_segments(df: DataFrame, segment: str, target: str, covariates: Sequence[
                 rows.append((mname, str(sname), None, None, None, None, None, None, None, None,
                              f"{type(e).__name__}: {str(e)[:200]}"))
     return spark.createDataFrame(rows, COEF_SCHEMA)
+
+
+@dataclass
+class RegressionResult:
+    coeffs: DataFrame
+    stats: DataFrame
+    predictions: DataFrame       # key columns, y_true, y_pred (train side)
+    report: DataFrame            # class report of rounded predictions (R4)
+
+
+def fit_reg(df: DataFrame, target: str, covariates: Sequence[str], timestamp: str | None = None,
+            reg_fn: str = "ols", intercept: bool = True, test_size: float = 0.0, random_state: int = 911,
+            key: str | None = None, round_stats: float | None = None, dummyfy_non_num: bool = False,
+            cols_to_dummyfy: Sequence[str] | None = None) -> RegressionResult:
+    """R1 / R2 entry point with the original call's options: optional dummy
+    coding of text covariates (first level dropped), optional hash split on
+    ``key`` (the fit uses the train side), OLS or logit, coefficient and
+    statistics tables, fitted values beside the target and the rounded class
+    report (R4, truth and prediction in the right order)."""
+    from cohortlens.operators.labels import split_flag
+    from cohortlens.operators.metrics import rounded_class_report
+    covs = list(covariates)
+    d = df
+    if dummyfy_non_num:
+        txt = list(cols_to_dummyfy) if cols_to_dummyfy is not None else [c for c in covs if c in text_columns(df)]
+        if txt:
+            d, dcols = dummy_design(d, txt)
+            covs = dcols + [c for c in covs if c not in txt]
+    xs = covs + ([timestamp] if timestamp else [])
+    if test_size > 0:
+        if key is None:
+            raise ValueError("a split needs a key column")
+        d = d.filter(~split_flag(key, test_size, random_state))
+    if reg_fn == "ols":
+        coefs, stats = ols(d, target, xs, intercept=intercept)
+        pred = predict_linear(d, coefs)
+    elif reg_fn == "logit":
+        coefs, stats = glm(d, target, xs, "binomial", "logit", intercept=intercept, odds_ratio=True)
+        lin = F.lit(0.0)
+        for r in coefs.select("term", "estimate").collect():
+            lin = lin + (F.lit(r["estimate"]) if r["term"] == CONST else F.col(r["term"]).cast("double") * r["estimate"])
+        pred = d.withColumn("y_pred", F.lit(1.0) / (F.lit(1.0) + F.exp(-lin)))
+    else:
+        raise ValueError("reg_fn must be 'ols' or 'logit'")
+    keep = [c for c in ([key] if key else [])]
+    predictions = pred.select(*keep, F.col(target).alias("y_true"), "y_pred")
+    report = rounded_class_report(predictions, "y_true", "y_pred", divisor=round_stats)
+    return RegressionResult(coefs, stats, predictions, report)

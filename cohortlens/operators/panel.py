@@ -263,3 +263,42 @@ def dummyfy_modal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         m = row[f"m{i}"]
         new.append(F.when(F.col(c) == F.lit(m), 1).otherwise(0).alias(f"{c}_{m}"))
     return df.select("*", *new)
+
+
+class LongitudinalPanel:
+    """The dataset object of the original toolkit, on a DataFrame: column
+    roles plus the operations that use them. Every method returns a new lazy
+    DataFrame (and keeps it as ``self.data``), nothing is collected."""
+
+    def __init__(self, data: DataFrame, group: str = "brcid", timestamp: str = "date", target: str = "score",
+                 covariates: Sequence[str] | None = None, to_bucket: str | None = None, bucket_min: float = 50,
+                 bucket_max: float = 90, interval: float = 0.5, min_obs: int = 3, tiebreak: Sequence[str] = ()):
+        self.data = data
+        self.panel = Panel(group=group, timestamp=timestamp, target=target,
+                           covariates=tuple(covariates or ()), to_bucket=to_bucket, bucket_min=bucket_min,
+                           bucket_max=bucket_max, interval=interval, min_obs=min_obs, tiebreak=tuple(tiebreak))
+
+    def load_data(self) -> DataFrame:
+        """S3: role columns only (all columns when there are no covariates or
+        a name is missing)."""
+        if self.panel.covariates:
+            self.data = load_panel(self.data, self.panel)
+        return self.data
+
+    def normalize(self, cols: Sequence[str] | None = None) -> DataFrame:
+        """P24 on the given columns, default the numeric covariates."""
+        cols = list(cols) if cols is not None else numeric_columns(self.data, list(self.panel.covariates))
+        self.data = normalize(self.data, cols)
+        return self.data
+
+    def dummyfy(self, cols: Sequence[str] | None = None, force_bool: bool = False, drop: bool = True) -> DataFrame:
+        """Dummy columns (or one modal-level flag with ``force_bool``)."""
+        if force_bool:
+            self.data = dummyfy_modal(self.data, cols if cols is not None else text_columns(self.data))
+        else:
+            self.data = dummyfy(self.data, cols, drop=drop)
+        return self.data
+
+    def bucket_data(self) -> DataFrame:
+        """A4 on the current data."""
+        return bucket_data(self.data, self.panel)

@@ -223,11 +223,17 @@ class TfidfModel:
     n_docs: int
     bounded: bool = True
 
+    def _rows(self):
+        # the vocabulary is small (a top-k); fetch it once
+        if not hasattr(self, "_cache"):
+            self._cache = self.vocab.orderBy("index").collect()
+        return self._cache
+
     def terms(self) -> list[str]:
-        return [r["term"] for r in self.vocab.orderBy("index").collect()]
+        return [r["term"] for r in self._rows()]
 
     def idf(self) -> list[float]:
-        return [r["idf"] for r in self.vocab.orderBy("index").collect()]
+        return [r["idf"] for r in self._rows()]
 
 
 def tfidf_fit(df: DataFrame, tokens_col: str, max_features: int | None = 1000) -> TfidfModel:

@@ -303,7 +303,7 @@ def classify_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = L.stratified_folds(labelled_docs(spark, sf_dir), "doc_id", "label", 5, 42).persist(
         StorageLevel.MEMORY_AND_DISK)
     res = C.classifier_kfold(d, "doc_id", "label", "fold", 5, LogisticRegression(maxIter=30),
-                             tokens_col="tfidf_tokens")
+                             tokens_col="tfidf_tokens", parallelism=3)
     return res.stats_classes
 
 

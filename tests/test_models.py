@@ -129,3 +129,29 @@ def test_fit_mixed_segments_reports_failures(spark):
     res = out.collect()
     assert {r.segment for r in res if r.error is None} == {"s1", "s2"}
     assert any(r.segment == "tiny" and r.error for r in res)
+
+
+def test_fit_reg_entry_point(spark):
+    df, x1, x2, y, seg = _data(spark, n=300)
+    d = df.withColumn("k", F.monotonically_increasing_id())
+    res = R.fit_reg(d, "y", ["x1", "seg"], dummyfy_non_num=True, test_size=0.2, key="k")
+    terms = {r.term for r in res.coeffs.collect()}
+    assert terms == {"const", "x1", "seg_b"}
+    assert res.predictions.count() < 300 and res.report.filter(F.col("class") == "accuracy").count() == 1
+    lg = R.fit_reg(d.withColumn("hi", (F.col("y") > 1).cast("double")), "hi", ["x1"], reg_fn="logit")
+    p = lg.predictions.agg(F.min("y_pred"), F.max("y_pred")).first()
+    assert 0 <= p[0] <= p[1] <= 1
+
+
+def test_longitudinal_panel_object(spark):
+    from cohortlens.operators.panel import LongitudinalPanel
+    import datetime as dt
+    rows = [(1, dt.datetime(2020, 1, d), 50.0 + d, float(d), "a" if d % 2 else "b", d) for d in range(1, 8)]
+    df = spark.createDataFrame(rows, "sid long, ts timestamp, age double, score double, cat string, id long")
+    lp = LongitudinalPanel(df, group="sid", timestamp="ts", target="score", covariates=["cat", "age"],
+                           to_bucket="age", bucket_min=50, bucket_max=60, interval=2.0, tiebreak=["id"])
+    assert set(lp.load_data().columns) == {"cat", "sid", "score", "ts", "age", "id"}
+    assert lp.bucket_data().count() == 4
+    lp.normalize(["score"])
+    assert lp.data.agg(F.max("score")).first()[0] == 1.0
+    assert "cat_a" in lp.dummyfy(["cat"]).columns
