@@ -106,6 +106,46 @@ def stem_tokens(df: DataFrame, id_col: str, tokens_col: str, out: str = "stems")
     return lemmatize(df, id_col, tokens_col, table, out=out)
 
 
+def frequent_pairs(words: DataFrame, word: str = "word", count: str | None = None, k: int = 200) -> DataFrame:
+    """A merge table from data: the ``k`` most frequent adjacent character
+    pairs over a word table (weighted by ``count`` when given), ranked 0..k-1
+    (ties by pair). One aggregate; the result is a top-k."""
+    w = words.select(F.col(word).alias("_w"), (F.col(count) if count else F.lit(1)).cast("long").alias("_c"))
+    chars = F.split(F.col("_w"), "")
+    pairs = w.select("_c", F.explode_outer(F.arrays_zip(F.slice(chars, 1, F.size(chars) - 1).alias("a"),
+                                                         F.slice(chars, 2, F.size(chars)).alias("b"))).alias("_p")) \
+             .filter(F.col("_p").isNotNull() & F.col("_p.b").isNotNull())
+    top = pairs.groupBy(F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).agg(F.sum("_c").alias("n")) \
+               .orderBy(F.desc("n"), "a", "b").limit(k)
+    return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("n"), "a", "b")) - 1).cast("int"))
+
+
+def bpe_tokens(df: DataFrame, id_col: str, tokens_col: str, merges: DataFrame, out: str = "subwords",
+               max_merges: int = 100_000) -> DataFrame:
+    """T8 re-aimed: subword tokens from a given merge table ``(a, b, rank)``.
+
+    The merge table is a fixed, size-checked artefact (at most ``max_merges``
+    pairs) handed to the encoder once per task; only the **distinct** words
+    are encoded (an Arrow UDF), and the ``(word, pieces)`` table is joined back
+    to the token positions and flattened per text in order."""
+    rows = merges.select("a", "b", "rank").limit(max_merges + 1).collect()
+    if len(rows) > max_merges:
+        raise ValueError(f"merge table has more than {max_merges} pairs")
+    ranks = {(r["a"], r["b"]): int(r["rank"]) for r in rows}
+
+    @pandas_udf("array<string>")
+    def _encode(words: pd.Series) -> pd.Series:
+        from cohortlens.functions.bpe import encode
+        return words.map(lambda w: None if w is None else encode(w, ranks))
+
+    forms = df.select(F.explode_outer(F.col(tokens_col)).alias("form")).filter(F.col("form").isNotNull()).distinct()
+    table = forms.select("form", _encode(F.col("form")).alias("_pieces"))
+    long = tokens_long(df, id_col, tokens_col)
+    j = join_small(long, table.withColumnRenamed("form", "token"), "token", "left", row_bytes=96)
+    g = regroup_tokens(j.select(id_col, "pos", "_pieces"), id_col, "_pieces", "_nested", base=df.select(id_col))
+    return g.select(id_col, F.flatten(F.col("_nested")).alias(out))
+
+
 # ------------------------------------------------------------- ranking -----
 
 def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id", prefix_len: int = 2) -> DataFrame:
@@ -309,12 +349,16 @@ def read_word_vectors(spark, path: str, word: str = "word", vec: str = "vec") ->
 
 def tokenize_df(df: DataFrame, text_col: str, tokenization_type: str = "clean", out: str = "tokens",
                 lemmas: DataFrame | None = None, id_col: str | None = None) -> DataFrame:
-    """Tokeniser dispatch by mode name ('clean', 'wos', 'low_wos', 'lem').
-    'lem' needs a ``(form, lemma)`` table and an id column. Byte-level BPE
-    ('bpe') is not provided (see README)."""
+    """Tokeniser dispatch by mode name ('clean', 'wos', 'low_wos', 'lem',
+    'bpe'). 'lem' needs a ``(form, lemma)`` table, 'bpe' a merge table
+    (``lemmas`` argument holds it), both an id column."""
     from cohortlens.functions.text import tokenize
     if "bpe" in tokenization_type:
-        raise NotImplementedError("byte-level BPE tokenisation is not provided; see README")
+        if lemmas is None or id_col is None:
+            raise ValueError("'bpe' needs a merge table and an id column")
+        d = df.withColumn("_words", tokenize(F.col(text_col), "wos"))
+        enc = bpe_tokens(d, id_col, "_words", lemmas, out=out)
+        return df.join(enc, id_col)
     d = df.withColumn(out, tokenize(F.col(text_col), tokenization_type))
     if "lem" in tokenization_type:
         if lemmas is None or id_col is None:

@@ -153,6 +153,18 @@ def tokens_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stem_tokens(d, "doc_id", "tokens")
 
 
+@query("tokens_bpe")
+def tokens_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 re-aimed: subword tokens of the clean tokens from a merge table of
+    the 200 most frequent adjacent character pairs of the corpus vocabulary
+    (weighted by word frequency), applied to distinct words and joined back."""
+    d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
+    words = d.select(F.explode_outer("tokens").alias("word")).filter(F.col("word").isNotNull()) \
+             .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    merges = T.frequent_pairs(words, "word", "n", k=200)
+    return T.bpe_tokens(d, "doc_id", "tokens", merges)
+
+
 @query("token_lines", f"SELECT doc_id, array_to_string({CLEAN_SQL}, chr(9)) AS line FROM documents")
 def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tab-joined token line per document (the sink writes these)."""

@@ -169,3 +169,17 @@ def test_stem_tokens(spark):
     df = spark.createDataFrame([(1, ["running", "cats", "running"]), (2, [])], "id int, tokens array<string>")
     out = {r.id: r.stems for r in T.stem_tokens(df, "id", "tokens").collect()}
     assert out == {1: ["run", "cat", "run"], 2: []}
+
+
+def test_bpe_encode_and_tokens(spark):
+    from cohortlens.functions.bpe import encode
+    ranks = {("l", "o"): 0, ("lo", "w"): 1, ("e", "r"): 2}
+    assert encode("lower", ranks) == ["low", "er"]
+    assert encode("x", ranks) == ["x"] and encode("", ranks) == []
+    df = spark.createDataFrame([(1, ["lower", "low"]), (2, [])], "id int, tokens array<string>")
+    merges = spark.createDataFrame([("l", "o", 0), ("lo", "w", 1), ("e", "r", 2)], "a string, b string, rank int")
+    out = {r.id: r.subwords for r in T.bpe_tokens(df, "id", "tokens", merges).collect()}
+    assert out == {1: ["low", "er", "low"], 2: []}
+    words = spark.createDataFrame([("abab", 2), ("ab", 1)], "word string, n long")
+    top = T.frequent_pairs(words, "word", "n", k=1).collect()
+    assert (top[0].a, top[0].b, top[0].n, top[0]["rank"]) == ("a", "b", 5, 0)
