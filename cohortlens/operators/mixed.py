@@ -259,26 +259,34 @@ def dense_neg2_reml(y: np.ndarray, X: np.ndarray, Z: np.ndarray, groups: np.ndar
 
 
 def fit_mixed_segments(df: DataFrame, segment: str, group: str, target: str, covariates: Sequence[str] | None,
-                       timestamp: str | None, random_slope: bool = True, level_map: dict | None = None
-                       ) -> DataFrame:
+                       timestamp: str | None, random_slope: bool = True, level_map: dict | None = None,
+                       parallelism: int = 4) -> DataFrame:
     """R9 trajectory form: one mixed model per segment (a subject may be in
     several), coefficient tables stacked with the segment and its row count;
     a segment whose fit fails gives an ``error`` row (the original skipped it
     silently). Each fit is itself distributed; segments are a bounded list."""
+    from concurrent.futures import ThreadPoolExecutor
     segs = [r[0] for r in df.select(segment).distinct().orderBy(segment).collect()]
     spark = df.sparkSession
-    out = None
-    errors = []
-    for sname in segs:
+
+    def run(sname):
         part = df.filter(F.col(segment) == sname)
         try:
             fit = fit_mixed(part, group, target, covariates, timestamp, random_slope=random_slope,
                             level_map=level_map)
             n = fit.stats.first()["n_obs"]
-            c = fit.coefs.withColumn("segment", F.lit(str(sname))).withColumn("n", F.lit(int(n)))
-            out = c if out is None else out.unionByName(c)
+            return fit.coefs.withColumn("segment", F.lit(str(sname))).withColumn("n", F.lit(int(n))), None
         except Exception as e:  # noqa: BLE001
-            errors.append((str(sname), f"{type(e).__name__}: {str(e)[:200]}"))
+            return None, (str(sname), f"{type(e).__name__}: {str(e)[:200]}")
+
+    # independent distributed fits (each an iterative REML): a few at a time
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(segs) or 1))) as pool:
+        results = list(pool.map(run, segs))
+    out = None
+    errors = [e for _, e in results if e is not None]
+    for c, _ in results:
+        if c is not None:
+            out = c if out is None else out.unionByName(c)
     err = spark.createDataFrame(errors, "segment string, error string")
     if out is None:
         return err

@@ -278,7 +278,7 @@ def flag_segments(df: DataFrame, flags: Sequence[str], name: str = "segment") ->
 
 
 def fit_segments(df: DataFrame, segment: str, target: str, covariates: Sequence[str],
-                 models: dict[str, Sequence[str]], intercept: bool = True) -> DataFrame:
+                 models: dict[str, Sequence[str]], intercept: bool = True, parallelism: int = 4) -> DataFrame:
     """R9 regression form: per segment, the nested ``models``; OLS if
     ``max(target) > 1`` else logit (the original rule). OLS fits for every
     segment and model come from one Gram pass; a logit is fitted per segment
@@ -288,20 +288,26 @@ def fit_segments(df: DataFrame, segment: str, target: str, covariates: Sequence[
     if family == "ols":
         coefs, _ = ols(df, target, covariates, intercept=intercept, by=segment, models=models)
         return coefs
+    from concurrent.futures import ThreadPoolExecutor
     spark = df.sparkSession
     segs = [r[0] for r in df.select(segment).distinct().collect()]  # segment names: a bounded list
-    rows = []
-    for sname in segs:
+
+    def run(task):
+        sname, mname, mcols = task
         part = df.filter(F.col(segment) == sname)
-        for mname, mcols in models.items():
-            try:
-                c, st = glm(part, target, mcols, "binomial", "logit", intercept=intercept, odds_ratio=True)
-                n = st.first()["n"]
-                rows += [(mname, str(sname), r.term, r.estimate, r.se, r.statistic, r.p, r.ci_low, r.ci_high, int(n),
-                          None) for r in c.collect()]
-            except Exception as e:  # noqa: BLE001 - the original skipped failed segments; we report them
-                rows.append((mname, str(sname), None, None, None, None, None, None, None, None,
-                             f"{type(e).__name__}: {str(e)[:200]}"))
+        try:
+            c, st = glm(part, target, mcols, "binomial", "logit", intercept=intercept, odds_ratio=True)
+            n = st.first()["n"]
+            return [(mname, str(sname), r.term, r.estimate, r.se, r.statistic, r.p, r.ci_low, r.ci_high, int(n),
+                     None) for r in c.collect()]
+        except Exception as e:  # noqa: BLE001 - the original skipped failed segments; we report them
+            return [(mname, str(sname), None, None, None, None, None, None, None, None,
+                     f"{type(e).__name__}: {str(e)[:200]}")]
+
+    tasks = [(sname, mname, list(mcols)) for sname in segs for mname, mcols in models.items()]
+    # independent distributed fits: submit a few at a time
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
+        rows = [r for part in pool.map(run, tasks) for r in part]
     return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
