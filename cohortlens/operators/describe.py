@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import p_value_sig
-from cohortlens.functions.distributions import chi2_pvalue, normal_pvalue, t_pvalue
+from cohortlens.functions.distributions import chi2_pvalue, normal_pvalue, t_pvalue, u_exact_pvalue
 from cohortlens.operators.ranks import running_sums
 
 # Levels dropped from contingency tables in complete-case mode (fixed values).
 UNKNOWN_LEVELS = ("not known", "unknown")
+# Largest sample size for the exact U distribution (both samples, no ties).
+EXACT_U_MAX = 8
 ALL = "All"
 
 
@@ -143,7 +145,11 @@ def _u_finish(u: DataFrame, alternative: str, with_p: bool, use_continuity: bool
         z = F.try_divide(F.greatest(F.col("u1"), u2) - mu - (0.5 if use_continuity else 0.0), sigma)
         out = u.withColumn("u", stat)
         if with_p:
-            out = out.withColumn("p_u", F.least(F.lit(1.0), normal_pvalue(z)))
+            # exact null distribution for small samples without ties (both
+            # sizes <= EXACT_U_MAX), tie-corrected normal approximation otherwise
+            exact = (F.greatest(n1, n2) <= EXACT_U_MAX) & (F.col("ties") == 0)
+            out = out.withColumn("p_u", F.when(exact, u_exact_pvalue(F.col("u1"), n1, n2))
+                                 .otherwise(F.least(F.lit(1.0), normal_pvalue(z))))
     elif alternative == "legacy":
         # old default: the smaller U with a one-sided p
         small = F.least(F.col("u1"), u2)
@@ -160,10 +166,10 @@ def u_test(df: DataFrame, value: str, group_col: str, groups: Sequence[str] | No
            alternative: str = "two-sided", with_p: bool = True) -> DataFrame:
     """H3: Mann-Whitney U of the two largest groups (or the given two).
 
-    Default is the current convention (U of the first group, two-sided p,
-    tie-corrected normal approximation with continuity 0.5); ``'legacy'``
-    gives the smaller U with a one-sided p. The exact small-sample
-    distribution is not used.
+    Default is the current convention (U of the first group, two-sided p:
+    exact when both samples have at most 8 values and there are no ties,
+    otherwise the tie-corrected normal approximation with continuity 0.5);
+    ``'legacy'`` gives the smaller U with a one-sided normal p.
     """
     tagged = _with_names(_tag_two(df, value, group_col, groups), group_col)
     u = _u_finish(_u_stats(tagged, []), alternative, with_p)

@@ -140,3 +140,23 @@ def test_degenerate_groups_give_nulls_not_errors(spark):
     c = D.chi_square(spark.createDataFrame([(1, "a", "x")], "k int, g string, lv string"), "k", "g", ["a", "b"],
                      ["lv"], with_p=False).first()
     assert c.chi2 is None
+
+
+def test_exact_u_small_samples(spark):
+    import itertools
+    a, b = [1.0, 4.0, 6.0], [2.0, 3.0, 5.0, 7.0]
+    # brute force over all splits of the pooled ranks
+    pooled = sorted(a + b)
+    u_obs = sum(1 for x in a for y in b if x > y)
+    us = []
+    for comb in itertools.combinations(range(7), 3):
+        xs = [pooled[i] for i in comb]
+        ys = [pooled[i] for i in range(7) if i not in comb]
+        us.append(sum(1 for x in xs for y in ys if x > y))
+    k = max(u_obs, 12 - u_obs)
+    want = min(1.0, 2 * sum(1 for u in us if u >= k) / len(us))
+    assert math.isclose(Dist.mwu_exact_p(u_obs, 3, 4), want)
+    df = spark.createDataFrame([("a", v) for v in a] + [("a", 9.0)] + [("b", v) for v in b], "g string, v double")
+    r = D.u_test(df, "v", "g", groups=["a", "b"]).first()
+    u4 = sum(1 for x in a + [9.0] for y in b if x > y)
+    assert r.u == u4 and math.isclose(r.p_u, Dist.mwu_exact_p(u4, 4, 4))
