@@ -66,14 +66,19 @@ def text_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
 
 
 def binary_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """P29 by values: columns whose non-null values all lie in {0, 1}.
-    One aggregate for all columns; an all-null column counts as binary."""
-    cols = list(cols)
-    if not cols:
-        return []
-    row = df.agg(*[F.coalesce(F.bool_and(F.col(c).isNull() | F.col(c).isin(0, 1)), F.lit(True)).alias(f"b{i}")
-                   for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[f"b{i}"]]
+    """P29 by values: columns whose non-null values all lie in {0, 1}; an
+    all-null column counts as binary.
+
+    A column is disproved by its first value outside {0, 1}: each test is a
+    ``filter(...).limit(1)``, which Spark evaluates partition by partition and
+    stops early, so a non-binary column usually costs one partition, not a
+    scan. Only truly binary columns are read in full."""
+    out = []
+    for c in cols:
+        bad = df.select(F.col(c)).filter(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)).limit(1).collect()
+        if not bad:
+            out.append(c)
+    return out
 
 
 # ------------------------------------------------------------------ windows --
