@@ -97,47 +97,79 @@ def univariate_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coef_out(coefs, ["model"])
 
 
-def _ols3_sql(y: str, xs: list[str], src: str, intercept: bool) -> str:
-    """OLS with three covariates in SQL: explicit inverse of the 3 x 3
-    cross-product matrix (centred when there is a constant; the constant then
-    follows from the means)."""
-    a = {}
-    agg = [f"count(*) AS n", f"sum({y}) AS sy", f"sum({y} * {y}) AS syy"]
+def _olsk_sql(y: str, xs: list[str], src: str, intercept: bool, model: str | None = None) -> str:
+    """OLS with one to three covariates in SQL: explicit inverse (cofactors)
+    of the cross-product matrix, centred when there is a constant (the
+    constant then follows from the means). Returns a SELECT of
+    ``[model,] term, estimate, se, statistic`` (rounded to 4 decimals)."""
+    k = len(xs)
+    assert 1 <= k <= 3
+    agg = ["count(*) AS n", f"sum({y}) AS sy", f"sum({y} * {y}) AS syy"]
     for i, xi in enumerate(xs):
         agg += [f"sum({xi}) AS s{i}", f"sum({xi} * {y}) AS c{i}"]
-        for j in range(i, 3):
+        for j in range(i, k):
             agg.append(f"sum({xi} * {xs[j]}) AS p{i}{j}")
-    for i in range(3):
-        for j in range(i, 3):
-            a[(i, j)] = f"(p{i}{j} - s{i} * s{j} / n)" if intercept else f"p{i}{j}"
-            a[(j, i)] = a[(i, j)]
-    c = [f"(c{i} - s{i} * sy / n)" if intercept else f"c{i}" for i in range(3)]
+    a = {}
+    for i in range(k):
+        for j in range(i, k):
+            a[(i, j)] = a[(j, i)] = f"(p{i}{j} - s{i} * s{j} / n)" if intercept else f"p{i}{j}"
+    c = [f"(c{i} - s{i} * sy / n)" if intercept else f"c{i}" for i in range(k)]
     yy = "(syy - sy * sy / n)" if intercept else "syy"
     A = lambda i, j: a[(i, j)]
-    det = (f"({A(0,0)} * ({A(1,1)} * {A(2,2)} - {A(1,2)} * {A(1,2)}) - {A(0,1)} * ({A(0,1)} * {A(2,2)} - {A(1,2)} * {A(0,2)})"
-           f" + {A(0,2)} * ({A(0,1)} * {A(1,2)} - {A(1,1)} * {A(0,2)}))")
-    inv = {
-        (0, 0): f"({A(1,1)} * {A(2,2)} - {A(1,2)} * {A(1,2)})", (1, 1): f"({A(0,0)} * {A(2,2)} - {A(0,2)} * {A(0,2)})",
-        (2, 2): f"({A(0,0)} * {A(1,1)} - {A(0,1)} * {A(0,1)})", (0, 1): f"(-({A(0,1)} * {A(2,2)} - {A(0,2)} * {A(1,2)}))",
-        (0, 2): f"({A(0,1)} * {A(1,2)} - {A(0,2)} * {A(1,1)})", (1, 2): f"(-({A(0,0)} * {A(1,2)} - {A(0,1)} * {A(0,2)}))"}
+    if k == 1:
+        det = A(0, 0)
+        inv = {(0, 0): "1.0"}
+    elif k == 2:
+        det = f"({A(0,0)} * {A(1,1)} - {A(0,1)} * {A(0,1)})"
+        inv = {(0, 0): A(1, 1), (1, 1): A(0, 0), (0, 1): f"(-{A(0,1)})"}
+    else:
+        det = (f"({A(0,0)} * ({A(1,1)} * {A(2,2)} - {A(1,2)} * {A(1,2)}) - {A(0,1)} * ({A(0,1)} * {A(2,2)} - "
+               f"{A(1,2)} * {A(0,2)}) + {A(0,2)} * ({A(0,1)} * {A(1,2)} - {A(1,1)} * {A(0,2)}))")
+        inv = {(0, 0): f"({A(1,1)} * {A(2,2)} - {A(1,2)} * {A(1,2)})",
+               (1, 1): f"({A(0,0)} * {A(2,2)} - {A(0,2)} * {A(0,2)})",
+               (2, 2): f"({A(0,0)} * {A(1,1)} - {A(0,1)} * {A(0,1)})",
+               (0, 1): f"(-({A(0,1)} * {A(2,2)} - {A(0,2)} * {A(1,2)}))",
+               (0, 2): f"({A(0,1)} * {A(1,2)} - {A(0,2)} * {A(1,1)})",
+               (1, 2): f"(-({A(0,0)} * {A(1,2)} - {A(0,1)} * {A(0,2)}))"}
     for (i, j) in list(inv):
         inv[(j, i)] = inv[(i, j)]
-    inv_cols = ", ".join(f"{inv[(i, j)]} / det AS i{i}{j}" for i in range(3) for j in range(3))
-    beta = ", ".join(f"i{i}0 * {c[0]} + i{i}1 * {c[1]} + i{i}2 * {c[2]} AS b{i}" for i in range(3))
-    p = 4 if intercept else 3
-    rows = [f"SELECT '{x}' AS term, b{i} AS estimate, sqrt(sigma2 * i{i}{i}) AS se FROM f" for i, x in enumerate(xs)]
+    inv_cols = ", ".join(f"{inv[(i, j)]} / det AS i{i}{j}" for i in range(k) for j in range(k))
+    beta = ", ".join(f"{' + '.join(f'i{i}{j} * {c[j]}' for j in range(k))} AS b{i}" for i in range(k))
+    p = k + (1 if intercept else 0)
+    m = f"'{model}' AS model, " if model else ""
+    rows = [f"SELECT {m}'{x}' AS term, b{i} AS estimate, sqrt(sigma2 * i{i}{i}) AS se FROM f"
+            for i, x in enumerate(xs)]
     if intercept:
-        xbar = [f"s{i} / n" for i in range(3)]
-        quad = " + ".join(f"({xbar[i]}) * ({xbar[j]}) * i{i}{j}" for i in range(3) for j in range(3))
-        rows.append(f"SELECT 'const', sy / n - ({' + '.join(f'b{i} * {xbar[i]}' for i in range(3))}), "
+        xbar = [f"s{i} / n" for i in range(k)]
+        quad = " + ".join(f"({xbar[i]}) * ({xbar[j]}) * i{i}{j}" for i in range(k) for j in range(k))
+        rows.append(f"SELECT {m}'const', sy / n - ({' + '.join(f'b{i} * {xbar[i]}' for i in range(k))}), "
                     f"sqrt(sigma2 * (1.0 / n + {quad})) FROM f")
-    return f"""WITH s AS (SELECT {', '.join(agg)} FROM {src}),
-d AS (SELECT *, {det} AS det FROM s),
-i AS (SELECT *, {inv_cols} FROM d),
-b AS (SELECT *, {beta} FROM i),
-f AS (SELECT *, ({yy} - (b0 * {c[0]} + b1 * {c[1]} + b2 * {c[2]})) / (n - {p}) AS sigma2 FROM b),
-r AS ({' UNION ALL '.join(rows)})
-SELECT term, round(estimate, 4) AS estimate, round(se, 4) AS se, round(estimate / se, 4) AS statistic FROM r"""
+    mcol = "model, " if model else ""
+    return f"""SELECT {mcol}term, round(estimate, 4) AS estimate, round(se, 4) AS se,
+       round(estimate / se, 4) AS statistic FROM (
+  WITH s AS (SELECT {', '.join(agg)} FROM {src}),
+  d AS (SELECT *, {det} AS det FROM s),
+  i AS (SELECT *, {inv_cols} FROM d),
+  b AS (SELECT *, {beta} FROM i),
+  f AS (SELECT *, ({yy} - ({' + '.join(f'b{i} * {c[i]}' for i in range(k))})) / (n - {p}) AS sigma2 FROM b)
+  {' UNION ALL '.join(rows)})"""
+
+
+def _ols3_sql(y: str, xs: list[str], src: str, intercept: bool) -> str:
+    return _olsk_sql(y, xs, src, intercept)
+
+
+LADDER = {"m1_unadjusted": ["l_quantity"], "m2_discount": ["l_quantity", "l_discount"],
+          "m3_full": ["l_quantity", "l_discount", "l_tax"]}
+
+
+@query("ladder_coefficients", "\nUNION ALL\n".join(
+    _olsk_sql("l_extendedprice", cols, "lineitem", True, model=name) for name, cols in LADDER.items()))
+def ladder_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested models (unadjusted, + discount, + tax), estimates,
+    SE and t of each, all from one Gram pass."""
+    coefs, _ = R.ols(lineitem(spark, sf_dir), "l_extendedprice", COVS, models=LADDER)
+    return _coef_out(coefs, ["model"])
 
 
 @query("ols_multi", _ols3_sql("l_extendedprice", COVS, "lineitem", True))
