@@ -228,6 +228,27 @@ def segment_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fit_segments(seg, "segment", "l_extendedprice", COVS, ladder)
 
 
+SEG_LADDER_SRC = {
+    "returned": "(SELECT * FROM lineitem WHERE l_returnflag = 'R')",
+    "open": "(SELECT * FROM lineitem WHERE l_linestatus = 'O')"}
+
+
+@query("segment_ladder_coefficients", "\nUNION ALL\n".join(
+    f"SELECT '{seg}' AS segment, * FROM ("
+    + _olsk_sql("l_extendedprice", cols, src, True, model=name) + ")"
+    for seg, src in SEG_LADDER_SRC.items() for name, cols in
+    {"m1": ["l_quantity"], "m2": ["l_quantity", "l_discount"], "m3": COVS}.items()))
+def segment_ladder_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 + R10: per segment (returned lines, open lines; a line can be in
+    both), three nested OLS models from one grouped Gram pass: estimates, SE, t."""
+    li = lineitem(spark, sf_dir).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")) \
+        .withColumn("open", (F.col("l_linestatus") == "O").cast("int"))
+    seg = R.flag_segments(li, ["returned", "open"])
+    ladder = {"m1": ["l_quantity"], "m2": ["l_quantity", "l_discount"], "m3": COVS}
+    coefs = R.fit_segments(seg, "segment", "l_extendedprice", COVS, ladder)
+    return _coef_out(coefs, ["segment", "model"])
+
+
 @query("segment_logit")
 def segment_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 with a 0/1 target: a logit per segment (max(target) <= 1)."""
