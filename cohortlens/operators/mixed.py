@@ -260,7 +260,7 @@ def dense_neg2_reml(y: np.ndarray, X: np.ndarray, Z: np.ndarray, groups: np.ndar
 
 def fit_mixed_segments(df: DataFrame, segment: str, group: str, target: str, covariates: Sequence[str] | None,
                        timestamp: str | None, random_slope: bool = True, level_map: dict | None = None,
-                       parallelism: int = 4) -> DataFrame:
+                       parallelism: int = 1) -> DataFrame:
     """R9 trajectory form: one mixed model per segment (a subject may be in
     several), coefficient tables stacked with the segment and its row count;
     a segment whose fit fails gives an ``error`` row (the original skipped it

@@ -278,7 +278,7 @@ def flag_segments(df: DataFrame, flags: Sequence[str], name: str = "segment") ->
 
 
 def fit_segments(df: DataFrame, segment: str, target: str, covariates: Sequence[str],
-                 models: dict[str, Sequence[str]], intercept: bool = True, parallelism: int = 4) -> DataFrame:
+                 models: dict[str, Sequence[str]], intercept: bool = True, parallelism: int = 1) -> DataFrame:
     """R9 regression form: per segment, the nested ``models``; OLS if
     ``max(target) > 1`` else logit (the original rule). OLS fits for every
     segment and model come from one Gram pass; a logit is fitted per segment
