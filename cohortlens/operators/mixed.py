@@ -280,8 +280,11 @@ def fit_mixed_segments(df: DataFrame, segment: str, group: str, target: str, cov
             return None, (str(sname), f"{type(e).__name__}: {str(e)[:200]}")
 
     # independent distributed fits (each an iterative REML): a few at a time
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(segs) or 1))) as pool:
-        results = list(pool.map(run, segs))
+    if parallelism > 1 and len(segs) > 1:
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(segs))) as pool:
+            results = list(pool.map(run, segs))
+    else:
+        results = [run(sg) for sg in segs]
     out = None
     errors = [e for _, e in results if e is not None]
     for c, _ in results:

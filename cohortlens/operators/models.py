@@ -306,8 +306,11 @@ def fit_segments(df: DataFrame, segment: str, target: str, covariates: Sequence[
 
     tasks = [(sname, mname, list(mcols)) for sname in segs for mname, mcols in models.items()]
     # independent distributed fits: submit a few at a time
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        rows = [r for part in pool.map(run, tasks) for r in part]
+    if parallelism > 1:
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as pool:
+            rows = [r for part in pool.map(run, tasks) for r in part]
+    else:
+        rows = [r for t in tasks for r in run(t)]
     return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
