@@ -46,3 +46,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                            decoded="decoded")
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# Bounds of the samples that the two classifiers are fitted on.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16_384
+
+
+@registered("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled rows not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_scores(docs, labels).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``held_out`` and ``score``."""
+    from cohortlens.llm.quality import fit_quality, score_column
+    from cohortlens.llm.sample import id_checksum, labelled_sample
+    held = F.coalesce(id_checksum(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = fit_quality(labelled_sample(docs, labels.where(~held), "quality", SAMPLE_ROWS, SAMPLE_BYTES))
+    return docs.withColumn("held_out", held).withColumn("score", score_column(F.col("text"), model))
+
+
+@registered("op7_ordinal_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document: the chance of any, the expected grade, the
+    likeliest grade, and 1 where some toxicity is likelier than none."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity_scores(docs, labels).select("doc_id", "held_out", "score", "expected_severity", "grade", "predicted")
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``held_out``, ``score``, ``expected_severity``, ``grade``, ``predicted``."""
+    from cohortlens.llm.sample import id_checksum, labelled_sample
+    from cohortlens.llm.toxicity import fit_toxicity, grade_column
+    held = F.coalesce(id_checksum(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = fit_toxicity(labelled_sample(docs, labels.where(~held), "toxic", SAMPLE_ROWS, SAMPLE_BYTES))
+    some, strong = F.element_at("_at_least", 1), F.element_at("_at_least", 2)
+    chance = F.array(1 - some, some - strong, strong)
+    return (docs.withColumn("held_out", held).withColumn("_at_least", grade_column(F.col("text"), model))
+            .withColumn("score", some).withColumn("expected_severity", some + strong)
+            .withColumn("grade", (F.array_position(chance, F.array_max(chance)) - 1).cast("int"))
+            .withColumn("predicted", (some >= 0.5).cast("int")).drop("_at_least"))

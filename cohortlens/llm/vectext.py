@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        a = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        a = np.full(max(n, CHUNK_BYTES + 1, 1), base, np.uint64)
         a[0] = 1
         _powers[name] = have = np.multiply.accumulate(a)
     return have[:n]
@@ -88,16 +88,22 @@ class Words:
         self.start = np.flatnonzero(begin)
         self.end = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)
+        self._total: np.ndarray | None = None
         self._hash: np.ndarray | None = None
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from each start to its end."""
+        n = len(self.data)
+        if self._total is None:
+            self._total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * _power("p", _BASE, n), out=self._total[1:])
+        h = (self._total[end] - self._total[start]) * _power("q", _BASE_INV, n + 1)[start]
+        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.data)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _power("p", _BASE, n), out=total[1:])
-            h = (total[self.end] - total[self.start]) * _power("q", _BASE_INV, n)[self.start] if n else total[:0]
-            self._hash = mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            self._hash = self.span_hash(self.start, self.end)
         return self._hash
 
     def text(self, i: int) -> bytes:
