@@ -89,3 +89,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("score", some).withColumn("expected_severity", some + strong)
             .withColumn("grade", (F.array_position(chance, F.array_max(chance)) - 1).cast("int"))
             .withColumn("predicted", (some >= 0.5).cast("int")).drop("_at_least"))
+
+
+@registered("op3_jaccard_groups")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies that each document belongs to."""
+    from cohortlens.llm.jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
