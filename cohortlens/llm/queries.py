@@ -96,3 +96,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies that each document belongs to."""
     from cohortlens.llm.jaccard import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@registered("op5_suffix_tree_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, learned from those not held out."""
+    from cohortlens.llm.sample import id_checksum
+    from cohortlens.llm.suffix_tree import score_texts
+    held = F.coalesce(id_checksum(F.col("doc_id"), 5) == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    return score_texts(docs, "text", ~F.col("held_out"), ["doc_id", "held_out"])

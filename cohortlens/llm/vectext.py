@@ -55,7 +55,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty) and the n + 1 offsets."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    a = pc.fill_null(texts.cast(pa.large_string()), "")
+    return flat_binary(pc.fill_null(texts.cast(pa.large_string()), ""))
+
+
+def flat_binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a column of bytes."""
+    a = values.cast(pa.large_binary())
     offsets = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1 + a.offset)[a.offset:] if len(a) else np.zeros(1, np.int64)
     data = a.buffers()[2] if len(a) else None
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
