@@ -106,3 +106,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(id_checksum(F.col("doc_id"), 5) == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
     return score_texts(docs, "text", ~F.col("held_out"), ["doc_id", "held_out"])
+
+
+@registered("op6_cross_polytope")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth id."""
+    from cohortlens.llm.neighbours import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@registered("op8_redirect_equivalence")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    from cohortlens.llm.url_filter import html_edges, judge_urls
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages.select("page_id", "url"), URL_RULES, html_edges(pages))
