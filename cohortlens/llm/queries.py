@@ -124,3 +124,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.url_filter import html_edges, judge_urls
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages.select("page_id", "url"), URL_RULES, html_edges(pages))
+
+
+@registered("op10_template_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with 1 and the benchmark items it holds, or 0 and none."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    from cohortlens.llm.decontaminate import leaks
+    held = (leaks(docs, benchmark).groupBy("doc_id")
+            .agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"),
+                 F.sum((F.col("kind") == "exact").cast("int")).cast("int").alias("n_exact")))
+    return (docs.select("doc_id").join(held, "doc_id", "left")
+            .select("doc_id", F.col("item_ids").isNotNull().cast("int").alias("contaminated"),
+                    F.coalesce("item_ids", F.expr("array()").cast("array<bigint>")).alias("item_ids"),
+                    F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_exact", F.lit(0)).alias("n_exact")))

@@ -78,11 +78,13 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
 
 class Words:
     """The words of a chunk: ``start``/``end`` byte positions, ``hash``, and
-    ``first``, the n + 1 places where each text's words begin."""
+    ``first``, the n + 1 places where each text's words begin. Words are runs of
+    bytes of one ``kind``, or that ``mask`` marks."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD, lower: bool = True,
+                 mask: np.ndarray | None = None):
         self.data = LOWER[data] if lower else data
-        inside = kind[data]
+        inside = kind[data] if mask is None else mask
         n = len(data)
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
