@@ -141,3 +141,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             .select("doc_id", F.col("item_ids").isNotNull().cast("int").alias("contaminated"),
                     F.coalesce("item_ids", F.expr("array()").cast("array<bigint>")).alias("item_ids"),
                     F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_exact", F.lit(0)).alias("n_exact")))
+
+
+CHAT_TOOLS = {"reply": {"n_chars": ("integer", True), "text": ("string", True)}, "configure": {"instructions": ("string", True)}}
+
+CHAT_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id,
+        CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text FROM t WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant'),
+f AS (SELECT conv_id, call_id, min(turn) AS turn, min(name) AS name FROM c GROUP BY 1, 2)
+SELECT c.conv_id, c.turn AS at_turn, 0 AS step, 'call' AS kind, c.call_id, c.name,
+  CASE WHEN c.text IS NULL THEN CASE c.name WHEN 'reply' THEN 'missing n_chars' ELSE 'missing instructions' END
+       WHEN NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id) THEN 'no result' END AS problem,
+  '{"arguments":{' || CASE WHEN c.text IS NULL THEN '' WHEN c.name = 'reply'
+      THEN '"n_chars":' || length(c.text) || ',"text":' || CAST(to_json(c.text) AS VARCHAR)
+      ELSE '"instructions":' || CAST(to_json(c.text) AS VARCHAR) END
+    || '},"id":"' || c.call_id || '","name":"' || c.name || '","type":"tool_call"}' AS json
+FROM c
+UNION ALL
+SELECT r.conv_id, greatest(r.turn, f.turn), 1, 'result', r.call_id, f.name,
+  CASE WHEN f.call_id IS NULL THEN 'no call' END,
+  '{' || CASE WHEN r.text IS NULL THEN '' ELSE '"content":' || CAST(to_json(r.text) AS VARCHAR) || ',' END
+    || '"id":"' || r.call_id || '","type":"tool_result"}'
+FROM r LEFT JOIN f ON r.conv_id = f.conv_id AND r.call_id = f.call_id
+"""
+
+
+@registered("op9_tool_call_linking", CHAT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool calls and results: a user's turn calls ``reply`` and a
+    system turn ``configure``, under ids made of conversation and turn; an assistant's turn
+    is the result of the call in the turn before it."""
+    from cohortlens.llm.chat import link_tools
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    call_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    asks = F.col("role") == "user"
+    calls = turns.where(F.col("role").isin("user", "system")).select(
+        "conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(asks, "reply").otherwise("configure").alias("name"),
+        F.when(asks, F.to_json(F.struct("text", F.length("text").alias("n_chars"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("instructions")))).alias("arguments"))
+    results = turns.where(F.col("role") == "assistant").select(
+        "conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return link_tools(calls, results, CHAT_TOOLS)
