@@ -55,7 +55,10 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[V.Words, np.ndarray
     inside = V.ALNUM[data]
     if len(data) > 2:
         inside[1:-1] |= _POINT[data[1:-1]] & digit[:-2] & digit[2:]
-    w = V.Words(data, offsets, mask=inside)
+    small = V.LOWER[data]
+    if len(data) > 1:  # capitals of the Latin-1 letters, two bytes each
+        small[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
+    w = V.Words(small, offsets, lower=False, mask=inside)
     n = len(w.start)
     if not n:
         return w, np.zeros(0, np.uint64), np.zeros(0, bool)
