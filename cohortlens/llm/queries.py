@@ -39,13 +39,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "ids")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ids`` (packed, binary), ``n_tokens`` and the digests of ids and decoded bytes."""
     import public_tokenizers
     from cohortlens.llm.bpe import with_token_ids
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = with_token_ids(docs, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
-                           decoded="decoded")
-    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
-                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+                           decoded="_decoded")
+    return (coded.withColumn("n_tokens", F.expr("octet_length(ids) div 4").cast("long"))
+            .withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("decoded_sha256", F.sha2("_decoded", 256)).drop("_decoded"))
 
 
 # Bounds of the samples that the two classifiers are fitted on.
@@ -132,6 +136,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def contaminated_ids(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    from cohortlens.llm.decontaminate import leaks
+    return leaks(docs, benchmark).select("doc_id").distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     from cohortlens.llm.decontaminate import leaks
     held = (leaks(docs, benchmark).groupBy("doc_id")
