@@ -20,8 +20,6 @@ from cohortlens.operators.ranks import running_sums
 
 # Levels dropped from contingency tables in complete-case mode (fixed values).
 UNKNOWN_LEVELS = ("not known", "unknown")
-# Largest sample size for the exact U distribution (both samples, no ties).
-EXACT_U_MAX = 8
 ALL = "All"
 
 
@@ -41,6 +39,18 @@ def top_groups(df: DataFrame, col: str, k: int = 2) -> DataFrame:
     return vc.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.col(col))))
 
 
+def modal_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
+    """The most frequent non-null value of each column as text, the smallest on
+    ties. Values are counted (with partial sums) before any of them meet; one row
+    a column reaches the driver."""
+    cols = list(cols)
+    counted = (unpivot_levels(df, cols, []).where(F.col("level").isNotNull()).groupBy("variable", "level")
+               .agg(F.count(F.lit(1)).alias("n")))
+    top = counted.groupBy("variable").agg(F.min(F.struct((-F.col("n")).alias("n"), "level")).alias("top"))
+    found = {r["variable"]: r["top"]["level"] for r in top.collect()}
+    return {c: found.get(c) for c in cols}
+
+
 def _two_groups(df: DataFrame, group_col: str, groups: Sequence[str] | None) -> DataFrame:
     """(group, rank) for the two compared groups: given, or the two largest."""
     if groups is not None:
@@ -134,7 +144,10 @@ def _u_stats(tagged: DataFrame, by: Sequence[str]) -> DataFrame:
         F.max("_n1").alias("group1"), F.max("_n2").alias("group2"))
 
 
-def _u_finish(u: DataFrame, alternative: str, with_p: bool, use_continuity: bool = True) -> DataFrame:
+def _u_finish(u: DataFrame, alternative: str, with_p: bool, use_continuity: bool = True,
+              method: str = "asymptotic") -> DataFrame:
+    if method not in ("asymptotic", "exact"):
+        raise ValueError("method must be 'asymptotic' or 'exact'")
     n1, n2 = F.col("na"), F.col("nb")
     n = n1 + n2
     mu = n1 * n2 / 2
@@ -145,11 +158,12 @@ def _u_finish(u: DataFrame, alternative: str, with_p: bool, use_continuity: bool
         z = F.try_divide(F.greatest(F.col("u1"), u2) - mu - (0.5 if use_continuity else 0.0), sigma)
         out = u.withColumn("u", stat)
         if with_p:
-            # exact null distribution for small samples without ties (both
-            # sizes <= EXACT_U_MAX), tie-corrected normal approximation otherwise
-            exact = (F.greatest(n1, n2) <= EXACT_U_MAX) & (F.col("ties") == 0)
-            out = out.withColumn("p_u", F.when(exact, u_exact_pvalue(F.col("u1"), n1, n2))
-                                 .otherwise(F.least(F.lit(1.0), normal_pvalue(z))))
+            if method == "exact":
+                # ties have no exact distribution here: null
+                p = F.when(F.col("ties") == 0, u_exact_pvalue(F.col("u1"), n1, n2))
+            else:
+                p = F.least(F.lit(1.0), normal_pvalue(z))
+            out = out.withColumn("p_u", p)
     elif alternative == "legacy":
         # old default: the smaller U with a one-sided p
         small = F.least(F.col("u1"), u2)
@@ -163,16 +177,17 @@ def _u_finish(u: DataFrame, alternative: str, with_p: bool, use_continuity: bool
 
 
 def u_test(df: DataFrame, value: str, group_col: str, groups: Sequence[str] | None = None,
-           alternative: str = "two-sided", with_p: bool = True) -> DataFrame:
+           alternative: str = "two-sided", with_p: bool = True, method: str = "asymptotic") -> DataFrame:
     """H3: Mann-Whitney U of the two largest groups (or the given two).
 
-    Default is the current convention (U of the first group, two-sided p:
-    exact when both samples have at most 8 values and there are no ties,
-    otherwise the tie-corrected normal approximation with continuity 0.5);
-    ``'legacy'`` gives the smaller U with a one-sided normal p.
+    Default is the current convention: U of the first group, two-sided p by the
+    tie-corrected normal approximation with continuity 0.5, at every sample size.
+    ``method='exact'`` asks for the exact null distribution instead (null with
+    ties; its work grows with the product of the sample sizes). ``'legacy'``
+    gives the smaller U with a one-sided normal p.
     """
     tagged = _with_names(_tag_two(df, value, group_col, groups), group_col)
-    u = _u_finish(_u_stats(tagged, []), alternative, with_p)
+    u = _u_finish(_u_stats(tagged, []), alternative, with_p, method=method)
     cols = ["group1", "group2", F.col("na").cast("long").alias("n1"), F.col("nb").cast("long").alias("n2"), "u"]
     if with_p:
         cols.append("p_u")
@@ -191,11 +206,13 @@ def subgroup_tests(df: DataFrame, value: str, group_col: str, groups: Sequence[s
     tagged = two.select(F.when(F.col(group_col) == groups[0], 1).otherwise(2).alias("_g"),
                         F.col(value).cast("double").alias("_v"),
                         F.col(group_col).cast("string").alias("_name"),
-                        F.explode(F.array(*subs)).alias("subgroup"))
+                        F.posexplode(F.array(*subs)).alias("_total", "subgroup"))
+    # a real level may be called 'all': the total has a key of its own
     tagged = tagged.filter(F.col("subgroup").isNotNull())
-    m = _welch(_moments(tagged, ["subgroup"]), equal_var=False).select("subgroup", "t", "dof")
-    u = _u_finish(_u_stats(tagged, ["subgroup"]), "two-sided", with_p).select("subgroup", "u", *(["p_u"] if with_p else []))
-    out = m.join(u, "subgroup", "full")
+    by = ["_total", "subgroup"]
+    m = _welch(_moments(tagged, by), equal_var=False).select(*by, "t", "dof")
+    u = _u_finish(_u_stats(tagged, by), "two-sided", with_p).select(*by, "u", *(["p_u"] if with_p else []))
+    out = m.join(u, by, "full").drop("_total")
     if with_p:
         out = (out.withColumn("p_t", t_pvalue(F.col("t"), F.col("dof")))
                   .withColumn("sig_t", p_value_sig(F.col("p_t")))
@@ -275,8 +292,12 @@ def distinct_pivot_margins(df: DataFrame, key: str, index: str, columns: str,
            .agg(F.countDistinct(key).alias("n"), F.grouping(index).alias("_gi"), F.grouping(columns).alias("_gc")))
     c = c.select(F.when(F.col("_gi") == 1, F.lit(ALL)).otherwise(F.col(index).cast("string")).alias(index),
                  F.when(F.col("_gc") == 1, F.lit(ALL)).otherwise(F.col(columns).cast("string")).alias("_col"),
-                 "n")
-    return c.groupBy(index).pivot("_col", [*levels, ALL]).agg(F.first("n")).fillna(0)
+                 "n", "_gi", "_gc")
+    if ALL in levels:
+        raise ValueError(f"a level of {columns} is called {ALL}, as the margin column")
+    # a real row called All keeps apart from the margin row by its grouping flag
+    return (c.where((F.col("_gc") == 1) | (F.col("_col") != ALL)).groupBy(index, "_gi").pivot("_col", [*levels, ALL])
+            .agg(F.first("n")).drop("_gi").fillna(0))
 
 
 def max_pivot_flags(df: DataFrame, index: str, columns: str, value: str, levels: Sequence[str]) -> DataFrame:
@@ -295,7 +316,8 @@ def data_stats(df: DataFrame, key: str, value: str, group_col: str, subgroup_col
     ``pct = N / ((sum of level N + N_All) / 2) * 100`` per variable and group,
     the reference's formula (not N / N_All when a key has several levels). SD is
     the sample SD in every cell, the corner included. Rows with a null level
-    or group are left out, as pandas' pivot does.
+    or group are left out, as pandas' pivot does. ``level_total`` and
+    ``group_total`` (0, 1) tell the margins from real levels called ``All``.
     """
     long = unpivot_levels(df.filter(F.col(group_col).isNotNull()), subgroup_cols, [key, value, group_col]) \
         .filter(F.col("level").isNotNull())
@@ -307,8 +329,8 @@ def data_stats(df: DataFrame, key: str, value: str, group_col: str, subgroup_col
     g = g.select("variable",
                  F.when(F.col("_gl") == 1, F.lit(ALL)).otherwise(F.col("level")).alias("level"),
                  F.when(F.col("_gg") == 1, F.lit(ALL)).otherwise(F.col(group_col).cast("string")).alias("group"),
-                 "N", "obs", "M", "SD")
-    denom = F.sum("N").over(Window.partitionBy("variable", "group")) / 2
+                 "N", "obs", "M", "SD", F.col("_gl").alias("level_total"), F.col("_gg").alias("group_total"))
+    denom = F.sum("N").over(Window.partitionBy("variable", "group", "group_total")) / 2
     return g.withColumn("pct", F.col("N") / denom * 100)
 
 

@@ -157,6 +157,45 @@ def test_exact_u_small_samples(spark):
     want = min(1.0, 2 * sum(1 for u in us if u >= k) / len(us))
     assert math.isclose(Dist.mwu_exact_p(u_obs, 3, 4), want)
     df = spark.createDataFrame([("a", v) for v in a] + [("a", 9.0)] + [("b", v) for v in b], "g string, v double")
-    r = D.u_test(df, "v", "g", groups=["a", "b"]).first()
+    r = D.u_test(df, "v", "g", groups=["a", "b"], method="exact").first()
     u4 = sum(1 for x in a + [9.0] for y in b if x > y)
     assert r.u == u4 and math.isclose(r.p_u, Dist.mwu_exact_p(u4, 4, 4))
+
+
+def test_one_method_at_every_size(spark):
+    """The default p does not change its method with the sample size."""
+    import statistics
+    for n1, n2 in ((4, 4), (5, 1000), (9, 9)):
+        rows = [("a", 2.0 * i + 0.5) for i in range(n1)] + [("b", float(i)) for i in range(n2)]
+        df = spark.createDataFrame(rows, "g string, v double")
+        r = D.u_test(df, "v", "g", groups=["a", "b"]).first()
+        u = sum((x > y) + 0.5 * (x == y) for g, x in rows if g == "a" for k, y in rows if k == "b")
+        n = n1 + n2
+        z = (max(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / math.sqrt(n1 * n2 * (n + 1) / 12)
+        want = min(1.0, 2 * (1 - statistics.NormalDist().cdf(z)))
+        assert r.u == u and math.isclose(r.p_u, want, rel_tol=1e-9)
+    tied = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 2.0)], "g string, v double")
+    assert D.u_test(tied, "v", "g", groups=["a", "b"], method="exact").first().p_u is None
+
+
+def test_large_degrees_of_freedom():
+    assert math.isclose(Dist.t_sf2(1.0, 1e12), 0.31731050786, rel_tol=1e-9)
+    assert math.isclose(Dist.t_sf2(2.0, 1e12), 0.04550026390, rel_tol=1e-9)
+    assert math.isclose(Dist.t_sf2(2.0, 10), 0.07338803477, rel_tol=1e-8)
+    assert math.isclose(Dist.t_sf2(1.0, 1), 0.5, rel_tol=1e-12) and math.isclose(Dist.t_sf2(1e-9, 5), 1.0, rel_tol=1e-8)
+    assert math.isclose(Dist.f_sf(4.0, 1, 1e12), Dist.t_sf2(2.0, 1e12), rel_tol=1e-9)
+    assert math.isclose(Dist.f_sf(3.0, 2, 10), (1 + 2 * 3.0 / 10) ** -5, rel_tol=1e-10)
+    assert math.isclose(Dist.t_ppf(0.975, 1e12), 1.95996398454, rel_tol=1e-9)
+    assert math.isclose(Dist.t_ppf(0.975, 1), 12.7062047364, rel_tol=1e-9)
+    assert Dist.t_ppf(0.975, 0.3) > 1000 and math.isclose(Dist.t_sf2(Dist.t_ppf(0.975, 0.3), 0.3), 0.05, rel_tol=1e-9)
+    assert math.isclose(Dist.t_ppf(0.025, 7), -Dist.t_ppf(0.975, 7), rel_tol=1e-12) and Dist.t_ppf(0.5, 7) == 0
+
+
+def test_levels_named_like_margins(spark):
+    rows = [("a", "all", 1.0), ("a", "x", 2.0), ("a", "all", 3.0), ("b", "all", 2.5), ("b", "x", 4.0), ("b", "x", 5.0), ("a", "x", 0.5), ("b", "all", 1.5)]
+    df = spark.createDataFrame(rows, "g string, s string, v double")
+    got = D.subgroup_tests(df, "v", "g", ["a", "b"], "s", with_p=False).collect()
+    assert sorted(r.subgroup for r in got) == ["all", "all", "x"] and len({r.u for r in got if r.subgroup == "all"}) == 2
+    keyed = spark.createDataFrame([(i, "All" if i % 2 else "x", "g", float(i)) for i in range(6)], "k long, lv string, grp string, v double")
+    tidy = D.data_stats(keyed, "k", "v", "grp", ["lv"]).collect()
+    assert {(r.level, r.level_total, r.group_total): r.N for r in tidy if r.group_total == 0} == {("All", 0, 0): 3, ("x", 0, 0): 3, ("All", 1, 0): 6}
