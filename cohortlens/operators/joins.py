@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.session import ensure_checkpoint_dir
+
 
 def suffix_overlaps(left: DataFrame, right: DataFrame, keep: Sequence[str], suffix: str = "_tomerge") -> DataFrame:
     """Rename right-hand columns that also exist on the left (except the
@@ -58,6 +59,17 @@ def not_equal_keep_null(c, value) -> Column:
     return ~col.eqNullSafe(F.lit(value))
 
 
+def with_unknown_flag(df: DataFrame, flags: Sequence[str], name: str = "diag_unknown", drop_constant: bool = False) -> DataFrame:
+    """1 where none of the 0/1 ``flags`` is set. With ``drop_constant`` the
+    column is left out when all rows agree on it (one aggregate finds out)."""
+    out = df.withColumn(name, F.lit(1) - F.least(F.lit(1), sum((F.coalesce(F.col(c), F.lit(0)) for c in flags), F.lit(0))))
+    if drop_constant:
+        lo, hi = out.agg(F.min(name), F.max(name)).first()
+        if lo == hi:
+            return out.drop(name)
+    return out
+
+
 def stack(frames) -> DataFrame:
     """Stack result tables by column name; missing columns are null."""
     frames = list(frames)
@@ -67,12 +79,19 @@ def stack(frames) -> DataFrame:
     return out
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: int = 64,
-               max_bytes: int = 256 << 20) -> DataFrame:
-    """Join, broadcasting ``small`` only after checking its size: its row
-    count times ``row_bytes`` must stay under ``max_bytes``; otherwise a
-    shuffle join (adaptive execution still splits skewed keys)."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)   # counted once, reused by the join
-    n = small.count()
-    side = F.broadcast(small) if n * row_bytes <= max_bytes else small
-    return big.join(side, on, how)
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table from its own values: every row as JSON, and 16 bytes a
+    row and 8 a column on top."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*cols)))).alias("b")).first()
+    return int(row["b"] or 0) + row["n"] * (16 + 8 * len(cols))
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = 32 << 20) -> DataFrame:
+    """Join, broadcasting ``small`` if its measured size is under ``max_bytes``,
+    else a shuffle join (adaptive execution splits skewed keys). ``small`` is
+    evaluated once, into the session's checkpoint folder: nothing stays behind
+    on executors, and a lost one does not bring the work back."""
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint()
+    return big.join(F.broadcast(small) if measured_bytes(small) <= max_bytes else small, on, how)

@@ -3,17 +3,20 @@
 Splits and folds are deterministic functions of a row key and a seed (an md5
 hash), so they need no shuffle and no driver state, survive recomputation on a
 lost executor unchanged, and are reproducible in SQL. Stratified folds rank
-rows inside their label in two levels (label, hash bucket) so that a label
-holding half the data is still spread over many tasks.
+rows inside their label with a distributed running count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.describe import modal_levels
+from cohortlens.operators.joins import join_small
+from cohortlens.operators.ranks import positions, running_sums
+
 # Hash resolution of the split: shares are taken in steps of 1/10000.
 SPLIT_RESOLUTION = 10000
 
@@ -36,24 +39,15 @@ def fold_of(key: Column | str, k: int = 10, seed: int = 42) -> Column:
     return (key_hash(key, seed) % k).cast("int")
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int = 42,
-                     n_buckets: int = 64, out: str = "fold") -> DataFrame:
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int = 42, out: str = "fold") -> DataFrame:
     """Within each label, rows ordered by (hash, key) are dealt to folds
     0, 1, ..., k-1 in turn, so every fold gets its share of every label (to
-    within one row), as stratified k-fold does.
-
-    Ranking inside a label uses two levels: the top bits of the hash give a
-    bucket; bucket sizes per label (a ``labels x n_buckets`` table) give
-    offsets; the rank inside (label, bucket) is a window over that bucket only.
-    """
-    h = key_hash(key, seed, hex_digits=15)
-    d = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / F.lit(float(2 ** 60 // n_buckets))).cast("int"))
-    sizes = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select(label, "_b", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    r = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
-    j = d.join(offs, [label, "_b"], "left")
-    return j.withColumn(out, ((F.col("_off") + r - 1) % k).cast("int")).drop("_h", "_b", "_off")
+    within one row), as stratified k-fold does. The rank inside a label is a
+    distributed running count, so a label that holds half of all rows is spread
+    over as many tasks as its share of the partitions."""
+    d = df.withColumn("_h", key_hash(key, seed, hex_digits=15)).withColumn("_one", F.lit(1))
+    r = running_sums(d, "_h", ["_one"], by=[label], tiebreak=[key])
+    return r.withColumn(out, ((F.col("_one_cum") - 1) % k).cast("int")).drop("_h", "_one", "_one_cum")
 
 
 def label_codes(df: DataFrame, label: str, out: str = "code", binary: bool = False) -> DataFrame:
@@ -62,21 +56,19 @@ def label_codes(df: DataFrame, label: str, out: str = "code", binary: bool = Fal
     (numeric non-negative labels are left as they are)."""
     dtype = dict(df.dtypes)[label]
     if binary:
-        mode = df.agg(F.mode(F.col(label), True).alias("m")).first()["m"]
-        return df.withColumn(out, F.when(F.col(label) == F.lit(mode), 0).otherwise(1))
+        mode = modal_levels(df, [label])[label]
+        return df.withColumn(out, F.when(F.col(label).cast("string") == F.lit(mode), 0).otherwise(1))
     if dtype in ("int", "bigint", "smallint", "tinyint", "double", "float"):
         mn = df.agg(F.min(label).alias("m")).first()["m"]
         if mn is not None and mn >= 0:
             return df.withColumn(out, F.col(label))
-    levels = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    codes = levels.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
-    return df.join(codes, label, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1).cast("long")))
+    return join_small(df, code_table(df, label, out), label, "left").withColumn(
+        out, F.coalesce(F.col(out), F.lit(-1).cast("long")))
 
 
 def code_table(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     """The ``(label, code)`` correspondence of ``label_codes``."""
-    levels = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    return levels.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
+    return positions(df.select(label).filter(F.col(label).isNotNull()).distinct(), label, out)
 
 
 def with_folds_exploded(df: DataFrame, fold_col: str, k: int) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ranks import ranked_value
+
 # Names of the summary rows of a class report (fixed values).
 ACCURACY, MACRO, WEIGHTED = "accuracy", "macro avg", "weighted avg"
 
@@ -20,16 +22,28 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
-def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, F.col(label).cast("string").alias("label"),
-                      F.col(pred).cast("string").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Cells of the confusion table; ``weight``: a column of row counts, where
+    ``df`` is already counted."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.groupBy(*by, F.col(label).cast("string").alias("label"), F.col(pred).cast("string").alias("pred")).agg(n.alias("n"))
+
+
+def fold_cells(df: DataFrame, label: str, pred: str, fold_col: str, k: int) -> DataFrame:
+    """(fold_nb, dataset, label, pred, n) for all folds from one count by (fold,
+    label, prediction): the test side of a fold is its own cells, the train side
+    everybody else's. Only the counted cells are copied, never the rows."""
+    cells = confusion(df, label, pred, [fold_col])
+    return (cells.withColumn("fold_nb", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+            .withColumn("dataset", F.when(F.col("fold_nb") == F.col(fold_col), "test").otherwise("train"))
+            .groupBy("fold_nb", "dataset", "label", "pred").agg(F.sum("n").alias("n")))
 
 
-def per_class(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+def per_class(df: DataFrame, label: str, pred: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(by..., class, tp, support, predicted, precision, recall, f1); classes =
     union of labels and predictions."""
     by = list(by)
-    conf = confusion(df, label, pred, by)
+    conf = confusion(df, label, pred, by, weight)
     zero = F.lit(0).cast("long")
     # each confusion cell counts once for its true class and once for its
     # predicted class: one explode of two tagged structs, one aggregate
@@ -46,7 +60,7 @@ def per_class(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> D
     return s.withColumn("f1", _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def class_report(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+def class_report(df: DataFrame, label: str, pred: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """M2: per class precision, recall, f1-score, support, then the
     ``accuracy`` row (accuracy repeated in all four columns, as the original
     table shows it), ``macro avg`` and ``weighted avg``.
@@ -55,7 +69,7 @@ def class_report(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -
     gives the class rows and the group totals together, and each group row is
     exploded into its three summary rows (no union of re-computed branches)."""
     by = list(by)
-    pc = per_class(df, label, pred, by)
+    pc = per_class(df, label, pred, by, weight)
     g = pc.groupingSets([[*by, "class"], by], *by, "class").agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("sup"), F.sum("predicted").alias("prd"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
@@ -79,10 +93,10 @@ def class_report(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -
     return g.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
 
 
-def perf_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+def perf_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """M1: accuracy and weighted F1, precision, recall per group."""
     by = list(by)
-    pc = per_class(df, label, pred, by)
+    pc = per_class(df, label, pred, by, weight)
     return pc.groupBy(*by).agg(
         (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"),
         (F.sum("tp") / F.sum("support")).alias("acc"),
@@ -120,18 +134,19 @@ def best_run(stats: DataFrame, run: str = "fold", score: str = "f1") -> DataFram
 
 def regression_results(df: DataFrame, y_true: str, y_pred: str, digits: int = 4) -> DataFrame:
     """Explained variance, mean squared log error, R2, MAE, MSE, RMSE
-    (rounded to ``digits``) and the median absolute error, in one aggregate."""
+    (rounded to ``digits``) in one aggregate, and the exact median absolute error
+    by distributed ranks of the distinct errors."""
     y, p = F.col(y_true).cast("double"), F.col(y_pred).cast("double")
     e = y - p
     a = df.agg(F.var_pop(e).alias("ve"), F.var_pop(y).alias("vy"), F.avg(F.abs(e)).alias("mae"),
-               F.avg(e * e).alias("mse"), F.avg(F.pow(F.log1p(y) - F.log1p(p), 2)).alias("msle"),
-               F.median(F.abs(e)).alias("medae"))
+               F.avg(e * e).alias("mse"), F.avg(F.pow(F.log1p(y) - F.log1p(p), 2)).alias("msle"))
+    median = ranked_value(df.select(F.abs(e).alias("_e")), "_e", [0.5])[0]
     r = lambda c: F.round(c, digits)
     return a.select(r(1 - F.try_divide(F.col("ve"), F.col("vy"))).alias("explained_variance"),
                     r(F.col("msle")).alias("mean_squared_log_error"),
                     r(1 - F.try_divide(F.col("mse"), F.col("vy"))).alias("r2"),
                     r(F.col("mae")).alias("mean_abs_err"), r(F.col("mse")).alias("mean_sq_err"),
-                    r(F.sqrt("mse")).alias("root_mse"), F.col("medae").alias("median_abs_err"))
+                    r(F.sqrt("mse")).alias("root_mse"), F.lit(median).cast("double").alias("median_abs_err"))
 
 
 def rounded_class_report(df: DataFrame, y_true: str, y_pred: str, divisor: float | None = None,

@@ -69,16 +69,12 @@ def binary_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """P29 by values: columns whose non-null values all lie in {0, 1}; an
     all-null column counts as binary.
 
-    A column is disproved by its first value outside {0, 1}: each test is a
-    ``filter(...).limit(1)``, which Spark evaluates partition by partition and
-    stops early, so a non-binary column usually costs one partition, not a
-    scan. Only truly binary columns are read in full."""
-    out = []
-    for c in cols:
-        bad = df.select(F.col(c)).filter(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)).limit(1).collect()
-        if not bad:
-            out.append(c)
-    return out
+    One aggregate for all columns; only one flag a column reaches the driver."""
+    cols = list(cols)
+    if not cols:
+        return []
+    row = df.agg(*[F.bool_and(F.col(c).isin(0, 1)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"b{i}"] is not False]
 
 
 # ------------------------------------------------------------------ windows --
@@ -94,7 +90,7 @@ def with_running_number(df: DataFrame, group: str, order: Sequence[str], name: s
 
     Skew-safe: a distributed running count (``ranks.running_sums``) instead of
     a window per subject, so a subject with a third of all rows is split over
-    many value buckets rather than sorted in one task."""
+    many partitions rather than sorted in one task."""
     from cohortlens.operators.ranks import running_sums
     order = list(order)
     r = running_sums(df.withColumn("_one", F.lit(1)), order[0], ["_one"], by=[group], tiebreak=order[1:])
@@ -108,7 +104,7 @@ def subject_aggregate(df: DataFrame, group: str, aggs: Sequence[Column], how: st
     rows themselves are never shuffled by subject."""
     from cohortlens.operators.joins import join_small
     per = df.groupBy(group).agg(*aggs)
-    return join_small(df, per, group, how, row_bytes=16 + 16 * len(aggs))
+    return join_small(df, per, group, how)
 
 
 def with_group_size(df: DataFrame, group: str, name: str = "size") -> DataFrame:
@@ -121,7 +117,7 @@ def keep_min_obs(df: DataFrame, group: str, min_obs: int = 3) -> DataFrame:
     (partial aggregation), then a semi join."""
     from cohortlens.operators.joins import join_small
     per = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_obs).select(group)
-    return join_small(df, per, group, "left_semi", row_bytes=16)
+    return join_small(df, per, group, "left_semi")
 
 
 def with_baseline(df: DataFrame, group: str, order: Sequence[str | Column], cols: Sequence[str],
@@ -138,12 +134,17 @@ def with_baseline(df: DataFrame, group: str, order: Sequence[str | Column], cols
 
 
 def join_baseline_rows(df: DataFrame, group: str, baseline_filter: Column, cols: Sequence[str],
-                       suffix: str = "_baseline") -> DataFrame:
-    """J6 join form: baseline rows chosen by a filter (e.g. ``centred == 1``)
+                       order: Sequence[str | Column], suffix: str = "_baseline") -> DataFrame:
+    """J6 join form: the baseline row chosen by a filter (e.g. ``centred == 1``)
     joined back to all rows of the subject, right-hand names suffixed (J5).
-    Several matching baseline rows multiply the subject's rows, as a join does."""
-    base = df.filter(baseline_filter).select(F.col(group), *[F.col(c).alias(c + suffix) for c in cols])
-    return df.join(base, on=group, how="left")
+    Of several rows that pass the filter the first in ``order`` is the baseline,
+    so each row comes out once; subjects without one get nulls."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    first = F.min_by(F.struct(*[F.col(c).alias(c + suffix) for c in cols]), F.struct(*keys)).alias("_first")
+    base = df.filter(baseline_filter).groupBy(group).agg(first)
+    from cohortlens.operators.joins import join_small
+    out = join_small(df, base, group, "left")
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"_first.{c}{suffix}") for c in cols])
 
 
 # ------------------------------------------------------------------ buckets --
@@ -243,12 +244,13 @@ def levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[s
 
 
 def dummyfy(df: DataFrame, cols: Sequence[str] | None = None, drop: bool = True, drop_first: bool = False,
-            level_map: dict[str, list[str]] | None = None) -> DataFrame:
+            level_map: dict[str, list[str]] | None = None, max_levels: int = 1000) -> DataFrame:
     """One 0/1 column ``<col>_<level>`` per level (sorted), null gives
     all zeros. ``drop=False`` keeps the source columns; ``drop_first`` leaves out
-    the first sorted level (reference coding for regression)."""
+    the first sorted level (reference coding for regression). A column with more
+    than ``max_levels`` levels is refused."""
     cols = text_columns(df) if cols is None else list(cols)
-    level_map = level_map or levels(df, cols)
+    level_map = level_map or levels(df, cols, max_levels)
     new = []
     for c in cols:
         lv = level_map[c][1:] if drop_first else level_map[c]
@@ -259,15 +261,12 @@ def dummyfy(df: DataFrame, cols: Sequence[str] | None = None, drop: bool = True,
 
 def dummyfy_modal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """P27 with ``force_bool``: one column per source, 1 where the value is the
-    modal level (smallest level on ties); source kept. One aggregate for all
-    modes."""
+    modal level (smallest level on ties); source kept."""
+    from cohortlens.operators.describe import modal_levels
     cols = list(cols)
-    row = df.agg(*[F.mode(F.col(c), True).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    new = []
-    for i, c in enumerate(cols):
-        m = row[f"m{i}"]
-        new.append(F.when(F.col(c) == F.lit(m), 1).otherwise(0).alias(f"{c}_{m}"))
-    return df.select("*", *new)
+    modes = modal_levels(df, cols)
+    return df.select("*", *[F.when(F.col(c).cast("string") == F.lit(modes[c]), 1).otherwise(0).alias(f"{c}_{modes[c]}")
+                            for c in cols])
 
 
 class LongitudinalPanel:

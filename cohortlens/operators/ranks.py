@@ -1,13 +1,13 @@
-"""Distributed running sums over an ordered column (used for midranks, the
-U statistic and anything else that needs "how many before me").
+"""Distributed running sums over an ordered column (midranks, the U statistic,
+running numbers, positions: anything that needs "how many before me").
 
-A window with ``orderBy`` and no ``partitionBy`` moves every row into one
-task. Instead the order column is cut into value buckets at approximate
-quantiles (one small aggregate, ``n_buckets - 1`` numbers to the driver);
-bucket totals give each bucket its offset (a table of ``groups x buckets``
-rows) and the running sum inside a bucket is a window partitioned by
-``(by..., bucket)``. A hot value is one row here, because callers pre-aggregate
-to distinct values first.
+A window with ``orderBy`` and no ``partitionBy`` moves every row into one task.
+Here the rows are range-partitioned by the whole order (groups, order column,
+tie-break), so ties and hot groups are split too, and the partition number is
+written down with the rows (a checkpoint: a second evaluation of a range
+partitioning may cut elsewhere). The running sum inside a partition is a window
+over that partition; what came before is one row for each partition that
+continues a group of the one before it: fewer rows than partitions.
 """
 
 from __future__ import annotations
@@ -17,58 +17,55 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def order_value(df: DataFrame, col: str):
-    """A numeric stand-in for ordering: timestamps and dates as epoch
-    microseconds / days, numbers as doubles."""
-    t = dict(df.dtypes)[col]
-    if t.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if t == "date":
-        return F.unix_date(F.col(col)).cast("double")
-    return F.col(col).cast("double")
-
-
-def value_buckets(df: DataFrame, order_col: str, n_buckets: int) -> list[float]:
-    """Approximate quantile cut points of ``order_col`` (sorted, distinct)."""
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(order_value(df, order_col), probs, 10000).alias("q")).first()
-    q = row["q"] or []
-    return sorted(set(float(x) for x in q if x is not None))
+from cohortlens.session import ensure_checkpoint_dir
 
 
 def running_sums(df: DataFrame, order_col: str, cols: Sequence[str], by: Sequence[str] = (),
                  n_buckets: int | None = None, suffix: str = "_cum", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add ``<c>_cum``: sum of ``c`` over rows up to this one in the order of
-    ``(order_col, *tiebreak)``, per ``by``. Without a tie-break, rows tied on
-    ``order_col`` must already be aggregated to one row. Tied values always
-    share a bucket (the bucket is a function of ``order_col``), so the order
-    inside a bucket is the global order."""
+    ``(order_col, *tiebreak)``, nulls first, per ``by`` (a null group is a
+    group). Rows equal in all of these are taken in any order."""
     by = list(by)
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     if n_buckets is None:
         n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cuts = value_buckets(df, order_col, n_buckets)
-    if cuts:
-        arr = F.array(*[F.lit(c) for c in cuts])
-        ov = order_value(df, order_col)
-        bucket = F.size(F.filter(arr, lambda b: b < ov))
-    else:
-        bucket = F.lit(0)
-    b = df.withColumn("_bk", bucket)
+    b = (df.repartitionByRange(n_buckets, *[F.col(c) for c in (*by, order_col, *tiebreak)])
+         .withColumn("_bk", F.spark_partition_id()).checkpoint())
     totals = b.groupBy(*by, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wo = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1) if by else \
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
-                                          for c in cols])
-    wi = (Window.partitionBy(*by, "_bk").orderBy(order_col, *tiebreak)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # offsets: one row per (group, bucket); broadcast when its counted size
-    # allows (always, without groups), else a shuffle join on (group, bucket),
-    # which spreads a hot group over its buckets
-    from cohortlens.operators.joins import join_small
-    j = join_small(b, offsets, [*by, "_bk"], "left", row_bytes=24 + 8 * len(cols) + 16 * len(by))
-    return j.select(*[F.col(c) for c in b.columns if c != "_bk"],
-                    *[(F.col(f"_o_{c}") + F.sum(c).over(wi)).alias(c + suffix) for c in cols])
+    before = Window.partitionBy(*by).orderBy("_bk")
+    offsets = (totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_bk").alias("_gb"),
+                             F.lag("_bk").over(before).alias("_continues"),
+                             *[F.sum(f"_t_{c}").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_o_{c}")
+                               for c in cols])
+               .where(F.col("_continues").isNotNull()))
+    inside = (Window.partitionBy(*by, "_bk").orderBy(order_col, *tiebreak)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col("_bk") == F.col("_gb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    # groups lie side by side in the range order, so only the first group of a
+    # partition can have begun before it: at most n_buckets rows
+    j = b.join(F.broadcast(offsets), same, "left")
+    return j.select(*[F.col(c) for c in df.columns],
+                    *[(F.coalesce(F.col(f"_o_{c}"), F.lit(0)) + F.sum(c).over(inside)).alias(c + suffix) for c in cols])
+
+
+def positions(values: DataFrame, col: str, name: str, start: int = 0) -> DataFrame:
+    """``(col, name)``: the place of each row of ``values`` in the order of ``col``."""
+    r = running_sums(values.select(F.col(col), F.lit(1).alias("_one")), col, ["_one"])
+    return r.select(col, (F.col("_one_cum") - 1 + start).cast("long").alias(name))
+
+
+def ranked_value(df: DataFrame, col: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of ``col`` (nulls left out), interpolated between the two
+    neighbouring ranks. Equal values are one row before anything is ordered."""
+    per = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(per, "_v", ["_n"]).select("_v", "_n_cum").checkpoint()
+    n = cum.agg(F.max("_n_cum")).first()[0]
+    if not n:
+        return [None for _ in shares]
+    at = [(n - 1) * s for s in shares]
+    need = sorted({int(a) + 1 for a in at} | {min(int(a) + 2, n) for a in at})
+    row = cum.agg(*[F.min(F.when(F.col("_n_cum") >= k, F.col("_v"))).alias(f"r{k}") for k in need]).first()
+    return [row[f"r{int(a) + 1}"] + (a - int(a)) * (row[f"r{min(int(a) + 2, n)}"] - row[f"r{int(a) + 1}"]) for a in at]

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from cohortlens.operators.joins import join_small
+
 TEST_TABLES = ("region nation customer supplier part orders lineitem events documents "
                "embeddings pages benchmark labels conversations").split()
 
@@ -57,7 +59,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     the name line of each file is found by its values, and each file keeps
     only the lines after it (row positions from ``monotonically_increasing_id``,
     which follows file order inside a split; one small row per file decides
-    the cut). Then the columns are cast to ``schema``.
+    the cut). A file without such a line is an error. Then the columns are cast to
+    ``schema``.
     """
     if header_line == 0:
         r = spark.read.option("header", True)
@@ -73,8 +76,10 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     for n in names:
         is_names = is_names & (F.col(n) == F.lit(n))
     cut = raw.filter(is_names).groupBy("_f").agg(F.min("_i").alias("_h"))
-    # one row per input file: a bounded table
-    body = raw.join(F.broadcast(cut), "_f").filter(F.col("_i") > F.col("_h"))
+    files = raw.select("_f").distinct().join(cut, "_f", "left_anti").limit(1).collect()
+    if files:
+        raise ValueError(f"no line of {files[0]['_f']} holds the column names {names}")
+    body = join_small(raw, cut, "_f").filter(F.col("_i") > F.col("_h"))
     return body.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -17,7 +17,7 @@ def test_split_is_deterministic_and_near_share(spark):
 def test_folds_disjoint_and_stratified(spark):
     rows = [(i, "x" if i % 10 < 7 else "y") for i in range(1000)]
     df = spark.createDataFrame(rows, "k int, lab string")
-    f = L.stratified_folds(df, "k", "lab", k=5, n_buckets=8).collect()
+    f = L.stratified_folds(df, "k", "lab", k=5).collect()
     assert len(f) == 1000 and len({r.k for r in f}) == 1000
     per = {}
     for r in f:

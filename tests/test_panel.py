@@ -59,10 +59,12 @@ def test_binary_columns(spark):
     assert P.binary_columns(df, ["a", "b", "c"]) == ["a", "c"]
 
 
-def test_join_baseline_rows_multiplies(spark):
-    df = spark.createDataFrame([(1, 1, 10.0), (1, 1, 11.0), (1, 2, 12.0)], "sid int, t int, v double")
-    out = P.join_baseline_rows(df, "sid", F.col("t") == 1, ["v"])
-    assert out.count() == 6
+def test_join_baseline_rows_takes_one(spark):
+    df = spark.createDataFrame([(1, 1, 10.0), (1, 1, 9.0), (1, 2, 12.0), (2, 3, 1.0)], "sid int, t int, v double")
+    out = P.join_baseline_rows(df, "sid", F.col("t") == 1, ["v"], ["t", "v"])
+    assert sorted((r.sid, r.t, r.v, r.v_baseline) for r in out.collect() if r.sid == 1) == [
+        (1, 1, 9.0, 9.0), (1, 1, 10.0, 9.0), (1, 2, 12.0, 9.0)]
+    assert [r.v_baseline for r in out.collect() if r.sid == 2] == [None]
 
 
 def test_hot_subject_running_number_and_baseline(spark):
