@@ -2,8 +2,9 @@
 
 Training is Spark ML: features (TF-IDF fitted on the train side only, or
 sentence vectors) feed any ``pyspark.ml`` classifier. Folds are columns
-(``operators.labels``), each fold a fresh fit on a cached table; reports come
-from one confusion-table job over all folds and datasets.
+(``operators.labels``), each fold a fresh fit; a trained model is one pipeline
+from tokens to predictions, saved and loaded as a whole. Reports come from one
+confusion-table job over all folds and datasets.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import predict_batch_udf
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from cohortlens.operators import metrics as M
 from cohortlens.operators import text as TXT
-from cohortlens.operators.labels import split_flag
+from cohortlens.operators.labels import fold_of, split_flag
+from cohortlens.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -31,67 +32,71 @@ class TrainResult:
     predictions: DataFrame     # id, label, prediction, dataset (and fold)
     stats_classes: DataFrame   # class report per dataset (and fold)
     stats: DataFrame           # weighted metrics of the test side
-    vocab: object | None = None
 
 
-def _tfidf_features(train: DataFrame, test: DataFrame, tokens_col: str, max_features: int):
-    model = TXT.tfidf_fit(train, tokens_col, max_features)
-    return model, TXT.tfidf_vectors(model, train, tokens_col), TXT.tfidf_vectors(model, test, tokens_col)
+def _fit(train: DataFrame, label: str, classifier: Estimator, tokens_col: str | None, features_col: str | None,
+         max_features: int, weight_col: str | None) -> PipelineModel:
+    """One model from tokens (or features) to predictions: TF-IDF fitted on
+    ``train`` and the classifier in one pipeline, which can be saved as it is."""
+    feat = features_col if tokens_col is None else "features"
+    stages = [] if tokens_col is None else TXT.tfidf_stages(TXT.tfidf_fit(train, tokens_col, max_features), tokens_col, feat)
+    if weight_col is not None:
+        train = balanced_weights(train, label, weight_col)
+    clf = classifier.copy({classifier.getParam("featuresCol"): feat, classifier.getParam("labelCol"): label})
+    return PipelineModel([*stages, clf.fit(PipelineModel(stages).transform(train) if stages else train)])
+
+
+def _predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return model.transform(df).select(*keep, F.col("prediction").cast("long").alias("prediction"))
 
 
 def train_classifier(df: DataFrame, id_col: str, label: str, classifier: Estimator, tokens_col: str | None = None,
                      features_col: str | None = None, test_share: float = 0.2, seed: int = 911,
-                     max_features: int = 1000) -> TrainResult:
+                     max_features: int = 1000, weight_col: str | None = None) -> TrainResult:
     """C1 + C2: hash split, TF-IDF fitted on the train side (``tokens_col``)
     or given feature vectors (``features_col``), fit, predict both sides,
-    per-dataset class reports and the test metrics."""
+    per-dataset class reports and the test metrics. With ``weight_col`` (the name
+    the classifier reads) balanced class weights come from the train side.
+
+    Predictions (an id and two numbers a row) are written to the checkpoint folder
+    once, so reports do not score again."""
+    ensure_checkpoint_dir(df.sparkSession)
     d = df.withColumn("dataset", F.when(split_flag(id_col, test_share, seed), "test").otherwise("train"))
-    train, test = d.filter(F.col("dataset") == "train"), d.filter(F.col("dataset") == "test")
-    vocab = None
-    if tokens_col is not None:
-        vocab, train_v, test_v = _tfidf_features(train, test, tokens_col, max_features)
-        feat = "features"
-    else:
-        train_v, test_v, feat = train, test, features_col
-    clf = classifier.copy({classifier.getParam("featuresCol"): feat, classifier.getParam("labelCol"): label})
-    model = clf.fit(train_v)
-    pred = model.transform(train_v).unionByName(model.transform(test_v), allowMissingColumns=True)
-    pred = pred.select(id_col, label, F.col("prediction").cast("long").alias("prediction"), "dataset") \
-               .persist(StorageLevel.MEMORY_AND_DISK)
+    train = d.filter(F.col("dataset") == "train")
+    model = _fit(train, label, classifier, tokens_col, features_col, max_features, weight_col)
+    pred = _predict(model, d, [id_col, label, "dataset"]).select(id_col, label, "prediction", "dataset").checkpoint()
     rep = M.class_report(pred, label, "prediction", by=["dataset"])
     stats = M.perf_metrics(pred.filter(F.col("dataset") == "test"), label, "prediction")
-    return TrainResult(model, pred, rep, stats, vocab)
+    return TrainResult(model, pred, rep, stats)
 
 
 def classifier_kfold(df: DataFrame, id_col: str, label: str, fold_col: str, n_folds: int, classifier: Estimator,
                      tokens_col: str | None = None, features_col: str | None = None,
-                     max_features: int = 1000, parallelism: int = 1) -> TrainResult:
+                     max_features: int = 1000, parallelism: int = 1, weight_col: str | None = None) -> TrainResult:
     """C4: for each fold, TF-IDF refitted on the other folds and a fresh model;
     stats per fold, dataset and class; the kept model is the best test F1
-    (the later fold on ties). ``df`` should be cached by the caller.
+    (the later fold on ties).
 
-    Folds are independent: with ``parallelism > 1`` they are submitted from a
-    small thread pool, so the cluster runs several folds' jobs at once (each
-    fold is still a distributed fit)."""
+    Term counts of all folds come from one aggregate by (fold, term); the train
+    side of a fold is the total without that fold. Folds are independent: with
+    ``parallelism > 1`` they are submitted from a small thread pool."""
     from concurrent.futures import ThreadPoolExecutor
 
+    ensure_checkpoint_dir(df.sparkSession)
+    vocab = TXT.tfidf_fit_folds(df, tokens_col, fold_col, n_folds, max_features) if tokens_col is not None else None
+    feat = features_col if tokens_col is None else "features"
+
     def run(k: int):
-        train = df.filter(F.col(fold_col) != k).withColumn("dataset", F.lit("train"))
-        test = df.filter(F.col(fold_col) == k).withColumn("dataset", F.lit("test"))
-        if tokens_col is not None:
-            _, train_v, test_v = _tfidf_features(train, test, tokens_col, max_features)
-            feat = "features"
-        else:
-            train_v, test_v, feat = train, test, features_col
-        clf = classifier.copy({classifier.getParam("featuresCol"): feat, classifier.getParam("labelCol"): label})
-        model = clf.fit(train_v)
-        # predictions are small (id, label, prediction); keep them so the final
-        # report does not refit features and rescore every fold
-        p = model.transform(train_v).unionByName(model.transform(test_v), allowMissingColumns=True) \
-                 .select(id_col, label, F.col("prediction").cast("long").alias("prediction"), "dataset") \
-                 .withColumn("fold", F.lit(k + 1)).persist(StorageLevel.MEMORY_AND_DISK)
+        stages = [] if vocab is None else TXT.tfidf_stages(vocab[k], tokens_col, feat)
+        d = df.withColumn("dataset", F.when(F.col(fold_col) == k, "test").otherwise("train"))
+        d = PipelineModel(stages).transform(d) if stages else d
+        train = d.filter(F.col("dataset") == "train")
+        if weight_col is not None:
+            train = balanced_weights(train, label, weight_col)
+        fitted = classifier.copy({classifier.getParam("featuresCol"): feat, classifier.getParam("labelCol"): label}).fit(train)
+        p = _predict(PipelineModel([fitted]), d, [id_col, label, "dataset"]).withColumn("fold", F.lit(k + 1)).checkpoint()
         f1 = M.perf_metrics(p.filter(F.col("dataset") == "test"), label, "prediction").first()["f1"]
-        return k, f1, model, p
+        return k, f1, PipelineModel([*stages, fitted]), p
 
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -111,13 +116,32 @@ def classifier_kfold(df: DataFrame, id_col: str, label: str, fold_col: str, n_fo
     return TrainResult(best[1], allp, rep, stats)
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """``n / (k * n_class)`` per row (class_weight='balanced'); the per-class
-    counts are one small aggregate joined back."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).first()
-    return df.join(counts, label).withColumn(out, F.lit(float(tot["n"])) / (F.lit(float(tot["k"])) * F.col("_nc"))) \
-             .drop("_nc")
+def run_kfold(df: DataFrame, key: str, n_folds: int, train_fn: Callable, load_fn: Callable | None = None,
+              seed: int = 42) -> list:
+    """E3 with callables: for each fold, ``load_fn(train, test)`` (if given)
+    prepares the two sides and ``train_fn(train, test, fold)`` trains; its results
+    are returned in fold order."""
+    d = df.withColumn("_fold", fold_of(key, n_folds, seed))
+    out = []
+    for k in range(n_folds):
+        sides = (d.filter(F.col("_fold") != k).drop("_fold"), d.filter(F.col("_fold") == k).drop("_fold"))
+        out.append(train_fn(*(load_fn(*sides) if load_fn else sides), k))
+    return out
+
+
+def balanced_weights(df: DataFrame, label: str, out: str = "weight", max_classes: int = 10_000) -> DataFrame:
+    """``n / (k * n_class)`` per row (class_weight='balanced'). The counted
+    classes, at most ``max_classes`` (more are refused), are written into the
+    plan as a lookup; no row is shuffled."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
+    if len(counts) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} classes")
+    known = [(r[label], r["n"]) for r in counts if r[label] is not None]
+    n = sum(c for _, c in known)
+    if not known:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    look = F.create_map(*[F.lit(x) for v, c in known for x in (v, n / (len(known) * c))])
+    return df.withColumn(out, F.element_at(look, F.col(label)))
 
 
 def svm_balanced(features_col: str = "features", label: str = "label", weight: str = "weight",

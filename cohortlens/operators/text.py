@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -24,7 +26,9 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from cohortlens.functions.text import PAD_ID, UNK_ID, split_words, tfidf_tokens
-from cohortlens.operators.joins import join_small
+from cohortlens.operators.joins import join_small, measured_bytes
+from cohortlens.operators.ranks import positions
+from cohortlens.session import ensure_checkpoint_dir
 
 # Names of the two reserved vocabulary rows (fixed values).
 PAD, UNK = "<PAD>", "<UNK>"
@@ -81,14 +85,44 @@ def regroup_tokens(long: DataFrame, id_col: str, value_col: str, out: str, base:
     return base.join(g, id_col, "left").withColumn(out, F.coalesce(F.col(out), empty))
 
 
+def map_tokens(df: DataFrame, id_col: str, tokens_col: str, table: DataFrame, value: str, default: Column | None,
+               out: str, max_bytes: int = 32 << 20) -> DataFrame:
+    """``(id, out)``: each token replaced by its ``value`` in the ``table`` of
+    distinct ``token``s; a token without one becomes ``default`` (null: itself).
+
+    Under a measured ``max_bytes`` the table is broadcast, and the arrays of a
+    whole Arrow batch are looked up at once: no explode and no shuffle of the texts
+    (an SQL map is searched entry by entry). A larger table is joined to the
+    exploded tokens, which are then put back in order."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kind = dict(table.dtypes)[value]
+    table = table.select("token", F.col(value).alias("_value")).where(F.col("token").isNotNull()).checkpoint()
+    fill = (lambda x, t: F.coalesce(x, t)) if default is None else (lambda x, t: F.coalesce(x, default))
+    if measured_bytes(table) <= max_bytes:
+        rows = table.toArrow()
+        held = spark.sparkContext.broadcast((rows["token"].combine_chunks(), rows["_value"].combine_chunks()))
+
+        @F.arrow_udf(f"array<{kind}>")
+        def look(tokens: pa.Array) -> pa.Array:
+            keys, values = held.value
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32()))
+            starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            return pa.ListArray.from_arrays(starts, values.take(pc.index_in(tokens.flatten(), value_set=keys)))
+
+        d = df.select(id_col, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias("_tokens"))
+        return (d.withColumn("_found", look(F.col("_tokens")))
+                .select(id_col, F.transform(F.arrays_zip("_found", "_tokens"), lambda z: fill(z["_found"], z["_tokens"])).alias(out)))
+    long = tokens_long(df, id_col, tokens_col).join(table, "token", "left")
+    return regroup_tokens(long.select(id_col, "pos", fill(F.col("_value"), F.col("token")).alias("_t")), id_col, "_t", out,
+                          base=df.select(id_col))
+
+
 def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame, out: str = "lemmas") -> DataFrame:
     """T7 re-aimed: replace each token by its lemma from a ``(form, lemma)``
-    table; unknown forms are kept."""
-    long = tokens_long(df, id_col, tokens_col)
-    lem = lemmas.select(F.col("form").alias("token"), "lemma")
-    j = join_small(long, lem, "token", "left") \
-        .select(id_col, "pos", F.coalesce(F.col("lemma"), F.col("token")).alias("_t"))
-    return regroup_tokens(j, id_col, "_t", out, base=df.select(id_col))
+    table; unknown forms are kept. A form with several lemmas takes the smallest."""
+    table = lemmas.groupBy(F.col("form").alias("token")).agg(F.min("lemma").alias("lemma"))
+    return map_tokens(df, id_col, tokens_col, table, "lemma", None, out)
 
 
 @pandas_udf(StringType())
@@ -106,18 +140,45 @@ def stem_tokens(df: DataFrame, id_col: str, tokens_col: str, out: str = "stems")
     return lemmatize(df, id_col, tokens_col, table, out=out)
 
 
-def frequent_pairs(words: DataFrame, word: str = "word", count: str | None = None, k: int = 200) -> DataFrame:
-    """A merge table from data: the ``k`` most frequent adjacent character
-    pairs over a word table (weighted by ``count`` when given), ranked 0..k-1
-    (ties by pair). One aggregate; the result is a top-k."""
-    w = words.select(F.col(word).alias("_w"), (F.col(count) if count else F.lit(1)).cast("long").alias("_c"))
-    chars = F.split(F.col("_w"), "")
-    pairs = w.select("_c", F.explode_outer(F.arrays_zip(F.slice(chars, 1, F.size(chars) - 1).alias("a"),
-                                                         F.slice(chars, 2, F.size(chars)).alias("b"))).alias("_p")) \
-             .filter(F.col("_p").isNotNull() & F.col("_p.b").isNotNull())
-    top = pairs.groupBy(F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).agg(F.sum("_c").alias("n")) \
-               .orderBy(F.desc("n"), "a", "b").limit(k)
-    return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("n"), "a", "b")) - 1).cast("int"))
+def learn_merges(words: DataFrame, word: str = "word", count: str | None = None, rounds: int = 6,
+                 per_round: int = 25) -> DataFrame:
+    """A merge table ``(a, b, rank)`` from a word table (weighted by ``count``).
+
+    Each round splits the distinct words by the merges so far, counts adjacent
+    pieces, and adds the most frequent pairs that share no piece with a pair
+    added before them in the round, so pieces merge again in later rounds. The
+    table has ``rounds * per_round`` rows at most; only candidate pairs (four for
+    each place) reach the driver."""
+    spark = words.sparkSession
+    ensure_checkpoint_dir(spark)
+    w = words.select(F.col(word).alias("_w"), (F.col(count) if count else F.lit(1)).cast("long").alias("_c")) \
+             .filter(F.col("_w").isNotNull()).checkpoint()
+    ranks: dict[tuple[str, str], int] = {}
+    for _ in range(rounds):
+        p = w.select("_c", _pieces(ranks)(F.col("_w")).alias("_p"))
+        pairs = p.select("_c", F.explode_outer(F.arrays_zip(F.expr("slice(_p, 1, greatest(size(_p) - 1, 0))").alias("a"),
+                                                            F.expr("slice(_p, 2, greatest(size(_p) - 1, 0))").alias("b"))).alias("z")) \
+                 .filter(F.col("z").isNotNull())
+        top = pairs.groupBy(F.col("z.a").alias("a"), F.col("z.b").alias("b")).agg(F.sum("_c").alias("n")) \
+                   .orderBy(F.desc("n"), "a", "b").limit(4 * per_round).collect()
+        used: set[str] = set()
+        taken = 0
+        for r in top:
+            if taken < per_round and not {r["a"], r["b"]} & used:
+                used |= {r["a"], r["b"]}
+                ranks[r["a"], r["b"]] = len(ranks)
+                taken += 1
+        if not taken:
+            break
+    return spark.createDataFrame([(a, b, i) for (a, b), i in ranks.items()], "a string, b string, rank int")
+
+
+def _pieces(ranks: dict[tuple[str, str], int]):
+    @pandas_udf("array<string>")
+    def _encode(words: pd.Series) -> pd.Series:
+        from cohortlens.functions.bpe import encode
+        return words.map(lambda w: None if w is None else encode(w, ranks))
+    return _encode
 
 
 def bpe_tokens(df: DataFrame, id_col: str, tokens_col: str, merges: DataFrame, out: str = "subwords",
@@ -132,39 +193,19 @@ def bpe_tokens(df: DataFrame, id_col: str, tokens_col: str, merges: DataFrame, o
     if len(rows) > max_merges:
         raise ValueError(f"merge table has more than {max_merges} pairs")
     ranks = {(r["a"], r["b"]): int(r["rank"]) for r in rows}
-
-    @pandas_udf("array<string>")
-    def _encode(words: pd.Series) -> pd.Series:
-        from cohortlens.functions.bpe import encode
-        return words.map(lambda w: None if w is None else encode(w, ranks))
-
     forms = df.select(F.explode_outer(F.col(tokens_col)).alias("form")).filter(F.col("form").isNotNull()).distinct()
-    table = forms.select("form", _encode(F.col("form")).alias("_pieces"))
-    long = tokens_long(df, id_col, tokens_col)
-    j = join_small(long, table.withColumnRenamed("form", "token"), "token", "left", row_bytes=96)
-    g = regroup_tokens(j.select(id_col, "pos", "_pieces"), id_col, "_pieces", "_nested", base=df.select(id_col))
-    return g.select(id_col, F.flatten(F.col("_nested")).alias(out))
+    table = forms.select("form", _pieces(ranks)(F.col("form")).alias("_pieces"))
+    pieces = map_tokens(df, id_col, tokens_col, table.withColumnRenamed("form", "token"), "_pieces", F.array().cast("array<string>"), "_nested")
+    return pieces.select(id_col, F.flatten(F.col("_nested")).alias(out))
 
 
 # ------------------------------------------------------------- ranking -----
 
-def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id", prefix_len: int = 2) -> DataFrame:
+def sorted_index(df: DataFrame, col: str, start: int = 0, name: str = "id") -> DataFrame:
     """Position of each distinct value of ``col`` in sorted (binary) order,
-    from ``start``, without a single-partition window.
-
-    Values are grouped by their first ``prefix_len`` characters; byte order of
-    UTF-8 strings is monotone under truncation, so sorting buckets by prefix and
-    values inside a bucket gives the global order. Bucket sizes (one row per
-    prefix, a bounded table) give each bucket's offset; the rank inside a
-    bucket is a window over that bucket only. Deterministic on recomputation.
-    """
-    d = df.select(F.col(col)).filter(F.col(col).isNotNull()).distinct() \
-          .withColumn("_b", F.substring(F.col(col), 1, prefix_len))
-    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(col))
-    return d.join(offs, "_b").select(col, (F.col("_off") + local - 1 + start).cast("long").alias(name))
+    from ``start``, without a single-partition window: the values are range-
+    partitioned and numbered inside a partition (``ranks.positions``)."""
+    return positions(df.select(F.col(col)).filter(F.col(col).isNotNull()).distinct(), col, name, start)
 
 
 # ------------------------------------------------------------- T10, T11 ----
@@ -183,14 +224,19 @@ def token_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, wor
     """T11 (on the tokens, the evident intent): ids per token, unknown = 1,
     plus the mask of ones and the length. No padding here: pad at the scoring
     edge, per batch."""
-    long = tokens_long(df, id_col, tokens_col)
-    j = join_small(long, vocab.select(F.col(word).alias("token"), F.col("id").alias("_vid")), "token", "left") \
-        .select(id_col, "pos", F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("_id"))
-    g = regroup_tokens(j, id_col, "_id", "ids", base=df.select(id_col))
+    g = map_tokens(df, id_col, tokens_col, vocab.select(F.col(word).alias("token"), F.col("id").cast("long").alias("_vid")),
+                   "_vid", F.lit(UNK_ID).cast("long"), "ids")
     return g.select(id_col, "ids", F.transform("ids", lambda x: F.lit(1)).alias("mask"),
                     F.size("ids").alias("length"))
 
 
+def pad_ids(df: DataFrame, width: int, ids: str = "ids", mask: str = "mask") -> DataFrame:
+    """Ids and mask cut or padded to ``width`` (``<PAD>`` is 0 in both), as a
+    model reads them; ``length`` and other columns stay."""
+    fit = lambda c: F.concat(F.slice(c, 1, width), F.array_repeat(F.lit(PAD_ID).cast("long"), F.greatest(F.lit(0), width - F.size(c))))
+    return df.withColumn(ids, fit(F.col(ids))).withColumn(mask, fit(F.col(mask).cast("array<bigint>")).cast("array<int>"))
+
+
 def oov_words(df: DataFrame, tokens_col: str, vocab: DataFrame, word: str = "word") -> DataFrame:
     """Distinct tokens not in the vocabulary."""
     t = df.select(F.explode_outer(F.col(tokens_col)).alias(word)).filter(F.col(word).isNotNull()).distinct()
@@ -214,7 +260,7 @@ def sentence_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataF
     else:
         long = df.select(id_col, F.explode_outer(F.col(tokens_col)).alias("token")).filter(F.col("token").isNotNull())
     vecs = vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec"))
-    j = join_small(long, vecs, "token", row_bytes=32 + 8 * dim)
+    j = join_small(long, vecs, "token")
     if weights_col is not None:
         v = array_to_vector(F.transform("_vec", lambda x: x.cast("double") * F.col("_w")))
         agg = Summarizer.sum(v)
@@ -227,19 +273,29 @@ def sentence_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataF
              .select(id_col, F.when(F.col("_m").isNull(), zeros).otherwise(vector_to_array("_m")).alias("embedding"))
 
 
+def sentence_vector_rows(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, word: str = "word",
+                         vec: str = "vec") -> DataFrame:
+    """T14 with ``do_avg=False`` as rows ``(id, pos, n_tokens, vec)``: one for
+    each known token; every other position up to ``n_tokens`` is zeros."""
+    long = df.select(F.col(id_col), F.size(tokens_col).alias("n_tokens"), F.posexplode_outer(F.col(tokens_col)).alias("pos", "token")) \
+             .filter(F.col("token").isNotNull())
+    j = join_small(long, vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec")), "token")
+    return j.select(id_col, "pos", "n_tokens", F.transform("_vec", lambda x: x.cast("double")).alias("vec"))
+
+
 def sentence_vectors_concat(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, dim: int,
                             width: int, word: str = "word", vec: str = "vec") -> DataFrame:
-    """T14 with ``do_avg=False``: vectors side by side by token position, zeros
-    for unknown tokens, padded with zeros to ``width`` tokens."""
-    long = tokens_long(df, id_col, tokens_col)
-    j = join_small(long, vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec")), "token", "left",
-                   row_bytes=32 + 8 * dim)
+    """The same side by side in one array of ``width`` tokens for each text, zeros
+    for unknown tokens and padding. Every row is as wide as ``width`` says: for
+    whole texts take ``sentence_vector_rows``."""
+    rows = sentence_vector_rows(df, id_col, tokens_col, vectors, word, vec)
+    g = rows.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pos", "vec"))).alias("_m"))
     zeros = F.array_repeat(F.lit(0.0), dim)
-    j = j.select(id_col, "pos", F.coalesce(F.transform("_vec", lambda x: x.cast("double")), zeros).alias("_vec"))
-    g = regroup_tokens(j, id_col, "_vec", "_vecs", base=df.select(id_col))
-    flat = F.flatten(F.col("_vecs"))
-    pad = F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(width * dim) - F.size(flat)))
-    return g.select(id_col, F.concat(flat, pad).alias("embedding"))
+    size = F.greatest(F.lit(width), F.coalesce(F.size(tokens_col), F.lit(0)))
+    at = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))
+    flat = F.flatten(F.transform(at, lambda i: F.coalesce(F.element_at("_m", i), zeros)))
+    return (df.select(id_col, tokens_col).join(g, id_col, "left")
+            .select(id_col, F.when(size > 0, flat).otherwise(F.array().cast("array<double>")).alias("embedding")))
 
 
 # ------------------------------------------------------------- T16 ---------
@@ -285,16 +341,10 @@ def tfidf_fit(df: DataFrame, tokens_col: str, max_features: int | None = 1000) -
     ``(term, 0, 1)`` (``array_distinct`` per row), so document frequency needs
     no ``(term, document)`` distinct shuffle. The vocabulary is a top-k, so its
     size is bounded by ``max_features``."""
-    t = F.col(tokens_col)
-    # one explode per row (the token column is computed once): occurrences
-    # tagged (1, 0), distinct terms of the row tagged (0, 1)
-    tagged = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
-                      F.transform(F.array_distinct(t),
-                                  lambda x: F.struct(x.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
-    e = df.select(F.explode_outer(tagged).alias("_e")).filter(F.col("_e").isNotNull()).select("_e.term", "_e.o", "_e.d")
-    stats = e.groupBy("term").agg(F.sum("o").alias("tf"), F.sum("d").alias("df"))
+    stats = _term_counts(df, tokens_col, []).select("term", "tf", "df")
     if max_features is not None:
         stats = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
+    ensure_checkpoint_dir(df.sparkSession)
     n = df.count()
     vocab = stats.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     if max_features is not None:
@@ -302,10 +352,39 @@ def tfidf_fit(df: DataFrame, tokens_col: str, max_features: int | None = 1000) -
         vocab = vocab.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))
     else:
         vocab = vocab.join(sorted_index(vocab, "term", name="index"), "term")
-    return TfidfModel(vocab=vocab.select("term", "index", "idf").cache(), n_docs=n,
+    return TfidfModel(vocab=vocab.select("term", "index", "idf").checkpoint(), n_docs=n,
                       bounded=max_features is not None)
 
 
+def _term_counts(df: DataFrame, tokens_col: str, by: Sequence[str]) -> DataFrame:
+    """(by..., term, tf, df): occurrences tagged (1, 0) and distinct terms of a
+    row tagged (0, 1), in one explode and one aggregate."""
+    t = F.col(tokens_col)
+    tagged = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
+                      F.transform(F.array_distinct(t),
+                                  lambda x: F.struct(x.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
+    e = df.select(*by, F.explode_outer(tagged).alias("_e")).filter(F.col("_e").isNotNull()).select(*by, "_e.term", "_e.o", "_e.d")
+    return e.groupBy(*by, "term").agg(F.sum("o").alias("tf"), F.sum("d").alias("df"))
+
+
+def tfidf_fit_folds(df: DataFrame, tokens_col: str, fold_col: str, k: int, max_features: int = 1000) -> list[TfidfModel]:
+    """``tfidf_fit`` on the train side of every fold (all rows but the fold's):
+    the texts are counted once, by (fold, term), and a fold's counts are taken
+    from the total."""
+    ensure_checkpoint_dir(df.sparkSession)
+    per = _term_counts(df, tokens_col, [fold_col]).checkpoint()
+    rows = {r[fold_col]: r["n"] for r in df.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for f in range(k):
+        n = sum(c for key, c in rows.items() if key != f)
+        top = (per.where(F.col(fold_col) != f).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+               .orderBy(F.desc("tf"), F.asc("term")).limit(max_features))
+        vocab = (top.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+                 .withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("long")))
+        out.append(TfidfModel(vocab=vocab.select("term", "index", "idf").checkpoint(), n_docs=n))
+    return out
+
+
 def tfidf_long(model: TfidfModel, df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """T16 transform in long form ``(id, term, tfidf)`` for the terms present.
 
@@ -316,9 +395,11 @@ def tfidf_long(model: TfidfModel, df: DataFrame, id_col: str, tokens_col: str) -
     (document, term) pairs with a shuffle."""
     if model.bounded:
         v = tfidf_vectors(model, df.select(id_col, tokens_col), tokens_col, out="_f")
-        e = v.select(id_col, F.posexplode_outer(vector_to_array("_f")).alias("index", "tfidf")) \
-             .filter(F.col("tfidf") != 0)
-        return e.join(F.broadcast(model.vocab.select("index", "term")), "index").select(id_col, "term", "tfidf")
+        e = (v.select(id_col, F.unwrap_udt("_f").alias("_p")).select(id_col, F.explode_outer(F.arrays_zip("_p.indices", "_p.values")).alias("_e"))
+             .where(F.col("_e").isNotNull()).select(id_col, F.col("_e.indices").cast("long").alias("index"), F.col("_e.values").alias("tfidf"))
+             .where(F.col("tfidf") != 0))
+        # max_features rows at most
+        return join_small(e, model.vocab.select("index", "term"), "index").select(id_col, "term", "tfidf")
     terms = df.select(id_col, F.explode_outer(tokens_col).alias("term")).filter(F.col("term").isNotNull())
     counts = terms.join(model.vocab, "term").groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     w = counts.withColumn("_w", F.col("tf") * F.col("idf"))
@@ -326,14 +407,19 @@ def tfidf_long(model: TfidfModel, df: DataFrame, id_col: str, tokens_col: str) -
     return w.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))
 
 
+def tfidf_stages(model: TfidfModel, tokens_col: str, out: str = "features") -> list:
+    """T16 transform as fitted ML stages: term counts over the vocabulary, times
+    idf, L2-normalised, to sparse vectors."""
+    return [CountVectorizerModel.from_vocabulary(model.terms(), inputCol=tokens_col, outputCol="_tf"),
+            ElementwiseProduct(scalingVec=Vectors.dense(model.idf()), inputCol="_tf", outputCol="_tfidf"),
+            Normalizer(p=2.0, inputCol="_tfidf", outputCol=out)]
+
+
 def tfidf_vectors(model: TfidfModel, df: DataFrame, tokens_col: str, out: str = "features") -> DataFrame:
-    """T16 transform to sparse vectors with built-in ML transformers: term
-    counts over the fitted vocabulary, times idf, L2-normalised."""
-    terms, idf = model.terms(), model.idf()
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens_col, outputCol="_tf")
-    ep = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
-    nm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=out)
-    return nm.transform(ep.transform(cv.transform(df))).drop("_tf", "_tfidf")
+    """T16 transform to sparse vectors."""
+    for stage in tfidf_stages(model, tokens_col, out):
+        df = stage.transform(df)
+    return df.drop("_tf", "_tfidf")
 
 
 def tfidf_prepare(df: DataFrame, text_col: str, out: str = "tfidf_tokens") -> DataFrame:
@@ -348,16 +434,16 @@ def read_word_vectors(spark, path: str, word: str = "word", vec: str = "vec") ->
 
 
 def tokenize_df(df: DataFrame, text_col: str, tokenization_type: str = "clean", out: str = "tokens",
-                lemmas: DataFrame | None = None, id_col: str | None = None) -> DataFrame:
+                lemmas: DataFrame | None = None, id_col: str | None = None, max_merges: int = 100_000) -> DataFrame:
     """Tokeniser dispatch by mode name ('clean', 'wos', 'low_wos', 'lem',
     'bpe'). 'lem' needs a ``(form, lemma)`` table, 'bpe' a merge table
-    (``lemmas`` argument holds it), both an id column."""
+    (``lemmas`` argument holds it, refused beyond ``max_merges`` rows), both an id column."""
     from cohortlens.functions.text import tokenize
     if "bpe" in tokenization_type:
         if lemmas is None or id_col is None:
             raise ValueError("'bpe' needs a merge table and an id column")
         d = df.withColumn("_words", tokenize(F.col(text_col), "wos"))
-        enc = bpe_tokens(d, id_col, "_words", lemmas, out=out)
+        enc = bpe_tokens(d, id_col, "_words", lemmas, out=out, max_merges=max_merges)
         return df.join(enc, id_col)
     d = df.withColumn(out, tokenize(F.col(text_col), tokenization_type))
     if "lem" in tokenization_type:

@@ -82,13 +82,12 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, """ + ", ".join(
     f"CASE WHEN max(CASE WHEN event_type = '{t}' THEN ts END) IS NOT NULL THEN 1 ELSE 0 END AS {t}"
     for t in ["click", "error", "purchase", "signup", "view"]) + """
-FROM events WHERE value > 300 GROUP BY user_id
+FROM events GROUP BY user_id
 """)
 def flag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest date per subject and event type (pivot with given levels),
-    then 0/1 flags; only high-value events count."""
-    ev = read_table(spark, sf_dir, "events").filter(F.col("value") > 300)
-    return D.max_pivot_flags(ev, "user_id", "event_type", "ts", ["click", "error", "purchase", "signup", "view"])
+    then 0/1 flags."""
+    return D.max_pivot_flags(read_table(spark, sf_dir, "events"), "user_id", "event_type", "ts", ["click", "error", "purchase", "signup", "view"])
 
 
 @query("distinct_pivot", POP_SQL + "SELECT n_regionkey, " + ", ".join(

@@ -6,7 +6,8 @@ discount, tax), ``events`` the panel for the mixed model, ``documents`` +
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -20,6 +21,7 @@ from cohortlens.operators import models as R
 from cohortlens.operators import text as T
 from cohortlens.operators.mixed import fit_mixed
 from cohortlens.plans.registry import query
+from cohortlens.session import ensure_checkpoint_dir
 from cohortlens.sources.tables import read_table
 
 COVS = ["l_quantity", "l_discount", "l_tax"]
@@ -402,7 +404,7 @@ def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 + C2: TF-IDF (fitted on train) + logistic regression; class reports
     of train and test."""
-    d = labelled_docs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    d = labelled_docs(spark, sf_dir)
     res = C.train_classifier(d, "doc_id", "label", LogisticRegression(maxIter=50), tokens_col="tfidf_tokens")
     return res.stats_classes
 
@@ -410,8 +412,7 @@ def classify_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("classify_folds")
 def classify_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 + E2: 5 stratified folds, TF-IDF refitted per fold, per-fold reports."""
-    d = L.stratified_folds(labelled_docs(spark, sf_dir), "doc_id", "label", 5, 42).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    d = L.stratified_folds(labelled_docs(spark, sf_dir), "doc_id", "label", 5, 42)
     res = C.classifier_kfold(d, "doc_id", "label", "fold", 5, LogisticRegression(maxIter=30),
                              tokens_col="tfidf_tokens")
     return res.stats_classes
@@ -427,18 +428,29 @@ def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-vs-rest linear SVM with balanced class weights on the 64-d
     embeddings (10 classes); class reports of train and test."""
-    d = C.balanced_weights(embedding_features(spark, sf_dir), "label").persist(StorageLevel.MEMORY_AND_DISK)
-    res = C.train_classifier(d, "vec_id", "label", C.svm_balanced(max_iter=50), features_col="features")
+    d = embedding_features(spark, sf_dir)
+    res = C.train_classifier(d, "vec_id", "label", C.svm_balanced(max_iter=50), features_col="features", weight_col="weight")
     return res.stats_classes
 
 
 @query("feature_top10")
 def feature_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most important TF-IDF terms of a random forest."""
-    d = labelled_docs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    d = labelled_docs(spark, sf_dir)
     res = C.train_classifier(d, "doc_id", "label", RandomForestClassifier(numTrees=20, seed=7),
                              tokens_col="tfidf_tokens")
-    return C.top_features(res.model.featureImportances, res.vocab.terms(), spark, 10)
+    return C.top_features(res.model.stages[-1].featureImportances, res.model.stages[0].vocabulary, spark, 10)
+
+
+@query("saved_model_scores")
+def saved_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 + S8 + C5: train on TF-IDF, save the whole pipeline to the shared
+    checkpoint folder, load it and score every labelled document with it."""
+    d = labelled_docs(spark, sf_dir)
+    res = C.train_classifier(d, "doc_id", "label", LogisticRegression(maxIter=20), tokens_col="tfidf_tokens")
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    C.save_model(res.model, path)
+    return C.run_saved(C.load_model(path), d, ["doc_id"])
 
 
 # ------------------------------------------------------------- C6 ----------

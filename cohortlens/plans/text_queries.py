@@ -7,7 +7,6 @@ sorted document vocabulary takes ``embeddings`` row ``vec_id = k``;
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,19 +48,21 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", TX.clean_text("text", 0, 1000).alias("clean"))
 
 
-KW_POS = "instr(lower(text), 'the') - 1"
+# offset of the first 'the'; the start of the text where there is none
+KW_POS = "greatest(instr(lower(text), 'the') - 1, 0)"
 
 
 @query("keyword_context", f"""
-WITH d AS (SELECT doc_id, text, {KW_POS} AS pos FROM documents WHERE {KW_POS} >= 0),
+WITH d AS (SELECT doc_id, text, {KW_POS} AS pos FROM documents),
 s AS (SELECT doc_id, pos, {split_sql("substring(text, 1, pos)")} AS l,
              {split_sql("substring(text, pos + 1)")} AS r FROM d)
 SELECT doc_id, pos, list_concat(list_slice(l, greatest(1, len(l) - 15 + 1), len(l)), list_slice(r, 1, 16)) AS window
 FROM s
 """)
 def keyword_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """15 words either side of the first 'the' (character offset from locate)."""
-    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS)).filter(F.col("pos") >= 0)
+    """15 words either side of the first 'the' (character offset from locate);
+    a text without it gives its first words."""
+    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS))
     return d.select("doc_id", "pos", TX.center_text("text", F.col("pos"), 15).alias("window"))
 
 
@@ -155,13 +156,13 @@ def tokens_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tokens_bpe")
 def tokens_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T8 re-aimed: subword tokens of the clean tokens from a merge table of
-    the 200 most frequent adjacent character pairs of the corpus vocabulary
-    (weighted by word frequency), applied to distinct words and joined back."""
+    """T8 re-aimed: subword tokens of the clean tokens. The merge table is learned
+    round by round over the distinct words (weighted by frequency), so merged pieces merge
+    again; it is applied to distinct words and mapped back."""
     d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
     words = d.select(F.explode_outer("tokens").alias("word")).filter(F.col("word").isNotNull()) \
              .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    merges = T.frequent_pairs(words, "word", "n", k=200)
+    merges = T.learn_merges(words, "word", "n")
     return T.bpe_tokens(d, "doc_id", "tokens", merges)
 
 
@@ -217,7 +218,8 @@ WHERE t NOT IN (SELECT word FROM vocab)
 def oov_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct conversation words missing from the document vocabulary."""
     c = read_table(spark, sf_dir, "conversations").select(TX.tokenize("text", "clean").alias("tokens"))
-    return T.oov_words(c, "tokens", doc_vocab(spark, sf_dir))
+    d = docs(spark, sf_dir).select(F.explode_outer(TX.tokenize("text", "clean")).alias("word")).distinct()
+    return T.oov_words(c, "tokens", d)
 
 
 # ------------------------------------------------------------- T13 ---------
@@ -247,7 +249,7 @@ def keyword_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("keyword_weights_short", f"""
-WITH d AS (SELECT doc_id, text, {KW_POS} AS pos FROM documents WHERE {KW_POS} >= 0),
+WITH d AS (SELECT doc_id, text, {KW_POS} AS pos FROM documents),
 s AS (SELECT doc_id, {split_sql("substring(text, 1, pos)")} AS l, {split_sql("substring(text, pos + 1)")} AS r FROM d),
 w AS (SELECT doc_id, list_concat(list_slice(l, greatest(1, len(l) - 15 + 1), len(l)), list_slice(r, 1, 16)) AS win
       FROM s),
@@ -260,7 +262,7 @@ FROM k
 def keyword_weights_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13 as a column expression on keyword windows (array functions, no
     shuffle): weights of the 31-word window around the first 'the'."""
-    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS)).filter(F.col("pos") >= 0)
+    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS))
     w = d.select("doc_id", TX.center_text("text", F.col("pos"), 15).alias("win"))
     return TX.with_keyword_weights(w, "win", WEIGHT_KEYWORDS, 10).select("doc_id", round_arr("weights"))
 
@@ -327,27 +329,16 @@ def sentence_vectors_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sentence_vectors_concat", f"""WITH {WV_SQL},
-d AS (SELECT doc_id, text, {KW_POS} AS pos FROM documents WHERE {KW_POS} >= 0),
-s AS (SELECT doc_id, {split_sql("substring(text, 1, pos)")} AS l, {split_sql("substring(text, pos + 1)")} AS r FROM d),
-w AS (SELECT doc_id, list_transform(list_concat(list_slice(l, greatest(1, len(l) - 15 + 1), len(l)), list_slice(r, 1, 16)),
-                                    lambda x: lower(x)) AS win FROM s),
-u AS (SELECT doc_id, unnest(win) AS token, unnest(range(len(win))) AS pos FROM w),
-j AS (SELECT u.doc_id, u.pos, coalesce(CAST(wv.vec AS DOUBLE[]), list_transform(range(64), lambda i: 0.0)) AS v
-      FROM u LEFT JOIN wv ON u.token = wv.word),
-g AS (SELECT doc_id, flatten(list(v ORDER BY pos)) AS flat FROM j GROUP BY doc_id),
-m AS (SELECT max(len(win)) AS width FROM w)
-SELECT w.doc_id, list_concat(coalesce(g.flat, []),
-         list_transform(range(greatest(0, (SELECT width FROM m) * 64 - len(coalesce(g.flat, [])))), lambda i: 0.0))
-         AS embedding
-FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+t AS (SELECT doc_id, {CLEAN_SQL} AS tokens FROM documents),
+u AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos, len(tokens) AS n_tokens FROM t)
+SELECT u.doc_id, u.pos, u.n_tokens, CAST(wv.vec AS DOUBLE[]) AS vec FROM u JOIN wv ON u.token = wv.word
 """)
 def sentence_vectors_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T14 ``do_avg=False``: vectors of the keyword window side by side, zero
-    for unknown words, padded to the longest window."""
-    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS)).filter(F.col("pos") >= 0)
-    w = d.select("doc_id", F.transform(TX.center_text("text", F.col("pos"), 15), lambda t: F.lower(t)).alias("win"))
-    width = w.agg(F.max(F.size("win")).alias("m")).first()["m"] or 0
-    return T.sentence_vectors_concat(w, "doc_id", "win", word_vectors(spark, sf_dir), EMB_DIM, width)
+    """T14 ``do_avg=False`` over whole texts: the vector of every known word with
+    its place (the other places are zeros)."""
+    d = docs(spark, sf_dir).select("doc_id", TX.tokenize("text", "clean").alias("tokens"))
+    out = T.sentence_vector_rows(d, "doc_id", "tokens", word_vectors(spark, sf_dir))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("n_tokens").cast("long").alias("n_tokens"), "vec")
 
 
 # ------------------------------------------------------------- T16 ---------
@@ -366,8 +357,7 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF over the 1000 most frequent terms (ASCII-folded), smooth
     idf, L2-normalised; long form (doc, term, weight)."""
-    # fit then transform on the same texts: fold accents once
-    d = T.tfidf_prepare(docs(spark, sf_dir), "text").persist(StorageLevel.MEMORY_AND_DISK)
+    d = T.tfidf_prepare(docs(spark, sf_dir), "text")
     model = T.tfidf_fit(d, "tfidf_tokens", 1000)
     out = T.tfidf_long(model, d, "doc_id", "tfidf_tokens")
     return out.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
@@ -513,10 +503,11 @@ pr AS (SELECT doc_id, label, pred, f AS fold_nb, CASE WHEN f = fold THEN 'test'
 
 @query("fold_report", FOLD_PRED_SQL + "," + _report_sql("fold_nb, dataset"))
 def fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: class reports per fold (5) and dataset (train/test), one job."""
+    """M3: class reports per fold (5) and dataset (train/test): rows are counted
+    once, by (fold, label, prediction)."""
     p = predictions(spark, sf_dir).withColumn("fold", L.fold_of("doc_id", 5, 42))
-    x = L.with_folds_exploded(p, "fold", 5)
-    return _r6_report(M.class_report(x, "label", "pred", by=["fold_nb", "dataset"]))
+    cells = M.fold_cells(p, "label", "pred", "fold", 5)
+    return _r6_report(M.class_report(cells, "label", "pred", by=["fold_nb", "dataset"], weight="n"))
 
 
 # ------------------------------------------------------------- A12-A14 -----
@@ -568,8 +559,7 @@ SELECT arg_max(fold_nb, [f1, fold_nb]) AS fold_nb, round(max(f1), 6) AS f1 FROM
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold with the best test F1 (the later fold on ties)."""
     p = predictions(spark, sf_dir).withColumn("fold", L.fold_of("doc_id", 5, 42))
-    x = L.with_folds_exploded(p, "fold", 5).filter(F.col("dataset") == "test")
-    stats = M.perf_metrics(x, "label", "pred", by=["fold_nb"])
+    stats = M.perf_metrics(p.withColumn("fold_nb", F.col("fold")), "label", "pred", by=["fold_nb"])
     b = M.best_run(stats, "fold_nb", "f1")
     return b.select("fold_nb", F.round("f1", 6).alias("f1"))
 
@@ -591,7 +581,7 @@ def bert_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------- S5 ----------
 
 @query("load_and_clean", f"""
-WITH d AS (SELECT doc_id, text, lang, {KW_POS} AS pos FROM documents WHERE {KW_POS} >= 0),
+WITH d AS (SELECT doc_id, text, lang, {KW_POS} AS pos FROM documents),
 s AS (SELECT doc_id, lang, pos, {split_sql("substring(text, 1, pos)")} AS l,
              {split_sql("substring(text, pos + 1)")} AS r FROM d),
 c AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code
@@ -604,7 +594,7 @@ FROM s LEFT JOIN c USING (lang)
 def load_and_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows around the first 'the' (T2), cut to 12 words (T3),
     language labels coded by sorted order (L1)."""
-    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS)).filter(F.col("pos") >= 0) \
+    d = docs(spark, sf_dir).withColumn("pos", F.expr(KW_POS)) \
         .select("doc_id", "text", "lang", "pos")
     out = T.load_and_clean(d, "text", "lang", strip=False, max_len=12, clean_labels=True, pos_col="pos", context=10)
     return out.select("doc_id", "pos", "text", "lang")

@@ -78,7 +78,7 @@ def test_tokenize_modes(spark):
 def test_sorted_index_and_vocab(spark):
     words = ["b", "a", "é", "ab", "b", "zz", "Z", "aa"]
     df = spark.createDataFrame([(w,) for w in words], "word string")
-    out = {r.word: r.id for r in T.sorted_index(df, "word", start=2, prefix_len=1).collect()}
+    out = {r.word: r.id for r in T.sorted_index(df, "word", start=2).collect()}
     expect = {w: i + 2 for i, w in enumerate(sorted(set(words), key=lambda s: s.encode("utf-8")))}
     assert out == expect
 
@@ -181,5 +181,25 @@ def test_bpe_encode_and_tokens(spark):
     out = {r.id: r.subwords for r in T.bpe_tokens(df, "id", "tokens", merges).collect()}
     assert out == {1: ["low", "er", "low"], 2: []}
     words = spark.createDataFrame([("abab", 2), ("ab", 1)], "word string, n long")
-    top = T.frequent_pairs(words, "word", "n", k=1).collect()
-    assert (top[0].a, top[0].b, top[0].n, top[0]["rank"]) == ("a", "b", 5, 0)
+    top = T.learn_merges(words, "word", "n", rounds=2, per_round=1).collect()
+    # the second round merges what the first has merged
+    assert [(r.a, r.b, r["rank"]) for r in top] == [("a", "b", 0), ("ab", "ab", 1)]
+
+
+def test_map_tokens_both_ways(spark):
+    df = spark.createDataFrame([(1, ["a", "b", None, "zz", "a"]), (2, []), (3, None)], "id int, tokens array<string>")
+    table = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "n")], "token string, v string")
+    want = {1: ["x", "y", None, "zz", "x"], 2: [], 3: []}
+    small = {r.id: r.o for r in T.map_tokens(df, "id", "tokens", table, "v", None, "o").collect()}
+    assert small == want
+    joined = {r.id: r.o for r in T.map_tokens(df.where("id < 3 and id > 1"), "id", "tokens", table, "v", None, "o", max_bytes=0).collect()}
+    assert joined == {2: []}
+    full = spark.createDataFrame([(1, ["a", "b", "zz", "a"])], "id int, tokens array<string>")
+    assert T.map_tokens(full, "id", "tokens", table, "v", F.lit("?"), "o", max_bytes=0).first().o == ["x", "y", "?", "x"]
+    assert T.map_tokens(full, "id", "tokens", table, "v", F.lit("?"), "o").first().o == ["x", "y", "?", "x"]
+
+
+def test_pad_ids(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7], [1, 1, 1]), (2, [], [])], "id int, ids array<bigint>, mask array<int>")
+    out = {r.id: (r.ids, r.mask) for r in T.pad_ids(df, 2).collect()}
+    assert out == {1: ([5, 6], [1, 1]), 2: ([0, 0], [0, 0])}
