@@ -1,0 +1,163 @@
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.llm import quality, suffix_tree, toxicity
+from cohortlens.llm.neighbours import nearest
+from cohortlens.llm.sample import labelled_sample
+from cohortlens.llm.suffix_tree import CLASSES, score_texts
+
+SF = "/root/testdata/sf0.01"
+
+
+def _prose(rng, n):
+    return " ".join("".join(rng.choices(["th", "er", "on", "an", "ti"], k=rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_quality_held_out(spark):
+    from cohortlens.llm.queries import op4
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = op4(spark, SF).collect()
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert np.mean([p == q for p, q in held]) > 0.97 and all(p for p, q in held if q)
+
+
+def test_quality_edges():
+    rng = random.Random(1)
+    texts = [_prose(rng, 40) for _ in range(40)] + [" ".join(["junk"] * 40) for _ in range(40)]
+    m = quality.fit(pa.array(texts), np.array([1] * 40 + [0] * 40), bits=12, steps=2000)
+    s = m.scores(pa.array([None, "", "x", "é" * 9, texts[0], texts[-1], "zap " * 700_000]))
+    assert s[0] == s[1] == 0.5 and s[4] > 0.9 and s[5] < 0.1 and s[6] < 0.5 and ((0 <= s) & (s <= 1)).all()
+    assert (quality.fit(pa.array(["a", "b"]), np.array([1, 1])).scores(pa.array(["a"])) == 0.5).all()
+    assert (quality.fit(pa.array([], pa.string()), np.array([], int)).scores(pa.array(["a"])) == 0.5).all()
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    bad = ["awful", "wretch", "vermin", "wretched"]
+
+    def text(n):
+        t = _prose(rng, 60).split()
+        for _ in range(n):
+            t.insert(rng.randrange(len(t)), rng.choice(bad[:3]) + rng.choice(["", "!", "###"]))
+        return " ".join(t)
+    n = [0] * 150 + [1 + i % 5 for i in range(60)]
+    texts = [text(k) for k in n]
+    m = toxicity.fit(pa.array(texts), (np.array(n) > 0).astype(int))
+    g = m.grades(pa.array([text(0), text(1), text(5), None, "", "AWFUL", "z " * 500_000 + "awful wretch vermin"]))
+    assert (g[:, 0] >= g[:, 1]).all() and m.thresholds[0] < m.thresholds[1]
+    assert (g[:, 0] >= 0.5).tolist() == [False, True, True, False, False, True, True]
+    assert g[2].sum() > g[1].sum() > g[0].sum()
+    for y in (0, 1):
+        one = toxicity.fit(pa.array(["a", "b"]), np.array([y, y])).grades(pa.array(["a", None]))
+        assert ((one[:, 0] >= 0.5) == bool(y)).all()
+    assert (toxicity.fit(pa.array([], pa.string()), np.array([], int)).grades(pa.array(["a"]))[:, 0] < 0.5).all()
+
+
+def test_toxicity_held_out(spark):
+    from cohortlens.llm.queries import op7
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    rows = [r for r in op7(spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
+    tox = [r["predicted"] for r in rows if labels[r["doc_id"]]]
+    clean = [r["predicted"] for r in rows if not labels[r["doc_id"]]]
+    assert np.mean(tox) > 0.85 and np.mean(clean) < 0.01
+    assert all(abs(r["grade"] - r["expected_severity"]) <= 1 for r in rows)
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "t" * (i % 7), "e") for i in range(60)] + [(None, "x", "e"), (3, None, "e")], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (None, 1), (9, None), (8, 5)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 10, 5).collect()
+    assert Counter(r["y"] for r in got) == {0: 10, 1: 10} and all(len(r["text"]) <= 5 for r in got)
+    assert labelled_sample(docs.limit(0), labels, "quality", 10, 5).count() == 0
+
+
+def _reference(rows):
+    low = {i: i + 32 for i in range(65, 91)}
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + ["\n"] for _, t, _ in rows]
+    c = Counter(w for t, (_, _, train) in zip(tokens, rows) if train for w in t)
+    n, v = sum(c.values()), len(c)
+    return [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for t in tokens]
+
+
+@pytest.mark.parametrize("chunk", [200, 1 << 24])
+def test_scores_by_formula(spark, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    rng = random.Random(4)
+    rows = [(i, _prose(rng, rng.randrange(0, 50)).title() + " ünï", i % 3 > 0) for i in range(60)]
+    rows += [(100, None, True), (101, "", True), (102, " \n", False), (103, "zq zq never", False), (103, "zq zq never", False), (104, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, train boolean")
+    got = sorted(score_texts(df, "text", F.col("train"), ["id"]).collect(), key=lambda r: r["id"])
+    want = _reference(rows)
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got] == [w[:3] for w in want]
+    assert np.allclose([r["base_score"] for r in got], [w[3] for w in want], rtol=0, atol=1e-9)
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_scores_without_training_or_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    got = sorted(score_texts(df, "text", F.lit(False), ["id"]).collect(), key=lambda r: r["id"])
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    assert score_texts(df.limit(0), "text", F.lit(True), ["id"]).count() == 0
+
+
+def test_tree_distributions_and_states():
+    rng = np.random.default_rng(5)
+    n = rng.poisson(0.02, (CLASSES,) * 3)
+    n[:, 7, 9] += 400      # after class 7, class 9: a state that diverges
+    p = 10 ** suffix_tree.suffix_tree(n)
+    assert np.allclose(p.sum(-1), 1) and p[3, 7, 9] > 0.5
+    assert np.allclose(10 ** suffix_tree.suffix_tree(np.zeros((CLASSES,) * 3)), 1 / CLASSES)
+
+
+def test_tree_beats_its_base_on_held_out(spark):
+    from cohortlens.llm.queries import op5
+    held = [r for r in op5(spark, SF).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(6, 24))
+    x = (centre[rng.integers(0, 6, 900)] + 0.6 * rng.normal(size=(900, 24))).astype(np.float32)
+    x[100:400] = x[100]    # a third of all rows are one vector
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(x)]
+    rows += [(1000, None, "s"), (1100, [0.0] * 24, "s"), (1200, [float("nan")] * 24, "s"), (1300, [None] * 24, "s"),
+             (1400, [1.0, 2.0], "s"), (None, x[0].tolist(), "s"), (7, x[7].tolist(), "s")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(4)
+    got = nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()
+    x = x.astype(float)
+    hit = 0
+    for q in range(0, 900, 100):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(900), d))[:10]
+        assert [r for r, _, _ in mine] == list(range(1, 11)) and all(s == d[v] for _, v, s in mine)
+        assert [(s, v) for _, v, s in mine] == sorted((s, v) for _, v, s in mine)
+        hit += len({v for _, v, _ in mine} & set(best.tolist()))
+    assert hit >= 0.9 * 90 and {r["query_id"] for r in got} == set(range(0, 900, 100))
+    assert nearest(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
+
+
+def test_neighbours_recall_on_the_table(spark):
+    from cohortlens.llm.queries import op6
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r["embedding"] for r in rows]), np.array([r["vec_id"] for r in rows])
+    got = {(r["query_id"], r["vec_id"]) for r in op6(spark, "/root/testdata/sf0.1").collect()}
+    hit = n = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += sum((ids[i], v) in got for v in ids[np.lexsort((ids, d))[:10]])
+        n += 10
+    assert hit >= 0.9 * n
