@@ -200,9 +200,10 @@ def fit_mixed(df: DataFrame, group: str, target: str, covariates: Sequence[str]
     """R7 (``structure='unstructured'``) / R8 (``'diagonal'``: uncorrelated
     random intercept and slope). Random intercept only when ``random_slope``
     is False or there is no time column. Rows with a null in any model column
-    are dropped (the count is in the statistics)."""
+    are dropped (the count is in the statistics). A fit that cannot start (its
+    likelihood is not finite) gives a row of nulls for each term, not converged."""
     d, design = formula_design(df, target, covariates, timestamp, level_map)
-    n_in = None
+    n_in = df.count()
     stats_tbl = subject_stats(d, group, target, design)
     k = len(design) + 2                     # const + design + y
     p = k - 1
@@ -211,12 +212,27 @@ def fit_mixed(df: DataFrame, group: str, target: str, covariates: Sequence[str]
     reml = _Reml(stats_tbl, k, p, zidx, structure)
     theta0 = np.zeros(1 if q == 1 else (2 if structure == "diagonal" else 3))
     theta, f, info, converged, iters = _bfgs(reml, theta0, max_iter=max_iter)
+    terms = [INTERCEPT, *design]
+    spark = df.sparkSession
+    coef_schema = "term string, estimate double, se double, z double, p double, ci_low double, ci_high double"
+    stat_schema = ("n_obs long, n_groups long, scale double, reml_loglik double, method string, converged boolean, "
+                   "iterations long, spark_jobs long, dropped long, group_min long, group_mean double, group_max long")
+    sizes = stats_tbl.agg(F.count(F.lit(1)), F.min("_n"), F.avg("_n"), F.max("_n")).first()
+    sizes = [None if v is None else float(v) for v in sizes]
+    whole = lambda v: None if v is None else int(v)
+
+    def statistics(scale: float | None, loglik: float | None, converged: bool) -> DataFrame:
+        n = int(reml.N or 0)
+        return spark.createDataFrame([(n, whole(sizes[0]), scale, loglik, "REML", converged, int(iters), int(reml.jobs),
+                                       n_in - n, whole(sizes[1]), sizes[2], whole(sizes[3]))], stat_schema)
+
+    if "beta" not in info:
+        return MixedFit(spark.createDataFrame([(t, *[None] * 6) for t in terms], coef_schema), statistics(None, None, False), [])
     beta, s2, A, L = info["beta"], info["s2"], info["A"], info["L"]
     cov = s2 * np.linalg.inv(A)
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     z = beta / se
     zq = norm_ppf(0.975)
-    terms = [INTERCEPT, *design]
     rows = [(t, float(b), float(s), float(zz), float(2 * norm_sf(abs(zz))), float(b - zq * s), float(b + zq * s))
             for t, b, s, zz in zip(terms, beta, se, z)]
     psi = s2 * (L @ L.T)
@@ -225,15 +241,8 @@ def fit_mixed(df: DataFrame, group: str, target: str, covariates: Sequence[str]
         if structure != "diagonal":
             rows.append((f"Group x {timestamp} Cov", float(psi[0, 1]), None, None, None, None, None))
         rows.append((f"{timestamp} Var", float(psi[1, 1]), None, None, None, None, None))
-    spark = df.sparkSession
-    coefs = spark.createDataFrame(rows, "term string, estimate double, se double, z double, p double, "
-                                        "ci_low double, ci_high double")
-    n_groups = stats_tbl.count()
-    st = spark.createDataFrame([(reml.N, int(n_groups), float(s2), float(-0.5 * f), "REML", bool(converged),
-                                 int(iters), int(reml.jobs), n_in)],
-                               "n_obs long, n_groups long, scale double, reml_loglik double, method string, "
-                               "converged boolean, iterations long, spark_jobs long, dropped long")
-    return MixedFit(coefs, st, [float(x) for x in theta])
+    coefs = spark.createDataFrame(rows, coef_schema)
+    return MixedFit(coefs, statistics(float(s2), float(-0.5 * f), bool(converged)), [float(x) for x in theta])
 
 
 def dense_neg2_reml(y: np.ndarray, X: np.ndarray, Z: np.ndarray, groups: np.ndarray, L: np.ndarray) -> float:
@@ -275,6 +284,8 @@ def fit_mixed_segments(df: DataFrame, segment: str, group: str, target: str, cov
             fit = fit_mixed(part, group, target, covariates, timestamp, random_slope=random_slope,
                             level_map=level_map)
             n = fit.stats.first()["n_obs"]
+            if not fit.theta:
+                return None, (str(sname), "the likelihood is not finite at the start")
             return fit.coefs.withColumn("segment", F.lit(str(sname))).withColumn("n", F.lit(int(n))), None
         except Exception as e:  # noqa: BLE001
             return None, (str(sname), f"{type(e).__name__}: {str(e)[:200]}")

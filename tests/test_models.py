@@ -155,3 +155,14 @@ def test_longitudinal_panel_object(spark):
     lp.normalize(["score"])
     assert lp.data.agg(F.max("score")).first()[0] == 1.0
     assert "cat_a" in lp.dummyfy(["cat"]).columns
+
+
+def test_mixed_statistics_and_a_fit_that_cannot_start(spark):
+    from cohortlens.operators.mixed import fit_mixed
+    rows = [(g, float(t), 1.0 + 0.5 * t + 0.1 * ((7 * g + 3 * t) % 5)) for g in range(6) for t in range(4)] + [(0, None, 1.0), (1, 2.0, None)]
+    df = spark.createDataFrame(rows, "g int, t double, y double")
+    st = fit_mixed(df, "g", "y", None, "t", random_slope=False).stats.first()
+    assert (st.n_obs, st.dropped, st.n_groups, st.group_min, st.group_mean, st.group_max) == (24, 2, 6, 4, 4.0, 4)
+    same = spark.createDataFrame([(g, 1.0, 2.0) for g in range(3) for _ in range(3)], "g int, t double, y double")
+    fit = fit_mixed(same, "g", "y", None, "t", random_slope=False)
+    assert not fit.stats.first().converged and all(r.estimate is None for r in fit.coefs.collect())
