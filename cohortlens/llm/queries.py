@@ -20,7 +20,18 @@ def registered(name: str, sql: str | None = None):
     return keep
 
 
+ROWS_A_BATCH = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's 10,000: a
+    batch, what is made of it and a worker's own tables share an executor's
+    memory outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +57,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     """``docs`` with ``ids`` (packed, binary), ``n_tokens`` and the digests of ids and decoded bytes."""
     import public_tokenizers
     from cohortlens.llm.bpe import with_token_ids
+    short_batches(docs.sparkSession)
     coded = with_token_ids(docs, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
                            decoded="_decoded")
     return (coded.withColumn("n_tokens", F.expr("octet_length(ids) div 4").cast("long"))
