@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FILTER_BITS = 25  # 4 MB; however many hashes go in, a filter only lets too much through
+FILTER_BITS = 26  # 8 MB; however many hashes go in, a filter only lets too much through
 
 
 def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
