@@ -4,7 +4,8 @@ Bytes are mapped to Latin-1 so that an Aho-Corasick automaton over the
 vocabulary finds, in one pass over a piece, every token at every place. Tokens
 are then taken greedily, the longest first; a token is kept only if it may
 stand next to the one before. Two tokens may if merging their joined bytes by
-rank gives back just those two (memoised). A place where nothing fits is marked
+rank gives back just those two, which the parts along their border tell
+(memoised). A place where nothing fits is marked
 dead, and the token that led there is given up for a shorter one, so each place
 is visited a bounded number of times. A sequence whose neighbours all fit is
 the one that merging by rank makes.
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000  # entries; a full memo is emptied, which costs time only
+PIECES, PAIRS = 300_000, 500_000  # entries of the memos; what a full one forgets costs time only
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,78 +33,134 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Pieces(dict):
+    """Packed ids of the pieces seen lately: when ``PIECES`` have come in, those not
+    asked for since the last time are let go."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.before = encoder, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array("I", self.encoder.encode_bytes(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > PIECES:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {i: t for t, i in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self)
         self.automaton = ahocorasick.Automaton()
         for t, i in ranks.items():
-            if len(t) == 1 or self.merged(t) == [i]:  # others never come out of merging
-                self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
         self.automaton.make_automaton()
+        self.edges: dict[int, tuple | None] = {}
+        self.beginning: dict[int, int | None] = {}
+        self.size = {i: len(t) for i, t in self.token.items()}
 
-    def merged(self, b: bytes) -> list[int]:
-        """Ids after merging the lowest-ranked neighbours again and again."""
+    def merged(self, b: bytes, down_to: int = 1) -> list[bytes]:
+        """Parts after merging the lowest-ranked neighbours again and again, until
+        nothing merges or ``down_to`` parts are left."""
         parts = [b[i:i + 1] for i in range(len(b))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             rank, i = min((self.ranks.get(x + y, 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
             if rank == 1 << 60:
                 break
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def edge(self, i: int) -> tuple | None:
+        """For a token that merging makes: what stands at its right and at its left
+        end while it is being made, from a byte up to itself, each with its rank.
+        None for a token that merging never makes."""
+        if i not in self.edges:
+            right, left = [self.token[i]], [self.token[i]]
+            whole = len(self.token[i]) == 1 or len(self.merged(self.token[i])) == 1
+            for side, k in ((right, -1), (left, 0)):
+                while whole and len(side[-1]) > 1:
+                    side.append(self.merged(side[-1], 2)[k])
+            # single bytes are there from the start, whatever their rank
+            steps = lambda side: tuple((t, self.ranks[t] if len(t) > 1 else -1) for t in reversed(side))
+            self.edges[i] = (steps(right), steps(left)) if whole else None
+        return self.edges[i]
 
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the two tokens' joined bytes never merges across their border."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > MEMO:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
-            self.fits[a, b] = known = self.merged(self.token[a] + self.token[b]) == [a, b]
+            left, right = self.edge(a), self.edge(b)
+            self.fits[a, b] = known = right is not None and self._apart(left[0], right[1])
         return known
 
+    def _apart(self, x: tuple, y: tuple) -> bool:
+        i = j = 0
+        while True:
+            across = self.ranks.get(x[i][0] + y[j][0], 1 << 62)
+            own = x[i + 1][1] if i + 1 < len(x) else 1 << 61
+            other = y[j + 1][1] if j + 1 < len(y) else 1 << 61
+            if across < own and across <= other:  # of equal ranks the leftmost merges first
+                return False
+            if own == other == 1 << 61:
+                return True
+            if own <= other:
+                i += 1
+            else:
+                j += 1
+
     def encode_bytes(self, b: bytes) -> list[int]:
         """Ids of one piece."""
+        if not b:
+            return []
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        here: list[list[tuple[int, int]]] = [[] for _ in b]
+        longest: list[int | None] = [None] * len(b)
         for end, (i, n) in self.automaton.iter(b.decode("latin-1")):
-            here[end + 1 - n].append((i, n))  # ends come in order: shortest first
+            longest[end + 1 - n] = i  # ends come in order, so the longest match of a place stays
         dead = bytearray(len(b) + 1)
         ids: list[int] = []
-        tried: list[int] = []  # for each kept token, how many of its place's matches are left
-        at, left = 0, len(here[0]) if b else 0
-        while at < len(b):
-            while left:
-                left -= 1
-                i, n = here[at][left]
-                if not dead[at + n] and (not ids or self.may_follow(ids[-1], i)):
-                    ids.append(i)
-                    tried.append(left)
-                    at += n
-                    left = len(here[at]) if at < len(b) else 0
+        at, token = 0, longest[0]
+        while True:
+            while token is not None:
+                end = at + self.size[token]
+                if not dead[end] and (self.may_follow(ids[-1], token) if ids else self.edge(token) is not None):
                     break
-            else:
-                if not ids:
-                    raise ValueError("the vocabulary lacks a byte")
+                token = self.shorter(token)
+            if token is not None:
+                ids.append(token)
+                if end == len(b):
+                    return ids
+                at, token = end, longest[end]
+            elif ids:
                 dead[at] = 1
-                at -= len(self.token[ids.pop()])
-                left = tried.pop()
-        return ids
+                last = ids.pop()
+                at -= self.size[last]
+                token = self.shorter(last)
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+
+    def shorter(self, i: int) -> int | None:
+        """The longest token that is a beginning of this one."""
+        if i not in self.beginning:
+            t = self.token[i]
+            self.beginning[i] = next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), None)
+        return self.beginning[i]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        pieces, out = self.pieces, []
-        for p in self.pattern.findall(text):
-            ids = pieces.get(p)
-            if ids is None:
-                if len(pieces) > MEMO:
-                    pieces.clear()
-                ids = array("I", self.encode_bytes(p.encode())).tobytes()
-                if len(p) <= 64:
-                    pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.pieces.trim()
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
