@@ -1,19 +1,27 @@
-"""Language-model scoring by a probabilistic suffix tree over word classes.
+"""Language-model scoring by a probabilistic suffix tree over words, backed off to classes.
 
-The text is a run of words and an end. Every word has one of 64 classes: the
-most frequent words one each, others one by their last two bytes. The class of
-the next word is predicted by the longest kept suffix of the two classes before
-it (a text starts with a class of its own), and the word by its share of its
-class, where all words not seen in training are one more word of the class. A
-suffix is kept if its next-class distribution diverges from that of the suffix
-one class shorter by more nats than describing it costs; a kept state's
-distribution is smoothed with the next shorter state's (Witten-Bell).
+The text is a run of words and an end. A word is predicted by the longest kept
+suffix of the words before it, up to ``DEPTH`` words and within its text. A run of
+words is a state if it was seen ``LEAST_SEEN`` times and what follows it diverges
+from what follows the run one word shorter by more nats than describing it costs.
+A state's distribution is smoothed with the next shorter state's (Witten-Bell;
+what followed it once counts for the shorter state), so states and what
+they hold grow with the corpus.
+
+The shortest state is a tree over 64 word classes: the most frequent words one
+each, others one by their last two bytes. The class of the next word is predicted
+by the longest kept suffix of the two classes before it (a text starts with a class
+of its own), by the same test and smoothing, and the word by its share of its
+class, where all words not seen in training are one more word of the class.
 
 How it runs: each task counts the words of its texts; the summed counts are the
 dictionary, whose size grows with the corpus and which is never broadcast. One
-more pass counts runs of three classes (64 ** 3 cells at most). Texts are dealt
-into chunks of bounded bytes; each chunk asks for its distinct words, a join
-with the dictionary answers, and the answers meet the chunk again.
+more pass counts runs of three classes (64 ** 3 cells at most). Then one pass for each
+length counts (run, next word) in each task, for runs that a bit filter of the
+frequent ones lets through; buckets of those counts are summed, and joins with the
+counts one word shorter test them. Texts are dealt into chunks of bounded bytes;
+each chunk asks for its distinct words, runs and states, a join with dictionary and
+states answers, and the answers meet the chunk again.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import vectext as V
+from cohortlens.llm.bits import bit_filter, passes
 from cohortlens.session import ensure_checkpoint_dir
 
 CLASSES = 64
@@ -34,6 +43,10 @@ START, STOP = 0, 1      # before a text, and its end
 TOP_WORDS, ENDINGS = 20, 40
 CHUNK = 16 << 20        # bytes of text that are scored together
 FLUSH = 2_000_000       # words counted at once in a task
+DEPTH = 3               # words of the longest state
+LEAST_SEEN = 8          # times a run of words was seen to be a state
+FLUSH_RUNS = 1_000_000  # runs of words counted at once in a task
+_LONGER, _STATE = np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 _COUNTS = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
 
@@ -145,6 +158,108 @@ def suffix_tree(counts: np.ndarray) -> np.ndarray:
     return np.log10(p2)
 
 
+def _line(w: V.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of texts with their ends (0) put in, the place of each in its
+    text, and where each text begins."""
+    size = np.diff(w.first) + 1
+    starts = np.concatenate(([0], np.cumsum(size)))
+    line = np.zeros(int(starts[-1]), np.uint64)
+    inner = np.ones(len(line), bool)
+    inner[starts[1:] - 1] = False
+    line[inner] = w.hash
+    return line, np.arange(len(line)) - np.repeat(starts[:-1], size), starts
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, x.dtype), x[:-1]))
+
+
+def _longer(before: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Hash of a run of words, from those of the run without its last and without its first word."""
+    return V.mix(before * _LONGER + run)
+
+
+def _count_followers(depth, frequent, top, buckets):
+    """Mapper from texts to counts of (run of ``depth`` words, ``low``: the run and the next word
+    without its first), in lists a bucket. Runs after a top word are dealt by both, others by the run."""
+    def flush(runs, lows, hot):
+        c, low, hot = np.concatenate(runs), np.concatenate(lows), np.concatenate(hot)
+        h, first, n = np.unique(_longer(c, low), return_index=True, return_counts=True)
+        c, low = c[first], low[first]
+        bucket = (np.where(hot[first], h, c) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((c, bucket))
+        c, low, n, bucket = c[order], low[order], n[order], bucket[order]
+        new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1]))))
+        size, of = np.diff(np.append(new, len(c))), bucket[new]
+        rows = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        outer = pa.array(np.append(rows, len(new)), pa.int32())
+        inner = pa.array(np.append(new[rows], len(c)), pa.int32())
+        cut = pa.ListArray.from_arrays
+        return pa.record_batch([pa.array(of[rows]), cut(outer, pa.array(c[new].view(np.int64))), cut(outer, pa.array(size, pa.int32())),
+                                cut(inner, pa.array(low.view(np.int64))), cut(inner, pa.array(n, pa.int32()))],
+                               names=["bucket", "run", "size", "low", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, lows, hot, size = [], [], [], 0
+        for batch in batches:
+            data, offsets = V.flat(batch.column(0))
+            for _, _, d, o in V.chunks(data, offsets):
+                line, place, _ = _line(V.Words(d, o))
+                low = line
+                for _ in range(depth - 1):
+                    low = _longer(_before(low), low)
+                c = _before(low)
+                ok = np.flatnonzero((place >= depth) & passes(frequent.value, c))
+                runs.append(c[ok])
+                lows.append(low[ok])
+                hot.append(np.isin(_before(line)[ok], top))
+                size += len(ok)
+                if size > FLUSH_RUNS:
+                    yield flush(runs, lows, hot)
+                    runs, lows, hot, size = [], [], [], 0
+        if size:
+            yield flush(runs, lows, hot)
+    return run
+
+
+def _sum_followers(group: pa.Table) -> pa.Table:
+    """Sums of a bucket's counts; what followed a run once is left out."""
+    run, size, low, n = (group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("run", "size", "low", "n"))
+    run = np.repeat(run, size)
+    h, first, inverse = np.unique(_longer(run.view(np.uint64), low.view(np.uint64)), return_index=True, return_inverse=True)
+    n = np.bincount(inverse, weights=n, minlength=len(h)).astype(np.int64)
+    kept = np.flatnonzero(n > 1)
+    return pa.table([pa.array(run[first[kept]]), pa.array(low[first[kept]]), pa.array(h[kept].view(np.int64)), pa.array(n[kept])],
+                    names=["run", "low", "h", "n"])
+
+
+def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.ndarray, buckets: int) -> DataFrame | None:
+    """(h, v) of the kept states over words of the one column ``texts``: of each run and next
+    word the part of the state's mass it holds, and of each state (its hash with ``_STATE``)
+    the part left to the next shorter one. ``dictionary``: (h, n) of all words."""
+    below = dictionary.select("h", "n", (F.col("n") * (1 / max(total, 1))).alias("share"))
+    found = None
+    for depth in range(1, DEPTH + 1):
+        frequent = below.where((F.col("n") >= LEAST_SEEN) & (F.col("h") != 0))
+        bits = bit_filter(frequent, F.col("h"))
+        if not bits.value.any():
+            break
+        counts = (texts.mapInArrow(_count_followers(depth, bits, top, buckets),
+                                   "bucket long, run array<long>, size array<int>, low array<long>, n array<int>")
+                  .groupBy("bucket").applyInArrow(_sum_followers, "run long, low long, h long, n long"))
+        below = (counts.join(below.select(F.col("h").alias("low"), F.col("share").alias("shorter")), "low").drop("low")
+                 .join(frequent.select(F.col("h").alias("run"), F.col("n").alias("seen")), "run")
+                 .withColumn("share", F.col("n") / F.col("seen")).checkpoint())
+        states = (below.groupBy("run").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds"), F.max("seen").alias("seen"),
+                                           F.sum(F.col("n") * F.log(F.col("share") / F.col("shorter"))).alias("nats"))
+                  .where(F.col("nats") > 0.5 * F.col("kinds") * F.log(F.col("seen") + 1)))
+        mass = F.col("seen") + F.col("kinds")
+        held = below.select("run", "h", "n").join(states.select("run", mass.alias("mass")), "run").select("h", (F.col("n") / F.col("mass")).alias("v"))
+        left = states.select(F.col("run").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("h"), (1 - F.col("held") / mass).alias("v"))
+        found = held.unionByName(left) if found is None else found.unionByName(held).unionByName(left)
+    return found.checkpoint() if found is not None else None
+
+
 def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> DataFrame:
     """``keep`` columns and n_tokens, n_known, train_tokens (long), base_score,
     score (double, log10) of each row, learned from the rows where ``train``.
@@ -187,17 +302,34 @@ def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> D
     size = source.agg(F.sum(F.octet_length(F.coalesce("_text", F.lit(""))) + 64)).first()[0] or 0
     chunk = F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keep))], F.crc32(F.encode("_text", "UTF-8"))), F.lit(size // CHUNK + 1))
     dealt = source.withColumn("chunk", chunk).drop("_train")
+    lookup = counted.select("h", F.col("n").cast("double").alias("v"))
+    states = word_states(source.where("_train").select("_text"), counted, total, classes.value.top, size // CHUNK + 1)
+    if states is not None:
+        lookup = lookup.unionByName(states)
+    held = bit_filter(states if states is not None else counted.limit(0), F.col("h"))
 
     def ask(group: pa.Table) -> pa.Table:
         h = [np.zeros(1, np.uint64)]
         data, offsets = V.flat(group["_text"])
         for _, _, d, o in V.chunks(data, offsets):
-            h.append(np.unique(V.Words(d, o).hash))
+            w = V.Words(d, o)
+            h.append(np.unique(w.hash))
+            low, place, _ = _line(w)
+            for depth in range(1, DEPTH + 1):
+                c = _before(low)
+                low = _longer(c, low)
+                ok = (place >= depth) & passes(held.value, c ^ _STATE)
+                h += [np.unique(c[ok] ^ _STATE), np.unique(low[ok & passes(held.value, low)])]
         u = np.unique(np.concatenate(h))
         return pa.table([pa.array(np.full(len(u), group["chunk"][0].as_py())), pa.array(u.view(np.int64))], names=["chunk", "h"])
 
+    def value_of(known: np.ndarray, v: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        there = known[at] == h
+        return np.where(there, v[at], 0.0), there
+
     def answer(group: pa.Table, found: pa.Table) -> pa.Table:
-        known, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        known, n = found["h"].to_numpy().view(np.uint64), found["v"].to_numpy()
         order = np.argsort(known)
         known, n = known[order], n[order]
         share = np.log10(n + 0.5)
@@ -211,12 +343,21 @@ def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> D
             k = classes.value.of(w)
             cell, starts = _runs(k, w.first)
             out[0, a:b] = np.diff(w.first) + 1
-            for i, v, last in ((1, n[at] > 0, n[end] > 0), (2, share[at] - floor, share[end] - floor),
-                               (3, share[at] - room[k], share[end] - room[STOP])):
+            for i, v, last in ((1, n[at] > 0, n[end] > 0), (2, share[at] - floor, share[end] - floor)):
                 run = np.concatenate(([0.0], np.cumsum(v, dtype=np.float64)))
                 out[i, a:b] = run[w.first[1:]] - run[w.first[:-1]] + last
-            run = np.concatenate(([0.0], np.cumsum(tree.value[cell])))
-            out[3, a:b] += run[starts[1:]] - run[starts[:-1]]
+            low, place, _ = _line(w)
+            chance = np.full(len(low), share[end] - room[STOP])
+            chance[np.delete(np.arange(len(low)), starts[1:] - 1)] = share[at] - room[k]
+            chance = 10 ** (chance + tree.value[cell])
+            for depth in range(1, DEPTH + 1):
+                c = _before(low)
+                low = _longer(c, low)
+                left, state = value_of(known, n, c ^ _STATE)
+                part, _ = value_of(known, n, low)
+                chance = np.where(state & (place >= depth), part + left * chance, chance)
+            run = np.concatenate(([0.0], np.cumsum(np.log10(chance))))
+            out[3, a:b] = run[starts[1:]] - run[starts[:-1]]
         cols = [group[f"_k{i}"] for i in range(len(keep))]
         cols += [pa.array(out[0].astype(np.int64)), pa.array(np.rint(out[1]).astype(np.int64)),
                  pa.array(np.full(len(offsets) - 1, total, np.int64)), pa.array(out[2]), pa.array(out[3])]
@@ -225,5 +366,5 @@ def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> D
     kinds_of = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in keep) + \
         ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, h long").join(counted.select("h", "n"), "h")
+    answers = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, h long").join(lookup, "h")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answer, schema)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import quality, suffix_tree, toxicity
+from cohortlens.llm import vectext as V
 from cohortlens.llm.neighbours import nearest
 from cohortlens.llm.sample import labelled_sample
 from cohortlens.llm.suffix_tree import CLASSES, score_texts
@@ -125,6 +126,56 @@ def test_tree_beats_its_base_on_held_out(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_words_are_predicted_by_words(spark):
+    # all words are of one class: only a state over words knows which follows which
+    pairs = [(f"x{i:03d}ab", f"y{i:03d}ab") for i in range(60)]
+    rng = random.Random(7)
+    rows = [(i, " ".join(w for p in rng.sample(pairs, 20) for w in p), True) for i in range(60)]
+    rows += [(100, " ".join(a + " " + b for a, b in pairs), False), (101, " ".join(pairs[i][0] + " " + pairs[i - 7][1] for i in range(60)), False)]
+    got = {r["id"]: r for r in score_texts(spark.createDataFrame(rows, "id long, text string, train boolean"), "text", F.col("train"), ["id"]).collect()}
+    assert math.isclose(got[100]["base_score"], got[101]["base_score"]) and got[100]["score"] > got[101]["score"] + 60
+
+
+def _by_hand(rows):
+    """Sum over next words of what the states add to a distribution that sums to 1, and their number."""
+    tokens = [t.split() + [""] for t in rows]
+    n = [Counter(tuple(t[i - k:i + 1]) for t in tokens for i in range(k, len(t))) for k in range(suffix_tree.DEPTH + 1)]
+    total, states = sum(n[0].values()), {}
+    for k in range(1, suffix_tree.DEPTH + 1):
+        after = {}
+        for g, m in n[k].items():
+            after.setdefault(g[:-1], {})[g] = m
+        for c, of in after.items():
+            of, seen = {g: m for g, m in of.items() if m > 1}, n[k - 1][c]
+            share = lambda g: n[k - 1][g[1:]] / (n[k - 2][g[1:-1]] if k > 1 else total)
+            if seen >= suffix_tree.LEAST_SEEN and sum(m * math.log(m / seen / share(g)) for g, m in of.items()) > 0.5 * len(of) * math.log(seen + 1) and of:
+                states[c] = ({g[-1]: m / (seen + len(of)) for g, m in of.items()}, 1 - sum(of.values()) / (seen + len(of)))
+    return states
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_word_states_equal_counts_by_hand_and_grow(spark, buckets):
+    rng = random.Random(8)
+    size = []
+    for part in (1, 4):
+        texts = []
+        for p in range(part):
+            texts += [" ".join(w + str(p) for w in rng.choices(["aa", "bb cc", "dd ee ff", "gg"] + [f"w{j}" for j in range(30)], k=60)) for _ in range(40)]
+        dictionary = Counter(w for t in texts for w in [*t.split(), ""])
+        hashes = {w: int(V.Words(*V.flat(pa.array([w]))).hash[0]) if w else 0 for w in dictionary}
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        known = spark.createDataFrame([(signed(hashes[w]), m) for w, m in dictionary.items()], "h long, n long")
+        df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+        top = np.sort(np.array([hashes[w] for w, _ in dictionary.most_common(3)], np.uint64))
+        got = suffix_tree.word_states(df, known, sum(dictionary.values()), top, buckets).collect()
+        want = _by_hand(texts)
+        values = sorted([left for _, left in want.values()] + [v for of, _ in want.values() for v in of.values()])
+        assert {len(c) for c in want} >= {1, 2} and np.allclose(sorted(r["v"] for r in got), values, rtol=0, atol=1e-12)
+        assert all(math.isclose(sum(of.values()) + left, 1) for of, left in want.values())
+        size.append(len(got))
+    assert size[1] > 3 * size[0]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(6, 24))
