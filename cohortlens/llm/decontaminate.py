@@ -8,7 +8,8 @@ one diagonal (the same shift between document and item) are one passage; along
 it every slot value of the item must stand for one value of the document and the
 other way round, so a question with other numbers is found, and chance meetings
 of placeholders are not. A document holds an item if consistent passages cover
-``COVER`` of the item's windows.
+``COVER`` of the item's windows, or if the windows of one passage hold ``RUN`` of the
+item's words (a long verbatim part; a copy with some words replaced).
 
 Items shorter than a window are one window of their own length. A bit filter of
 fixed size over the items' windows keeps nearly all document windows out of the
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm import vectext as V
@@ -31,6 +32,7 @@ from cohortlens.session import ensure_checkpoint_dir
 SIZE = 8
 PLAIN = 3      # a window has this many words that are no placeholders (all, if shorter)
 COVER = 0.5
+RUN = 13
 
 # Units of measure, time and money that count as units after a number.
 UNITS = """% mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz gram grams
@@ -120,8 +122,8 @@ _WINDOW = "id long, pos long, hash long, size long, slots array<binary>, of long
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, coverage, kind): the items each document holds; ``kind`` is
-    ``exact``, or ``reparameterised`` if some slot has another value.
+    """(doc_id, item_id, coverage, kind): the items each document holds; ``coverage`` is the
+    share of the item's windows, ``kind`` is ``exact``, or ``reparameterised`` if some slot has another value.
 
     Null and empty texts hold nothing and are held by nothing; items with too few
     plain words for a window cannot be found. Repeated documents or items with one
@@ -134,7 +136,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # 1 .. SIZE
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     found = texts.mapInArrow(_windows(sizes, False, bit_filter(known, F.col("hash"))), _WINDOW)
-    theirs = known.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("values"), "of")
+    theirs = known.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("values"), "size", "of")
     passage = ["doc_id", "item_id", "shift"]
     both = (found.select(F.col("id").alias("doc_id"), "pos", "hash", "slots").join(theirs, "hash")
             .withColumn("shift", F.col("pos") - F.col("at")).checkpoint())
@@ -143,9 +145,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     agrees = (stands_for.groupBy(*passage, "v").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
               .groupBy(*passage).agg((F.max("n") == 1).alias("one"), (F.count_distinct("s") == F.count(F.lit(1))).alias("other"),
                                      F.bool_and(F.col("n").eqNullSafe(1) & (F.col("s") == F.col("v"))).alias("same")))
-    return (both.select(*passage, "at", "of").distinct().join(agrees, passage, "left")
+    along = Window.partitionBy(*passage)
+    words = F.least("size", F.coalesce(F.lead("at").over(along.orderBy("at")) - F.col("at"), F.col("size")))
+    return (both.select(*passage, "at", "size", "of").distinct().join(agrees, passage, "left")
             .where(F.coalesce(F.col("one") & F.col("other"), F.lit(True)))
+            .withColumn("words", words).withColumn("run", F.sum("words").over(along))
             .groupBy("doc_id", "item_id")
-            .agg((F.count_distinct("at") / F.max("of")).alias("coverage"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
-            .where(F.col("coverage") >= COVER)
+            .agg((F.count_distinct("at") / F.max("of")).alias("coverage"), F.max("run").alias("run"),
+                 F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
+            .where((F.col("coverage") >= COVER) | (F.col("run") >= RUN))
             .select("doc_id", "item_id", "coverage", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind")))

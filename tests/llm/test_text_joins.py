@@ -129,6 +129,21 @@ def test_leaks(spark):
     assert leaks(d.limit(0), b).count() == 0 and leaks(d, b.limit(0)).count() == 0
 
 
+def _words(rng, n):
+    return ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+
+
+def test_parts_and_edited_copies(spark):
+    rng = random.Random(9)
+    long, middle = _words(rng, 59), _words(rng, 30)
+    edited = lambda w: [*w[:len(w) // 3], "other", *w[len(w) // 3 + 1:2 * len(w) // 3], "words", *w[2 * len(w) // 3 + 1:]]
+    texts = {1: long[:30], 2: long[20:33], 3: long[20:32], 4: edited(long), 5: edited(middle), 6: long[:13] + middle[:12], 7: _words(rng, 90)}
+    docs = spark.createDataFrame([(i, " ".join([*_words(rng, 4), *w, *_words(rng, 4)])) for i, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(middle))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["coverage"] * (52 if r["item_id"] == 1 else 23)) for r in leaks(docs, bench).collect()}
+    assert got == {(1, 1): 23, (2, 1): 6, (4, 1): 3 * 12, (5, 2): 3 + 2 + 2, (6, 1): 6}
+
+
 def test_whole_items_are_found(spark):
     sf = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
