@@ -5,9 +5,10 @@ after numbers, and names (capitalised words inside a sentence) replaced by typed
 placeholders, whose own words are the slots. Windows of ``SIZE`` template words
 of a document and of a benchmark item meet in a hash join. Windows that lie on
 one diagonal (the same shift between document and item) are one passage; along
-it every slot value of the item must stand for one value of the document and the
-other way round, so a question with other numbers is found, and chance meetings
-of placeholders are not. A document holds an item if consistent passages cover
+it a slot value of the item should stand for one value of the document. Windows in
+which a value that stands for several (on either side) takes the place of another one are
+dropped, and only those, so a question with other numbers is found, a copy with
+one altered value too, and chance meetings of placeholders are not. A document holds an item if consistent passages cover
 ``COVER`` of the item's windows, or if the windows of one passage hold ``RUN`` of the
 item's words (a long verbatim part; a copy with some words replaced).
 
@@ -142,13 +143,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
             .withColumn("shift", F.col("pos") - F.col("at")).checkpoint())
     pair = F.explode(F.arrays_zip("values", "slots")).alias("pair")
     stands_for = both.select(*passage, pair).select(*passage, F.col("pair.values").alias("v"), F.col("pair.slots").alias("s")).distinct()
-    agrees = (stands_for.groupBy(*passage, "v").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
-              .groupBy(*passage).agg((F.max("n") == 1).alias("one"), (F.count_distinct("s") == F.count(F.lit(1))).alias("other"),
-                                     F.bool_and(F.col("n").eqNullSafe(1) & (F.col("s") == F.col("v"))).alias("same")))
+    values = (stands_for.groupBy(*passage, "v").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("s") == F.col("v")).alias("same"))
+              .groupBy(*passage).agg(F.collect_list(F.when(F.col("n") > 1, F.col("v"))).alias("several"), F.bool_and("same").alias("same")))
+    clash = F.exists(F.arrays_zip("values", "slots"), lambda p: (p["values"] != p["slots"]) & (
+        F.array_contains("several", p["values"]) | F.array_contains("several", p["slots"])))
     along = Window.partitionBy(*passage)
     words = F.least("size", F.coalesce(F.lead("at").over(along.orderBy("at")) - F.col("at"), F.col("size")))
-    return (both.select(*passage, "at", "size", "of").distinct().join(agrees, passage, "left")
-            .where(F.coalesce(F.col("one") & F.col("other"), F.lit(True)))
+    return (both.join(values, passage, "left").where(~F.coalesce(clash, F.lit(False)))
+            .select(*passage, "at", "size", "of", "same").distinct()
             .withColumn("words", words).withColumn("run", F.sum("words").over(along))
             .groupBy("doc_id", "item_id")
             .agg((F.count_distinct("at") / F.max("of")).alias("coverage"), F.max("run").alias("run"),

@@ -144,6 +144,16 @@ def test_parts_and_edited_copies(spark):
     assert got == {(1, 1): 23, (2, 1): 6, (4, 1): 3 * 12, (5, 2): 3 + 2 + 2, (6, 1): 6}
 
 
+def test_one_altered_value_keeps_the_rest(spark):
+    plain = _words(random.Random(10), 46)
+    item = " ".join([*plain[:3], "120", *plain[3:23], "60", *plain[23:43], "120", *plain[43:]])
+    altered = item[::-1].replace("021", "999", 1)[::-1]
+    same = item.replace("120", "500").replace("60", "500")
+    docs = spark.createDataFrame([(1, altered), (2, same), (3, item)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["kind"], round(r["coverage"] * 42)) for r in leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: ("reparameterised", 42 - 4), 2: ("reparameterised", 42), 3: ("exact", 42)}
+
+
 def test_whole_items_are_found(spark):
     sf = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
