@@ -2,7 +2,8 @@
 
 Rules name a host and the start of a path, and block or allow; the longest rule
 that fits a url decides. Urls that redirect to each other, or name each other as
-their canonical address, are aliases: connected components over those edges. A
+their canonical address, are aliases: connected components over those edges. The
+spellings of one url (``alias_key``) are aliases without an edge. A
 url without a rule is blocked if an alias is blocked by a rule, unless an alias
 is allowed by one: an explicit allow comes first.
 
@@ -11,6 +12,12 @@ Rules, however many, meet hosts in a hash join on every suffix of a host.
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +48,43 @@ def alias_key(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), F.coalesce(query, F.lit("")))
 
 
+_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+_HREF = r"""(?i)[\s"'/]href\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^"'\s>]+))"""
+_CANONICAL = (r"""(?i)<link\b[^>]*[\s"'/]rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|"""
+              r"""'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>""")
+_REFRESH = r"""(?i)<meta\b[^>]*[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+
+
+def _absolute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, base, target) as written in html to (source, target) urls; what is no address is dropped."""
+    def written(text: str) -> str:
+        return _ENTITY.sub(lambda m: entities.unescape(m.group()), text).strip()
+
+    for batch in batches:
+        source, target = [], []
+        for u, base, t in zip(*(c.to_pylist() for c in batch.columns)):
+            try:
+                t = urljoin(urljoin(u, written(base)), written(t)) if written(t) else ""
+            except ValueError:
+                continue
+            if "://" in t:
+                source.append(u)
+                target.append(t)
+        yield pa.record_batch([pa.array(source, pa.string()), pa.array(target, pa.string())], names=["source", "target"])
+
+
 def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) urls from canonical links and refresh redirects in raw html.
-    Targets that begin with a slash are taken within the page's own host."""
+    """(source, target) urls from all canonical links and refresh redirects in raw html.
+    Targets are taken relative to the page (or its base address), entities decoded."""
     u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
-    link = F.regexp_extract(h, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(h, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    targets = F.array(F.regexp_extract(link, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-                      F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    some = pages.where(h.rlike(r"(?i)\bcanonical\b|\brefresh\b")).select(u.alias("source"), F.explode(targets).alias("target"))
-    origin = F.regexp_extract("source", "^[^/?#]*://[^/?#]*", 0)
-    target = (F.when(F.col("target").startswith("//"), F.concat(F.regexp_extract("source", "^[^/?#]*:", 0), "target"))
-              .when(F.col("target").startswith("/"), F.concat(origin, "target")).otherwise(F.col("target")))
-    return some.select("source", target.alias("target")).where(F.instr("target", "://") > 0)
+    href = lambda tag: F.concat(*[F.regexp_extract(tag, _HREF, i) for i in (1, 2, 3)])
+    links = F.transform(F.regexp_extract_all(h, F.lit(_CANONICAL), F.lit(0)), href)
+    metas = F.transform(F.regexp_extract_all(h, F.lit(_REFRESH), F.lit(0)),
+                        lambda tag: F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    some = pages.where(u.isNotNull() & h.rlike(r"(?i)\bcanonical\b|\brefresh\b"))
+    base = href(F.regexp_extract(h, r"(?i)<base\b[^>]*>", 0))
+    return (some.select(u.alias("source"), base.alias("base"), F.explode(F.concat(links, metas)).alias("target"))
+            .mapInArrow(_absolute, "source string, target string"))
 
 
 def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
@@ -93,11 +124,13 @@ def judge_urls(pages: DataFrame, rules, edges: DataFrame, page_id: str = "page_i
              .select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                      F.xxhash64(alias_key(F.col("url"))).alias("node")))
     ruled = with_rules(own.select("host", "path").unionByName(nodes.select("host", "path")), rules)
-    by_group = (nodes.join(member, "node").join(ruled.where("action is not null"), ["host", "path"])
+    group = F.coalesce("component", "node").alias("component")  # a node without an edge to another is its own
+    by_group = (nodes.join(member, "node", "left").select("host", "path", group)
+                .join(ruled.where("action is not null"), ["host", "path"])
                 .groupBy("component").agg(F.bool_or(F.col("action") == "block").alias("blocks"),
                                           F.bool_or(F.col("action") == "allow").alias("allows"))
-                .where("blocks and not allows"))
-    spread = member.join(by_group, "component").select("node", F.lit("block").alias("spread"))
+                .where("blocks and not allows").select("component", F.lit("block").alias("spread")))
     return (own.withColumn("node", F.xxhash64(alias_key(F.col("url")))).join(ruled, ["host", "path"], "left")
-            .join(spread, "node", "left")
+            .join(member, "node", "left").select("page_id", "host", "path", "rule", "action", group)
+            .join(by_group, "component", "left")
             .select("page_id", "host", "path", "rule", F.coalesce("action", "spread", F.lit("allow")).alias("verdict")))

@@ -59,6 +59,26 @@ def test_aliases_and_odd_urls(spark):
     assert judge_urls(df.limit(0), URL_RULES, edges.limit(0)).count() == 0
 
 
+def test_spellings_share_a_verdict(spark):
+    de = "http://a.example.com/de"
+    pages = [(1, de, f'<link rel="canonical" href="{de}/">'), (2, "http://b.example.com/de", ""), (3, "https://b.example.com/de/", ""), (4, "http://c.example.com/de", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(df, URL_RULES, html_edges(df)).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: ("example.com/de/", "block"), 4: (None, "allow")}
+
+
+def test_edges_of_html(spark):
+    link = lambda href, rel="canonical": f'<link rel="{rel}" href="{href}">'
+    pages = [("http://h.io/a/b?q", link("?page=2&amp;ref=x") + link("12.html") + "\n" + link("../x", "nofollow canonical") + link("/y", "Canonical alternate")),
+             ("http://h.io/m", '<META HTTP-EQUIV="refresh" CONTENT="0;url=z&#38;k"><meta http-equiv=refresh content="1; URL=//o.io/">'),
+             ("http://h.io/n", link("http://p.io/no", "canonical-not") + link("mailto:canonical@h.io") + link("") + link("http://[bad/") + "<link rel=canonical href=q&region=1>"),
+             ("http://h.io/o", '<base href="/deep/">' + link("w")), (None, link("http://p.io/")), ("http://h.io/p", None)]
+    got = {(r["source"], r["target"]) for r in html_edges(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got == {("http://h.io/a/b?q", "http://h.io/a/b?page=2&ref=x"), ("http://h.io/a/b?q", "http://h.io/a/12.html"), ("http://h.io/a/b?q", "http://h.io/x"),
+                   ("http://h.io/a/b?q", "http://h.io/y"), ("http://h.io/m", "http://h.io/z&k"), ("http://h.io/m", "http://o.io/"),
+                   ("http://h.io/n", "http://h.io/q&region=1"), ("http://h.io/o", "http://h.io/deep/w")}
+
+
 def test_tool_links(spark):
     call = lambda i, turn, name, args, conv=1: (conv, i, turn, name, args, "extra")
     calls = spark.createDataFrame([
