@@ -4,7 +4,9 @@ In each of ``tables`` tables a vector, scaled to length 1, is turned by a fast
 pseudo-rotation (three rounds of random signs and a Hadamard transform) and
 falls to the nearest signed axis, its largest coordinate. A query looks at its
 ``probes`` nearest axes in each table. What it finds there is ranked by the
-exact Euclidean distance of the original vectors in double precision.
+exact Euclidean distance of the original vectors in double precision. Queries that
+find too few look again at more axes, at last at all axes of one table, where
+every vector is.
 
 A bucket is cut into blocks of bounded numbers of vectors and of queries, from
 one count of all buckets (``tables`` x axes numbers), so a bucket that holds a
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import ensure_checkpoint_dir
+
 VECTORS_A_BLOCK = 4096
 QUERIES_A_BLOCK = 2048
 
@@ -70,7 +74,7 @@ def usable(vector: Column) -> Column:
 def nearest(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 10, tables: int = 16,
             probes: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query among
-    all other ids, nearest first, ties to the smaller id; fewer if fewer are found.
+    all other ids, nearest first, ties to the smaller id; all other ids if they are fewer.
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do those of another length than the commonest (ties: the smaller),
@@ -160,6 +164,19 @@ def nearest(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int =
     asked = good.where("asks").select("vec_id", "vector").mapInArrow(ask, f"bucket long, shelf long, desk long, query_id long, vector {kind}")
     found = shelved.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-            .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    ensure_checkpoint_dir(df.sparkSession)
+    few = (found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+           .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+           .select("query_id", "rank", "vec_id", "score"))
+    if probes >= axes:
+        return few
+    few = few.checkpoint()
+    short = (good.where("asks").select(F.col("vec_id").alias("query_id")).distinct()
+             .join(few.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+             .where(F.coalesce("n", F.lit(0)) < k).select("query_id").checkpoint())
+    if short.isEmpty():
+        return few
+    again = (good.join(short, good["vec_id"] == short["query_id"], "left")
+             .select("vec_id", "vector", (F.col("asks") & F.col("query_id").isNotNull()).alias("asks")))
+    more = nearest(again, "vec_id", "vector", F.col("asks"), k, *((1, axes) if 4 * probes >= axes else (tables, 4 * probes)))
+    return few.join(short, "query_id", "left_anti").select(few.columns).unionByName(more)

@@ -200,6 +200,17 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 6, 20])
+def test_small_tables_give_every_neighbour(spark, n):
+    x = np.random.default_rng(12).normal(size=(n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, "vec_id", "embedding", F.lit(True)).collect()
+    assert len(got) == n * min(10, n - 1)
+    for q in range(n):
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [r for r, _ in mine] == list(range(1, len(mine) + 1)) and q not in {v for _, v in mine}
+
+
 def test_neighbours_recall_on_the_table(spark):
     from cohortlens.llm.queries import op6
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
