@@ -205,3 +205,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.where(F.col("role") == "assistant").select(
         "conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return link_tools(calls, results, CHAT_TOOLS)
+
+
+@registered("op12_structure_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a checksum of its rows, with its faults and its cheapest repair."""
+    from cohortlens.llm.repair import damaged, repair_conversations, same, text_digests
+    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = raw.withColumn("role", spaced("role")).withColumn("text", spaced("text"))
+    checksum = F.crc32(F.encode(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")), "UTF-8"))
+    repair = repair_conversations(damaged(rows, checksum))
+    out = same(same(raw.select("conv_id").distinct(), repair.conversations, ["conv_id"]), text_digests(repair.rows), ["conv_id"])
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("conv_id", *map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@registered("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 16 directions of largest variance, whitened."""
+    from cohortlens.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
