@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.licenses import BASE, scan_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -228,3 +230,16 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector on the 16 directions of largest variance, whitened."""
     from cohortlens.llm.whitening import whiten
     return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
+
+
+@registered("op11_license_scan", scan_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases of every document, and the licences that its text names."""
+    from cohortlens.llm.licenses import label_list, scan_licenses
+    scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    base = F.filter("found", lambda f: f["template"] < BASE)
+    starts = F.transform(F.col("base"), lambda f: f["start"])
+    return (scanned.withColumn("base", base)
+            .select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                    F.array_max(starts).alias("last_word"), label_list(F.col("base")).alias("base_labels"), label_list(F.col("found")).alias("labels"),
+                    F.round(F.coalesce(F.array_max(F.transform("found", lambda f: f["weight"])), F.lit(0.0)), 6).alias("score")))
