@@ -12,7 +12,9 @@ one altered value too, and chance meetings of placeholders are not. A document h
 ``COVER`` of the item's windows, or if the windows of one passage hold ``RUN`` of the
 item's words (a long verbatim part; a copy with some words replaced).
 
-Items shorter than a window are one window of their own length. A bit filter of
+Items shorter than a window are one window of their own length. An item without a
+window of ``PLAIN`` plain words (numbers, a list of names), and one of no more words than a
+window, is found by its words as they are, in lower case. A bit filter of
 fixed size over the items' windows keeps nearly all document windows out of the
 join.
 """
@@ -31,7 +33,7 @@ from cohortlens.llm.bits import bit_filter, passes
 from cohortlens.session import ensure_checkpoint_dir
 
 SIZE = 8
-PLAIN = 3      # a window has this many words that are no placeholders (all, if shorter)
+PLAIN = 3      # a template window has this many words that are no placeholders (all, if shorter)
 COVER = 0.5
 RUN = 13
 
@@ -43,7 +45,7 @@ pounds km2 m2 m3 mph kmh hz khz mhz ghz w kw v a n j kj cal kcal c f k""".split(
 
 _unit_words = V.Words(*V.flat(pa.array(UNITS)), V.ALNUM)
 _UNIT_HASHES = np.sort(_unit_words.hash)
-_NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
+_NUM, _UNIT, _NAME, _AS_IS = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547, 0x1B873593CC9E2D51))
 _BREAK = np.zeros(256, np.int64)
 _BREAK[[ord(c) for c in ".!?:;\n\"("]] = 1
 _DIGIT = np.zeros(256, bool)
@@ -85,7 +87,8 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[V.Words, np.ndarray
 def _windows(sizes: list[int], whole: bool, bits=None):
     """Mapper from (id, text) to (id, pos, hash, size, slots, of). ``whole``: texts are
     benchmark items, whose windows are of ``SIZE`` or their own shorter length, and ``of`` is
-    how many a text has. Otherwise windows of all ``sizes`` that pass the filter."""
+    how many a text has. Otherwise windows of all ``sizes`` that pass the filter, as templates
+    and as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -97,25 +100,32 @@ def _windows(sizes: list[int], whole: bool, bits=None):
                 for size in sizes:
                     if len(h) < size:
                         continue
-                    hashes = V.windows(h, size) ^ np.uint64(size)
-                    at = np.arange(len(hashes))
+                    at = np.arange(len(h) - size + 1)
                     row = np.searchsorted(w.first, at, "right") - 1
-                    ok = (at + size <= w.first[row + 1]) & (held[at + size] - held[at] <= max(0, size - PLAIN))
+                    fits = at + size <= w.first[row + 1]
                     if whole:
-                        ok &= (count[row] == size) | ((size == SIZE) & (count[row] >= size))
-                        every = np.bincount(row[ok], minlength=b - a)
-                    else:
-                        ok &= passes(bits.value, hashes)
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    row = row[at]
-                    slots = [[w.text(i) for i in range(p, p + size) if slot[i]] if held[p + size] > held[p] else [] for p in at.tolist()]
-                    of = every[row] if whole else np.zeros(len(at), np.int64)
-                    yield pa.record_batch([ids.take(pa.array(a + row)), pa.array(at - w.first[row]),
-                                           pa.array(hashes[at].view(np.int64)),
-                                           pa.array(np.full(len(at), size)), pa.array(slots, pa.list_(pa.binary())), pa.array(of)],
-                                          names=["id", "pos", "hash", "size", "slots", "of"])
+                        fits &= (count[row] == size) | ((size == SIZE) & (count[row] >= size))
+                    plain = held[at + size] - held[at] <= max(0, size - PLAIN)
+                    templates = np.bincount(row[fits & plain], minlength=b - a)
+                    for as_is in (False, True):
+                        hashes = V.windows(w.hash if as_is else h, size) ^ np.uint64(size)
+                        if as_is:
+                            hashes ^= _AS_IS
+                        if not whole:
+                            ok = fits & passes(bits.value, hashes) & (plain | as_is)
+                        else:
+                            ok = fits & ((count[row] <= SIZE) | (templates[row] == 0) if as_is else plain)
+                        chosen = np.flatnonzero(ok)
+                        if not len(chosen):
+                            continue
+                        rows = row[chosen]
+                        slots = [[w.text(i) for i in range(p, p + size) if slot[i]] if not as_is and held[p + size] > held[p] else []
+                                 for p in chosen.tolist()]
+                        of = np.bincount(rows, minlength=b - a)[rows] if whole else np.zeros(len(chosen), np.int64)
+                        yield pa.record_batch([ids.take(pa.array(a + rows)), pa.array(chosen - w.first[rows]),
+                                               pa.array(hashes[chosen].view(np.int64)),
+                                               pa.array(np.full(len(chosen), size)), pa.array(slots, pa.list_(pa.binary())), pa.array(of)],
+                                              names=["id", "pos", "hash", "size", "slots", "of"])
     return run
 
 
@@ -127,7 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     share of the item's windows, ``kind`` is ``exact``, or ``reparameterised`` if some slot has another value.
 
     Null and empty texts hold nothing and are held by nothing; items with too few
-    plain words for a window cannot be found. Repeated documents or items with one
+    plain words for a template are found word for word. Repeated documents or items with one
     id count as one; null ids take no part. Empty tables give no rows.
     """
     spark = docs.sparkSession

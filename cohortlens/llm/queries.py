@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.licenses import BASE, scan_sql
@@ -22,7 +22,7 @@ def registered(name: str, sql: str | None = None):
     return keep
 
 
-ROWS_A_BATCH = 2000
+ROWS_A_BATCH = 1000
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -74,17 +74,22 @@ SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16_384
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labelled rows not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality_scores(docs, labels).select(
-        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return (docs.select("doc_id", held_out(4, 2).alias("held_out"), quality_score(docs, labels).alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``held_out`` and ``score``."""
+def held_out(modulus: int, remainder: int) -> Column:
+    from cohortlens.llm.sample import id_checksum
+    return F.coalesce(id_checksum(F.col("doc_id"), modulus) == remainder, F.lit(False))
+
+
+def quality_score(docs: DataFrame, labels: DataFrame) -> Column:
+    """The quality, 0 to 1, of ``docs.text``, by a model of the labelled rows that are not held
+    out. Being a column, it meets no column of ``docs``. Null and empty texts score alike; without
+    labelled texts (an empty table) every score is 0.5."""
     from cohortlens.llm.quality import fit_quality, score_column
-    from cohortlens.llm.sample import id_checksum, labelled_sample
-    held = F.coalesce(id_checksum(F.col("doc_id"), 4) == 2, F.lit(False))
-    model = fit_quality(labelled_sample(docs, labels.where(~held), "quality", SAMPLE_ROWS, SAMPLE_BYTES))
-    return docs.withColumn("held_out", held).withColumn("score", score_column(F.col("text"), model))
+    from cohortlens.llm.sample import labelled_sample
+    return score_column(F.col("text"), fit_quality(labelled_sample(docs, labels.where(~held_out(4, 2)), "quality", SAMPLE_ROWS, SAMPLE_BYTES)))
 
 
 @registered("op7_ordinal_toxicity")
@@ -92,21 +97,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of every document: the chance of any, the expected grade, the
     likeliest grade, and 1 where some toxicity is likelier than none."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity_scores(docs, labels).select("doc_id", "held_out", "score", "expected_severity", "grade", "predicted")
+    scored = docs.select("doc_id", held_out(4, 2).alias("held_out"), toxic_chances(docs, labels).alias("at_least"))
+    some, strong = F.element_at("at_least", 1), F.element_at("at_least", 2)
+    chance = F.array(1 - some, some - strong, strong)
+    return scored.select("doc_id", "held_out", some.alias("score"), (some + strong).alias("expected_severity"),
+                         (F.array_position(chance, F.array_max(chance)) - 1).cast("int").alias("grade"),
+                         (some >= 0.5).cast("int").alias("predicted"))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``held_out``, ``score``, ``expected_severity``, ``grade``, ``predicted``."""
-    from cohortlens.llm.sample import id_checksum, labelled_sample
+def toxic_chances(docs: DataFrame, labels: DataFrame) -> Column:
+    """The chances that ``docs.text`` has grade 1 or more and grade 2, by a model of the labelled
+    rows that are not held out. Being a column, it meets no column of ``docs``. Null texts are empty
+    ones; without labelled texts (an empty table) the chances are those of no toxicity."""
+    from cohortlens.llm.sample import labelled_sample
     from cohortlens.llm.toxicity import fit_toxicity, grade_column
-    held = F.coalesce(id_checksum(F.col("doc_id"), 4) == 2, F.lit(False))
-    model = fit_toxicity(labelled_sample(docs, labels.where(~held), "toxic", SAMPLE_ROWS, SAMPLE_BYTES))
-    some, strong = F.element_at("_at_least", 1), F.element_at("_at_least", 2)
-    chance = F.array(1 - some, some - strong, strong)
-    return (docs.withColumn("held_out", held).withColumn("_at_least", grade_column(F.col("text"), model))
-            .withColumn("score", some).withColumn("expected_severity", some + strong)
-            .withColumn("grade", (F.array_position(chance, F.array_max(chance)) - 1).cast("int"))
-            .withColumn("predicted", (some >= 0.5).cast("int")).drop("_at_least"))
+    return grade_column(F.col("text"), fit_toxicity(labelled_sample(docs, labels.where(~held_out(4, 2)), "toxic", SAMPLE_ROWS, SAMPLE_BYTES)))
 
 
 @registered("op3_jaccard_groups")
@@ -119,10 +124,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op5_suffix_tree_scores")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document, learned from those not held out."""
-    from cohortlens.llm.sample import id_checksum
     from cohortlens.llm.suffix_tree import score_texts
-    held = F.coalesce(id_checksum(F.col("doc_id"), 5) == 1, F.lit(False))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(5, 1).alias("held_out"))
     return score_texts(docs, "text", ~F.col("held_out"), ["doc_id", "held_out"])
 
 

@@ -43,9 +43,11 @@ def path_of(url: Column) -> Column:
 
 
 def alias_key(url: Column) -> Column:
-    """One name for a url's spellings: without scheme, fragment and closing slashes."""
+    """One name for a url's spellings: without scheme, fragment and closing slashes. Null
+    for a url without a host, which is no alias of anything."""
     query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), F.coalesce(query, F.lit("")))
+    key = F.concat(host_of(url), F.rtrim(path_of(url), F.lit("/")), F.coalesce(query, F.lit("")))
+    return F.when(host_of(url) != "", key)
 
 
 _ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
@@ -91,13 +93,13 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -
     """Distinct (host, path) of ``urls`` with the ``rule`` (host and path as one text)
     and its ``action`` (block, allow), or nulls. Of fitting rules the longest
     wins, then the one of the longer host, then allow before block."""
-    spark = urls.sparkSession
     if not isinstance(rules, DataFrame):
-        given = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(r, ("action", "rule_host", "rule_path"))]) for r in rules])
-        rules = spark.range(1).select(F.inline(given))
+        rules = urls.sparkSession.createDataFrame(rules, "action string, rule_host string, rule_path string")
     places = urls.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    dots = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    # no suffix of more labels than any rule's host has can meet a rule
+    most = (rules.agg(F.max(dots(F.col("rule_host"))).alias("n")).first()["n"] or 0) + 1
+    suffixes = F.expr(f"transform(sequence(1, least({most}, length(host) - length(replace(host, '.', '')) + 1)), i -> substring_index(host, '.', -i))")
     fits = (places.select("host", "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host")
             .where(F.col("path").startswith(F.col("rule_path"))))
     rule = F.concat("rule_host", "rule_path")
@@ -111,16 +113,19 @@ def judge_urls(pages: DataFrame, rules, edges: DataFrame, page_id: str = "page_i
     """(page_id, host, path, rule, verdict) of every row of ``pages``.
 
     ``edges``: (source, target) urls. Null and malformed urls have an empty host
-    and path, fit no rule with a host, have no alias, and are allowed. Repeated rows are
-    judged each; an empty table gives an empty one.
+    and path, fit no rule with a host, have no alias, and are allowed; a url with a
+    path but no host (``file:///x``) has no alias either, and an edge to one says nothing. Hosts and
+    paths of any length are judged whole. Repeated rows are judged each, other columns are left
+    out, and an empty table gives an empty one.
     """
     u = F.col(f"`{url}`")
     own = pages.select(F.col(f"`{page_id}`").alias("page_id"), u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"))
     ends = edges.select(F.col("source").alias("url"), F.col("target").alias("other")).where("url is not null and other is not null")
-    linked = ends.select(F.xxhash64(alias_key(F.col("url"))).alias("a"), F.xxhash64(alias_key(F.col("other"))).alias("b"))
+    linked = ends.select(F.xxhash64(alias_key(F.col("url"))).alias("a"), F.xxhash64(alias_key(F.col("other"))).alias("b"),
+                         alias_key(F.col("url")).alias("k"), alias_key(F.col("other")).alias("l")).where("k is not null and l is not null")
     member = connected_components(linked)
     nodes = (own.select("url").unionByName(ends.select("url")).unionByName(ends.select(F.col("other").alias("url")))
-             .where(F.instr("url", "://") > 0).distinct()
+             .where(alias_key(F.col("url")).isNotNull()).distinct()
              .select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                      F.xxhash64(alias_key(F.col("url"))).alias("node")))
     ruled = with_rules(own.select("host", "path").unionByName(nodes.select("host", "path")), rules)
@@ -130,7 +135,8 @@ def judge_urls(pages: DataFrame, rules, edges: DataFrame, page_id: str = "page_i
                 .groupBy("component").agg(F.bool_or(F.col("action") == "block").alias("blocks"),
                                           F.bool_or(F.col("action") == "allow").alias("allows"))
                 .where("blocks and not allows").select("component", F.lit("block").alias("spread")))
-    return (own.withColumn("node", F.xxhash64(alias_key(F.col("url")))).join(ruled, ["host", "path"], "left")
+    key = alias_key(F.col("url"))
+    return (own.withColumn("node", F.when(key.isNotNull(), F.xxhash64(key))).join(ruled, ["host", "path"], "left")
             .join(member, "node", "left").select("page_id", "host", "path", "rule", "action", group)
             .join(by_group, "component", "left")
             .select("page_id", "host", "path", "rule", F.coalesce("action", "spread", F.lit("allow")).alias("verdict")))

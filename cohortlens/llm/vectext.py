@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 # Bytes that separate words (space, and 0x09 to 0x0D).
 _SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 

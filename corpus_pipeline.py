@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next one's ``docs``. All but the last return the
-columns of ``docs``. Empty tables stay empty, null texts are empty texts, extra
-columns pass through, and rows with a null id, which no decision can name, are
-judged by their text where a stage scores texts and else stay.
+columns of ``docs``, as they came; the last adds ``ids``, ``n_tokens``, ``ids_sha256`` and
+``decoded_sha256``, and a column that came with one of these names goes on as ``<name>_before``.
+Empty tables stay empty and null texts are empty texts. Rows are known by a hash of id and
+text, so rows with a null id, and several texts under one id, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -14,38 +15,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.queries import contaminated_ids, quality_scores, table, token_digests, toxicity_scores
+from cohortlens.llm.queries import contaminated_ids, quality_score, table, token_digests, toxic_chances
+
+
+def _keyed(docs: DataFrame) -> tuple[str, DataFrame]:
+    """A name that no column has, and ``docs`` with a hash of id and text under it."""
+    key = "_row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return key, docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier scores 0.7 or more."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= 0.7).select(docs.columns)
+    return docs.where(quality_score(docs, table(spark, sf_dir, "labels")) >= 0.7)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which no toxicity is likelier than some."""
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("predicted") == 0).select(docs.columns)
+    return docs.where(F.element_at(toxic_chances(docs, table(spark, sf_dir, "labels")), 1) < 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; of
-    rows that repeat an id and text, one."""
+    """Keeps one document of each group of near copies, the one with the smallest id
+    (null ids last, then the smallest hash); of rows that repeat an id and text, one."""
     from cohortlens.llm.jaccard import jaccard_components
-    first = (jaccard_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    key, keyed = _keyed(docs)
+    groups = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key]
+    kept = keyed.select("doc_id", key).join(groups, key).groupBy("component_id").agg(first.alias(key)).select(key)
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    return docs.join(contaminated_ids(docs, table(spark, sf_dir, "benchmark")), "doc_id", "left_anti").select(docs.columns)
+    key, keyed = _keyed(docs)
+    held = contaminated_ids(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(held.select(F.col("doc_id").alias(key)), key, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the packed token ids of each text and their digests."""
-    return token_digests(docs)
+    """Adds the packed token ids of each text, how many they are, and their digests."""
+    made = ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "_decoded")
+    return token_digests(docs.withColumnsRenamed({c: f"{c}_before" for c in docs.columns if c.lower() in made}))
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates),

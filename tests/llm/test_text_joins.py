@@ -163,3 +163,17 @@ def test_whole_items_are_found(spark):
     got = {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()}
     assert want <= got and len(got) <= len(want) + 1
     assert np.isfinite(len(got))
+
+
+def test_items_without_plain_words_are_found_as_they_are(spark):
+    """Exact copies of numbers and of names, and a short item that stands inside a sentence."""
+    numbers, series = "3 + 4 = 7, 12 x 12 = 144, 9 - 8 = 1 and 100", " ".join(str(n * n) for n in range(1, 30))
+    names = "Anna Berta Clara Dora Emma Frieda Gerda Hanna Ida Jutta"
+    short = "Name the largest moon of Saturn"
+    items = spark.createDataFrame([(1, numbers), (2, series), (3, names), (4, short)], "item_id long, text string")
+    prose = "some plain words come first here and then "
+    docs = [(10 + i, prose + t + " after which others follow") for i, t in enumerate((numbers, series, names, short))]
+    docs += [(20, prose + "5 + 6 = 11, 13 x 13 = 169, 7 - 2 = 5 and 200"), (21, prose + " ".join(str(n * n + 1) for n in range(1, 30))),
+             (22, prose + "Karl Ludwig Martin Norbert Otto Paul Quirin Rolf Stefan Theo"), (23, prose), (24, None)]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(10, 1), (11, 2), (12, 3), (13, 4)}

@@ -67,6 +67,26 @@ def test_spellings_share_a_verdict(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: ("example.com/de/", "block"), 4: (None, "allow")}
 
 
+def test_no_host_is_no_alias(spark):
+    """A page's link to an address without a host joins it to nothing."""
+    pages = [(1, "http://bad.net/x", '<link rel="canonical" href="file:///">'), (2, None, ""), (3, "no scheme", ""), (4, "file:///", ""), (5, "file:///y", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    edges = html_edges(df).unionByName(spark.createDataFrame([("http://bad.net/x", "://"), ("no scheme", "http://bad.net/x")], "source string, target string"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(df, URL_RULES, edges).collect()}
+    assert got == {1: ("bad.net", "/x", "net/", "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"),
+                   4: ("", "/", None, "allow"), 5: ("", "/y", None, "allow")}
+
+
+def test_very_long_urls(spark):
+    host, path = "a." * 60_000, "/" * 100_000 + "en/" * 50_000
+    pages = [(1, f"http://{host}net/x"), (2, f"http://{host}org/fr/{path}"), (3, f"http://{host}/{path}"), (4, f"http://www.example.net/en/{path}?{path}")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(df, URL_RULES, spark.createDataFrame([], "source string, target string")).collect()}
+    for i, url in pages:
+        assert got[i][:2] == by_hand(url) and got[i][2] == rule_by_hand(*by_hand(url))[0]
+    assert [got[i][3] for i in (1, 2, 3, 4)] == ["block", "allow", "allow", "allow"]
+
+
 def test_edges_of_html(spark):
     link = lambda href, rel="canonical": f'<link rel="{rel}" href="{href}">'
     pages = [("http://h.io/a/b?q", link("?page=2&amp;ref=x") + link("12.html") + "\n" + link("../x", "nofollow canonical") + link("/y", "Canonical alternate")),
@@ -116,7 +136,7 @@ def test_hot_conversation_is_ordered(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -158,7 +178,24 @@ def test_pipeline(spark, odd_folder):
     assert ids(P.near_duplicates(spark, docs, SF)) == ids(Q.op3(spark, SF).where("doc_id = component_id"))
     assert ids(P.decontamination(spark, docs, SF)) == ids(Q.op10(spark, SF).where("contaminated = 0"))
     assert P.tokens(spark, docs, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").exceptAll(Q.op2(spark, SF)).count() == 0
+    clashing = docs.withColumn("score", F.lit("s")).withColumn("held_out", F.lit("h")).withColumn("_row", F.lit(1)).withColumn("ids", F.lit("i"))
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, clashing, SF).where("score = 's' and held_out = 'h' and _row = 1 and ids = 'i'").count() == stage(spark, docs, SF).count()
+    assert P.tokens(spark, clashing.limit(3), SF).where("ids_before = 'i' and octet_length(ids) = 4 * n_tokens").count() == 3
     out = P.run(spark, odd_folder)
     assert out.columns[:6] == ["doc_id", "text", "lang", "source", "n_chars", "score"] and out.where("doc_id = 7").count() == 0
     for _, stage in P.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+        assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs, SF).dtypes == docs.dtypes and stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Rows with a null id, and two texts under one id, are judged by their own texts."""
+    import corpus_pipeline as P
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, a), (None, a), (None, a + " end"), (5, a), (5, b), (9, b), (None, None), (None, None), (7, "")], "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in P.near_duplicates(spark, docs, SF).collect())
+    assert sorted(kept, key=str) == sorted([("5", a), ("5", b), ("None", None), ("7", "")], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, item), (3, item), (3, a), (None, b)], "doc_id long, text string")
+    assert sorted(r["text"] for r in P.decontamination(spark, docs, SF).collect()) == sorted([a, b])
