@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from functools import lru_cache
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SHORT = 64  # bytes of a piece whose longest matches are asked for place by place
 PIECES, PAIRS = 300_000, 500_000  # entries of the memos; what a full one forgets costs time only
 
 
@@ -62,7 +63,7 @@ class Encoder:
         self.pieces = Pieces(self)
         self.automaton = ahocorasick.Automaton()
         for t, i in ranks.items():
-            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.edges: dict[int, tuple | None] = {}
         self.beginning: dict[int, int | None] = {}
@@ -94,14 +95,15 @@ class Encoder:
             self.edges[i] = (steps(right), steps(left)) if whole else None
         return self.edges[i]
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """Whether merging the two tokens' joined bytes never merges across their border."""
+    def may_follow(self, a: int | None, b: int) -> bool:
+        """Whether merging the two tokens' joined bytes never merges across their border
+        (first token of a piece: whether merging makes it)."""
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) > PAIRS:
                 self.fits.clear()
-            left, right = self.edge(a), self.edge(b)
-            self.fits[a, b] = known = right is not None and self._apart(left[0], right[1])
+            left, right = None if a is None else self.edge(a), self.edge(b)
+            self.fits[a, b] = known = right is not None and (left is None or self._apart(left[0], right[1]))
         return known
 
     def _apart(self, x: tuple, y: tuple) -> bool:
@@ -125,31 +127,47 @@ class Encoder:
             return []
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        longest: list[int | None] = [None] * len(b)
-        for end, (i, n) in self.automaton.iter(b.decode("latin-1")):
-            longest[end + 1 - n] = i  # ends come in order, so the longest match of a place stays
+        text, fits, size, ids, at, last = b.decode("latin-1"), self.fits, self.size, [], 0, None
+        for _, token in self.automaton.iter_long(text):  # every byte is a token, so matches join up
+            fit = fits.get((last, token))
+            if not (self.may_follow(last, token) if fit is None else fit):
+                break
+            ids.append(token)
+            at += size[token]
+            last = token
+        else:
+            return ids
         dead = bytearray(len(b) + 1)
-        ids: list[int] = []
-        at, token = 0, longest[0]
+        longest = self.longest(text) if len(b) > SHORT else None
         while True:
             while token is not None:
-                end = at + self.size[token]
-                if not dead[end] and (self.may_follow(ids[-1], token) if ids else self.edge(token) is not None):
-                    break
+                end = at + size[token]
+                if not dead[end]:
+                    fit = fits.get((last, token))
+                    if self.may_follow(last, token) if fit is None else fit:
+                        break
                 token = self.shorter(token)
             if token is not None:
                 ids.append(token)
                 if end == len(b):
                     return ids
-                at, token = end, longest[end]
+                at, last = end, token
+                token = longest[at] if longest else next(self.automaton.iter_long(text, at))[1]  # the longest that begins here
             elif ids:
                 dead[at] = 1
-                last = ids.pop()
-                at -= self.size[last]
-                token = self.shorter(last)
+                token = ids.pop()
+                at -= size[token]
+                token, last = self.shorter(token), ids[-1] if ids else None
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
+    def longest(self, text: str) -> list[int]:
+        """The longest token that begins at each place, in one pass."""
+        found = [0] * len(text)
+        for end, i in self.automaton.iter(text):
+            found[end + 1 - self.size[i]] = i  # ends come in order, so the longest match of a place stays
+        return found
+
     def shorter(self, i: int) -> int | None:
         """The longest token that is a beginning of this one."""
         if i not in self.beginning:
@@ -163,39 +181,53 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decoded(ids, self.token)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each Python worker."""
-    return Encoder(load_ranks(path), pattern)
+def decoded(ids: bytes, token: dict[int, bytes]) -> bytes:
+    """The bytes of packed ids."""
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """The ids of each text, packed as little-endian unsigned 32-bit integers
     (binary, four bytes an id). Null and empty texts have none."""
     @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
-        e = encoder(path, pattern)
-        return pa.array((e.encode(t.as_py() or "") for t in texts), pa.binary(), size=len(texts))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = Encoder(load_ranks(path), pattern)  # with its memos it ends with the partition
+        for texts in batches:
+            yield pa.array((e.encode(t.as_py() or "") for t in texts), pa.binary(), size=len(texts))
     return encode(text)
 
 
-def decode_column(ids: Column, path: str, pattern: str) -> Column:
+def decode_column(ids: Column, path: str) -> Column:
     """The bytes that packed ids stand for (null: none)."""
     @F.arrow_udf("binary")
-    def decode(packed: pa.Array) -> pa.Array:
-        e = encoder(path, pattern)
-        return pa.array((e.decode(p.as_py() or b"") for p in packed), pa.binary(), size=len(packed))
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = {i: t for t, i in load_ranks(path).items()}
+        for packed in batches:
+            yield pa.array((decoded(p.as_py() or b"", tokens) for p in packed), pa.binary(), size=len(packed))
     return decode(ids)
 
 
+def _round_trip(text: Column, path: str, pattern: str) -> Column:
+    """(ids, decoded) of each text, by one worker: the packed ids, and the bytes that they decode to."""
+    @F.arrow_udf("struct<ids binary, decoded binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = Encoder(load_ranks(path), pattern)
+        for texts in batches:
+            ids = pa.array((e.encode(t.as_py() or "") for t in texts), pa.binary(), size=len(texts))
+            back = pa.array((decoded(p.as_py(), e.token) for p in ids), pa.binary(), size=len(texts))
+            yield pa.StructArray.from_arrays([ids, back], names=["ids", "decoded"])
+    return both(text)
+
+
 def with_token_ids(df: DataFrame, text: str, path: str, pattern: str, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the packed ids of ``text`` in column ``ids`` (binary), and, if
     ``decoded`` names a column, the bytes that they decode to. Columns of those
     names are replaced; whole texts of any length; an empty table stays empty."""
-    out = df.withColumn(ids, encode_column(F.col(f"`{text}`"), path, pattern))
-    if decoded:
-        out = out.withColumn(decoded, decode_column(F.col(f"`{ids}`"), path, pattern))
-    return out
+    if not decoded:
+        return df.withColumn(ids, encode_column(F.col(f"`{text}`"), path, pattern))
+    kept = [c for c in df.columns if c not in (ids, decoded)]
+    both = df.select(*[F.col(f"`{c}`") for c in df.columns], _round_trip(F.col(f"`{text}`"), path, pattern).alias("_round_trip"))
+    return both.select(*[F.col(f"`{c}`") for c in kept], F.col("_round_trip.ids").alias(ids), F.col("_round_trip.decoded").alias(decoded))
