@@ -1,12 +1,14 @@
 """Regression models.
 
 OLS is solved from sufficient statistics: one grouped aggregate computes, per
-segment, ``n``, ``X'X``, ``X'y`` and ``y'y`` (partial sums map-side, so a hot
-segment costs nothing extra). Only those p x p blocks reach the driver, where
+segment, ``n``, means and centred cross-products, merged by Spark's co-moment
+aggregates (``covar_pop``), so values far from 0 lose no digits; without a constant,
+plain cross-products. Partial results merge map-side, so a hot
+segment costs nothing extra. Only those p x p blocks reach the driver, where
 each model is a small solve; nested models (a ladder) and one-covariate screens
-read sub-blocks of the same Gram matrix, so a whole ladder or screen is one
-pass over the data. Logit and Gamma models use Spark ML's IRLS
-(``GeneralizedLinearRegression``), which aggregates the same way per iteration.
+read sub-blocks of the same matrix, so a whole ladder or screen is one
+pass over the data. Logit and Gamma models of all segments step together
+(``operators/glm.py``); :func:`glm` fits a single one by Spark ML's IRLS.
 """
 
 from __future__ import annotations
@@ -128,33 +130,56 @@ class OlsFit:
     scale: float
 
 
-def ols_from_gram(G: np.ndarray, n: int, terms: Sequence[str], idx: Sequence[int], yi: int,
-                  has_const: bool, alpha: float = 0.05) -> OlsFit:
-    """OLS on the sub-block ``idx`` of the Gram matrix (target at ``yi``)."""
+def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), centred: bool = True) -> DataFrame:
+    """Per group: ``_n``, ``_mean`` of each column, and ``_gram``, the packed upper triangle of
+    their cross-products, centred on the group's means or not. Rows with a null or NaN in any column are left out."""
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    keep = F.lit(True)
+    for c in x:
+        keep = keep & c.isNotNull() & ~F.isnan(c)
+    pairs = [(x[i], x[j]) for i in range(len(x)) for j in range(i, len(x))]
+    n = F.count(F.lit(1))
+    products = [F.covar_pop(a, b) * n if centred else F.sum(a * b) for a, b in pairs]
+    return df.filter(keep).groupBy(*by).agg(n.alias("_n"), F.array(*[F.avg(c) for c in x]).alias("_mean"), F.array(*products).alias("_gram"))
+
+
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Of a symmetric matrix with positive diagonal, scaled to a diagonal of ones first."""
+    size = np.sqrt(np.diag(m))
+    if not (np.isfinite(size).all() and (size > 0).all()):
+        raise np.linalg.LinAlgError("Singular matrix")
+    scaled = m / np.outer(size, size)
+    if np.linalg.cond(scaled) > 1e14:
+        raise np.linalg.LinAlgError("Singular matrix")
+    return np.linalg.inv(scaled) / np.outer(size, size)
+
+
+def ols_from_moments(n: int, mean: np.ndarray, products: np.ndarray, terms: Sequence[str], idx: Sequence[int],
+                     has_const: bool, alpha: float = 0.05) -> OlsFit:
+    """OLS of the last column on the columns ``idx``, from means and cross-products (centred
+    with a constant, which is then the first of ``terms``)."""
     idx = list(idx)
-    XtX = G[np.ix_(idx, idx)]
-    Xty = G[idx, yi]
-    yty = G[yi, yi]
-    p = len(idx)
-    beta = np.linalg.solve(XtX, Xty)
-    rss = float(yty - beta @ Xty)
+    xy, tss = products[idx, -1], float(products[-1, -1])
+    inverse = _inverse(products[np.ix_(idx, idx)]) if idx else np.zeros((0, 0))
+    beta = inverse @ xy
+    rss = max(float(tss - beta @ xy), 0.0)
+    p = len(idx) + has_const
     dfr = n - p
     s2 = rss / dfr if dfr > 0 else float("nan")
-    cov = s2 * np.linalg.inv(XtX)
-    se = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    t = beta / se
+    variance = np.diag(inverse)
+    if has_const:
+        centre = mean[idx]
+        beta = np.concatenate(([mean[-1] - beta @ centre], beta))
+        variance = np.concatenate(([1 / n + centre @ inverse @ centre], variance))
+    se = np.sqrt(np.maximum(s2 * variance, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = beta / se
     pv = np.array([t_sf2(abs(x), dfr) for x in t])
     q = t_ppf(1 - alpha / 2, dfr) if dfr > 0 else float("nan")
     ci = np.stack([beta - q * se, beta + q * se], axis=1)
-    if has_const:
-        ybar = G[0, yi] / n  # const column is index 0
-        tss = float(yty - n * ybar * ybar)
-        dfm = p - 1
-    else:
-        tss = float(yty)
-        dfm = p
+    dfm = len(idx)
     r2 = 1 - rss / tss if tss > 0 else float("nan")
-    adj = 1 - (1 - r2) * (n - (1 if has_const else 0)) / dfr if dfr > 0 else float("nan")
+    adj = 1 - (1 - r2) * (n - has_const) / dfr if dfr > 0 else float("nan")
     f = ((tss - rss) / dfm) / s2 if dfm > 0 and s2 > 0 else float("nan")
     ll = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1) if rss > 0 else float("nan")
     fp = f_sf(f, dfm, dfr) if dfm > 0 and dfr > 0 and not math.isnan(f) else float("nan")
@@ -181,22 +206,21 @@ def ols(df: DataFrame, target: str, covariates: Sequence[str], intercept: bool =
     """
     covariates = list(covariates)
     models = models or {"full": covariates}
-    gdf = gram(df, covariates, target, [by] if by else [], intercept)
-    rows = gdf.collect()  # one row per segment: n and a packed (p+2)^2/2 array
-    k = len(covariates) + 1 + (1 if intercept else 0)
-    names = ([CONST] if intercept else []) + covariates
-    yi = k - 1
+    # one row per segment: n, p + 1 means and a packed (p+1)^2/2 array
+    rows = moments(df, [*covariates, target], [by] if by else [], centred=intercept).collect()
     coefs, stats = [], []
     for r in rows:
+        if not r["_n"]:
+            continue
         seg = None if by is None else (None if r[by] is None else str(r[by]))
-        G = unpack(r["_gram"], k)
+        products, mean = unpack(r["_gram"], len(covariates) + 1), np.array(r["_mean"])
         for mname, mcols in models.items():
-            idx = ([0] if intercept else []) + [names.index(c) for c in mcols]
-            terms = [names[i] for i in idx]
+            idx = [covariates.index(c) for c in mcols]
+            terms = ([CONST] if intercept else []) + list(mcols)
             try:
-                fit = ols_from_gram(G, int(r["_n"]), terms, idx, yi, intercept)
+                fit = ols_from_moments(int(r["_n"]), mean, products, terms, idx, intercept)
                 coefs += _coef_rows(mname, seg, fit, None, int(r["_n"]))
-                stats.append((mname, seg, fit.n, float(len(idx) - (1 if intercept else 0)), fit.df_resid,
+                stats.append((mname, seg, fit.n, float(len(idx)), fit.df_resid,
                               fit.r2, fit.adj_r2, fit.f_stat, fit.f_pvalue, fit.loglik, fit.aic, fit.bic, fit.scale))
             except (np.linalg.LinAlgError, ValueError, ZeroDivisionError) as e:
                 coefs += _coef_rows(mname, seg, None, f"{type(e).__name__}: {e}", int(r["_n"]))
@@ -204,6 +228,106 @@ def ols(df: DataFrame, target: str, covariates: Sequence[str], intercept: bool =
     return spark.createDataFrame(coefs, COEF_SCHEMA), spark.createDataFrame(stats, STATS_SCHEMA)
 
 
+RESIDUAL_SCHEMA = ("model string, n long, durbin_watson double, skew double, kurtosis double, jarque_bera double, jarque_bera_p double, "
+                   "omnibus double, omnibus_p double, condition_number double")
+
+
+def residual_statistics(df: DataFrame, target: str, covariates: Sequence[str], order: Sequence[str], intercept: bool = True,
+                        models: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """What the residuals of each model say about it: Durbin-Watson along ``order`` (nulls first; rows
+    equal in it in any order), skew, kurtosis (3 for a normal), Jarque-Bera and D'Agostino's omnibus test, and
+    the condition number of the design.
+
+    Third and fourth moments are merged around the mean by Spark's aggregates. For neighbours the rows are
+    sorted by ranges of ``order``; a task sums the squared differences inside its range and hands on its
+    first and last residual, so one row a task meets its neighbour at the border. Rows with a null are
+    left out, as from the fit; a table without rows, and a model that cannot be fitted, give no row.
+    """
+    covariates, spark = list(covariates), df.sparkSession
+    models = models or {"full": covariates}
+    cols = [*covariates, target]
+    row = moments(df, cols, centred=True).first()
+    if not row["_n"]:
+        return spark.createDataFrame([], RESIDUAL_SCHEMA)
+    n, mean, centred = int(row["_n"]), np.array(row["_mean"]), unpack(row["_gram"], len(cols))
+    whole = centred + n * np.outer(mean, mean)
+    fitted = {}
+    for m, xs in models.items():
+        idx = [covariates.index(c) for c in xs]
+        try:
+            fit = ols_from_moments(n, mean, centred if intercept else whole, xs, idx, intercept)
+        except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+            continue
+        size = np.block([[np.array([[n]]), n * mean[None, idx]], [n * mean[idx, None], whole[np.ix_(idx, idx)]]]) if intercept else whole[np.ix_(idx, idx)]
+        values = np.linalg.eigvalsh(size)
+        fitted[m] = fit, float(np.sqrt(values[-1] / values[0])) if len(values) and values[0] > 0 else float("inf")
+    if not fitted:
+        return spark.createDataFrame([], RESIDUAL_SCHEMA)
+    numbers = [F.col(f"`{c}`").cast("double") for c in cols]
+    there = F.lit(True)
+    for c in numbers:
+        there = there & c.isNotNull() & ~F.isnan(c)
+    # around the means, so that a residual is no difference of large numbers
+    away = {c: x - m for c, x, m in zip(cols, numbers, mean.tolist())} if intercept else dict(zip(cols, numbers))
+
+    def residual(m: str) -> Column:
+        out = away[target]
+        for c, b in zip(models[m], fitted[m][0].beta[int(intercept):].tolist()):
+            out = out - away[c] * b
+        return out
+    e = (df.filter(there).select(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)],
+                                 *[residual(m).alias(f"e{i}") for i, m in enumerate(fitted)]))
+    names = [f"e{i}" for i in range(len(fitted))]
+    shape = e.agg(*[f(c).alias(f"{k}{c}") for c in names for k, f in (("s", F.skewness), ("k", F.kurtosis))]).first()
+    keys = [F.col(f"o{i}").asc_nulls_first() for i in range(len(order))]
+    apart = (e.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*names)
+             .mapInArrow(_neighbours, "part long, first array<double>, last array<double>, apart array<double>, squares array<double>"))
+    borders = sorted(apart.collect(), key=lambda r: r["part"])  # one row a task
+    out = []
+    for i, (m, (_, condition)) in enumerate(fitted.items()):
+        squares = sum(r["squares"][i] for r in borders)
+        between = sum(r["apart"][i] for r in borders) + sum((b["first"][i] - a["last"][i]) ** 2 for a, b in zip(borders, borders[1:]))
+        skew, kurtosis = shape[f"se{i}"], shape[f"ke{i}"]
+        flat = skew is None or math.isnan(skew)
+        jb = None if flat else n / 6 * (skew ** 2 + kurtosis ** 2 / 4)
+        k2 = None if flat or n < 8 else _omnibus(n, skew, kurtosis + 3)
+        out.append((m, n, between / squares if squares else None, None if flat else skew, None if flat else kurtosis + 3, jb,
+                    None if jb is None else math.exp(-jb / 2), k2, None if k2 is None else math.exp(-k2 / 2), condition))
+    return spark.createDataFrame(out, RESIDUAL_SCHEMA)
+
+
+def _neighbours(batches):
+    """One row of a range: its place, first and last residuals, squared differences of neighbours, and squares."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    first = last = None
+    for batch in batches:
+        e = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if not e.shape[1]:
+            continue
+        if first is None:
+            first, apart, squares, last = e[:, 0], 0.0, 0.0, e[:, 0]
+        apart = apart + (np.diff(np.concatenate((last[:, None], e), 1), axis=1) ** 2).sum(1)
+        squares, last = squares + (e * e).sum(1), e[:, -1]
+    if first is not None:
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), *[pa.array([v.tolist()]) for v in (first, last, apart, squares)]],
+                              names=["part", "first", "last", "apart", "squares"])
+
+
+def _omnibus(n: int, skew: float, kurtosis: float) -> float:
+    """D'Agostino and Pearson's K squared: the squares of the normal scores of skew and kurtosis."""
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = math.sqrt(2 * (b2 - 1)) - 1
+    z_skew = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
+    variance = 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (kurtosis - 3 * (n - 1) / (n + 1)) / math.sqrt(variance)
+    b1 = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / b1 * (2 / b1 + math.sqrt(1 + 4 / (b1 * b1)))
+    z_kurtosis = (1 - 2 / (9 * a) - math.cbrt((1 - 2 / a) / (1 + x * math.sqrt(2 / (a - 4))))) / math.sqrt(2 / (9 * a))
+    return z_skew ** 2 + z_kurtosis ** 2
+
+
 def predict_linear(df: DataFrame, coefs: DataFrame, model: str = "full", out: str = "y_pred") -> DataFrame:
     """Fitted values ``sum(b_i x_i)`` from a coefficient table (a handful of
     numbers, inlined as literals)."""
@@ -278,40 +402,18 @@ def flag_segments(df: DataFrame, flags: Sequence[str], name: str = "segment") ->
 
 
 def fit_segments(df: DataFrame, segment: str, target: str, covariates: Sequence[str],
-                 models: dict[str, Sequence[str]], intercept: bool = True, parallelism: int = 1) -> DataFrame:
+                 models: dict[str, Sequence[str]], intercept: bool = True) -> DataFrame:
     """R9 regression form: per segment, the nested ``models``; OLS if
     ``max(target) > 1`` else logit (the original rule). OLS fits for every
-    segment and model come from one Gram pass; a logit is fitted per segment
-    (IRLS is iterative). Each segment gets its size in ``n``; a failed fit is an
+    segment and model come from one Gram pass; logits step together, one
+    aggregate a step. Each segment gets its size in ``n``; a failed fit is an
     ``error`` row, not an exception."""
     family = choose_family(df, target)
     if family == "ols":
         coefs, _ = ols(df, target, covariates, intercept=intercept, by=segment, models=models)
         return coefs
-    from concurrent.futures import ThreadPoolExecutor
-    spark = df.sparkSession
-    segs = [r[0] for r in df.select(segment).distinct().collect()]  # segment names: a bounded list
-
-    def run(task):
-        sname, mname, mcols = task
-        part = df.filter(F.col(segment) == sname)
-        try:
-            c, st = glm(part, target, mcols, "binomial", "logit", intercept=intercept, odds_ratio=True)
-            n = st.first()["n"]
-            return [(mname, str(sname), r.term, r.estimate, r.se, r.statistic, r.p, r.ci_low, r.ci_high, int(n),
-                     None) for r in c.collect()]
-        except Exception as e:  # noqa: BLE001 - the original skipped failed segments; we report them
-            return [(mname, str(sname), None, None, None, None, None, None, None, None,
-                     f"{type(e).__name__}: {str(e)[:200]}")]
-
-    tasks = [(sname, mname, list(mcols)) for sname in segs for mname, mcols in models.items()]
-    # independent distributed fits: submit a few at a time
-    if parallelism > 1:
-        with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as pool:
-            rows = [r for part in pool.map(run, tasks) for r in part]
-    else:
-        rows = [r for t in tasks for r in run(t)]
-    return spark.createDataFrame(rows, COEF_SCHEMA)
+    from cohortlens.operators.glm import fit_glms
+    return fit_glms(df, target, models, "logit", by=segment, intercept=intercept)[0]
 
 
 @dataclass
@@ -326,9 +428,9 @@ def fit_reg(df: DataFrame, target: str, covariates: Sequence[str], timestamp: st
             reg_fn: str = "ols", intercept: bool = True, test_size: float = 0.0, random_state: int = 911,
             key: str | None = None, round_stats: float | None = None, dummyfy_non_num: bool = False,
             cols_to_dummyfy: Sequence[str] | None = None) -> RegressionResult:
-    """R1 / R2 entry point with the original call's options: optional dummy
+    """R1 / R2 / R3 entry point with the original call's options: optional dummy
     coding of text covariates (first level dropped), optional hash split on
-    ``key`` (the fit uses the train side), OLS or logit, coefficient and
+    ``key`` (the fit uses the train side), OLS, logit or Gamma with a log link, coefficient and
     statistics tables, fitted values beside the target and the rounded class
     report (R4, truth and prediction in the right order)."""
     from cohortlens.operators.labels import split_flag
@@ -354,8 +456,12 @@ def fit_reg(df: DataFrame, target: str, covariates: Sequence[str], timestamp: st
         for r in coefs.select("term", "estimate").collect():
             lin = lin + (F.lit(r["estimate"]) if r["term"] == CONST else F.col(r["term"]).cast("double") * r["estimate"])
         pred = d.withColumn("y_pred", F.lit(1.0) / (F.lit(1.0) + F.exp(-lin)))
+    elif reg_fn == "gamma":
+        from cohortlens.operators.glm import fit_glms
+        coefs, stats = fit_glms(d, target, {"full": xs}, "gamma", intercept=intercept)
+        pred = predict_linear(d, coefs).withColumn("y_pred", F.exp("y_pred"))
     else:
-        raise ValueError("reg_fn must be 'ols' or 'logit'")
+        raise ValueError("reg_fn must be 'ols', 'logit' or 'gamma'")
     keep = [c for c in ([key] if key else [])]
     predictions = pred.select(*keep, F.col(target).alias("y_true"), "y_pred")
     report = rounded_class_report(predictions, "y_true", "y_pred", divisor=round_stats)

@@ -19,7 +19,9 @@ from cohortlens.operators import labels as L
 from cohortlens.operators import metrics as M
 from cohortlens.operators import models as R
 from cohortlens.operators import text as T
+from cohortlens.operators.glm import fit_glms
 from cohortlens.operators.mixed import fit_mixed
+from cohortlens.plans import stat_sql as Q
 from cohortlens.plans.registry import query
 from cohortlens.session import ensure_checkpoint_dir
 from cohortlens.sources.tables import read_table
@@ -188,6 +190,37 @@ def ols_multi_no_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coef_out(coefs)
 
 
+_RESIDUALS = """WITH """ + _simple_sql("l_extendedprice", "l_quantity", "lineitem") + """,
+r AS (SELECT l_extendedprice - (SELECT a + b * l_quantity FROM s) AS e, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem),
+d AS (SELECT e, e - lag(e) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS away FROM r),
+m AS (SELECT count(*)::DOUBLE AS n, avg(e) AS mean, sum(away * away) / sum(e * e) AS durbin_watson FROM d),
+sh AS (SELECT any_value(n) AS n, any_value(durbin_watson) AS durbin_watson, avg(pow(e - mean, 3)) / pow(avg(pow(e - mean, 2)), 1.5) AS skew,
+  avg(pow(e - mean, 4)) / pow(avg(pow(e - mean, 2)), 2) AS kurtosis FROM d, m),
+x AS (SELECT count(*)::DOUBLE AS xn, sum(l_quantity)::DOUBLE AS x1, sum(l_quantity * l_quantity)::DOUBLE AS x2 FROM lineitem),
+o AS (SELECT *, n / 6 * (skew * skew + pow(kurtosis - 3, 2) / 4) AS jarque_bera,
+  skew * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS sy,
+  3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)) AS b2,
+  (kurtosis - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / (pow(n + 1, 2) * (n + 3) * (n + 5))) AS kx,
+  6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b1 FROM sh),
+w AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6.0 + 8.0 / b1 * (2.0 / b1 + sqrt(1 + 4.0 / (b1 * b1))) AS big FROM o),
+z AS (SELECT *, asinh(sy / sqrt(2.0 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs,
+  ((1 - 2.0 / (9 * big)) - cbrt((1 - 2.0 / big) / (1 + kx * sqrt(2.0 / (big - 4))))) / sqrt(2.0 / (9 * big)) AS zk FROM w)
+SELECT 'full' AS model, round(durbin_watson, 6) AS durbin_watson, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(jarque_bera, 4) AS jarque_bera,
+  round(exp(-jarque_bera / 2), 6) AS jarque_bera_p, round(zs * zs + zk * zk, 4) AS omnibus, round(exp(-(zs * zs + zk * zk) / 2), 6) AS omnibus_p,
+  round(sqrt((xn + x2 + sqrt(pow(xn - x2, 2) + 4 * x1 * x1)) / 2 / ((xn * x2 - x1 * x1) / ((xn + x2 + sqrt(pow(xn - x2, 2) + 4 * x1 * x1)) / 2))), 4)
+  AS condition_number FROM z, x
+"""
+
+
+@query("residual_statistics", _RESIDUALS)
+def residual_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durbin-Watson, skew, kurtosis, Jarque-Bera, omnibus test and condition number of price on quantity."""
+    stats = R.residual_statistics(lineitem(spark, sf_dir), "l_extendedprice", ["l_quantity"],
+                                  order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    digits = {"durbin_watson": 6, "skew": 6, "kurtosis": 6, "jarque_bera": 4, "jarque_bera_p": 6, "omnibus": 4, "omnibus_p": 6, "condition_number": 4}
+    return stats.select("model", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
 @query("ols_full")
 def ols_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 full table: price on quantity, discount, tax, constant: estimate,
@@ -251,31 +284,64 @@ def segment_ladder_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coef_out(coefs, ["segment", "model"])
 
 
-@query("segment_logit")
+SEG_LOGIT_SRC = """(SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned, unnest(list_filter([
+  CASE WHEN l_linestatus = 'O' THEN 'open' END, CASE WHEN l_linenumber = 1 THEN 'urgent_part' END], lambda s: s IS NOT NULL)) AS segment FROM lineitem)"""
+SEG_LOGIT = {"m1": ["l_quantity", "l_discount"], "m2": ["l_quantity", "l_discount", "l_tax"]}
+_ROUNDED = ", ".join(f"round({c}, 5) AS {c}" for c in ("estimate", "se", "statistic", "p", "ci_low", "ci_high"))
+
+
+def _glm_out(coefs: DataFrame, *extra) -> DataFrame:
+    return coefs.select(*extra, "term", *[F.round(c, 5).alias(c) for c in ("estimate", "se", "statistic", "p", "ci_low", "ci_high")], "n")
+
+
+@query("segment_logit", "WITH " + ",\n".join(
+    Q.glm(SEG_LOGIT_SRC, "returned", cols, "logit", 9, f"{m}_") for m, cols in SEG_LOGIT.items()) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT segment, '{m}' AS model, term, {_ROUNDED}, n FROM {m}_terms" for m in SEG_LOGIT))
 def segment_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R9 with a 0/1 target: a logit per segment (max(target) <= 1)."""
+    """R9 with a 0/1 target (max(target) <= 1): two nested logits in each segment (a line
+    can be in both), all stepping together."""
     li = lineitem(spark, sf_dir).withColumn("returned", (F.col("l_returnflag") == "R").cast("double")) \
         .withColumn("open", (F.col("l_linestatus") == "O").cast("int")) \
         .withColumn("urgent_part", (F.col("l_linenumber") == 1).cast("int"))
     seg = R.flag_segments(li, ["open", "urgent_part"])
-    return R.fit_segments(seg, "segment", "returned", ["l_quantity", "l_discount"], {"m1": ["l_quantity", "l_discount"]})
+    return _glm_out(R.fit_segments(seg, "segment", "returned", COVS, SEG_LOGIT), "segment", "model")
 
 
 # ------------------------------------------------------------- R2, R3 ------
 
-@query("logit_odds")
+@query("logit_odds", "WITH " + Q.glm("(SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned, '' AS segment FROM lineitem)",
+                                     "returned", COVS, "logit", 9) + f"\nSELECT term, {_ROUNDED}, n, round(exp(estimate), 5) AS odds_ratio FROM terms")
 def logit_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: returned (flag R) on quantity, discount, tax: logit with odds ratios."""
     li = lineitem(spark, sf_dir).withColumn("returned", (F.col("l_returnflag") == "R").cast("double"))
-    coefs, _ = R.glm(li, "returned", COVS, "binomial", "logit", odds_ratio=True)
-    return coefs
+    coefs, _ = fit_glms(li, "returned", {"full": COVS}, "logit")
+    odds = coefs.select("term", F.round(F.exp("estimate"), 5).alias("odds_ratio"))
+    return _glm_out(coefs).join(odds, "term")
+
+
+@query("logit_fit_statistics", "WITH " + Q.glm("(SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned, '' AS segment FROM lineitem)",
+                                               "returned", COVS, "logit", 9) + """,
+fitted AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta)))) AS loglik, avg(y) AS m
+  FROM (SELECT y, b0 + b1 * x1 + b2 * x2 + b3 * x3 AS eta FROM data, b_9)),
+against_null AS (SELECT *, n * (m * ln(m) + (1 - m) * ln(1 - m)) AS null_loglik FROM fitted)
+SELECT n, 3.0 AS df_model, n - 4.0 AS df_resid, round(loglik, 4) AS loglik, round(null_loglik, 4) AS null_loglik, round(1 - loglik / null_loglik, 8) AS pseudo_r2,
+  round(2 * (loglik - null_loglik), 4) AS llr, round(""" + Q.chi2_tail("(2 * (loglik - null_loglik))", "3") + """, 6) AS llr_pvalue,
+  round(8 - 2 * loglik, 4) AS aic, round(4 * ln(n) - 2 * loglik, 4) AS bic FROM against_null
+""")
+def logit_fit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: likelihoods, pseudo-R2, likelihood-ratio test and information criteria of the logit."""
+    li = lineitem(spark, sf_dir).withColumn("returned", (F.col("l_returnflag") == "R").cast("double"))
+    _, stats = fit_glms(li, "returned", {"full": COVS}, "logit")
+    rounded = {"loglik": 4, "null_loglik": 4, "pseudo_r2": 8, "llr": 4, "llr_pvalue": 6, "aic": 4, "bic": 4}
+    return stats.select("n", "df_model", "df_resid", *[F.round(c, d).alias(c) for c, d in rounded.items()])
 
 
-@query("gamma_glm")
+@query("gamma_glm", "WITH " + Q.glm("(SELECT *, '' AS segment FROM lineitem)", "l_extendedprice", ["l_quantity", "l_discount"], "gamma", 25)
+       + f"\nSELECT term, {_ROUNDED}, n FROM terms")
 def gamma_glm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gamma GLM with log link of price on quantity and discount; z p-values."""
-    coefs, _ = R.glm(lineitem(spark, sf_dir), "l_extendedprice", ["l_quantity", "l_discount"], "gamma", "log")
-    return coefs
+    coefs, _ = fit_glms(lineitem(spark, sf_dir), "l_extendedprice", {"full": ["l_quantity", "l_discount"]}, "gamma")
+    return _glm_out(coefs)
 
 
 # ------------------------------------------------------------- R6 ----------
