@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import describe as D
+from cohortlens.plans import stat_sql as Q
 from cohortlens.plans.registry import query
 from cohortlens.sources.tables import read_table
 
@@ -182,13 +183,21 @@ def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("group1", "group2", "n1", "n2", r6("m1"), r6("m2"), r6("t"), r6("dof"))
 
 
-@query("welch_t_p")
+_SIG = "CASE WHEN {0} <= 0.001 THEN '***' WHEN {0} <= 0.01 THEN '**' WHEN {0} <= 0.05 THEN '*' ELSE '' END"
+
+
+@query("welch_t_p", TOP2_SQL + """,
+q AS (SELECT *, v1 / n1 AS a, v2 / n2 AS b, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS pooled FROM w),
+t AS (SELECT *, (m1 - m2) / sqrt(a + b) AS t, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS dof, false AS equal_var FROM q
+      UNION ALL SELECT *, (m1 - m2) / sqrt(pooled * (1.0 / n1 + 1.0 / n2)), n1 + n2 - 2, true FROM q)
+SELECT group1, group2, n1, n2, round(m1, 6) AS m1, round(m2, 6) AS m2, round(t, 6) AS t, round(dof, 6) AS dof, round(""" + Q.t_tails("t", "dof") + """, 6) AS p, equal_var FROM t
+""")
 def welch_t_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2 with the two-sided p-value (and a pooled-variance row)."""
     ev = read_table(spark, sf_dir, "events")
     w = D.welch_t(ev, "value", "event_type").withColumn("equal_var", F.lit(False))
     p = D.welch_t(ev, "value", "event_type", equal_var=True).withColumn("equal_var", F.lit(True))
-    return w.unionByName(p)
+    return w.unionByName(p).select("group1", "group2", "n1", "n2", *map(r6, ("m1", "m2", "t", "dof", "p")), "equal_var")
 
 
 @query("u_test", """WITH top AS (
@@ -206,13 +215,26 @@ def u_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.u_test(read_table(spark, sf_dir, "events"), "value", "event_type", with_p=False)
 
 
-@query("u_test_p")
+@query("u_test_p", """WITH top AS (
+  SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rk
+  FROM events GROUP BY event_type QUALIFY rk <= 2),
+v AS (SELECT value, count(*) FILTER (rk = 1)::DOUBLE AS a, count(*) FILTER (rk = 2)::DOUBLE AS b FROM events JOIN top USING (event_type)
+      WHERE value IS NOT NULL GROUP BY value),
+c AS (SELECT *, sum(b) OVER (ORDER BY value) - b AS below FROM v),
+u AS (SELECT sum(a * (below + b / 2)) AS u1, sum(a) AS n1, sum(b) AS n2, sum(pow(a + b, 3) - (a + b)) AS ties FROM c),
+z AS (SELECT *, least(u1, n1 * n2 - u1) AS small,
+  (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u),
+p AS (SELECT *, least(1.0, """ + Q.normal_tails("z") + """) AS p FROM z)
+SELECT (SELECT event_type FROM top WHERE rk = 1) AS group1, (SELECT event_type FROM top WHERE rk = 2) AS group2, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+  CASE alternative WHEN 'legacy' THEN small ELSE u1 END AS u, round(CASE alternative WHEN 'legacy' THEN p / 2 ELSE p END, 6) AS p_u, alternative
+FROM p, (VALUES ('two-sided'), ('legacy')) AS x(alternative)
+""")
 def u_test_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H3 with p-values: current two-sided form and the legacy smaller-U form."""
     ev = read_table(spark, sf_dir, "events")
     a = D.u_test(ev, "value", "event_type").withColumn("alternative", F.lit("two-sided"))
     b = D.u_test(ev, "value", "event_type", alternative="legacy").withColumn("alternative", F.lit("legacy"))
-    return a.unionByName(b)
+    return a.unionByName(b).withColumn("p_u", F.round("p_u", 6))
 
 
 # ------------------------------------------------------------- H4 ----------
@@ -249,10 +271,19 @@ def subgroup_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("subgroup", r6("t"), r6("dof"), "u")
 
 
-@query("subgroup_tests_p")
+@query("subgroup_tests_p", SUBGROUP_SQL.split("SELECT m.subgroup,")[0] + """,
+ties AS (SELECT subgroup, sum(pow(k, 3) - k) AS ties FROM (SELECT subgroup, value, count(*) AS k FROM t WHERE value IS NOT NULL GROUP BY subgroup, value) GROUP BY subgroup),
+z AS (SELECT m.subgroup, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+  pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS dof, u.u,
+  (greatest(u.u, n1 * n2 - u.u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z
+  FROM m JOIN u ON m.subgroup = u.subgroup JOIN ties ON m.subgroup = ties.subgroup),
+p AS (SELECT *, """ + Q.t_tails("t", "dof") + " AS p_t, least(1.0, " + Q.normal_tails("z") + """) AS p_u FROM z)
+SELECT subgroup, round(t, 6) AS t, round(dof, 6) AS dof, u, round(p_t, 6) AS p_t, round(p_u, 6) AS p_u, """
+       + _SIG.format("p_t") + " AS sig_t, " + _SIG.format("p_u") + " AS sig_u FROM p")
 def subgroup_tests_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H4 with p-values and stars."""
-    return D.subgroup_tests(banded_events(spark, sf_dir), "value", "event_type", TEST_GROUPS, "hour_band")
+    out = D.subgroup_tests(banded_events(spark, sf_dir), "value", "event_type", TEST_GROUPS, "hour_band")
+    return out.select("subgroup", r6("t"), r6("dof"), "u", r6("p_t"), r6("p_u"), "sig_t", "sig_u")
 
 
 # ------------------------------------------------------------- H5 ----------
@@ -291,11 +322,13 @@ def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("variable", "level", "click", "purchase", r6("chi2"), "dof")
 
 
-@query("chi_square_p")
+@query("chi_square_p", CHI_SQL.replace("round(sum(a1", "sum(a1").replace("(PARTITION BY variable), 6) AS chi2", "(PARTITION BY variable) AS chi2").replace(
+    "SELECT variable, level, click, purchase,\n", ", x AS (SELECT variable, level, click, purchase,\n") + "), p AS (SELECT *, " + Q.chi2_tail("chi2", "dof") + """ AS p FROM x)
+SELECT variable, level, click, purchase, round(chi2, 6) AS chi2, dof, round(p, 6) AS p, """ + _SIG.format("p") + " AS p_significance FROM p")
 def chi_square_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H5 with p-values and stars."""
-    return D.chi_square(banded_events(spark, sf_dir), "user_id", "event_type", TEST_GROUPS,
-                        ["hour_band", "value_band"])
+    out = D.chi_square(banded_events(spark, sf_dir), "user_id", "event_type", TEST_GROUPS, ["hour_band", "value_band"])
+    return out.select("variable", "level", "click", "purchase", r6("chi2"), "dof", r6("p"), "p_significance")
 
 
 def _wide_sql() -> str:

@@ -221,46 +221,72 @@ def residual_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("model", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
-@query("ols_full")
+_FIT = ("estimate", "se", "statistic", "ci_low", "ci_high")
+_FIT_SQL = ", ".join(f"round({c}, 4) AS {c}" for c in _FIT) + ", round(p, 6) AS p"
+_WHOLE = "(SELECT *, '' AS segment FROM lineitem)"
+
+
+def _fit_out(coefs: DataFrame, stats: DataFrame | None = None, extra=(), **digits) -> DataFrame:
+    out = coefs.select(*extra, "model", "segment", "term", *[r4(c) for c in _FIT], F.round("p", 6).alias("p"), "n") if stats is not None else \
+        coefs.select(*extra, "term", *[r4(c) for c in _FIT], F.round("p", 6).alias("p"), "n")
+    if stats is None:
+        return out
+    side = stats.select(F.col("model").alias("_m"), F.col("segment").alias("_s"), *[F.round(c, d).alias(c) for c, d in digits.items()])
+    return out.join(F.broadcast(side), (F.col("model") == F.col("_m")) & F.col("segment").eqNullSafe(F.col("_s"))).drop("_m", "_s")
+
+
+@query("ols_full", "WITH " + Q.ols(_WHOLE, "l_extendedprice", COVS) + f"""
+SELECT 'full' AS model, term, {_FIT_SQL}, CAST(terms.n AS BIGINT) AS n, round(r2, 6) AS r2, round(adj_r2, 6) AS adj_r2, round(f_stat, 3) AS f_stat,
+  round(aic, 3) AS aic, round(bic, 3) AS bic, round(loglik, 3) AS loglik FROM terms, stats
+""")
 def ols_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 full table: price on quantity, discount, tax, constant: estimate,
-    SE, t, p, 95% CI, plus the fit statistics as extra rows."""
+    SE, t, p, 95% CI, plus the fit statistics on each row."""
     coefs, stats = R.ols(lineitem(spark, sf_dir), "l_extendedprice", COVS)
-    return coefs.join(stats.select("model", "r2", "adj_r2", "f_stat", "aic", "bic", "loglik"), "model")
+    return _fit_out(coefs, stats, r2=6, adj_r2=6, f_stat=3, aic=3, bic=3, loglik=3).drop("segment")
 
 
-@query("ols_no_intercept")
+@query("ols_no_intercept", "WITH " + Q.ols(_WHOLE, "l_extendedprice", COVS, intercept=False) + f"""
+SELECT 'full' AS model, term, {_FIT_SQL}, CAST(terms.n AS BIGINT) AS n, round(r2, 6) AS r2, round(f_stat, 3) AS f_stat FROM terms, stats
+""")
 def ols_no_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 without constant (the reference's usual call), uncentred R2."""
     coefs, stats = R.ols(lineitem(spark, sf_dir), "l_extendedprice", COVS, intercept=False)
-    return coefs.join(stats.select("model", "r2", "f_stat"), "model")
+    return _fit_out(coefs, stats, r2=6, f_stat=3).drop("segment")
 
 
-@query("model_ladder")
+@query("model_ladder", "WITH " + ",\n".join(Q.ols(_WHOLE, "l_extendedprice", xs, f"{m}_") for m, xs in LADDER.items()) + "\n"
+       + "\nUNION ALL\n".join(f"SELECT '{m}' AS model, term, {_FIT_SQL}, CAST({m}_terms.n AS BIGINT) AS n, round(r2, 6) AS r2, round(aic, 3) AS aic "
+                               f"FROM {m}_terms, {m}_stats" for m in LADDER))
 def model_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested models (unadjusted, + discount, + tax) from one Gram."""
-    ladder = {"m1_unadjusted": ["l_quantity"], "m2_discount": ["l_quantity", "l_discount"],
-              "m3_full": ["l_quantity", "l_discount", "l_tax"]}
-    coefs, stats = R.ols(lineitem(spark, sf_dir), "l_extendedprice", COVS, models=ladder)
-    return coefs.join(stats.select("model", "r2", "aic"), "model")
+    """Nested models (unadjusted, + discount, + tax) from one pass, with p-values and fit statistics."""
+    coefs, stats = R.ols(lineitem(spark, sf_dir), "l_extendedprice", COVS, models=LADDER)
+    return _fit_out(coefs, stats, r2=6, aic=3).drop("segment")
 
 
-@query("significant_terms")
+@query("significant_terms", "WITH " + Q.ols(SEG_SRC.replace("l_quantity", "l_quantity, l_discount, l_tax"), "l_extendedprice", COVS) + f"""
+SELECT segment, term, {_FIT_SQL}, CAST(n AS BIGINT) AS n FROM terms WHERE p <= 0.05
+""")
 def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms with p <= 0.05 of the per-segment fits."""
     coefs, _ = R.ols(_segments(spark, sf_dir), "l_extendedprice", COVS, by="segment")
-    return R.significant(coefs)
+    return _fit_out(R.significant(coefs), extra=["segment"])
+
 
+_SEG_LADDER = {"m1": ["l_quantity"], "m2": ["l_quantity", "l_discount"], "m3": COVS}
+_SEG_LADDER_SRC = """(SELECT *, unnest(list_filter([CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN l_linestatus = 'O' THEN 'open' END],
+  lambda s: s IS NOT NULL)) AS segment FROM lineitem)"""
 
-@query("segment_ladder")
+
+@query("segment_ladder", "WITH " + ",\n".join(Q.ols(_SEG_LADDER_SRC, "l_extendedprice", xs, f"{m}_") for m, xs in _SEG_LADDER.items()) + "\n"
+       + "\nUNION ALL\n".join(f"SELECT segment, '{m}' AS model, term, {_FIT_SQL}, CAST(n AS BIGINT) AS n FROM {m}_terms" for m in _SEG_LADDER))
 def segment_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 + R10: per return-flag / line-status segment, three nested models
-    (OLS since the target exceeds 1), all from one Gram pass."""
+    (OLS since the target exceeds 1), all from one pass."""
     li = lineitem(spark, sf_dir).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")) \
         .withColumn("open", (F.col("l_linestatus") == "O").cast("int"))
     seg = R.flag_segments(li, ["returned", "open"])
-    ladder = {"m1": ["l_quantity"], "m2": ["l_quantity", "l_discount"], "m3": COVS}
-    return R.fit_segments(seg, "segment", "l_extendedprice", COVS, ladder)
+    return _fit_out(R.fit_segments(seg, "segment", "l_extendedprice", COVS, _SEG_LADDER), extra=["segment", "model"])
 
 
 SEG_LADDER_SRC = {

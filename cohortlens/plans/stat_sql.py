@@ -77,3 +77,33 @@ def glm(src: str, y: str, xs: list[str], family: str, steps: int, prefix: str =
     out.append(f"{q}terms AS (SELECT segment, term, estimate, se, estimate / se AS statistic, {normal_tails('(estimate / se)')} AS p, "
                f"estimate - 1.959963984540054 * se AS ci_low, estimate + 1.959963984540054 * se AS ci_high, n FROM ({rows}))")
     return ",\n".join(out)
+
+
+def t_quantile(dof: str) -> str:
+    """The 0.975 quantile of Student's distribution, by its expansion for many degrees of freedom."""
+    z = 1.959963984540054
+    terms = ((z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96, (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384)
+    return f"({z!r} + " + " + ".join(f"{c!r} / pow({dof}, {i})" for i, c in enumerate(terms, 1)) + ")"
+
+
+def ols(src: str, y: str, xs: list[str], prefix: str = "", intercept: bool = True) -> str:
+    """Common table expressions that end in ``<prefix>terms`` (as :func:`glm`) and ``<prefix>stats`` (segment, n,
+    r2, adj_r2, f_stat, loglik, aic, bic): least squares in each ``segment`` of ``src``."""
+    q, names = prefix, (["const"] if intercept else []) + xs
+    p, c = len(names), int(intercept)
+    x = (["1.0::DOUBLE"] if intercept else []) + [f"CAST({v} AS DOUBLE)" for v in xs]
+    sums = [f"sum({x[i]} * {x[j]}) AS a{i}_{j}" for i in range(p) for j in range(i, p)]
+    sums += [f"sum({x[i]} * {y}) AS s{i}" for i in range(p)]
+    entry = lambda i, j: f"inv{min(i, j)}_{max(i, j)}"
+    beta = ", ".join(" + ".join(f"{entry(i, j)} * s{j}" for j in range(p)) + f" AS b{i}" for i in range(p))
+    left = " - ".join([y, *[f"b{i} * {x[i]}" for i in range(p)]])
+    tss = f"sum({y} * {y})" + (f" - pow(sum({y}), 2) / count(*)" if intercept else "")
+    return f"""{q}beta AS MATERIALIZED (SELECT *, {beta} FROM (SELECT *, {inverse(p)} FROM (SELECT segment, {', '.join(sums)} FROM {src} GROUP BY segment))),
+{q}residues AS MATERIALIZED (SELECT segment, count(*)::DOUBLE AS n, sum(pow({left}, 2)) AS rss, {tss} AS tss FROM {src} JOIN {q}beta USING (segment) GROUP BY segment),
+{q}stats AS (SELECT *, -2 * loglik + 2 * {p} AS aic, -2 * loglik + {p} * ln(n) AS bic FROM (SELECT segment, n, 1 - rss / tss AS r2,
+  1 - rss / tss * (n - {c}) / (n - {p}) AS adj_r2, (tss - rss) / {p - c} / (rss / (n - {p})) AS f_stat,
+  -n / 2 * (ln(2 * pi()) + ln(rss / n) + 1) AS loglik FROM {q}residues)),
+{q}terms AS (SELECT *, estimate / se AS statistic, {t_tails('(estimate / se)', f'(n - {p})')} AS p,
+  estimate - {t_quantile(f'(n - {p})')} * se AS ci_low, estimate + {t_quantile(f'(n - {p})')} * se AS ci_high FROM (
+  {' UNION ALL '.join(f"SELECT segment, '{t}' AS term, b{i} AS estimate, sqrt(inv{i}_{i} * rss / (n - {p})) AS se, n FROM {q}beta JOIN {q}residues USING (segment)"
+                      for i, t in enumerate(names))}))"""
