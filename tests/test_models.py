@@ -166,3 +166,34 @@ def test_mixed_statistics_and_a_fit_that_cannot_start(spark):
     same = spark.createDataFrame([(g, 1.0, 2.0) for g in range(3) for _ in range(3)], "g int, t double, y double")
     fit = fit_mixed(same, "g", "y", None, "t", random_slope=False)
     assert not fit.stats.first().converged and all(r.estimate is None for r in fit.coefs.collect())
+
+
+def test_mixed_segments_equal_single_fits(spark, monkeypatch):
+    """All segments in the jobs of the slowest; a level or a reference that a segment lacks is left out."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for s, n, kinds in (("s1", 30, "abc"), ("s2", 20, "ab"), (None, 15, "bc")):
+        for g in range(n):
+            b0, b1 = rng.normal(), rng.normal(scale=0.3)
+            for t in range(int(rng.integers(3, 7))):
+                c = kinds[int(rng.integers(len(kinds)))]
+                rows.append((g, float(t), c, 1 + b0 + (0.5 + b1) * t + (c == "b") + float(rng.normal(scale=0.4)), s))
+    schema = "g long, t double, c string, y double, s string"
+    df = spark.createDataFrame(rows, schema)
+    jobs = []
+    run = MX._Remls.evaluate
+    monkeypatch.setattr(MX._Remls, "evaluate", lambda self, asked: jobs.append(len(asked)) or run(self, asked))
+    got = {(r["segment"], r["term"]): r for r in MX.fit_mixed_segments(df, "s", "g", "y", ["c"], "t").collect()}
+    together, jobs[:] = list(jobs), []
+    alone = 0
+    for s in ("s1", "s2", None):
+        fit = MX.fit_mixed(df.where(F.col("s").eqNullSafe(F.lit(s))), "g", "y", ["c"], "t")
+        want = {r["term"]: r for r in fit.coefs.collect()}
+        assert {t for q, t in got if q == s} == set(want)
+        for term, r in want.items():
+            assert math.isclose(got[s, term]["estimate"], r["estimate"], rel_tol=1e-4, abs_tol=1e-4)
+            assert r["se"] is None or math.isclose(got[s, term]["se"], r["se"], rel_tol=1e-3)
+        alone = max(alone, len(jobs))
+        jobs[:] = []
+    assert together[0] == 3 and len(together) <= alone + 5
+    assert MX.fit_mixed_segments(df.limit(0), "s", "g", "y", ["c"], "t").count() == 0
