@@ -69,3 +69,46 @@ def ranked_value(df: DataFrame, col: str, shares: Sequence[float]) -> list[float
     need = sorted({int(a) + 1 for a in at} | {min(int(a) + 2, n) for a in at})
     row = cum.agg(*[F.min(F.when(F.col("_n_cum") >= k, F.col("_v"))).alias(f"r{k}") for k in need]).first()
     return [row[f"r{int(a) + 1}"] + (a - int(a)) * (row[f"r{min(int(a) + 2, n)}"] - row[f"r{int(a) + 1}"]) for a in at]
+
+
+FETCH = 10_000  # keys of the last, small range that reach the driver
+
+
+def keys_at(df: DataFrame, key: str, places: Sequence[int], cuts: int = 200) -> list | None:
+    """The key at each 0-based place of the order of the unique, numeric ``key`` (nulls left
+    out); beyond the last: None. None in all if some key repeats so often that its place is no single row.
+
+    A sketch cuts the range into some two hundred parts and one count of each says in which a place
+    lies; the part is cut again until it is small. Every round reads the key alone, with partial
+    counts, and nothing is sorted, shuffled by row, or written.
+    """
+    values = df.select(F.col(f"`{key}`").alias("k")).where(F.col("k").isNotNull())
+    out = []
+    for place in places:
+        part, left, size = values, place, None
+        while True:
+            if size is None:
+                size = part.count()
+            if left >= size:
+                out.append(None)
+                break
+            if size <= FETCH:
+                out.append(sorted(r["k"] for r in part.collect())[left])
+                break
+            grid = part.agg(F.percentile_approx("k", [i / cuts for i in range(1, cuts)], 20 * cuts).alias("c"), F.min("k").alias("lo"),
+                            F.max("k").alias("hi")).first()
+            edges = sorted(set(grid["c"]) - {grid["hi"]})
+            if not edges:
+                return None  # one key alone
+            index = sum(((F.col("k") > e).cast("int") for e in edges[1:]), (F.col("k") > edges[0]).cast("int"))
+            counts = {r["i"]: r["n"] for r in part.groupBy(index.alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            i = 0
+            while left >= counts.get(i, 0):
+                left -= counts.get(i, 0)
+                i += 1
+            size = counts[i]
+            if i > 0:
+                part = part.where(F.col("k") > edges[i - 1])
+            if i < len(edges):
+                part = part.where(F.col("k") <= edges[i])
+    return out

@@ -23,6 +23,7 @@ MODULES = (
     "cohortlens.plans.describe_queries",
     "cohortlens.plans.text_queries",
     "cohortlens.plans.model_queries",
+    "cohortlens.plans.source_queries",
 )
 
 

@@ -106,9 +106,23 @@ def write_stats_csv(df: DataFrame, path: str) -> None:
 
 def row_slice(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
     """Rows at positions ``start <= pos < stop`` in the order of the unique
-    numeric ``key`` (never a bare ``limit``). The position is a distributed
-    running count (value buckets + per-bucket windows), not a single-partition
-    ``row_number``."""
-    from cohortlens.operators.ranks import running_sums
-    r = running_sums(df.withColumn("_one", F.lit(1)), key, ["_one"])
-    return r.filter((F.col("_one_cum") > start) & (F.col("_one_cum") <= stop)).drop("_one", "_one_cum")
+    numeric ``key``, nulls first (never a bare ``limit``).
+
+    The keys at both ends are found from sketches and counts (``ranks.keys_at``), so the slice is a
+    filter on the key: no row is shuffled or written, and the filter reaches the scan. Only where the key
+    is not unique, or the slice begins or ends among null keys, are rows numbered by running counts."""
+    from cohortlens.operators.ranks import keys_at, running_sums
+    start, k = max(start, 0), F.col(f"`{key}`")
+    if stop <= start:
+        return df.limit(0)
+    nulls = df.where(k.isNull()).count()
+    among_nulls = 0 < start < nulls or stop < nulls
+    ends = None if among_nulls else keys_at(df, key, [max(start - nulls, 0), stop - nulls])
+    if ends is None:
+        r = running_sums(df.withColumn("_one", F.lit(1)), key, ["_one"])
+        return r.filter((F.col("_one_cum") > start) & (F.col("_one_cum") <= stop)).drop("_one", "_one_cum")
+    low, high = ends  # the first key inside and the first one after; None: none is
+    inside = F.lit(False) if low is None else k >= low
+    if high is not None:
+        inside = inside & (k < high)
+    return df.where(F.coalesce(inside, F.lit(False)) | k.isNull() if start == 0 else inside)

@@ -54,3 +54,36 @@ def test_exact_quantiles(spark):
             at = (len(s) - 1) * share
             lo, hi = s[int(at)], s[min(int(at) + 1, len(s) - 1)]
             assert abs(g - (lo + (at - int(at)) * (hi - lo))) < 1e-12
+
+
+def test_keys_at_places(spark, monkeypatch):
+    """Places found by cutting ranges, against the sorted keys; a key that repeats too often has no place of its own."""
+    import random
+    from cohortlens.operators import ranks
+    monkeypatch.setattr(ranks, "FETCH", 50)
+    rng = random.Random(12)
+    keys = list({int(rng.lognormvariate(5, 3)) - 40 for _ in range(6000)} | {10 ** 12 + i for i in range(500)})
+    df = spark.createDataFrame([(k, "x") for k in rng.sample(keys, len(keys))] + [(None, "n")] * 3, "k long, v string").repartition(5)
+    want = sorted(keys)
+    places = [0, 1, 49, 50, 777, len(want) // 2, len(want) - 1, len(want), len(want) + 9]
+    assert ranks.keys_at(df, "k", places) == [want[p] if p < len(want) else None for p in places]
+    same = spark.range(200).selectExpr("1L AS k")
+    assert ranks.keys_at(same, "k", [3]) is None
+    assert ranks.keys_at(df.limit(0), "k", [0]) == [None]
+
+
+def test_row_slices(spark, monkeypatch):
+    from cohortlens.operators import ranks
+    from cohortlens.sources.tables import row_slice
+    monkeypatch.setattr(ranks, "FETCH", 20)
+    keys = [None, None] + [3 * i - 100 for i in range(300)]
+    df = spark.createDataFrame([(k, "x") for k in keys], "k long, v string").repartition(4)
+    for a, b in ((0, 10), (0, 2), (2, 2), (2, 40), (5, 300), (200, 999), (400, 500), (-4, 3), (0, 999), (7, 3)):
+        got = sorted((r["k"] for r in row_slice(df, "k", a, b).collect()), key=lambda k: (k is not None, k))
+        assert got == keys[max(a, 0):max(b, 0)] if a < b else got == []
+    assert row_slice(df, "k", 1, 5).count() == 4 and row_slice(df, "k", 0, 1).count() == 1  # among null keys
+    twice = df.unionByName(df)
+    assert row_slice(twice.where("k is not null"), "k", 10, 30).count() == 20
+    assert row_slice(df.limit(0), "k", 0, 5).count() == 0
+    plan = row_slice(df, "k", 5, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan
