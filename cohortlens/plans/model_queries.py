@@ -510,6 +510,14 @@ def classify_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.stats_classes
 
 
+@query("classify_folds_together")
+def classify_folds_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 + E2: 5 stratified folds, logistic regression on TF-IDF refitted per fold, all folds in the same passes."""
+    from cohortlens.operators.folds import logit_folds
+    d = L.stratified_folds(labelled_docs(spark, sf_dir), "doc_id", "label", 5, 42)
+    return logit_folds(d, "doc_id", "label", "fold", 5, "tfidf_tokens").stats_classes
+
+
 def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.col("label").cast("double").alias("label"),
