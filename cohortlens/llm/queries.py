@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.licenses import BASE, scan_sql
+from cohortlens.llm.repair import repair_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,7 +213,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tools(calls, results, CHAT_TOOLS)
 
 
-@registered("op12_structure_repair")
+@registered("op12_structure_repair", repair_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a checksum of its rows, with its faults and its cheapest repair."""
     from cohortlens.llm.repair import damaged, repair_conversations, same, text_digests

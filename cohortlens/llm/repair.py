@@ -396,3 +396,51 @@ def damaged(df: DataFrame, checksum: Column) -> DataFrame:
             .withColumn("role", F.when(F.col("_fault") == 4, "user").otherwise(F.col("role")))
             .withColumn("_copy", F.explode(F.when(F.col("_fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
             .drop("_fault", "_copy"))
+
+
+def repair_sql() -> str:
+    """Damage, faults and repair of the table ``conversations`` in SQL: a row at a time, with the cheapest audit
+    of each state as a text. Slow on long conversations."""
+    def way(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        rows = f"list_append({state}.r, {line})" if line else f"{state}.r"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {rows}}}"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    kept = lambda state, initial: way(state, f"CASE WHEN goes OR initial <> '{initial}' THEN 1000000000 WHEN cut THEN 3 ELSE 0 END", "K", "role || ':' || text")
+    given = lambda state, name: way(state, "CASE WHEN goes THEN 1000000000 WHEN cut THEN 6 ELSE 3 END", "R", f"'{name}:' || text")
+    gone = lambda state: way(state, "4", "D")
+    user = least("u", *[way(s, "3", "I", "'user:'") for s in "nsa"])
+    shift = "list_transform(string_split(k, ''), lambda x: [unicode(x), -1, -1, -1, -1, -1, -1, -1, -1])"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten({shift})::BIGINT[]), lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) "
+           "WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295)")
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'r': []::VARCHAR[]}"
+    return f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+faulty AS (SELECT *, {crc} % 20 AS fault FROM raw),
+hurt AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy FROM faulty WHERE fault <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, substr(role, 1, 1) AS initial,
+  NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut FROM hurt),
+marked AS MATERIALIZED (SELECT *, blank OR again AS goes, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+step(conv_id, i, n, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}}, {far}, {far}, {far} FROM raw
+  UNION ALL
+  SELECT conv_id, i, {gone('n')}, {least(gone('s'), kept('n', 's'))},
+    {least(gone('u'), *[kept(s, 'u') for s in 'nsa'], *[given(s, 'user') for s in 'nsa'])}, {least(gone('a'), kept('u', 'a'), given('u', 'assistant'))}
+  FROM (SELECT conv_id, i, n, s, u, {least('a', way('u', '3', 'I', "'assistant:'"))} AS a, role, text, initial, goes, cut FROM (
+    SELECT p.conv_id, m.i, n, s, {user} AS u, a, m.role, m.text, m.initial, m.goes, m.cut
+    FROM step p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1))),
+ended AS (SELECT conv_id, {least('n', 'a', way('u', '3', 'I', "'assistant:'"))} AS best FROM (
+  SELECT conv_id, n, {user} AS u, a FROM step QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -172,6 +172,20 @@ def test_odd_rows(spark, odd_rows, tmp_path, monkeypatch):
         assert {k: r[k] for k in want[r["conv_id"]]} == want[r["conv_id"]]
 
 
+def test_query_equals_sql(spark, odd_rows, tmp_path):
+    """The SQL of the query on odd rows (no long conversation: its audits grow as texts)."""
+    import duckdb
+    from cohortlens.llm.queries import ORACLES
+    rows = [r for r in odd_rows if r[0] not in (8, 9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cur = con.execute(ORACLES["op12_structure_repair"])
+    names = [d[0] for d in cur.description]
+    got = op12(spark, str(tmp_path)).collect()
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got))) == sorted(map(str, cur.fetchall()))
+
+
 def test_rows_and_empty_tables(spark, tmp_path):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", "Hi."), (1, 1, "tool", "Out"), (2, 0, "system", "")]
