@@ -20,8 +20,10 @@ more pass counts runs of three classes (64 ** 3 cells at most). Then one pass fo
 length counts (run, next word) in each task, for runs that a bit filter of the
 frequent ones lets through; buckets of those counts are summed, and joins with the
 counts one word shorter test them. Texts are dealt into chunks of bounded bytes;
-each chunk asks for its distinct words, runs and states, a join with dictionary and
-states answers, and the answers meet the chunk again.
+each chunk asks for its distinct words, runs and states, packed by buckets of hashes;
+each bucket of dictionary and states answers, and the answers meet the chunk again.
+Intermediate tables are written compressed, and go with their shuffle files when the
+next is there.
 """
 
 from __future__ import annotations
@@ -31,25 +33,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import vectext as V
 from cohortlens.llm.bits import bit_filter, passes
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.llm.written import Written, shuffles_end_with_writes
 
 CLASSES = 64
 START, STOP = 0, 1      # before a text, and its end
 TOP_WORDS, ENDINGS = 20, 40
-CHUNK = 16 << 20        # bytes of text that are scored together
+CHUNK = 32 << 20        # bytes of text that are scored together
 FLUSH = 2_000_000       # words counted at once in a task
 DEPTH = 3               # words of the longest state
 LEAST_SEEN = 8          # times a run of words was seen to be a state
 FLUSH_RUNS = 1_000_000  # runs of words counted at once in a task
+BUCKET = 500_000        # values and questions that meet in a task, about
 _LONGER, _STATE = np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 _COUNTS = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
 
+def _texts(w: V.Words, at: np.ndarray) -> pa.Array:
+    """The bytes of the words at these places."""
+    size = w.end[at] - w.start[at]
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    data = w.data[np.arange(offsets[-1]) + np.repeat(w.start[at] - offsets[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (hash, word, times in training texts); the end counts as the empty word."""
     hashes, words, counts, size, ends = [], [], [], 0, 0
@@ -71,7 +84,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             hashes.append(u)
             counts.append(np.bincount(inverse, weights=learn, minlength=len(u)))
-            words.append(pa.array([w.text(i) for i in first.tolist()], pa.binary()))
+            words.append(_texts(w, first))
             size += len(u)
             if size > FLUSH:
                 yield flush()
@@ -233,31 +246,165 @@ def _sum_followers(group: pa.Table) -> pa.Table:
                     names=["run", "low", "h", "n"])
 
 
-def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.ndarray, buckets: int) -> DataFrame | None:
-    """(h, v) of the kept states over words of the one column ``texts``: of each run and next
-    word the part of the state's mass it holds, and of each state (its hash with ``_STATE``)
-    the part left to the next shorter one. ``dictionary``: (h, n) of all words."""
+def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.ndarray, buckets: int, shelf: Written) -> DataFrame | None:
+    """(h, n, mass) of the kept states over words of the one column ``texts``: of each run and
+    next word the part n / mass of the state that it holds, and of each state (its hash with
+    ``_STATE``) the part left to the next shorter one. ``dictionary``: (h, n) of all words."""
     below = dictionary.select("h", "n", (F.col("n") * (1 / max(total, 1))).alias("share"))
-    found = None
+    found, old = None, None
     for depth in range(1, DEPTH + 1):
         frequent = below.where((F.col("n") >= LEAST_SEEN) & (F.col("h") != 0))
         bits = bit_filter(frequent, F.col("h"))
         if not bits.value.any():
             break
-        counts = (texts.mapInArrow(_count_followers(depth, bits, top, buckets),
-                                   "bucket long, run array<long>, size array<int>, low array<long>, n array<int>")
-                  .groupBy("bucket").applyInArrow(_sum_followers, "run long, low long, h long, n long"))
-        below = (counts.join(below.select(F.col("h").alias("low"), F.col("share").alias("shorter")), "low").drop("low")
-                 .join(frequent.select(F.col("h").alias("run"), F.col("n").alias("seen")), "run")
-                 .withColumn("share", F.col("n") / F.col("seen")).checkpoint())
-        states = (below.groupBy("run").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds"), F.max("seen").alias("seen"),
-                                           F.sum(F.col("n") * F.log(F.col("share") / F.col("shorter"))).alias("nats"))
-                  .where(F.col("nats") > 0.5 * F.col("kinds") * F.log(F.col("seen") + 1)))
-        mass = F.col("seen") + F.col("kinds")
-        held = below.select("run", "h", "n").join(states.select("run", mass.alias("mass")), "run").select("h", (F.col("n") / F.col("mass")).alias("v"))
-        left = states.select(F.col("run").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("h"), (1 - F.col("held") / mass).alias("v"))
-        found = held.unionByName(left) if found is None else found.unionByName(held).unionByName(left)
-    return found.checkpoint() if found is not None else None
+        counts = shelf.put(texts.mapInArrow(_count_followers(depth, bits, top, buckets),
+                                            "bucket long, run array<long>, size array<int>, low array<long>, n array<int>")
+                           .groupBy("bucket").applyInArrow(_sum_followers, "run long, low long, h long, n long"))
+        longer = shelf.put(counts.join(below.select(F.col("h").alias("low"), F.col("share").alias("shorter")), "low").drop("low")
+                           .join(frequent.select(F.col("h").alias("run"), F.col("n").alias("seen")), "run"))
+        shelf.drop(counts, *([old] if old is not None else []))
+        share = F.col("n") / F.col("seen")
+        states = shelf.put(longer.groupBy("run").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds"), F.max("seen").alias("seen"),
+                                                     F.sum(F.col("n") * F.log(share / F.col("shorter"))).alias("nats"))
+                           .where(F.col("nats") > 0.5 * F.col("kinds") * F.log(F.col("seen") + 1))
+                           .select("run", "held", (F.col("seen") + F.col("kinds")).alias("mass")))
+        held = longer.select("run", "h", "n").join(states.select("run", "mass"), "run").select("h", "n", "mass")
+        left = states.select(F.col("run").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("h"), (F.col("mass") - F.col("held")).alias("n"), "mass")
+        kept = shelf.put(held.unionByName(left))
+        shelf.drop(states)
+        found = kept if found is None else found.unionByName(kept)
+        below, old = longer.select("h", "n", share.alias("share")), longer
+    if old is not None:
+        shelf.drop(old)
+    return found
+
+
+class _Found:
+    """Fractions by evenly spread 64-bit hashes: a table over their first bits says where to look."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, mass: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.n, self.mass = h[order], n[order], mass[order]
+        self.value = self.n / np.maximum(self.mass, 1)
+        bits = len(h).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.h, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is known."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(self.first[(h >> self.shift).astype(np.int64)], len(self.h) - 1)
+        on = np.flatnonzero(self.h[at] < h)
+        while len(on):
+            at[on] += 1
+            on = on[at[on] < len(self.h)]
+            on = on[self.h[at[on]] < h[on]]
+        at = np.minimum(at, len(self.h) - 1)
+        return at, self.h[at] == h
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each hash (0 if unknown), and whether it is known."""
+        at, known = self.place(h)
+        return np.where(known, self.value[at], 0.0) if len(self.h) else np.zeros(len(h)), known
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch, compressed together by their last column, the chunk."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        chunk = batch.column(batch.num_columns - 1).to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        sorted_rows = batch.select(batch.schema.names[:-1]).take(pa.array(order))
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(chunk[order])) + 1, [len(chunk)])) if len(chunk) else [0]
+        blobs = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, sorted_rows.schema, options=options) as out:
+                out.write_batch(sorted_rows.slice(a, b - a))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(chunk[order][cut[:-1]]), pa.array(blobs, pa.binary())], names=["chunk", "rows"])
+
+
+def _packed_texts(group: pa.Table) -> Iterator[pa.Table]:
+    for rows in group["rows"]:
+        yield pa.ipc.open_stream(pa.py_buffer(rows.as_py())).read_all()
+
+
+_PACKED = "bucket long, chunk long, h binary, n binary, mass binary"
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte: the first bytes of all, then the second ones, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unsqueezed(x: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Rising hashes, by their distances."""
+    return _squeezed(np.diff(h, prepend=np.uint64(0)))
+
+
+def _hashes(x: bytes) -> np.ndarray:
+    return np.cumsum(_unsqueezed(x, np.uint64), dtype=np.uint64)
+
+
+def _pack(h: np.ndarray, values: list[np.ndarray], chunk: int | None, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, chunk, hashes, numbers, masses): one for each bucket, a range of the rising hashes."""
+    wide = (1 << 64) // buckets + 1
+    ends = np.searchsorted(h, np.array([min(i * wide, (1 << 64) - 1) for i in range(1, buckets)], np.uint64)) if buckets > 1 else []
+    bounds = [0, *ends, len(h)]
+    held = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+    rows = [[_squeezed(x[at]) for _, at in held] for x in values] or [[None] * len(held)] * 2
+    return pa.record_batch([pa.array([i for i, _ in held], pa.int64()), pa.array([chunk] * len(held), pa.int64()),
+                            pa.array([_steps(h[at]) for _, at in held], pa.binary()), *[pa.array(r, pa.binary()) for r in rows]],
+                           names=["bucket", "chunk", "h", "n", "mass"])
+
+
+def _packed_values(buckets: int):
+    """Mapper from rows (h, n, mass) to packed ones of no chunk."""
+    def flush(columns):
+        h, n, mass = (np.concatenate(c) for c in zip(*columns))
+        order = np.argsort(h.view(np.uint64))
+        return _pack(h.view(np.uint64)[order], [n[order], mass[order]], None, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, size = [], 0
+        for batch in batches:
+            columns.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size > FLUSH_RUNS:
+                yield flush(columns)
+                columns, size = [], 0
+        if size:
+            yield flush(columns)
+    return run
+
+
+def _known(group: pa.Table) -> _Found:
+    parts = [[f(x) for x in group[c].to_pylist()] for c, f in (("h", _hashes), ("n", _unsqueezed), ("mass", _unsqueezed))]
+    h, n, mass = (np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts)
+    return _Found(h, n, mass)
+
+
+def _resolve(group: pa.Table) -> pa.Table:
+    """Of a bucket's packed values and questions: for each question those found, packed."""
+    asked = pc.is_valid(group["chunk"])
+    known = _known(group.filter(pc.invert(asked)))
+    asks, rows = group.filter(asked), []
+    for chunk, packed in zip(asks["chunk"].to_pylist(), asks["h"].to_pylist()):
+        h = _hashes(packed)
+        at, there = known.place(h)
+        rows.append((chunk, _steps(h[there]), _squeezed(known.n[at[there]]), _squeezed(known.mass[at[there]])))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                    names=["chunk", "h", "n", "mass"])
+
+
+NEW_COLUMNS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> DataFrame:
@@ -266,14 +413,22 @@ def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> D
 
     Null and empty texts are an end alone. Without training rows every count is
     0 and each symbol as likely as any other. Repeated rows count and are scored
-    each; ``keep`` columns must not be named like the new ones.
+    each; ``keep`` columns named like the new ones are left out.
+
+    The dictionary and the states are written to the checkpoint folder and stay there
+    until it is cleared: the returned table reads them.
     """
+    with shuffles_end_with_writes(docs.sparkSession):
+        return _score_texts(docs, text, train, [c for c in keep if c not in NEW_COLUMNS])
+
+
+def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    shelf = Written(spark, "suffix-tree")
     source = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
                          F.col(f"`{text}`").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    counted = (source.select("_text", "_train").mapInArrow(_count_words, "h long, word binary, n long")
-               .groupBy("h", "word").agg(F.sum("n").alias("n")).checkpoint())
+    counted = shelf.put(source.select("_text", "_train").mapInArrow(_count_words, "h long, word binary, n long")
+                        .groupBy("h", "word").agg(F.sum("n").alias("n")))
     total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     floor = np.log10(total + 0.5 * (kinds + 1))
     classes = spark.sparkContext.broadcast(choose_classes(counted))
@@ -301,64 +456,65 @@ def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> D
     room = np.log10(np.maximum(room, 0.5))
     size = source.agg(F.sum(F.octet_length(F.coalesce("_text", F.lit(""))) + 64)).first()[0] or 0
     chunk = F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keep))], F.crc32(F.encode("_text", "UTF-8"))), F.lit(size // CHUNK + 1))
-    dealt = source.withColumn("chunk", chunk).drop("_train")
-    lookup = counted.select("h", F.col("n").cast("double").alias("v"))
-    states = word_states(source.where("_train").select("_text"), counted, total, classes.value.top, size // CHUNK + 1)
+    dealt = source.withColumn("chunk", chunk).drop("_train").mapInArrow(_pack_texts, "chunk long, rows binary")
+    lookup = counted.select("h", "n", F.expr("1L").alias("mass"))
+    states = word_states(source.where("_train").select("_text"), counted, total, classes.value.top, size // CHUNK + 1, shelf)
     if states is not None:
         lookup = lookup.unionByName(states)
     held = bit_filter(states if states is not None else counted.limit(0), F.col("h"))
+    buckets = (lookup.count() + size // 16) // BUCKET + 1
 
     def ask(group: pa.Table) -> pa.Table:
-        h = [np.zeros(1, np.uint64)]
-        data, offsets = V.flat(group["_text"])
-        for _, _, d, o in V.chunks(data, offsets):
-            w = V.Words(d, o)
-            h.append(np.unique(w.hash))
-            low, place, _ = _line(w)
-            for depth in range(1, DEPTH + 1):
-                c = _before(low)
-                low = _longer(c, low)
-                ok = (place >= depth) & passes(held.value, c ^ _STATE)
-                h += [np.unique(c[ok] ^ _STATE), np.unique(low[ok & passes(held.value, low)])]
-        u = np.unique(np.concatenate(h))
-        return pa.table([pa.array(np.full(len(u), group["chunk"][0].as_py())), pa.array(u.view(np.int64))], names=["chunk", "h"])
-
-    def value_of(known: np.ndarray, v: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        there = known[at] == h
-        return np.where(there, v[at], 0.0), there
+        h, size = [np.zeros(1, np.uint64)], 0
+        for texts in _packed_texts(group):
+            for _, _, d, o in V.chunks(*V.flat(texts["_text"])):
+                w = V.Words(d, o)
+                h.append(np.unique(w.hash))
+                low, place, _ = _line(w)
+                for depth in range(1, DEPTH + 1):
+                    c = _before(low)
+                    low = _longer(c, low)
+                    at = np.flatnonzero(place >= depth)
+                    at = at[passes(held.value, c[at] ^ _STATE)]
+                    h.append(np.unique(c[at] ^ _STATE))
+                    h.append(np.unique(low[at[passes(held.value, low[at])]]))
+                size += sum(map(len, h[-1 - 2 * DEPTH:]))
+                if size > FLUSH + 2 * len(h[0]):
+                    h, size = [np.unique(np.concatenate(h))], 0
+        return pa.Table.from_batches([_pack(np.unique(np.concatenate(h)), [], group["chunk"][0].as_py(), buckets)])
 
     def answer(group: pa.Table, found: pa.Table) -> pa.Table:
-        known, n = found["h"].to_numpy().view(np.uint64), found["v"].to_numpy()
-        order = np.argsort(known)
-        known, n = known[order], n[order]
-        share = np.log10(n + 0.5)
-        data, offsets = V.flat(group["_text"])
-        end = int(np.searchsorted(known, 0))
+        known = _known(found)
+        ends = known.of(np.zeros(1, np.uint64))[0][0]
+        return pa.concat_tables([_scored(texts, known, ends) for texts in _packed_texts(group)])
+
+    def _scored(texts: pa.Table, known: _Found, ends: float) -> pa.Table:
+        data, offsets = V.flat(texts["_text"])
         out = np.zeros((4, len(offsets) - 1))
         for a, b, d, o in V.chunks(data, offsets):
             w = V.Words(d, o)
-            u, inverse = np.unique(w.hash, return_inverse=True)
-            at = np.searchsorted(known, u)[inverse]
+            n = known.of(w.hash)[0]
+            share, end = np.log10(n + 0.5), np.log10(ends + 0.5)
             k = classes.value.of(w)
             cell, starts = _runs(k, w.first)
             out[0, a:b] = np.diff(w.first) + 1
-            for i, v, last in ((1, n[at] > 0, n[end] > 0), (2, share[at] - floor, share[end] - floor)):
+            for i, v, last in ((1, n > 0, ends > 0), (2, share - floor, end - floor)):
                 run = np.concatenate(([0.0], np.cumsum(v, dtype=np.float64)))
                 out[i, a:b] = run[w.first[1:]] - run[w.first[:-1]] + last
             low, place, _ = _line(w)
-            chance = np.full(len(low), share[end] - room[STOP])
-            chance[np.delete(np.arange(len(low)), starts[1:] - 1)] = share[at] - room[k]
+            chance = np.full(len(low), end - room[STOP])
+            chance[np.delete(np.arange(len(low)), starts[1:] - 1)] = share - room[k]
             chance = 10 ** (chance + tree.value[cell])
             for depth in range(1, DEPTH + 1):
                 c = _before(low)
                 low = _longer(c, low)
-                left, state = value_of(known, n, c ^ _STATE)
-                part, _ = value_of(known, n, low)
-                chance = np.where(state & (place >= depth), part + left * chance, chance)
+                inside = np.flatnonzero(place >= depth)
+                left, state = known.of(c[inside] ^ _STATE)
+                at = inside[state]
+                chance[at] = known.of(low[at])[0] + left[state] * chance[at]
             run = np.concatenate(([0.0], np.cumsum(np.log10(chance))))
             out[3, a:b] = run[starts[1:]] - run[starts[:-1]]
-        cols = [group[f"_k{i}"] for i in range(len(keep))]
+        cols = [texts[f"_k{i}"] for i in range(len(keep))]
         cols += [pa.array(out[0].astype(np.int64)), pa.array(np.rint(out[1]).astype(np.int64)),
                  pa.array(np.full(len(offsets) - 1, total, np.int64)), pa.array(out[2]), pa.array(out[3])]
         return pa.table(cols, names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -366,5 +522,7 @@ def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> D
     kinds_of = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in keep) + \
         ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, h long").join(lookup, "h")
+    answers = (dealt.groupBy("chunk").applyInArrow(ask, _PACKED)
+               .unionByName(lookup.mapInArrow(_packed_values(buckets), _PACKED))
+               .groupBy("bucket").applyInArrow(_resolve, "chunk long, h binary, n binary, mass binary"))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answer, schema)

@@ -14,6 +14,7 @@ from cohortlens.llm import vectext as V
 from cohortlens.llm.neighbours import nearest
 from cohortlens.llm.sample import labelled_sample
 from cohortlens.llm.suffix_tree import CLASSES, score_texts
+from cohortlens.llm.written import Written
 
 SF = "/root/testdata/sf0.01"
 
@@ -167,15 +168,67 @@ def test_word_states_equal_counts_by_hand_and_grow(spark, buckets):
         known = spark.createDataFrame([(signed(hashes[w]), m) for w, m in dictionary.items()], "h long, n long")
         df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
         top = np.sort(np.array([hashes[w] for w, _ in dictionary.most_common(3)], np.uint64))
-        got = suffix_tree.word_states(df, known, sum(dictionary.values()), top, buckets).collect()
+        shelf = Written(spark, "states")
+        got = suffix_tree.word_states(df, known, sum(dictionary.values()), top, buckets, shelf).collect()
         want = _by_hand(texts)
         values = sorted([left for _, left in want.values()] + [v for of, _ in want.values() for v in of.values()])
-        assert {len(c) for c in want} >= {1, 2} and np.allclose(sorted(r["v"] for r in got), values, rtol=0, atol=1e-12)
+        assert {len(c) for c in want} >= {1, 2} and np.allclose(sorted(r["n"] / r["mass"] for r in got), values, rtol=0, atol=1e-12)
         assert all(math.isclose(sum(of.values()) + left, 1) for of, left in want.values())
         size.append(len(got))
     assert size[1] > 3 * size[0]
 
 
+def test_scores_equal_a_direct_computation(spark):
+    """Score by score: class tree, share of the class and states, all counted in loops."""
+    rng = random.Random(4)
+    train = [" ".join(rng.choices(["aa bb", "bb cc dd", "ee", "ff gg", "aa cc"] + [f"x{j}" for j in range(12)], k=50)) for _ in range(80)] + ["", "   "]
+    held = ["aa bb cc never seen", "", None, "ee aa bb bb cc dd ff gg ee"]
+    rows = [(i, t, True, "k") for i, t in enumerate(train)] + [(100 + i, t, False, "k") for i, t in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean, score string").repartition(3)
+    got = {r["doc_id"]: r for r in suffix_tree.score_texts(df, "text", F.col("train"), ["doc_id", "score"]).collect()}
+    assert list(got[0].asDict()) == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and len(got) == len(rows)
+    counts = Counter(w for t in train for w in [*t.split(), ""])
+    total = sum(counts.values())
+    every = set(counts) | {w for t in held for w in (t or "").split()}
+    top = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:suffix_tree.TOP_WORDS]
+    ends = Counter()
+    for w in counts:
+        if w:
+            ends[w[-2:]] += counts[w]
+    ends = sorted(ends, key=lambda e: (-ends[e], e))[:suffix_tree.ENDINGS]
+    rest = suffix_tree.CLASSES - 2
+
+    def of(w):
+        return 1 if w == "" else 2 + top.index(w) if w in top else 2 + suffix_tree.TOP_WORDS + ends.index(w[-2:]) if w[-2:] in ends else rest
+
+    cells = np.zeros((suffix_tree.CLASSES,) * 3)
+    for t in train:
+        line = [0, 0, *map(of, t.split()), 1]
+        for g in zip(line, line[1:], line[2:]):
+            cells[g] += 1
+    tree, states = suffix_tree.suffix_tree(cells), _by_hand(train)
+    kinds = Counter(of(w) for w in counts)
+    room = Counter()
+    for w, n in counts.items():
+        room[of(w)] += n
+    for doc_id, t, _, _ in rows:
+        words, score, base = (t or "").split(), 0.0, 0.0
+        line = [0, 0, *map(of, words), 1]
+        for i, w in enumerate([*words, ""]):
+            k = of(w)
+            p = 10 ** tree[line[i], line[i + 1], k] * (counts[w] + 0.5) / (room[k] + 0.5 * (kinds[k] + 1))
+            for d in range(1, suffix_tree.DEPTH + 1):
+                if i >= d and tuple(words[i - d:i]) in states:
+                    part, left = states[tuple(words[i - d:i])]
+                    p = part.get(w, 0.0) + left * p
+            score += math.log10(p)
+            base += math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1)))
+        r = got[doc_id]
+        assert r["n_tokens"] == len(words) + 1 and r["train_tokens"] == total and r["n_known"] == sum(counts[w] > 0 for w in [*words, ""])
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
+    assert every > set(counts)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(6, 24))
