@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import quality, suffix_tree, toxicity
 from cohortlens.llm import vectext as V
-from cohortlens.llm.neighbours import nearest
+from cohortlens.llm.neighbours import CrossPolytope, cells_for, nearest
 from cohortlens.llm.sample import labelled_sample
 from cohortlens.llm.suffix_tree import CLASSES, score_texts
 from cohortlens.llm.written import Written
@@ -253,6 +253,46 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_nearest_buckets_are_in_order():
+    x = np.random.default_rng(2).normal(size=(20, 6))
+    hashed = CrossPolytope(6, 2, 64)
+    assert hashed.kept == [8, 8, 2] and hashed.buckets == 16 * 16 * 4
+    got = hashed.nearest(x, 1, 50)
+    cost, code = np.zeros((20, 1)), np.zeros((20, 1), int)
+    for nth, kept in enumerate(hashed.kept):
+        y = hashed.rotated(x, 1, nth)
+        assert np.allclose((y ** 2).sum(1), (x ** 2).sum(1))    # a rotation
+        y = np.concatenate((-y[:, :kept], y[:, :kept]), 1)
+        cost = (cost[:, :, None] + ((y - y.min(1, keepdims=True)) ** 2)[:, None, :]).reshape(20, -1)
+        code = (code[:, :, None] * 2 * kept + np.arange(2 * kept)).reshape(20, -1)
+    for i in range(20):
+        at = [cost[i, np.flatnonzero(code[i] == c)[0]] for c in got[i]]
+        assert len(set(got[i])) == 50 and np.allclose(at, np.sort(cost[i])[:50])
+
+
+def test_the_share_of_candidates_falls_as_vectors_grow(spark):
+    seen = {}
+    for n in (2_000, 50_000):
+        rng = np.random.default_rng(n)
+        x = rng.normal(size=(n, 32)).astype(np.float32)
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "v": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float32()))}))
+        got = nearest(df, "vec_id", "v", F.col("vec_id") % (n // 40) == 0).collect()
+        hit, wide = 0, x.astype(float)
+        for q in range(0, n, n // 40):
+            d = ((wide - wide[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+        assert len(got) == 400 and hit >= 0.9 * 400
+        cells = cells_for(n)
+        hashed, unit = CrossPolytope(32, 16, cells), wide / np.linalg.norm(wide, axis=1, keepdims=True)
+        share = 0.0
+        for t in range(16):
+            held = np.bincount(hashed.nearest(unit, t, 1)[:, 0], minlength=hashed.buckets)
+            share += held[hashed.nearest(unit[::n // 40], t, int(8 * cells ** 0.5))].sum() / 40 / n
+        seen[n] = share
+    assert seen[50_000] < 0.6 * seen[2_000]
+
+
 @pytest.mark.parametrize("n", [1, 6, 20])
 def test_small_tables_give_every_neighbour(spark, n):
     x = np.random.default_rng(12).normal(size=(n, 64))
