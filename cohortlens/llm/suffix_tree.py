@@ -55,6 +55,19 @@ _LONGER, _STATE = np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 _COUNTS = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
 
+def _rising(h: np.ndarray) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
+def _alike(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal hashes together, and where in it each hash begins."""
+    order = np.argsort(h)
+    h = h[order]
+    return order, np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else order
+
+
 def _texts(w: V.Words, at: np.ndarray) -> pa.Array:
     """The bytes of the words at these places."""
     size = w.end[at] - w.start[at]
@@ -69,10 +82,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         h = np.concatenate(hashes)
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
-        all_words = pa.concat_arrays(words)
-        return pa.record_batch([pa.array(u.view(np.int64)), all_words.take(pa.array(first)), pa.array(n)], schema=_COUNTS)
+        order, new = _alike(h)
+        n = np.add.reduceat(np.concatenate(counts)[order], new)
+        first = order[new]
+        return pa.record_batch([pa.array(h[first].view(np.int64)), pa.concat_arrays(words).take(pa.array(first)), pa.array(n)], schema=_COUNTS)
 
     for batch in batches:
         train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -81,11 +94,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, d, o in V.chunks(data, offsets):
             w = V.Words(d, o)
             learn = np.repeat(train[a:b], np.diff(w.first))
-            u, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-            hashes.append(u)
-            counts.append(np.bincount(inverse, weights=learn, minlength=len(u)))
+            if not len(learn):
+                continue
+            order, new = _alike(w.hash)
+            first = order[new]
+            hashes.append(w.hash[first])
+            counts.append(np.add.reduceat(learn[order].astype(np.int64), new))
             words.append(_texts(w, first))
-            size += len(u)
+            size += len(new)
             if size > FLUSH:
                 yield flush()
                 hashes, words, counts, size = [], [], [], 0
@@ -197,8 +213,10 @@ def _count_followers(depth, frequent, top, buckets):
     without its first), in lists a bucket. Runs after a top word are dealt by both, others by the run."""
     def flush(runs, lows, hot):
         c, low, hot = np.concatenate(runs), np.concatenate(lows), np.concatenate(hot)
-        h, first, n = np.unique(_longer(c, low), return_index=True, return_counts=True)
-        c, low = c[first], low[first]
+        h = _longer(c, low)
+        order, new = _alike(h)
+        first, n = order[new], np.diff(np.append(new, len(h)))
+        h, c, low = h[first], c[first], low[first]
         bucket = (np.where(hot[first], h, c) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((c, bucket))
         c, low, n, bucket = c[order], low[order], n[order], bucket[order]
@@ -239,10 +257,11 @@ def _sum_followers(group: pa.Table) -> pa.Table:
     """Sums of a bucket's counts; what followed a run once is left out."""
     run, size, low, n = (group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("run", "size", "low", "n"))
     run = np.repeat(run, size)
-    h, first, inverse = np.unique(_longer(run.view(np.uint64), low.view(np.uint64)), return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=n, minlength=len(h)).astype(np.int64)
-    kept = np.flatnonzero(n > 1)
-    return pa.table([pa.array(run[first[kept]]), pa.array(low[first[kept]]), pa.array(h[kept].view(np.int64)), pa.array(n[kept])],
+    h = _longer(run.view(np.uint64), low.view(np.uint64))
+    order, new = _alike(h)
+    n = np.add.reduceat(n[order].astype(np.int64), new)
+    kept, n = order[new[n > 1]], n[n > 1]
+    return pa.table([pa.array(run[kept]), pa.array(low[kept]), pa.array(h[kept].view(np.int64)), pa.array(n)],
                     names=["run", "low", "h", "n"])
 
 
@@ -280,15 +299,13 @@ def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.nda
 
 
 class _Found:
-    """Fractions by evenly spread 64-bit hashes: a table over their first bits says where to look."""
+    """Values by rising, evenly spread 64-bit hashes: a table over their first bits says where to look."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray, mass: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.n, self.mass = h[order], n[order], mass[order]
-        self.value = self.n / np.maximum(self.mass, 1)
-        bits = len(h).bit_length() + 1
+    def __init__(self, h: np.ndarray, value: np.ndarray):
+        self.h, self.value = h, value
+        bits = max(1, len(h).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.h, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.first = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
     def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each hash, and whether it is known."""
@@ -385,23 +402,29 @@ def _packed_values(buckets: int):
     return run
 
 
-def _known(group: pa.Table) -> _Found:
-    parts = [[f(x) for x in group[c].to_pylist()] for c, f in (("h", _hashes), ("n", _unsqueezed), ("mass", _unsqueezed))]
-    h, n, mass = (np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts)
-    return _Found(h, n, mass)
-
-
 def _resolve(group: pa.Table) -> pa.Table:
     """Of a bucket's packed values and questions: for each question those found, packed."""
     asked = pc.is_valid(group["chunk"])
-    known = _known(group.filter(pc.invert(asked)))
-    asks, rows = group.filter(asked), []
+    values, asks = group.filter(pc.invert(asked)), group.filter(asked)
+    parts = [[f(x) for x in values[c].to_pylist()] for c, f in (("h", _hashes), ("n", _unsqueezed), ("mass", _unsqueezed))]
+    h, n, mass = (np.concatenate([np.zeros(0, t), *p]) for p, t in zip(parts, (np.uint64, np.int64, np.int64)))
+    order = np.argsort(h)
+    known, n, mass, rows = _Found(h[order], n[order]), n[order], mass[order], []
     for chunk, packed in zip(asks["chunk"].to_pylist(), asks["h"].to_pylist()):
         h = _hashes(packed)
         at, there = known.place(h)
-        rows.append((chunk, _steps(h[there]), _squeezed(known.n[at[there]]), _squeezed(known.mass[at[there]])))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                    names=["chunk", "h", "n", "mass"])
+        h, at = h[there], at[there]
+        rows.append((chunk, int(h[0]) >> 1 if len(h) else 0, _steps(h), _squeezed(n[at]), _squeezed(mass[at])))
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["chunk", "at", "h", "n", "mass"])
+
+
+def _answers(group: pa.Table) -> _Found:
+    """A chunk's answers; each row is of a range of the hashes of its own."""
+    group = group.sort_by("at")
+    h = np.concatenate([np.zeros(0, np.uint64), *(_hashes(x.as_py()) for x in group["h"])])
+    value = [_unsqueezed(n.as_py()) / _unsqueezed(mass.as_py()) for n, mass in zip(group["n"], group["mass"])]
+    return _Found(h, np.concatenate([np.zeros(0), *value]))
 
 
 NEW_COLUMNS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -469,22 +492,22 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
         for texts in _packed_texts(group):
             for _, _, d, o in V.chunks(*V.flat(texts["_text"])):
                 w = V.Words(d, o)
-                h.append(np.unique(w.hash))
+                h.append(_rising(w.hash))
                 low, place, _ = _line(w)
                 for depth in range(1, DEPTH + 1):
                     c = _before(low)
                     low = _longer(c, low)
                     at = np.flatnonzero(place >= depth)
                     at = at[passes(held.value, c[at] ^ _STATE)]
-                    h.append(np.unique(c[at] ^ _STATE))
-                    h.append(np.unique(low[at[passes(held.value, low[at])]]))
+                    h.append(_rising(c[at] ^ _STATE))
+                    h.append(_rising(low[at[passes(held.value, low[at])]]))
                 size += sum(map(len, h[-1 - 2 * DEPTH:]))
-                if size > FLUSH + 2 * len(h[0]):
-                    h, size = [np.unique(np.concatenate(h))], 0
-        return pa.Table.from_batches([_pack(np.unique(np.concatenate(h)), [], group["chunk"][0].as_py(), buckets)])
+                if size > FLUSH + len(h[0]) // 2:
+                    h, size = [_rising(np.concatenate(h))], 0
+        return pa.Table.from_batches([_pack(_rising(np.concatenate(h)), [], group["chunk"][0].as_py(), buckets)])
 
     def answer(group: pa.Table, found: pa.Table) -> pa.Table:
-        known = _known(found)
+        known = _answers(found)
         ends = known.of(np.zeros(1, np.uint64))[0][0]
         return pa.concat_tables([_scored(texts, known, ends) for texts in _packed_texts(group)])
 
@@ -524,5 +547,5 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
         ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
     answers = (dealt.groupBy("chunk").applyInArrow(ask, _PACKED)
                .unionByName(lookup.mapInArrow(_packed_values(buckets), _PACKED))
-               .groupBy("bucket").applyInArrow(_resolve, "chunk long, h binary, n binary, mass binary"))
+               .groupBy("bucket").applyInArrow(_resolve, "chunk long, at long, h binary, n binary, mass binary"))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answer, schema)
