@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -152,6 +152,12 @@ def absent_flag(c) -> Column:
     return F.when(F.coalesce(_c(c).cast("double"), F.lit(0.0)) > 1, 0).otherwise(1)
 
 
+def by_name(columns: Sequence[str], holds: str, without: Sequence[str], suffix: str, flag: Callable[[Column], Column]) -> dict[str, Column]:
+    """For ``DataFrame.withColumns``, ``flag`` of every column whose name holds
+    ``holds`` and none of ``without``, under that name and ``suffix``. Case counts, as in the names."""
+    return {c + suffix: flag(F.col(f"`{c}`")) for c in columns if holds in c and not any(w in c for w in without)}
+
+
 def complement(c) -> Column:
     """``1 - flag``."""
     return F.lit(1) - _c(c)

@@ -9,9 +9,9 @@ The many per-variable loops of the original become one ``unpivot`` (an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import p_value_sig
@@ -274,30 +274,34 @@ def chi_square(df: DataFrame, key: str, group_col: str, groups: Sequence[str], s
 
 # ------------------------------------------------------------- A5-A7 -------
 
-def distinct_pivot(df: DataFrame, key: str, index: str, columns: str, levels: Sequence[str] | None = None) -> DataFrame:
-    """A5: distinct ``key`` count by ``index`` x ``columns`` level, zero-filled.
+def distinct_pivot(df: DataFrame, key: str, index: str, columns: str, levels: Sequence[str] | None = None,
+                   aggregate: Callable[[str], Column] = F.countDistinct, fill: float | None = 0) -> DataFrame:
+    """A5: distinct ``key`` count, or another ``aggregate`` of ``key``, by ``index`` x
+    ``columns`` level; cells without rows hold ``fill`` (None: null).
     Give ``levels`` to spare the job that discovers them."""
     d = df.filter(F.col(index).isNotNull() & F.col(columns).isNotNull())
-    p = d.groupBy(index).pivot(columns, list(levels) if levels is not None else None).agg(F.countDistinct(key))
-    return p.fillna(0)
+    p = d.groupBy(index).pivot(columns, list(levels) if levels is not None else None).agg(aggregate(key))
+    return p if fill is None else p.fillna(fill, [c for c in p.columns if c != index])
 
 
 def distinct_pivot_margins(df: DataFrame, key: str, index: str, columns: str,
-                           levels: Sequence[str]) -> DataFrame:
+                           levels: Sequence[str], aggregate: Callable[[str], Column] = F.countDistinct,
+                           fill: float | None = 0) -> DataFrame:
     """A5 with ``All`` row and column, computed on raw rows (so the
     margins count distinct keys, not sums). ``cube`` gives all four groupings
     in one job."""
     d = df.filter(F.col(key).isNotNull() & F.col(index).isNotNull() & F.col(columns).isNotNull())
     c = (d.cube(index, columns)
-           .agg(F.countDistinct(key).alias("n"), F.grouping(index).alias("_gi"), F.grouping(columns).alias("_gc")))
+           .agg(aggregate(key).alias("n"), F.grouping(index).alias("_gi"), F.grouping(columns).alias("_gc")))
     c = c.select(F.when(F.col("_gi") == 1, F.lit(ALL)).otherwise(F.col(index).cast("string")).alias(index),
                  F.when(F.col("_gc") == 1, F.lit(ALL)).otherwise(F.col(columns).cast("string")).alias("_col"),
                  "n", "_gi", "_gc")
     if ALL in levels:
         raise ValueError(f"a level of {columns} is called {ALL}, as the margin column")
     # a real row called All keeps apart from the margin row by its grouping flag
-    return (c.where((F.col("_gc") == 1) | (F.col("_col") != ALL)).groupBy(index, "_gi").pivot("_col", [*levels, ALL])
-            .agg(F.first("n")).drop("_gi").fillna(0))
+    p = (c.where((F.col("_gc") == 1) | (F.col("_col") != ALL)).groupBy(index, "_gi").pivot("_col", [*levels, ALL])
+         .agg(F.first("n")).drop("_gi"))
+    return p if fill is None else p.fillna(fill, [c for c in p.columns if c != index])
 
 
 def max_pivot_flags(df: DataFrame, index: str, columns: str, value: str, levels: Sequence[str]) -> DataFrame:

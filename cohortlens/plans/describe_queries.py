@@ -115,6 +115,22 @@ def distinct_pivot_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     SEGMENTS)
 
 
+@query("mean_pivot_margins", POP_SQL + """,
+c AS (
+  SELECT CASE WHEN grouping(n_regionkey) = 1 THEN 'All' ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey,
+         CASE WHEN grouping(c_mktsegment) = 1 THEN 'All' ELSE c_mktsegment END AS seg,
+         avg(price_k) AS m
+  FROM pop WHERE price_k IS NOT NULL GROUP BY CUBE (n_regionkey, c_mktsegment))
+SELECT n_regionkey, """ + ", ".join(
+    f"round(max(CASE WHEN seg = '{s}' THEN m END), 4) AS {s}" for s in SEGMENTS + ["All"]) + """
+FROM c GROUP BY n_regionkey
+""")
+def mean_pivot_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 with another aggregate: mean order value by region x segment with margins."""
+    p = D.distinct_pivot_margins(population(spark, sf_dir), "price_k", "n_regionkey", "c_mktsegment", SEGMENTS, F.mean, None)
+    return p.select("n_regionkey", *[F.round(c, 4).alias(c) for c in [*SEGMENTS, "All"]])
+
+
 # ------------------------------------------------------------- A8 ----------
 
 @query("group_description", POP_SQL + """,

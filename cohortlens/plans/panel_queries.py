@@ -229,6 +229,20 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("o_orderpriority").startswith("2"), 0).alias("urgent"))
 
 
+@query("flags_by_name", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+       CASE WHEN coalesce(l_quantity, 0) > 1 THEN 0 ELSE 1 END AS l_quantity_absent,
+       CASE WHEN coalesce(l_discount, 0) > 1 THEN 0 ELSE 1 END AS l_discount_absent,
+       CASE WHEN coalesce(l_tax, 0) > 1 THEN 0 ELSE 1 END AS l_tax_absent
+FROM lineitem
+""")
+def flags_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P16 + P29: an absent flag beside every column chosen by its name, in one projection."""
+    from cohortlens.functions import columns as C
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return lines.withColumns(C.by_name(lines.columns, "l_", ["key", "line", "price"], "_absent", C.absent_flag))
+
+
 # ----------------------------------------------------------- P6-P8, P22 ----
 
 @query("rounding", """

@@ -91,3 +91,10 @@ def test_decade_centred_exp(spark):
     df = spark.createDataFrame([(57.0, 50.0)], "a double, b double")
     r = df.select(C.decade("a"), C.centred_time("a", "b"), C.log_inverse(F.lit(0.0))).first()
     assert r[0] == 50.0 and r[1] == 8.0 and math.isclose(r[2], 1.0)
+
+
+def test_flags_of_columns_by_name(spark):
+    df = spark.createDataFrame([(2.0, None, 0.5, 3.0)], "a_Score_ID double, `b.Score_ID` double, c_Score_ID_bool double, other double")
+    made = C.by_name(df.columns, "Score_ID", ["bool"], "_absent", C.absent_flag)
+    assert list(made) == ["a_Score_ID_absent", "b.Score_ID_absent"] and C.by_name(df.columns, "none", [], "", C.absent_flag) == {}
+    assert list(df.withColumns(made).collect()[0])[4:] == [0, 1]

@@ -113,6 +113,15 @@ def test_pivots(spark):
     assert m["All"].All == 3 and m["r1"].All == 2 and m["All"].A == 2
 
 
+def test_pivots_of_another_aggregate(spark):
+    rows = [(1, "r1", "A"), (2, "r1", "A"), (6, "r1", "B"), (3, "r2", "A"), (None, "r2", "B")]
+    df = spark.createDataFrame(rows, "k int, r string, s string")
+    p = {r.r: r for r in D.distinct_pivot(df, "k", "r", "s", ["A", "B"], F.mean, None).collect()}
+    assert (p["r1"].A, p["r1"].B, p["r2"].A, p["r2"].B) == (1.5, 6.0, 3.0, None)
+    m = {r.r: r for r in D.distinct_pivot_margins(df, "k", "r", "s", ["A", "B"], F.max, -1).collect()}
+    assert (m["All"].All, m["All"].A, m["r1"].All, m["r2"].B) == (6, 3, 6, -1)
+
+
 def test_top_groups_and_counts(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",), (None,), (None,), (None,)], "g string")
     assert [(r.g, r.n, r.rank) for r in D.top_groups(df, "g").collect()] == [("b", 2, 1), ("c", 2, 2)]
