@@ -45,7 +45,7 @@ from cohortlens.llm.written import Written, shuffles_end_with_writes
 CLASSES = 64
 START, STOP = 0, 1      # before a text, and its end
 TOP_WORDS, ENDINGS = 20, 40
-CHUNK = 32 << 20        # bytes of text that are scored together
+CHUNK = 16 << 20        # bytes of text that are scored together
 FLUSH = 2_000_000       # words counted at once in a task
 DEPTH = 3               # words of the longest state
 LEAST_SEEN = 8          # times a run of words was seen to be a state
@@ -502,7 +502,7 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
                     h.append(_rising(c[at] ^ _STATE))
                     h.append(_rising(low[at[passes(held.value, low[at])]]))
                 size += sum(map(len, h[-1 - 2 * DEPTH:]))
-                if size > FLUSH + len(h[0]) // 2:
+                if size > FLUSH_RUNS // 2 + len(h[0]) // 2:
                     h, size = [_rising(np.concatenate(h))], 0
         return pa.Table.from_batches([_pack(_rising(np.concatenate(h)), [], group["chunk"][0].as_py(), buckets)])
 
