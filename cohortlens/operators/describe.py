@@ -312,6 +312,23 @@ def max_pivot_flags(df: DataFrame, index: str, columns: str, value: str, levels:
 
 # ------------------------------------------------------------- A8 ----------
 
+def _distinct_keys(df: DataFrame, key: str, group_col: str, subgroup_cols: Sequence[str]) -> DataFrame:
+    """Distinct non-null keys of every cell of ``data_stats`` and of its margins.
+
+    The distinct rows of key, group and levels are dealt by key; a key's cells are then
+    told apart where its rows lie, so neither variables nor margins are shuffled, only
+    one count a cell and task."""
+    rows = (df.where(F.col(key).isNotNull() & F.col(group_col).isNotNull())
+            .select(*[F.col(c) for c in dict.fromkeys([key, group_col, *subgroup_cols])]).distinct().repartition(F.col(key)))
+    long = unpivot_levels(rows, subgroup_cols, [key, group_col]).where(F.col("level").isNotNull())
+    margins = F.array(*[F.struct(F.lit(kl).cast("byte").alias("_kl"), F.lit(kg).cast("byte").alias("_kg")) for kl in (0, 1) for kg in (0, 1)])
+    cells = long.select(F.col(key).alias("_key"), F.col("variable").alias("_variable"), "level", F.col(group_col).alias("_g"), F.explode(margins).alias("_m"))
+    cells = cells.select("_key", "_variable", "_m._kl", "_m._kg", F.when(F.col("_m._kl") == 0, F.col("level")).alias("_level"),
+                         F.when(F.col("_m._kg") == 0, F.col("_g")).alias("_group"))
+    by = ["_variable", "_kl", "_kg", "_level", "_group"]
+    return cells.groupBy("_key", *by).agg(F.lit(1).alias("_one")).groupBy(*by).agg(F.count("_key").alias("_n"))
+
+
 def data_stats(df: DataFrame, key: str, value: str, group_col: str, subgroup_cols: Sequence[str]) -> DataFrame:
     """Per variable, level and group (with ``All`` margins on both):
     ``N`` distinct keys, ``pct``, ``obs`` (non-null keys), ``M`` mean and
@@ -327,9 +344,13 @@ def data_stats(df: DataFrame, key: str, value: str, group_col: str, subgroup_col
         .filter(F.col("level").isNotNull())
     g = long.groupingSets([["variable", "level", group_col], ["variable", "level"], ["variable", group_col],
                            ["variable"]], "variable", "level", group_col).agg(
-        F.countDistinct(key).alias("N"), F.count(key).alias("obs"),
+        F.count(key).alias("obs"),
         F.avg(F.col(value).cast("double")).alias("M"), F.stddev_samp(F.col(value).cast("double")).alias("SD"),
         F.grouping("level").alias("_gl"), F.grouping(group_col).alias("_gg"))
+    keys = _distinct_keys(df, key, group_col, subgroup_cols)
+    same = (F.col("variable") == F.col("_variable")) & (F.col("_gl") == F.col("_kl")) & (F.col("_gg") == F.col("_kg"))
+    same = same & F.col("level").eqNullSafe(F.col("_level")) & F.col(group_col).eqNullSafe(F.col("_group"))
+    g = g.join(keys, same, "left").withColumn("N", F.coalesce("_n", F.lit(0).cast("long")))
     g = g.select("variable",
                  F.when(F.col("_gl") == 1, F.lit(ALL)).otherwise(F.col("level")).alias("level"),
                  F.when(F.col("_gg") == 1, F.lit(ALL)).otherwise(F.col(group_col).cast("string")).alias("group"),

@@ -208,3 +208,15 @@ def test_levels_named_like_margins(spark):
     keyed = spark.createDataFrame([(i, "All" if i % 2 else "x", "g", float(i)) for i in range(6)], "k long, lv string, grp string, v double")
     tidy = D.data_stats(keyed, "k", "v", "grp", ["lv"]).collect()
     assert {(r.level, r.level_total, r.group_total): r.N for r in tidy if r.group_total == 0} == {("All", 0, 0): 3, ("x", 0, 0): 3, ("All", 1, 0): 6}
+
+
+def test_data_stats_deals_rows_by_key_alone(spark):
+    rows = [(1, 2.0, "a", "x", "p"), (1, 4.0, "b", "x", "q"), (None, 6.0, "a", "y", "q"), (2, None, "a", "x", None), (2, 1.0, None, "x", "p")]
+    df = spark.createDataFrame(rows, "kk long, v double, g string, l1 string, l2 string")
+    out = D.data_stats(df, "kk", "v", "g", ["l1", "l2"])
+    cells = {(r.variable, r.level, r.group): (r.N, r.obs, r.M) for r in out.collect()}
+    assert cells["l1", "x", "All"] == (2, 3, 3.0) and cells["l1", "y", "a"] == (0, 0, 6.0)
+    assert cells["l1", "All", "All"] == (2, 3, 4.0) and cells["l2", "q", "All"] == (1, 1, 5.0) and len(cells) == 16
+    # a key's cells are told apart where its rows lie
+    dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert dealt and not any("variable" in line and "k#" in line.replace("_key#", "k#").replace("kk#", "k#") for line in dealt)
