@@ -10,7 +10,7 @@ when its measured size allows and splits hot tokens ("the") otherwise.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -28,10 +28,12 @@ from pyspark.sql.types import StringType
 from cohortlens.functions.text import PAD_ID, UNK_ID, split_words, tfidf_tokens
 from cohortlens.operators.joins import join_small, measured_bytes
 from cohortlens.operators.ranks import positions
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import ensure_checkpoint_dir, short_batches
 
 # Names of the two reserved vocabulary rows (fixed values).
 PAD, UNK = "<PAD>", "<UNK>"
+# Words of at most 32 characters that a worker keeps with their stem or pieces.
+KNOWN_WORDS = 100_000
 
 
 # ------------------------------------------------------------- T4, J9 ------
@@ -125,19 +127,39 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame, ou
     return map_tokens(df, id_col, tokens_col, table, "lemma", None, out)
 
 
-@pandas_udf(StringType())
-def _porter(words: pd.Series) -> pd.Series:
+def _by_word(make, kind: str, tokens: Column) -> Column:
+    """Each token of an array through ``make()``, a function of the word alone. The distinct
+    words of a batch go through it, common ones once a worker: no table of words, no shuffle."""
+    @F.arrow_udf(f"array<{kind}>")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        word, known = make(), {}
+        for lists in batches:
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32()))
+            starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            coded = lists.flatten().dictionary_encode()
+            found = []
+            for w in coded.dictionary.to_pylist():
+                value = known.get(w)
+                if value is None:
+                    value = word(w)
+                    if len(known) < KNOWN_WORDS and len(w) <= 32:
+                        known[w] = value
+                found.append(value)
+            values = pa.array(found, pa.list_(pa.string()) if kind.startswith("array") else pa.string())
+            yield pa.ListArray.from_arrays(starts, values.take(coded.indices))
+    return apply(F.coalesce(tokens, F.array().cast("array<string>")))
+
+
+def _porter():
     from cohortlens.functions.stem import stem
-    return words.map(lambda w: None if w is None else stem(w))
+    return stem
 
 
 def stem_tokens(df: DataFrame, id_col: str, tokens_col: str, out: str = "stems") -> DataFrame:
-    """T6 re-aimed: Porter stems of lower-case tokens. Only the distinct
-    vocabulary goes through the stemmer (one Arrow batch per partition of
-    distinct words); the ``(form, stem)`` table is joined back like lemmas."""
-    forms = df.select(F.explode_outer(F.col(tokens_col)).alias("form")).filter(F.col("form").isNotNull()).distinct()
-    table = forms.select("form", _porter(F.col("form")).alias("lemma"))
-    return lemmatize(df, id_col, tokens_col, table, out=out)
+    """T6 re-aimed: Porter stems of lower-case tokens, where the texts lie: the stemmer
+    sees the distinct words of a batch, and no word is shuffled."""
+    short_batches(df.sparkSession)
+    return df.select(id_col, _by_word(_porter, "string", F.col(tokens_col)).alias(out))
 
 
 def learn_merges(words: DataFrame, word: str = "word", count: str | None = None, rounds: int = 6,
@@ -186,17 +208,22 @@ def bpe_tokens(df: DataFrame, id_col: str, tokens_col: str, merges: DataFrame, o
     """T8 re-aimed: subword tokens from a given merge table ``(a, b, rank)``.
 
     The merge table is a fixed, size-checked artefact (at most ``max_merges``
-    pairs) handed to the encoder once per task; only the **distinct** words
-    are encoded (an Arrow UDF), and the ``(word, pieces)`` table is joined back
-    to the token positions and flattened per text in order."""
+    pairs) handed to the encoder once per task; the **distinct** words of a
+    batch are encoded where the texts lie, and their pieces flattened per text
+    in order."""
     rows = merges.select("a", "b", "rank").limit(max_merges + 1).collect()
     if len(rows) > max_merges:
         raise ValueError(f"merge table has more than {max_merges} pairs")
     ranks = {(r["a"], r["b"]): int(r["rank"]) for r in rows}
-    forms = df.select(F.explode_outer(F.col(tokens_col)).alias("form")).filter(F.col("form").isNotNull()).distinct()
-    table = forms.select("form", _pieces(ranks)(F.col("form")).alias("_pieces"))
-    pieces = map_tokens(df, id_col, tokens_col, table.withColumnRenamed("form", "token"), "_pieces", F.array().cast("array<string>"), "_nested")
-    return pieces.select(id_col, F.flatten(F.col("_nested")).alias(out))
+
+    def encoder():
+        from cohortlens.functions.bpe import encode
+        return lambda w: encode(w, ranks)
+
+    short_batches(df.sparkSession)
+    nested = _by_word(encoder, "array<string>", F.col(tokens_col))
+    return (df.select(id_col, nested.alias("_nested"))
+            .select(id_col, F.flatten(F.filter("_nested", lambda x: x.isNotNull())).alias(out)))
 
 
 # ------------------------------------------------------------- ranking -----
@@ -423,6 +450,7 @@ def tfidf_vectors(model: TfidfModel, df: DataFrame, tokens_col: str, out: str =
 
 
 def tfidf_prepare(df: DataFrame, text_col: str, out: str = "tfidf_tokens") -> DataFrame:
+    short_batches(df.sparkSession)
     return df.withColumn(out, tfidf_tokens(tfidf_text(F.col(text_col))))
 
 

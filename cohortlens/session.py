@@ -41,6 +41,13 @@ def build_session(master: str | None = None, app: str = "cohortlens",
     return spark
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of ``rows`` rows at most, not Spark's 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 

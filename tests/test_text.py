@@ -203,3 +203,28 @@ def test_pad_ids(spark):
     df = spark.createDataFrame([(1, [5, 6, 7], [1, 1, 1]), (2, [], [])], "id int, ids array<bigint>, mask array<int>")
     out = {r.id: (r.ids, r.mask) for r in T.pad_ids(df, 2).collect()}
     assert out == {1: ([5, 6], [1, 1]), 2: ([0, 0], [0, 0])}
+
+
+def test_stems_and_pieces_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, ["running", None, "cats", "running"]), (1, ["cats"]), (None, []), (3, None)], "id int, tokens array<string>")
+    merges = spark.createDataFrame([("c", "a", 0), ("ca", "t", 1)], "a string, b string, rank int")
+    stems, pieces = T.stem_tokens(df, "id", "tokens"), T.bpe_tokens(df, "id", "tokens", merges)
+    assert sorted(map(str, (r.stems for r in stems.collect()))) == sorted(map(str, [["run", None, "cat", "run"], ["cat"], [], []]))
+    assert sorted(map(str, (r.subwords for r in pieces.collect()))) == sorted(map(str, [[*"running", "cat", "s", *"running"], ["cat", "s"], [], []]))
+    for out in (stems, pieces):
+        lines = out._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in lines and "Exchange" not in lines and "Join" not in lines
+    # words that were a table of over 32 MB before go where the texts lie
+    long = spark.range(3).select(F.col("id"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.repeat(F.lit("q"), 40), i.cast("string"))).alias("tokens"))
+    assert {len(r.stems) for r in T.stem_tokens(long, "id", "tokens").collect()} == {100}
+
+
+def test_texts_go_to_python_in_short_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        T.tfidf_prepare(spark.createDataFrame([("Ab",)], "text string"), "text")
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
