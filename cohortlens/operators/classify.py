@@ -9,12 +9,14 @@ confusion-table job over all folds and datasets.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.feature import CountVectorizerModel, VectorSlicer
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,16 @@ def train_classifier(df: DataFrame, id_col: str, label: str, classifier: Estimat
     return TrainResult(model, pred, rep, stats)
 
 
+def _written_counts(df: DataFrame, keep: Sequence[str], tokens_col: str, vocab: Sequence[TXT.TfidfModel]) -> tuple[DataFrame, dict[str, int]]:
+    """``keep`` and the sparse counts of the terms of all ``vocab`` (``_counts``), written to the
+    checkpoint folder, so that texts are not read again for each pass of each fold; and the place of each term."""
+    terms = sorted({t for m in vocab for t in m.terms()}) or [""]
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/counts-{uuid.uuid4().hex}"
+    counted = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens_col, outputCol="_counts").transform(df)
+    counted.select(*dict.fromkeys(keep), "_counts").write.parquet(path)
+    return df.sparkSession.read.parquet(path), {t: i for i, t in enumerate(terms)}
+
+
 def classifier_kfold(df: DataFrame, id_col: str, label: str, fold_col: str, n_folds: int, classifier: Estimator,
                      tokens_col: str | None = None, features_col: str | None = None,
                      max_features: int = 1000, parallelism: int = 1, weight_col: str | None = None) -> TrainResult:
@@ -78,18 +90,24 @@ def classifier_kfold(df: DataFrame, id_col: str, label: str, fold_col: str, n_fo
     (the later fold on ties).
 
     Term counts of all folds come from one aggregate by (fold, term); the train
-    side of a fold is the total without that fold. Folds are independent: with
+    side of a fold is the total without that fold. The rows' counts of the terms of
+    all folds are written once, and each fold takes its own terms from them. Folds are independent: with
     ``parallelism > 1`` they are submitted from a small thread pool."""
     from concurrent.futures import ThreadPoolExecutor
 
     ensure_checkpoint_dir(df.sparkSession)
     vocab = TXT.tfidf_fit_folds(df, tokens_col, fold_col, n_folds, max_features) if tokens_col is not None else None
     feat = features_col if tokens_col is None else "features"
+    rows = df
+    if vocab is not None:
+        rows, place = _written_counts(df, [id_col, label, fold_col], tokens_col, vocab)
 
     def run(k: int):
         stages = [] if vocab is None else TXT.tfidf_stages(vocab[k], tokens_col, feat)
-        d = df.withColumn("dataset", F.when(F.col(fold_col) == k, "test").otherwise("train"))
-        d = PipelineModel(stages).transform(d) if stages else d
+        d = rows.withColumn("dataset", F.when(F.col(fold_col) == k, "test").otherwise("train"))
+        if stages:
+            own = VectorSlicer(inputCol="_counts", outputCol="_tf", indices=[place[t] for t in vocab[k].terms()])
+            d = PipelineModel([own, *stages[1:]]).transform(d) if vocab[k].terms() else PipelineModel(stages).transform(d.withColumn(tokens_col, F.array().cast("array<string>")))
         train = d.filter(F.col("dataset") == "train")
         if weight_col is not None:
             train = balanced_weights(train, label, weight_col)

@@ -8,6 +8,7 @@ rows inside their label with a distributed running count.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators.describe import modal_levels
 from cohortlens.operators.joins import join_small
 from cohortlens.operators.ranks import positions, running_sums
+from cohortlens.session import ensure_checkpoint_dir
 
 # Hash resolution of the split: shares are taken in steps of 1/10000.
 SPLIT_RESOLUTION = 10000
@@ -44,10 +46,17 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int
     0, 1, ..., k-1 in turn, so every fold gets its share of every label (to
     within one row), as stratified k-fold does. The rank inside a label is a
     distributed running count, so a label that holds half of all rows is spread
-    over as many tasks as its share of the partitions."""
-    d = df.withColumn("_h", key_hash(key, seed, hex_digits=15)).withColumn("_one", F.lit(1))
-    r = running_sums(d, "_h", ["_one"], by=[label], tiebreak=[key])
-    return r.withColumn(out, ((F.col("_one_cum") - 1) % k).cast("int")).drop("_h", "_one", "_one_cum")
+    over as many tasks as its share of the partitions. The rows are written once to
+    the checkpoint folder; only keys and labels are ordered, and the fold numbers
+    are joined back to the rows."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    df.drop(out).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)  # row numbers are fixed from here on
+    d = rows.select(F.col(key).alias("_key"), F.col(label).alias("_label"), "_row", key_hash(key, seed, hex_digits=15).alias("_h"), F.lit(1).alias("_one"))
+    r = running_sums(d, "_h", ["_one"], by=["_label"], tiebreak=["_key"])
+    folds = r.select("_row", ((F.col("_one_cum") - 1) % k).cast("int").alias(out))
+    return rows.join(folds.hint("shuffle_hash"), "_row").drop("_row")
 
 
 def label_codes(df: DataFrame, label: str, out: str = "code", binary: bool = False) -> DataFrame:

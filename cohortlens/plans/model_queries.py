@@ -489,7 +489,7 @@ def mixed_model_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return T.tfidf_prepare(d.join(lab, "doc_id"), "text")
+    return T.tfidf_prepare(d.join(lab, "doc_id"), "text").drop("text")
 
 
 @query("classify_tfidf")

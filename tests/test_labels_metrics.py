@@ -105,3 +105,16 @@ def test_rounded_report_half_even(spark):
     df = spark.createDataFrame([(2.5, 2.5), (3.5, 3.4)], "y double, p double")
     rep = {r["class"] for r in M.rounded_class_report(df, "y", "p").collect()}
     assert {"2", "4", "3"} <= rep
+
+
+def test_stratified_folds_order_keys_alone(spark):
+    rows = [(i % 40 if i % 7 else None, float(i % 2), "x" * i) for i in range(120)]
+    out = L.stratified_folds(spark.createDataFrame(rows, "k int, lab double, wide string"), "k", "lab", k=5)
+    assert sorted((r.k is None, r.k or 0, r.lab, r.wide) for r in out.collect()) == sorted((k is None, k or 0, y, w) for k, y, w in rows)
+    sizes = {(r.lab, r.fold): r["count"] for r in out.groupBy("lab", "fold").count().collect()}
+    assert set(sizes.values()) == {12} and len(sizes) == 10
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and not any("wide" in line for line in windows)
+    below = plan[plan.index("Window"):]
+    assert "wide" not in below[:below.index("Relation")] if "Relation" in below else "wide" not in below
