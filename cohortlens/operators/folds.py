@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import metrics as M
 from cohortlens.operators import text as TXT
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import ensure_checkpoint_dir, short_batches
 
 MEMORY = 8  # steps that the optimiser remembers
 
@@ -73,10 +73,17 @@ def _lbfgs(size: int, max_iter: int, tolerance: float):
     return w
 
 
+def _short(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows: every entry of a part takes several arrays."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and count of every entry of the batch's sparse rows."""
     lists = batch.column(2)
-    lengths = np.diff(np.asarray(lists.offsets))
+    lengths = lists.value_lengths().to_numpy()
     row = np.repeat(np.arange(len(batch)), lengths)
     return row, lists.flatten().to_numpy(zero_copy_only=False), batch.column(3).flatten().to_numpy(zero_copy_only=False)
 
@@ -102,6 +109,7 @@ def logit_folds(df: DataFrame, id_col: str, label: str, fold_col: str, n_folds:
     results. The sparse counts are written to the session's checkpoint folder.
     """
     spark = df.sparkSession
+    short_batches(spark)
     rows = df.where(F.col(label).isin(0, 1) & F.col(fold_col).isNotNull())
     fitted = TXT.tfidf_fit_folds(rows, tokens_col, fold_col, n_folds, max_features)
     terms = sorted({t for m in fitted for t in m.terms()}) or [""]
@@ -122,7 +130,7 @@ def logit_folds(df: DataFrame, id_col: str, label: str, fold_col: str, n_folds:
     def gradients(asked: dict[int, np.ndarray]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = {k: np.zeros(p + 2) for k in asked}  # loss, constant, terms
-            for batch in batches:
+            for batch in _short(batches):
                 n, y, fold = len(batch), batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 row, term, count = _sparse(batch)
                 for k, w in asked.items():
@@ -164,7 +172,7 @@ def logit_folds(df: DataFrame, id_col: str, label: str, fold_col: str, n_folds:
                 weights[k] = e.value
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _short(batches):
             n, fold = len(batch), batch.column(1).to_numpy()
             row, term, count = _sparse(batch)
             for k in range(n_folds):
