@@ -1,7 +1,7 @@
 """Porter stemming (T6), the published 1980 algorithm, for single words.
 
-Applied by ``operators.text.stem_tokens`` to the distinct vocabulary only (an
-Arrow UDF over one row per distinct word), then joined back to the tokens.
+Applied by ``operators.text.stem_tokens`` to the distinct words of each Arrow
+batch of texts.
 """
 
 from __future__ import annotations
