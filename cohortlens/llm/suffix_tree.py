@@ -266,9 +266,9 @@ def _sum_followers(group: pa.Table) -> pa.Table:
 
 
 def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.ndarray, buckets: int, shelf: Written) -> DataFrame | None:
-    """(h, n, mass) of the kept states over words of the one column ``texts``: of each run and
+    """(h, n, mass, state) of the kept states over words of the one column ``texts``: of each run and
     next word the part n / mass of the state that it holds, and of each state (its hash with
-    ``_STATE``) the part left to the next shorter one. ``dictionary``: (h, n) of all words."""
+    ``_STATE``, ``state`` true) the part left to the next shorter one. ``dictionary``: (h, n) of all words."""
     below = dictionary.select("h", "n", (F.col("n") * (1 / max(total, 1))).alias("share"))
     found, old = None, None
     for depth in range(1, DEPTH + 1):
@@ -287,8 +287,9 @@ def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.nda
                                                      F.sum(F.col("n") * F.log(share / F.col("shorter"))).alias("nats"))
                            .where(F.col("nats") > 0.5 * F.col("kinds") * F.log(F.col("seen") + 1))
                            .select("run", "held", (F.col("seen") + F.col("kinds")).alias("mass")))
-        held = longer.select("run", "h", "n").join(states.select("run", "mass"), "run").select("h", "n", "mass")
-        left = states.select(F.col("run").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("h"), (F.col("mass") - F.col("held")).alias("n"), "mass")
+        held = longer.select("run", "h", "n").join(states.select("run", "mass"), "run").select("h", "n", "mass", F.lit(False).alias("state"))
+        left = states.select(F.col("run").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("h"), (F.col("mass") - F.col("held")).alias("n"), "mass",
+                             F.lit(True).alias("state"))
         kept = shelf.put(held.unionByName(left))
         shelf.drop(states)
         found = kept if found is None else found.unionByName(kept)
@@ -427,6 +428,22 @@ def _answers(group: pa.Table) -> _Found:
     return _Found(h, np.concatenate([np.zeros(0), *value]))
 
 
+def _questions(w: V.Words, kept: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashes to ask for: the words, the runs that the bit filter of states lets
+    through, and of these with their next words those that the filter of held runs lets through.
+    States have a filter of their own: they are few, and what follows a run that is none isn't asked."""
+    h = [_rising(w.hash)]
+    low, place, _ = _line(w)
+    for depth in range(1, DEPTH + 1):
+        c = _before(low)
+        low = _longer(c, low)
+        at = np.flatnonzero(place >= depth)
+        at = at[passes(kept, c[at] ^ _STATE)]
+        h.append(_rising(c[at] ^ _STATE))
+        h.append(_rising(low[at[passes(held, low[at])]]))
+    return h
+
+
 NEW_COLUMNS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -483,8 +500,9 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
     lookup = counted.select("h", "n", F.expr("1L").alias("mass"))
     states = word_states(source.where("_train").select("_text"), counted, total, classes.value.top, size // CHUNK + 1, shelf)
     if states is not None:
-        lookup = lookup.unionByName(states)
-    held = bit_filter(states if states is not None else counted.limit(0), F.col("h"))
+        lookup = lookup.unionByName(states.drop("state"))
+    kept, held = (bit_filter(states.where(F.col("state") == is_state) if states is not None else counted.limit(0), F.col("h"))
+                  for is_state in (True, False))
     buckets = (lookup.count() + size // 16) // BUCKET + 1
 
     def ask(group: pa.Table) -> pa.Table:
@@ -492,16 +510,8 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
         for texts in _packed_texts(group):
             for _, _, d, o in V.chunks(*V.flat(texts["_text"])):
                 w = V.Words(d, o)
-                h.append(_rising(w.hash))
-                low, place, _ = _line(w)
-                for depth in range(1, DEPTH + 1):
-                    c = _before(low)
-                    low = _longer(c, low)
-                    at = np.flatnonzero(place >= depth)
-                    at = at[passes(held.value, c[at] ^ _STATE)]
-                    h.append(_rising(c[at] ^ _STATE))
-                    h.append(_rising(low[at[passes(held.value, low[at])]]))
-                size += sum(map(len, h[-1 - 2 * DEPTH:]))
+                h += (asked := _questions(w, kept.value, held.value))
+                size += sum(map(len, asked))
                 if size > FLUSH_RUNS // 2 + len(h[0]) // 2:
                     h, size = [_rising(np.concatenate(h))], 0
         return pa.Table.from_batches([_pack(_rising(np.concatenate(h)), [], group["chunk"][0].as_py(), buckets)])

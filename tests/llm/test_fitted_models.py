@@ -178,6 +178,16 @@ def test_word_states_equal_counts_by_hand_and_grow(spark, buckets):
     assert size[1] > 3 * size[0]
 
 
+def test_only_runs_after_states_are_asked():
+    """However full the filter of held runs is, a run that is no state is not asked, nor what follows it."""
+    words = " ".join(f"w{j}" for j in range(50))
+    w = V.Words(*V.flat(pa.array([words, words])))
+    none, full = np.zeros(1 << 20, np.uint64), np.full(1 << 20, ~np.uint64(0))
+    assert [len(h) for h in suffix_tree._questions(w, none, full)] == [50] + [0, 0] * suffix_tree.DEPTH
+    assert [len(h) for h in suffix_tree._questions(w, full, none)] == [50, 50, 0, 49, 0, 48, 0]
+    assert [len(h) for h in suffix_tree._questions(w, full, full)] == [50, 50, 50, 49, 49, 48, 48]
+
+
 def test_scores_equal_a_direct_computation(spark):
     """Score by score: class tree, share of the class and states, all counted in loops."""
     rng = random.Random(4)
