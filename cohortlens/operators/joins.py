@@ -92,6 +92,12 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_byt
     else a shuffle join (adaptive execution splits skewed keys). ``small`` is
     evaluated once, into the session's checkpoint folder: nothing stays behind
     on executors, and a lost one does not bring the work back."""
+    small, fits = checkpointed(small, max_bytes)
+    return big.join(F.broadcast(small) if fits else small, on, how)
+
+
+def checkpointed(small: DataFrame, max_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:
+    """``small`` from the checkpoint folder, and whether its measured size is under ``max_bytes``."""
     ensure_checkpoint_dir(small.sparkSession)
     small = small.checkpoint()
-    return big.join(F.broadcast(small) if measured_bytes(small) <= max_bytes else small, on, how)
+    return small, measured_bytes(small) <= max_bytes

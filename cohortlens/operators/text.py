@@ -17,16 +17,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from cohortlens.functions.text import PAD_ID, UNK_ID, split_words, tfidf_tokens
-from cohortlens.operators.joins import join_small, measured_bytes
+from cohortlens.operators.joins import checkpointed, join_small, measured_bytes
 from cohortlens.operators.ranks import positions
 from cohortlens.session import ensure_checkpoint_dir, short_batches
 
@@ -272,13 +270,27 @@ def oov_words(df: DataFrame, tokens_col: str, vocab: DataFrame, word: str = "wor
 
 # ------------------------------------------------------------- T14 ---------
 
+# Measured size up to which the table of word vectors is broadcast.
+VECTOR_BYTES = 32 << 20
+
+
+def _with_vectors(long: DataFrame, vectors: DataFrame, word: str, vec: str) -> tuple[DataFrame, bool]:
+    """The rows of ``long`` whose token has a vector, with it as ``_vec``, and whether they stay
+    where they lay. A large table of vectors is hashed a partition at a time and the tokens run
+    past it, so the many rows of a frequent token are never sorted or held."""
+    vecs, fits = checkpointed(vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec")), VECTOR_BYTES)
+    return long.join(F.broadcast(vecs) if fits else vecs.hint("shuffle_hash"), "token"), fits
+
+
 def sentence_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, dim: int,
                      word: str = "word", vec: str = "vec", weights_col: str | None = None) -> DataFrame:
     """Mean of the vectors of known tokens (``weights_col`` given: the
     weighted **sum**, not divided, as in the reference); no known token gives
     zeros. Tokens and weights explode together (no join to pair them); the
-    vector table is broadcast after a size check; per-document sums use
-    ``Summarizer`` (a proper aggregate with map-side partial sums)."""
+    vector table is broadcast after a size check. Each document holds ``dim``
+    running sums, in a hash table of numbers: its rows are not sorted. Where
+    the tokens were shuffled, they go to their document before they are summed,
+    so that a task holds the sums of its own documents alone."""
     if weights_col is not None:
         long = df.select(id_col, F.explode_outer(F.arrays_zip(F.col(tokens_col).alias("token"),
                                                               F.col(weights_col).alias("w"))).alias("_z")) \
@@ -286,18 +298,19 @@ def sentence_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataF
                  .select(id_col, F.col("_z.token").alias("token"), F.col("_z.w").alias("_w"))
     else:
         long = df.select(id_col, F.explode_outer(F.col(tokens_col)).alias("token")).filter(F.col("token").isNotNull())
-    vecs = vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec"))
-    j = join_small(long, vecs, "token")
+    j, in_place = _with_vectors(long, vectors, word, vec)
+    j = j.filter(F.col("_vec").isNotNull())
+    if not in_place:
+        j = j.repartition(id_col)
+    at = [F.get("_vec", F.lit(i)).cast("double") for i in range(dim)]
     if weights_col is not None:
-        v = array_to_vector(F.transform("_vec", lambda x: x.cast("double") * F.col("_w")))
-        agg = Summarizer.sum(v)
-    else:
-        v = array_to_vector(F.transform("_vec", lambda x: x.cast("double")))
-        agg = Summarizer.mean(v)
-    g = j.withColumn("_v", v).groupBy(id_col).agg(agg.alias("_m"))
+        at = [x * F.col("_w") for x in at]
+    g = j.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(at)])
+    n = F.lit(1.0) if weights_col is not None else F.col("_n")
     zeros = F.array_repeat(F.lit(0.0), dim)
+    found = F.array(*[F.col(f"_s{i}") / n for i in range(dim)]).cast("array<double>")
     return df.select(id_col).join(g, id_col, "left") \
-             .select(id_col, F.when(F.col("_m").isNull(), zeros).otherwise(vector_to_array("_m")).alias("embedding"))
+             .select(id_col, F.when(F.col("_n").isNull(), zeros).otherwise(found).alias("embedding"))
 
 
 def sentence_vector_rows(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, word: str = "word",
@@ -306,7 +319,7 @@ def sentence_vector_rows(df: DataFrame, id_col: str, tokens_col: str, vectors: D
     each known token; every other position up to ``n_tokens`` is zeros."""
     long = df.select(F.col(id_col), F.size(tokens_col).alias("n_tokens"), F.posexplode_outer(F.col(tokens_col)).alias("pos", "token")) \
              .filter(F.col("token").isNotNull())
-    j = join_small(long, vectors.select(F.col(word).alias("token"), F.col(vec).alias("_vec")), "token")
+    j, _ = _with_vectors(long, vectors, word, vec)
     return j.select(id_col, "pos", "n_tokens", F.transform("_vec", lambda x: x.cast("double")).alias("vec"))
 
 

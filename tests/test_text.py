@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text as TX
@@ -128,6 +129,27 @@ def test_sentence_vectors(spark):
     assert c == {1: [1.0, 2.0, 3.0, 4.0, 0.0, 0.0], 2: [0.0] * 6}
 
 
+@pytest.mark.parametrize("weights", [None, "w"])
+def test_sentence_vectors_of_a_large_table_sort_no_tokens(spark, monkeypatch, weights):
+    """Vectors too large to broadcast: the tokens run past a hash table, and no aggregate sorts them."""
+    vec = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, -4.0]), ("n", None)], "word string, vec array<float>")
+    rows = [(i, ["a", "b", "zz", "a"][: i % 5], [1.0, 0.5, 1.0, 2.0][: i % 5]) for i in range(200)] + [(None, ["a"], [1.0]), (7, ["n", "b"], [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, w array<double>")
+    small = sorted((r.id is None, r.id or 0, r.embedding) for r in T.sentence_vectors(df, "id", "tokens", vec, 2, weights_col=weights).collect())
+    at = sorted((r.id is None, r.id or 0, r.pos, r.vec or []) for r in T.sentence_vector_rows(df, "id", "tokens", vec).collect())
+    monkeypatch.setattr(T, "VECTOR_BYTES", 0)
+    out = T.sentence_vectors(df, "id", "tokens", vec, 2, weights_col=weights)
+    got = sorted((r.id is None, r.id or 0, r.embedding) for r in out.collect())
+    assert got == small and len(got) == 202 and (False, 5, [0.0, 0.0]) in got
+    want = {None: [5 / 3, 0.0], "w": [1 + 1.5 + 2, 2 - 2 + 4.0]}[weights]
+    assert next(e for _, i, e in got if i == 4) == pytest.approx(want)
+    both = T.sentence_vector_rows(df, "id", "tokens", vec)
+    assert sorted((r.id is None, r.id or 0, r.pos, r.vec or []) for r in both.collect()) == at
+    for frame in (out, both):
+        plan = frame._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "ShuffledHashJoin [token" in plan and "ObjectHashAggregate" not in plan and "SortMergeJoin [token" not in plan
+
+
 def test_lemmatize(spark):
     df = spark.createDataFrame([(1, ["cats", "dog", "cats"])], "id int, tokens array<string>")
     lem = spark.createDataFrame([("cats", "cat")], "form string, lemma string")
