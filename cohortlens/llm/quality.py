@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import vectext as V
+from cohortlens.llm.sample import fitted
 
 GRAMS = (3, 4)
 
@@ -102,8 +103,7 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = 17, dim: int = 8, rate: floa
 
 def fit_quality(sample: DataFrame) -> Model:
     """``sample``: a bounded table of ``y`` (0, 1) and ``text``."""
-    rows = sample.orderBy("y", F.xxhash64("text"), "text").toArrow()
-    return fit(rows["text"], np.asarray(rows["y"].to_numpy(), np.int64))
+    return fitted(sample, fit)
 
 
 def score_column(text: Column, model: Model) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     ``y`` and ``text``, taken in the order of a hash of the id.
 
     Both bounds are parameters: they limit what a model is fitted on, and so
-    what reaches the driver (``2 * rows_per_class * max_bytes``), never what it
+    what the fitting task holds (``2 * rows_per_class * max_bytes``), never what it
     is applied to. Rows with a null id or label, another class, or a text over
     ``max_bytes`` are not drawn; an id with several labels counts with the
     smallest; of several documents with one id, each may be drawn.
@@ -32,3 +37,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
         return short.join(F.broadcast(named), "doc_id").orderBy(order, "doc_id", "text").limit(rows_per_class)
 
     return drawn(0).unionByName(drawn(1)).select("y", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def fitted(sample: DataFrame, fit: Callable):
+    """What ``fit`` makes of a bounded table of ``y`` and ``text``, in the order of its rows. It runs in
+    a task: the driver's Python holds neither the texts nor the memory that fitting takes."""
+    ordered = sample.select("y", "text", F.xxhash64("text").alias("h")).repartition(1).sortWithinPartitions("y", "h", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held)
+            model = fit(rows["text"], np.asarray(rows["y"].to_numpy(), np.int64))
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    row = ordered.mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit(pa.array([], pa.string()), np.zeros(0, np.int64))

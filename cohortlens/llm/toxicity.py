@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import vectext as V
+from cohortlens.llm.sample import fitted
 
 BEGINNINGS = (4, 5, 6, 7, 8)
 _SIEVE = 1 << 22
@@ -134,8 +135,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, strong: int = 3, least: int = 3, tel
 
 def fit_toxicity(sample: DataFrame) -> Model:
     """``sample``: a bounded table of ``y`` (0, 1) and ``text``."""
-    rows = sample.orderBy("y", F.xxhash64("text"), "text").toArrow()
-    return fit(rows["text"], np.asarray(rows["y"].to_numpy(), np.int64))
+    return fitted(sample, fit)
 
 
 def grade_column(text: Column, model: Model) -> Column:

@@ -75,6 +75,25 @@ def test_toxicity_held_out(spark):
     assert all(abs(r["grade"] - r["expected_severity"]) <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("of", [quality.fit_quality, toxicity.fit_toxicity])
+def test_models_are_fitted_in_a_task(spark, of, monkeypatch):
+    """The driver's Python fits nothing, unless there is no row; the model is the one of the sorted rows."""
+    rows = [(i % 2, ("good words here " if i % 2 else "bad stuff there ") * (1 + i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "y int, text string").repartition(3)
+    ordered = df.orderBy("y", F.xxhash64("text"), "text").toArrow()
+    module = quality if of is quality.fit_quality else toxicity
+    want = module.fit(ordered["text"], np.asarray(ordered["y"].to_numpy(), np.int64))
+    monkeypatch.setattr(module.V, "flat", None)
+    got = of(df)
+    assert vars(got).keys() == vars(want).keys() and all(np.allclose(v, vars(want)[k], rtol=1e-4, atol=1e-6) for k, v in vars(got).items())
+
+
+def test_models_of_no_rows(spark):
+    none = spark.createDataFrame([], "y int, text string")
+    assert not quality.fit_quality(none).weight.any()
+    toxicity.fit_toxicity(none)
+
+
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "t" * (i % 7), "e") for i in range(60)] + [(None, "x", "e"), (3, None, "e")], "doc_id long, text string, y string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (None, 1), (9, None), (8, 5)], "doc_id long, quality int")
