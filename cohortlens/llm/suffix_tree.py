@@ -20,10 +20,12 @@ more pass counts runs of three classes (64 ** 3 cells at most). Then one pass fo
 length counts (run, next word) in each task, for runs that a bit filter of the
 frequent ones lets through; buckets of those counts are summed, and joins with the
 counts one word shorter test them. Texts are dealt into chunks of bounded bytes;
-each chunk asks for its distinct words, runs and states, packed by buckets of hashes;
-each bucket of dictionary and states answers, and the answers meet the chunk again.
-Intermediate tables are written compressed, and go with their shuffle files when the
-next is there.
+each chunk asks for its distinct words, runs and states by the first bits of their
+hashes, packed by buckets of hashes; each bucket of dictionary and states answers with
+all that a question may mean, and the answers meet the chunk again, which knows its own
+by the whole hash. The chunks go through this in ``ROUNDS`` parts, so that questions and
+answers of one part only are on disk. Intermediate tables are written compressed, and go
+with their shuffle files when the next is there.
 """
 
 from __future__ import annotations
@@ -45,12 +47,14 @@ from cohortlens.llm.written import Written, shuffles_end_with_writes
 CLASSES = 64
 START, STOP = 0, 1      # before a text, and its end
 TOP_WORDS, ENDINGS = 20, 40
-CHUNK = 16 << 20        # bytes of text that are scored together
+CHUNK = 8 << 20         # bytes of text that are scored together
 FLUSH = 2_000_000       # words counted at once in a task
 DEPTH = 3               # words of the longest state
 LEAST_SEEN = 8          # times a run of words was seen to be a state
 FLUSH_RUNS = 1_000_000  # runs of words counted at once in a task
 BUCKET = 500_000        # values and questions that meet in a task, about
+SPARE_BITS = 6          # bits of a question beyond those that tell as many values apart
+ROUNDS = 2              # parts of the chunks, scored one after the other
 _LONGER, _STATE = np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 _COUNTS = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
@@ -76,38 +80,67 @@ def _texts(w: V.Words, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, word, times in training texts); the end counts as the empty word."""
-    hashes, words, counts, size, ends = [], [], [], 0, 0
+def _packed_rows(rows: pa.RecordBatch, bounds: np.ndarray) -> list[bytes]:
+    """The rows between each two bounds, compressed together."""
+    options, blobs = pa.ipc.IpcWriteOptions(compression="zstd"), []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+            out.write_batch(rows.slice(a, b - a))
+        blobs.append(sink.getvalue().to_pybytes())
+    return blobs
 
-    def flush():
+
+def _unpacked_rows(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
+    for rows in blobs:
+        yield pa.ipc.open_stream(pa.py_buffer(rows.as_py())).read_all()
+
+
+def _count_words(buckets: int):
+    """Mapper from texts to rows (hash, word, times in the texts), packed by ranges of hashes;
+    the end counts as the empty word."""
+    borders = np.array(range((1 << 64) // buckets + 1, 1 << 64, (1 << 64) // buckets + 1), np.uint64)
+
+    def flush(hashes, words, counts):
         h = np.concatenate(hashes)
         order, new = _alike(h)
         n = np.add.reduceat(np.concatenate(counts)[order], new)
         first = order[new]
-        return pa.record_batch([pa.array(h[first].view(np.int64)), pa.concat_arrays(words).take(pa.array(first)), pa.array(n)], schema=_COUNTS)
+        h = h[first]
+        rows = pa.record_batch([pa.array(h.view(np.int64)), pa.concat_arrays(words).take(pa.array(first)), pa.array(n)], schema=_COUNTS)
+        bounds = np.concatenate(([0], np.searchsorted(h, borders), [len(h)]))
+        held = np.flatnonzero(np.diff(bounds))
+        return pa.record_batch([pa.array(held), pa.array(_packed_rows(rows, np.append(bounds[held], len(h))), pa.binary())], names=["bucket", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, words, counts, size, ends = [], [], [], 0, 0
+        for batch in batches:
+            ends += batch.num_rows
+            data, offsets = V.flat(batch.column(0))
+            for _, _, d, o in V.chunks(data, offsets):
+                w = V.Words(d, o)
+                if not len(w.start):
+                    continue
+                order, new = _alike(w.hash)
+                first = order[new]
+                hashes.append(w.hash[first])
+                counts.append(np.diff(np.append(new, len(order))))
+                words.append(_texts(w, first))
+                size += len(new)
+                if size > FLUSH:
+                    yield flush(hashes, words, counts)
+                    hashes, words, counts, size = [], [], [], 0
+        yield flush([*hashes, np.zeros(1, np.uint64)], [*words, pa.array([b""], pa.binary())], [*counts, np.array([ends])])
+    return run
 
-    for batch in batches:
-        train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        ends += int(train.sum())
-        data, offsets = V.flat(batch.column(0))
-        for a, b, d, o in V.chunks(data, offsets):
-            w = V.Words(d, o)
-            learn = np.repeat(train[a:b], np.diff(w.first))
-            if not len(learn):
-                continue
-            order, new = _alike(w.hash)
-            first = order[new]
-            hashes.append(w.hash[first])
-            counts.append(np.add.reduceat(learn[order].astype(np.int64), new))
-            words.append(_texts(w, first))
-            size += len(new)
-            if size > FLUSH:
-                yield flush()
-                hashes, words, counts, size = [], [], [], 0
-    if hashes:
-        yield flush()
-    yield pa.record_batch([pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], schema=_COUNTS)
+
+def _sum_words(group: pa.Table) -> pa.Table:
+    """The sums of a bucket's counts."""
+    rows = pa.concat_tables(_unpacked_rows(group["rows"])).combine_chunks()
+    order, new = _alike(rows["h"].to_numpy())
+    n = np.add.reduceat(rows["n"].to_numpy()[order], new)
+    first = pa.array(order[new])
+    return pa.table([rows["h"].take(first), rows["word"].take(first), pa.array(n)], schema=_COUNTS)
 
 
 @dataclass
@@ -127,18 +160,28 @@ class Classes:
         return out
 
 
-def choose_classes(dictionary: DataFrame) -> Classes:
-    """Classes from a table (h, word, n); only the chosen words and endings reach the driver."""
-    seen = dictionary.where("n > 0 and h <> 0")
-    top = seen.orderBy(F.desc("n"), "word").limit(TOP_WORDS).select("h").toArrow()["h"].to_numpy().view(np.uint64)
-    ends = (seen.groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "e").limit(ENDINGS).toArrow()["e"].to_pylist())
+def choose_classes(dictionary: DataFrame) -> tuple[Classes, np.ndarray, np.ndarray]:
+    """Classes from a table (h, word, n), and how many words each has and how often they were seen;
+    only the chosen words and the sums of each two last bytes reach the driver."""
+    seen = dictionary.where("n > 0")
+    top = seen.where("h <> 0").orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()
+    ends = (seen.groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+            .toArrow().sort_by([("n", "descending"), ("e", "ascending")]))
+    code = [int.from_bytes(e, "big") if e else -1 for e in ends["e"].to_pylist()]   # the empty word is the end
     ending = np.full(1 << 16, CLASSES - 2)
     ending[(np.arange(1 << 16) & 0x80) > 0] = CLASSES - 1
-    for i, e in enumerate(ends):
-        ending[int.from_bytes(e, "big")] = 2 + TOP_WORDS + i
-    order = np.argsort(top)
-    return Classes(top[order], (np.arange(len(top)) + 2)[order], ending)
+    for i, e in enumerate([e for e in code if e >= 0][:ENDINGS]):
+        ending[e] = 2 + TOP_WORDS + i
+    words, times = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    rows = [(STOP if e < 0 else ending[e], m, n) for e, m, n in zip(code, ends["words"].to_pylist(), ends["n"].to_pylist())]
+    for i, (word, n) in enumerate(zip(top["word"].to_pylist(), top["n"].to_pylist())):
+        rows += [(2 + i, 1, n), (ending[int.from_bytes(word[-2:], "big")], -1, -n)]
+    for k, m, n in rows:
+        words[k] += m
+        times[k] += n
+    h = top["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return Classes(h[order], (np.arange(len(h)) + 2)[order], ending), words, times
 
 
 def _runs(k: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,10 +259,11 @@ def _count_followers(depth, frequent, top, buckets):
         h = _longer(c, low)
         order, new = _alike(h)
         first, n = order[new], np.diff(np.append(new, len(h)))
-        h, c, low = h[first], c[first], low[first]
-        bucket = (np.where(hot[first], h, c) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((c, bucket))
-        c, low, n, bucket = c[order], low[order], n[order], bucket[order]
+        bucket = np.where(hot[first], h[first], c[first]) % np.uint64(buckets)
+        bits = np.uint64(buckets.bit_length())
+        order = np.argsort((bucket << (np.uint64(64) - bits)) | (c[first] >> bits))   # by bucket, then by run
+        first, n, bucket = first[order], n[order], bucket[order].astype(np.int64)
+        c, low = c[first], low[first]
         new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1]))))
         size, of = np.diff(np.append(new, len(c))), bucket[new]
         rows = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
@@ -300,19 +344,22 @@ def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.nda
 
 
 class _Found:
-    """Values by rising, evenly spread 64-bit hashes: a table over their first bits says where to look."""
+    """Values by rising hashes, evenly spread over their range: a table over the first bits in it
+    says where to look."""
 
     def __init__(self, h: np.ndarray, value: np.ndarray):
         self.h, self.value = h, value
         bits = max(1, len(h).bit_length() - 1)
-        self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.low = h[0] if len(h) else np.uint64(0)
+        self.shift = np.uint64(max(0, int(h[-1] - h[0]).bit_length() - bits) if len(h) else 0)
+        self.first = np.searchsorted(h - self.low, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
     def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each hash, and whether it is known."""
         if not len(self.h):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(self.first[(h >> self.shift).astype(np.int64)], len(self.h) - 1)
+        slot = np.minimum((np.maximum(h, self.low) - self.low) >> self.shift, np.uint64(len(self.first) - 1))
+        at = np.minimum(self.first[slot.astype(np.int64)], len(self.h) - 1)
         on = np.flatnonzero(self.h[at] < h)
         while len(on):
             at[on] += 1
@@ -329,24 +376,12 @@ class _Found:
 
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each batch, compressed together by their last column, the chunk."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
         chunk = batch.column(batch.num_columns - 1).to_numpy()
         order = np.argsort(chunk, kind="stable")
         sorted_rows = batch.select(batch.schema.names[:-1]).take(pa.array(order))
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(chunk[order])) + 1, [len(chunk)])) if len(chunk) else [0]
-        blobs = []
-        for a, b in zip(cut[:-1], cut[1:]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, sorted_rows.schema, options=options) as out:
-                out.write_batch(sorted_rows.slice(a, b - a))
-            blobs.append(sink.getvalue().to_pybytes())
-        yield pa.record_batch([pa.array(chunk[order][cut[:-1]]), pa.array(blobs, pa.binary())], names=["chunk", "rows"])
-
-
-def _packed_texts(group: pa.Table) -> Iterator[pa.Table]:
-    for rows in group["rows"]:
-        yield pa.ipc.open_stream(pa.py_buffer(rows.as_py())).read_all()
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(chunk[order])) + 1, [len(chunk)])) if len(chunk) else np.zeros(1, np.int64)
+        yield pa.record_batch([pa.array(chunk[order][cut[:-1]]), pa.array(_packed_rows(sorted_rows, cut), pa.binary())], names=["chunk", "rows"])
 
 
 _PACKED = "bucket long, chunk long, h binary, n binary, mass binary"
@@ -371,11 +406,29 @@ def _hashes(x: bytes) -> np.ndarray:
     return np.cumsum(_unsqueezed(x, np.uint64), dtype=np.uint64)
 
 
-def _pack(h: np.ndarray, values: list[np.ndarray], chunk: int | None, buckets: int) -> pa.RecordBatch:
+@dataclass
+class Buckets:
+    """Ranges of hashes for about so many values. Questions are asked by the first bits of a hash,
+    enough that a question for an unknown one seldom meets a value; no range parts such a prefix."""
+    bits: int
+    wide: int      # prefixes of a bucket
+
+    @classmethod
+    def of(cls, values: int, buckets: int) -> Buckets:
+        bits = min(64, values.bit_length() + SPARE_BITS)
+        return cls(bits, (1 << bits) // buckets + 1)
+
+    def prefix(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.uint32 if self.bits <= 32 else np.uint64)
+
+    def bounds(self, prefix: np.ndarray) -> list[int]:
+        """Where the part of each bucket begins in rising prefixes, and their end."""
+        borders = np.array(range(self.wide, 1 << self.bits, self.wide), prefix.dtype)
+        return [0, *np.searchsorted(prefix, borders).tolist(), len(prefix)]
+
+
+def _pack(h: np.ndarray, bounds: list[int], values: list[np.ndarray], chunk: int | None) -> pa.RecordBatch:
     """Rows (bucket, chunk, hashes, numbers, masses): one for each bucket, a range of the rising hashes."""
-    wide = (1 << 64) // buckets + 1
-    ends = np.searchsorted(h, np.array([min(i * wide, (1 << 64) - 1) for i in range(1, buckets)], np.uint64)) if buckets > 1 else []
-    bounds = [0, *ends, len(h)]
     held = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
     rows = [[_squeezed(x[at]) for _, at in held] for x in values] or [[None] * len(held)] * 2
     return pa.record_batch([pa.array([i for i, _ in held], pa.int64()), pa.array([chunk] * len(held), pa.int64()),
@@ -383,12 +436,13 @@ def _pack(h: np.ndarray, values: list[np.ndarray], chunk: int | None, buckets: i
                            names=["bucket", "chunk", "h", "n", "mass"])
 
 
-def _packed_values(buckets: int):
+def _packed_values(buckets: Buckets):
     """Mapper from rows (h, n, mass) to packed ones of no chunk."""
     def flush(columns):
         h, n, mass = (np.concatenate(c) for c in zip(*columns))
         order = np.argsort(h.view(np.uint64))
-        return _pack(h.view(np.uint64)[order], [n[order], mass[order]], None, buckets)
+        h = h.view(np.uint64)[order]
+        return _pack(h, buckets.bounds(buckets.prefix(h)), [n[order], mass[order]], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, size = [], 0
@@ -403,21 +457,31 @@ def _packed_values(buckets: int):
     return run
 
 
-def _resolve(group: pa.Table) -> pa.Table:
-    """Of a bucket's packed values and questions: for each question those found, packed."""
-    asked = pc.is_valid(group["chunk"])
-    values, asks = group.filter(pc.invert(asked)), group.filter(asked)
-    parts = [[f(x) for x in values[c].to_pylist()] for c, f in (("h", _hashes), ("n", _unsqueezed), ("mass", _unsqueezed))]
-    h, n, mass = (np.concatenate([np.zeros(0, t), *p]) for p, t in zip(parts, (np.uint64, np.int64, np.int64)))
-    order = np.argsort(h)
-    known, n, mass, rows = _Found(h[order], n[order]), n[order], mass[order], []
-    for chunk, packed in zip(asks["chunk"].to_pylist(), asks["h"].to_pylist()):
-        h = _hashes(packed)
-        at, there = known.place(h)
-        h, at = h[there], at[there]
-        rows.append((chunk, int(h[0]) >> 1 if len(h) else 0, _steps(h), _squeezed(n[at]), _squeezed(mass[at])))
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["chunk", "at", "h", "n", "mass"])
+def _resolve(buckets: Buckets):
+    """Mapper from a bucket's packed values and questions to the values that each chunk may mean, packed."""
+    cut = np.uint64(64 - buckets.bits)
+
+    def run(group: pa.Table) -> pa.Table:
+        asked = pc.is_valid(group["chunk"])
+        values, asks = group.filter(pc.invert(asked)), group.filter(asked)
+        parts = [[f(x) for x in values[c].to_pylist()] for c, f in (("h", _hashes), ("n", _unsqueezed), ("mass", _unsqueezed))]
+        h, n, mass = (np.concatenate([np.zeros(0, t), *p]) for p, t in zip(parts, (np.uint64, np.int64, np.int64)))
+        order = np.argsort(h)
+        h, n, mass, rows = h[order], n[order], mass[order], []
+        known, prefix = _Found(h, n), h >> cut
+        more = np.append(prefix[1:] == prefix[:-1], False)
+        for chunk, packed in zip(asks["chunk"].to_pylist(), asks["h"].to_pylist()):
+            question = _hashes(packed)
+            at = known.place(question << cut)[0]
+            at = at[prefix[at] == question] if len(h) else at[:0]
+            found = [at]
+            while len(at := at[more[at]] + 1):
+                found.append(at)
+            at = np.sort(np.concatenate(found)) if len(found) > 1 else found[0]
+            rows.append((chunk, int(h[at[0]]) >> 1 if len(at) else 0, _steps(h[at]), _squeezed(n[at]), _squeezed(mass[at])))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["chunk", "at", "h", "n", "mass"])
+    return run
 
 
 def _answers(group: pa.Table) -> _Found:
@@ -455,8 +519,8 @@ def score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) -> D
     0 and each symbol as likely as any other. Repeated rows count and are scored
     each; ``keep`` columns named like the new ones are left out.
 
-    The dictionary and the states are written to the checkpoint folder and stay there
-    until it is cleared: the returned table reads them.
+    The scored rows are written to the checkpoint folder and stay there until it is
+    cleared: the returned table reads them.
     """
     with shuffles_end_with_writes(docs.sparkSession):
         return _score_texts(docs, text, train, [c for c in keep if c not in NEW_COLUMNS])
@@ -467,59 +531,49 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
     shelf = Written(spark, "suffix-tree")
     source = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
                          F.col(f"`{text}`").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    counted = shelf.put(source.select("_text", "_train").mapInArrow(_count_words, "h long, word binary, n long")
-                        .groupBy("h", "word").agg(F.sum("n").alias("n")))
-    total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    floor = np.log10(total + 0.5 * (kinds + 1))
-    classes = spark.sparkContext.broadcast(choose_classes(counted))
-    runs = (source.where("_train").select("_text").mapInArrow(_count_runs(classes), "cell long, n long")
+    size = source.agg(F.sum(F.octet_length(F.coalesce("_text", F.lit(""))) + 64)).first()[0] or 0
+    learned = source.where("_train").select("_text")
+    counted = shelf.put(learned.mapInArrow(_count_words(size // CHUNK + 1), "bucket long, rows binary")
+                        .groupBy("bucket").applyInArrow(_sum_words, "h long, word binary, n long"))
+    classes, words, times = choose_classes(counted)
+    total, kinds = int(times.sum()), int(words.sum())
+    floor, room = np.log10(total + 0.5 * (kinds + 1)), np.log10(times + 0.5 * (words + 1))
+    classes = spark.sparkContext.broadcast(classes)
+    runs = (learned.mapInArrow(_count_runs(classes), "cell long, n long")
             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
     cells = np.zeros(CLASSES ** 3, np.int64)
     cells[runs["cell"].to_numpy()] = runs["n"].to_numpy()
     tree = spark.sparkContext.broadcast(suffix_tree(cells.reshape((CLASSES,) * 3)).ravel())
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, times = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            n = batch.column(1).to_numpy()
-            k = np.full(len(n), STOP)
-            w = V.Words(*V.flat_binary(batch.column(0)))
-            k[np.flatnonzero(np.diff(w.first))] = classes.value.of(w)
-            words += np.bincount(k[n > 0], minlength=CLASSES)
-            times += np.bincount(k, weights=n, minlength=CLASSES).astype(np.int64)
-        yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(words), pa.array(times)], names=["k", "words", "times"])
-
-    of_class = (counted.select("word", "n").mapInArrow(sizes, "k long, words long, times long")
-                .groupBy("k").agg(F.sum("words").alias("words"), F.sum("times").alias("times")).orderBy("k").toArrow())
-    room = np.zeros(CLASSES)
-    room[of_class["k"].to_numpy()] = of_class["times"].to_numpy() + 0.5 * (of_class["words"].to_numpy() + 1)
-    room = np.log10(np.maximum(room, 0.5))
-    size = source.agg(F.sum(F.octet_length(F.coalesce("_text", F.lit(""))) + 64)).first()[0] or 0
+    rounds = min(ROUNDS, size // CHUNK + 1)
     chunk = F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keep))], F.crc32(F.encode("_text", "UTF-8"))), F.lit(size // CHUNK + 1))
-    dealt = source.withColumn("chunk", chunk).drop("_train").mapInArrow(_pack_texts, "chunk long, rows binary")
+    dealt = source.withColumn("chunk", chunk).drop("_train")
     lookup = counted.select("h", "n", F.expr("1L").alias("mass"))
-    states = word_states(source.where("_train").select("_text"), counted, total, classes.value.top, size // CHUNK + 1, shelf)
+    states = word_states(learned, counted, total, classes.value.top, size // CHUNK + 1, shelf)
     if states is not None:
         lookup = lookup.unionByName(states.drop("state"))
     kept, held = (bit_filter(states.where(F.col("state") == is_state) if states is not None else counted.limit(0), F.col("h"))
                   for is_state in (True, False))
-    buckets = (lookup.count() + size // 16) // BUCKET + 1
+    known = lookup.count()
+    buckets = Buckets.of(known, (known + size // 16) // BUCKET + 1)
+    values = shelf.put(lookup.mapInArrow(_packed_values(buckets), _PACKED))
+    shelf.drop(lookup)
 
     def ask(group: pa.Table) -> pa.Table:
-        h, size = [np.zeros(1, np.uint64)], 0
-        for texts in _packed_texts(group):
+        h, size = [buckets.prefix(np.zeros(1, np.uint64))], 0
+        for texts in _unpacked_rows(group["rows"]):
             for _, _, d, o in V.chunks(*V.flat(texts["_text"])):
                 w = V.Words(d, o)
-                h += (asked := _questions(w, kept.value, held.value))
+                h += (asked := [buckets.prefix(x) for x in _questions(w, kept.value, held.value)])
                 size += sum(map(len, asked))
                 if size > FLUSH_RUNS // 2 + len(h[0]) // 2:
                     h, size = [_rising(np.concatenate(h))], 0
-        return pa.Table.from_batches([_pack(_rising(np.concatenate(h)), [], group["chunk"][0].as_py(), buckets)])
+        prefix = _rising(np.concatenate(h))
+        return pa.Table.from_batches([_pack(prefix.astype(np.uint64), buckets.bounds(prefix), [], group["chunk"][0].as_py())])
 
     def answer(group: pa.Table, found: pa.Table) -> pa.Table:
         known = _answers(found)
         ends = known.of(np.zeros(1, np.uint64))[0][0]
-        return pa.concat_tables([_scored(texts, known, ends) for texts in _packed_texts(group)])
+        return pa.concat_tables([_scored(texts, known, ends) for texts in _unpacked_rows(group["rows"])])
 
     def _scored(texts: pa.Table, known: _Found, ends: float) -> pa.Table:
         data, offsets = V.flat(texts["_text"])
@@ -542,20 +596,26 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
                 c = _before(low)
                 low = _longer(c, low)
                 inside = np.flatnonzero(place >= depth)
+                inside = inside[passes(kept.value, c[inside] ^ _STATE)]
                 left, state = known.of(c[inside] ^ _STATE)
                 at = inside[state]
                 chance[at] = known.of(low[at])[0] + left[state] * chance[at]
             run = np.concatenate(([0.0], np.cumsum(np.log10(chance))))
             out[3, a:b] = run[starts[1:]] - run[starts[:-1]]
-        cols = [texts[f"_k{i}"] for i in range(len(keep))]
+        cols = [texts[k] for k in keys]
         cols += [pa.array(out[0].astype(np.int64)), pa.array(np.rint(out[1]).astype(np.int64)),
                  pa.array(np.full(len(offsets) - 1, total, np.int64)), pa.array(out[2]), pa.array(out[3])]
-        return pa.table(cols, names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table(cols, names=[*keys, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kinds_of = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in keep) + \
+    keys = [f"_k{i}" for i in range(len(keep))]
+    schema = ", ".join(f"{k} {kind}" for k, (_, kind) in zip(keys, source.dtypes)) + \
         ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = (dealt.groupBy("chunk").applyInArrow(ask, _PACKED)
-               .unionByName(lookup.mapInArrow(_packed_values(buckets), _PACKED))
-               .groupBy("bucket").applyInArrow(_resolve, "chunk long, at long, h binary, n binary, mass binary"))
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answer, schema)
+    scored = None
+    for part in range(rounds):
+        texts = dealt.where(F.col("chunk") % rounds == part).mapInArrow(_pack_texts, "chunk long, rows binary")
+        answers = (texts.groupBy("chunk").applyInArrow(ask, _PACKED).unionByName(values)
+                   .groupBy("bucket").applyInArrow(_resolve(buckets), "chunk long, at long, h binary, n binary, mass binary"))
+        rows = shelf.put(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answer, schema))
+        scored = rows if scored is None else scored.unionByName(rows)
+    shelf.drop(values)
+    return scored.select(*[F.col(k).alias(c) for k, c in zip(keys, keep)], *NEW_COLUMNS)

@@ -3,9 +3,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,60 @@ def test_only_runs_after_states_are_asked():
     assert [len(h) for h in suffix_tree._questions(w, full, full)] == [50, 50, 50, 49, 49, 48, 48]
 
 
+@pytest.mark.parametrize("buckets", [suffix_tree.Buckets.of(3000, 4), suffix_tree.Buckets(8, 70), suffix_tree.Buckets.of(1 << 60, 3)])
+def test_prefixes_of_hashes_find_the_values_of_whole_ones(buckets):
+    """Also where many hashes begin alike, and where buckets are narrow."""
+    rng = np.random.default_rng(9)
+    h = np.unique(np.concatenate((rng.integers(0, 1 << 64, 2000, dtype=np.uint64), rng.integers(0, 1 << 64, 10, dtype=np.uint64)[:, None].repeat(100, 1).ravel()
+                                  + np.tile(np.arange(100, dtype=np.uint64), 10), np.array([0, (1 << 64) - 1], np.uint64))))
+    known, other = h[::2], h[1::2]
+    n, mass = rng.integers(1, 99, len(known)), rng.integers(100, 999, len(known))
+    table = pa.table([pa.array(known.view(np.int64)), pa.array(n), pa.array(mass)], names=["h", "n", "mass"])
+    rows = list(suffix_tree._packed_values(buckets)(table.to_batches()))
+    for chunk, asked in ((5, h), (6, other), (7, known[:1])):
+        prefix = suffix_tree._rising(buckets.prefix(asked))
+        rows.append(suffix_tree._pack(prefix.astype(np.uint64), buckets.bounds(prefix), [], chunk))
+    rows = pa.Table.from_batches(rows)
+    answers = pa.concat_tables([suffix_tree._resolve(buckets)(rows.filter(pc.equal(rows["bucket"], b))) for b in set(rows["bucket"].to_pylist())])
+    for chunk, asked in ((5, h), (6, other), (7, known[:1])):
+        value, there = suffix_tree._answers(answers.filter(pc.equal(answers["chunk"], chunk))).of(asked)
+        want = dict(zip(known.tolist(), (n / mass).tolist()))
+        assert there.tolist() == [x in want for x in asked.tolist()] and value.tolist() == [want.get(x, 0.0) for x in asked.tolist()]
+
+
+def test_questions_are_short_and_found_in_few_steps():
+    rng = np.random.default_rng(10)
+    h = np.sort(rng.integers(0, 1 << 64, 200_000, dtype=np.uint64))
+    buckets = suffix_tree.Buckets.of(len(h), 50)
+    prefix = suffix_tree._rising(buckets.prefix(h))
+    rows = suffix_tree._pack(prefix.astype(np.uint64), buckets.bounds(prefix), [], 1)
+    assert rows.num_rows == 50 and sum(map(len, rows["h"].to_pylist())) < 2 * len(h)      # 5.3 bytes for each whole hash
+    assert np.diff(suffix_tree._Found(h[:4000], h[:4000]).first).max() < 20               # a bucket's hashes lie in a narrow range
+
+
+def test_only_scored_rows_are_left(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "CHUNK", 2000)
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, _prose(rng, 40)) for i in range(80)], "id long, text string")
+    got = score_texts(df, "text", F.col("id") % 3 > 0, ["id"])
+    tables = {file.rsplit("/", 1)[0].removeprefix("file://") for file in got.inputFiles()}
+    assert len(tables) == suffix_tree.ROUNDS > 1 and {str(p) for p in Path(min(tables)).parent.iterdir()} == {str(Path(t)) for t in tables}
+    assert sorted(r["id"] for r in got.collect()) == list(range(80))
+
+
+def test_classes_count_words_and_times(spark):
+    words = [f"{a}{b}{i}" for i in range(30) for a in "abc" for b in "xyü"] + ["q", "aa"]
+    rows = [(i + 1, w.encode(), i % 7) for i, w in enumerate(words)] + [(0, b"", 9)]
+    classes, kinds, times = suffix_tree.choose_classes(spark.createDataFrame(rows, "h long, word binary, n long"))
+    want = np.zeros((2, CLASSES), int)
+    for h, w, n in rows:
+        x = V.Words(*V.flat(pa.array([w.decode()])))
+        x._hash = np.full(len(x.start), h, np.uint64)
+        k = int(classes.of(x)[0]) if w else suffix_tree.STOP
+        want[:, k] += (n > 0, n)
+    assert kinds.tolist() == want[0].tolist() and times.tolist() == want[1].tolist() and len(classes.top) == suffix_tree.TOP_WORDS
+
+
 def test_scores_equal_a_direct_computation(spark):
     """Score by score: class tree, share of the class and states, all counted in loops."""
     rng = random.Random(4)
