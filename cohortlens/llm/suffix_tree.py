@@ -15,17 +15,17 @@ of its own), by the same test and smoothing, and the word by its share of its
 class, where all words not seen in training are one more word of the class.
 
 How it runs: each task counts the words of its texts; the summed counts are the
-dictionary, whose size grows with the corpus and which is never broadcast. One
-more pass counts runs of three classes (64 ** 3 cells at most). Then one pass for each
-length counts (run, next word) in each task, for runs that a bit filter of the
-frequent ones lets through; buckets of those counts are summed, and joins with the
-counts one word shorter test them. Texts are dealt into chunks of bounded bytes;
-each chunk asks for its distinct words, runs and states by the first bits of their
-hashes, packed by buckets of hashes; each bucket of dictionary and states answers with
-all that a question may mean, and the answers meet the chunk again, which knows its own
-by the whole hash. The chunks go through this in ``ROUNDS`` parts, so that questions and
-answers of one part only are on disk. Intermediate tables are written compressed, and go
-with their shuffle files when the next is there.
+dictionary, whose size grows with the corpus and which is never broadcast. Then one pass
+for each length counts (run, next word) in each task, for runs that a bit filter of the
+frequent ones lets through, the first also runs of three classes (64 ** 3 cells at most);
+buckets of those counts are summed, and joins with the counts one word shorter test them.
+Texts are dealt into chunks of bounded bytes; each chunk asks for its distinct words,
+runs and states by the first bits of their hashes, packed by buckets of hashes; each
+bucket of dictionary and states answers with all that a question may mean, and the
+answers meet the chunk again, which knows its own by the whole hash. The chunks go
+through this in ``ROUNDS`` parts, so that questions and answers of one part only are on
+disk. Intermediate tables are written compressed, and go with their shuffle files when
+the next is there.
 """
 
 from __future__ import annotations
@@ -204,19 +204,6 @@ def _runs(k: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two * CLASSES + one) * CLASSES + line, starts
 
 
-def _count_runs(classes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES ** 3, np.int64)
-        for batch in batches:
-            data, offsets = V.flat(batch.column(0))
-            for _, _, d, o in V.chunks(data, offsets):
-                w = V.Words(d, o)
-                total += np.bincount(_runs(classes.value.of(w), w.first)[0], minlength=CLASSES ** 3)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-    return run
-
-
 def suffix_tree(counts: np.ndarray) -> np.ndarray:
     """log10 P(class | two classes before) of every run, from counts in that shape."""
     kept_of = lambda n, p: (n * np.log(np.where(n > 0, n, 1) / np.maximum(n.sum(-1, keepdims=True), 1) / p)).sum(-1) \
@@ -251,9 +238,10 @@ def _longer(before: np.ndarray, run: np.ndarray) -> np.ndarray:
     return V.mix(before * _LONGER + run)
 
 
-def _count_followers(depth, frequent, top, buckets):
+def _count_followers(depth, frequent, top, buckets, classes=None):
     """Mapper from texts to counts of (run of ``depth`` words, ``low``: the run and the next word
-    without its first), in lists a bucket. Runs after a top word are dealt by both, others by the run."""
+    without its first), in lists a bucket. Runs after a top word are dealt by both, others by the run.
+    With ``classes`` also the counts of runs of three classes, in buckets of their own beyond those."""
     def flush(runs, lows, hot):
         c, low, hot = np.concatenate(runs), np.concatenate(lows), np.concatenate(hot)
         h = _longer(c, low)
@@ -275,11 +263,14 @@ def _count_followers(depth, frequent, top, buckets):
                                names=["bucket", "run", "size", "low", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, lows, hot, size = [], [], [], 0
+        runs, lows, hot, size, cells = [], [], [], 0, np.zeros(CLASSES ** 3, np.int64)
         for batch in batches:
             data, offsets = V.flat(batch.column(0))
             for _, _, d, o in V.chunks(data, offsets):
-                line, place, _ = _line(V.Words(d, o))
+                w = V.Words(d, o)
+                if classes:
+                    cells += np.bincount(_runs(classes.value.of(w), w.first)[0], minlength=len(cells))
+                line, place, _ = _line(w)
                 low = line
                 for _ in range(depth - 1):
                     low = _longer(_before(low), low)
@@ -294,12 +285,26 @@ def _count_followers(depth, frequent, top, buckets):
                     runs, lows, hot, size = [], [], [], 0
         if size:
             yield flush(runs, lows, hot)
+        seen = np.flatnonzero(cells)
+        if len(seen):
+            seen = seen[np.argsort(seen % buckets, kind="stable")]
+            of, first = np.unique(seen % buckets, return_index=True)
+            outer, none = pa.array(np.append(first, len(seen)), pa.int32()), pa.array(np.zeros(len(of) + 1), pa.int32())
+            cut = pa.ListArray.from_arrays
+            yield pa.record_batch([pa.array(buckets + of), cut(outer, pa.array(seen)), cut(none, pa.array([], pa.int32())),
+                                   cut(none, pa.array([], pa.int64())), cut(outer, pa.array(cells[seen], pa.int32()))],
+                                  names=["bucket", "run", "size", "low", "n"])
     return run
 
 
 def _sum_followers(group: pa.Table) -> pa.Table:
-    """Sums of a bucket's counts; what followed a run once is left out."""
+    """Sums of a bucket's counts; what followed a run once is left out. Runs of classes have no ``low``."""
     run, size, low, n = (group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("run", "size", "low", "n"))
+    if not len(low):
+        order, new = _alike(run)
+        none = pa.nulls(len(new), pa.int64())
+        return pa.table([pa.array(run[order[new]]), none, none, pa.array(np.add.reduceat(n[order].astype(np.int64), new))],
+                        names=["run", "low", "h", "n"])
     run = np.repeat(run, size)
     h = _longer(run.view(np.uint64), low.view(np.uint64))
     order, new = _alike(h)
@@ -309,20 +314,30 @@ def _sum_followers(group: pa.Table) -> pa.Table:
                     names=["run", "low", "h", "n"])
 
 
-def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.ndarray, buckets: int, shelf: Written) -> DataFrame | None:
+def word_states(texts: DataFrame, dictionary: DataFrame, total: int, top: np.ndarray, buckets: int, shelf: Written,
+                classes=None, cells: np.ndarray | None = None) -> DataFrame | None:
     """(h, n, mass, state) of the kept states over words of the one column ``texts``: of each run and
     next word the part n / mass of the state that it holds, and of each state (its hash with
-    ``_STATE``, ``state`` true) the part left to the next shorter one. ``dictionary``: (h, n) of all words."""
+    ``_STATE``, ``state`` true) the part left to the next shorter one. ``dictionary``: (h, n) of all words.
+    With broadcast ``classes`` the first pass also counts runs of three classes into ``cells``."""
     below = dictionary.select("h", "n", (F.col("n") * (1 / max(total, 1))).alias("share"))
     found, old = None, None
     for depth in range(1, DEPTH + 1):
         frequent = below.where((F.col("n") >= LEAST_SEEN) & (F.col("h") != 0))
         bits = bit_filter(frequent, F.col("h"))
-        if not bits.value.any():
+        of_classes = classes if depth == 1 else None
+        if not (bits.value.any() or of_classes):
             break
-        counts = shelf.put(texts.mapInArrow(_count_followers(depth, bits, top, buckets),
+        counts = shelf.put(texts.mapInArrow(_count_followers(depth, bits, top, buckets, of_classes),
                                             "bucket long, run array<long>, size array<int>, low array<long>, n array<int>")
                            .groupBy("bucket").applyInArrow(_sum_followers, "run long, low long, h long, n long"))
+        if of_classes:
+            seen = counts.where("low IS NULL").select("run", "n").toArrow()
+            cells[seen["run"].to_numpy()] = seen["n"].to_numpy()
+            counts = counts.where("low IS NOT NULL")
+            if not bits.value.any():
+                shelf.drop(counts)
+                break
         longer = shelf.put(counts.join(below.select(F.col("h").alias("low"), F.col("share").alias("shorter")), "low").drop("low")
                            .join(frequent.select(F.col("h").alias("run"), F.col("n").alias("seen")), "run"))
         shelf.drop(counts, *([old] if old is not None else []))
@@ -539,16 +554,13 @@ def _score_texts(docs: DataFrame, text: str, train: Column, keep: list[str]) ->
     total, kinds = int(times.sum()), int(words.sum())
     floor, room = np.log10(total + 0.5 * (kinds + 1)), np.log10(times + 0.5 * (words + 1))
     classes = spark.sparkContext.broadcast(classes)
-    runs = (learned.mapInArrow(_count_runs(classes), "cell long, n long")
-            .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
     cells = np.zeros(CLASSES ** 3, np.int64)
-    cells[runs["cell"].to_numpy()] = runs["n"].to_numpy()
-    tree = spark.sparkContext.broadcast(suffix_tree(cells.reshape((CLASSES,) * 3)).ravel())
     rounds = min(ROUNDS, size // CHUNK + 1)
     chunk = F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keep))], F.crc32(F.encode("_text", "UTF-8"))), F.lit(size // CHUNK + 1))
     dealt = source.withColumn("chunk", chunk).drop("_train")
     lookup = counted.select("h", "n", F.expr("1L").alias("mass"))
-    states = word_states(learned, counted, total, classes.value.top, size // CHUNK + 1, shelf)
+    states = word_states(learned, counted, total, classes.value.top, size // CHUNK + 1, shelf, classes, cells)
+    tree = spark.sparkContext.broadcast(suffix_tree(cells.reshape((CLASSES,) * 3)).ravel())
     if states is not None:
         lookup = lookup.unionByName(states.drop("state"))
     kept, held = (bit_filter(states.where(F.col("state") == is_state) if states is not None else counted.limit(0), F.col("h"))

@@ -15,7 +15,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 class Written:
     """Writes tables as compressed Parquet and reads them back; ``drop`` deletes those
-    that nothing unwritten reads any more."""
+    that nothing unwritten reads any more. Hashes and counts seldom repeat, so no page
+    has a dictionary."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -23,7 +24,7 @@ class Written:
 
     def put(self, df: DataFrame) -> DataFrame:
         self.count += 1
-        df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.count}")
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{self.folder}/{self.count}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.count}")
 
     def drop(self, *tables: DataFrame) -> None:

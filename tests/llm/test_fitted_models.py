@@ -240,6 +240,24 @@ def test_questions_are_short_and_found_in_few_steps():
     assert np.diff(suffix_tree._Found(h[:4000], h[:4000]).first).max() < 20               # a bucket's hashes lie in a narrow range
 
 
+def test_classes_are_counted_where_no_run_is_frequent(spark):
+    rows = [(i + 1, f"w{i}".encode(), 1) for i in range(12)] + [(0, b"", 3)]
+    classes, _, _ = suffix_tree.choose_classes(spark.createDataFrame(rows, "h long, word binary, n long"))
+    cells, texts = np.zeros(CLASSES ** 3, np.int64), ["w1 w2 w3", "", "w3 w4"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    known, shared = spark.createDataFrame([(7, 1)], "h long, n long"), spark.sparkContext.broadcast(classes)
+    for buckets in (1, 5):
+        cells[:] = 0
+        assert suffix_tree.word_states(df, known, 8, classes.top, buckets, Written(spark, "cells"), shared, cells) is None
+        want = np.zeros_like(cells)
+        for t in texts:
+            w = V.Words(*V.flat(pa.array([t])))
+            line = [suffix_tree.START, suffix_tree.START, *classes.of(w).tolist(), suffix_tree.STOP]
+            for a, b, c in zip(line, line[1:], line[2:]):
+                want[(a * CLASSES + b) * CLASSES + c] += 1
+        assert want.sum() == 8 and (cells == want).all()
+
+
 def test_only_scored_rows_are_left(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "CHUNK", 2000)
     rng = random.Random(11)
